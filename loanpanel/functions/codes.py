@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from loanpanel import schemas as S
 
 
-def known_status(status: Column) -> Column:
-    """Cleaning writes 'Missing' for absent codes; here that text is null again."""
-    return F.nullif(status, F.lit(S.MISSING))
-
-
 def default_event(status: Column, zero_balance: Column) -> Column:
     """1 when 90+ days late or closed by a credit event, else 0 (never null)."""
     late = (status != S.UNKNOWN_STATUS) & (status.try_cast("int") >= 3)
@@ -21,8 +16,8 @@ def default_event(status: Column, zero_balance: Column) -> Column:
 
 
 def dlq_severity(status: Column) -> Column:
-    status = known_status(status)
-    label = F.when(status.isNull() | (status == ""), S.MISSING)
+    """Severity label.  Cleaning writes 'Missing' for absent codes, which counts as absent."""
+    label = F.when(status.isNull() | status.isin("", S.MISSING), S.MISSING)
     for name, codes in S.SEVERITY_CODES.items():
         label = label.when(status.isin(codes), name)
     return label.otherwise("Other")

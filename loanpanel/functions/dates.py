@@ -17,7 +17,7 @@ def mmyyyy_to_date(c: Column) -> Column:
 def act_period(origination: Column, time: Column) -> Column:
     """Calendar month of an observation as 'MMYYYY'."""
     days = ((time + 1) * MONTH_DAYS).cast("int")
-    return F.date_format(F.date_add(lenient_date(origination), days), "MMyyyy")
+    return F.date_format(F.date_add(origination, days), "MMyyyy")
 
 
 def lenient_date(c: Column) -> Column:
