@@ -57,6 +57,28 @@ def _order_bucket(v: Column) -> Column:
     return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
 
 
+def running_sum(df: DataFrame, order: str, cols: Sequence[str],
+                descending: bool = False) -> DataFrame:
+    """``cols`` replaced by their running sums in ``order`` (one row per ``order`` value).
+
+    Totals per value bucket are accumulated first and added to the sums inside a bucket, so
+    no task holds the whole table however many distinct values it has.
+    """
+    def asc(c: str) -> Column:
+        return F.col(c).desc() if descending else F.col(c).asc()
+
+    rows = df.withColumn("__b", _order_bucket(F.col(order)))
+    totals = rows.groupBy("__b").agg(*[F.sum(c).alias(f"__s_{c}") for c in cols])
+    # a few thousand buckets per power of two: a bounded table
+    w = Window.orderBy(asc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__b", *[F.coalesce(F.sum(f"__s_{c}").over(w), F.lit(0)).alias(f"__o_{c}")
+                                     for c in cols])
+    inside = Window.partitionBy("__b").orderBy(asc(order))
+    out = rows.join(F.broadcast(offsets), "__b")
+    sums = {c: F.sum(c).over(inside) + F.col(f"__o_{c}") for c in cols}
+    return out.select(*[sums[c].alias(c) if c in sums else F.col(c) for c in df.columns])
+
+
 def quantiles_of_counts(counts: DataFrame, probs: Sequence[float],
                         by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolation quantiles of a :func:`value_counts` table.
