@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -28,6 +29,9 @@ def build_session(app: str = "loanpanel", master: str | None = None, **conf) ->
     return b.getOrCreate()
 
 
+_LOCAL_DIR: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
@@ -36,9 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
+        return path.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="loanpanel-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if not _LOCAL_DIR:
+        _LOCAL_DIR.append(tempfile.mkdtemp(prefix="loanpanel-"))
+    return _LOCAL_DIR[0]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for one result below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanpanel.operators import macro as M
 from loanpanel.operators import panel as P
 
 INGEST = ["seq1", "seq2", "seq3"]
@@ -72,3 +73,13 @@ def macro_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
         """CASE WHEN (month(o_orderdate) + year(o_orderdate)
                       + cast(substring(o_orderpriority, 1, 1) as int)) % 11 = 0 THEN '.'
                 ELSE cast(cast(floor(o_totalprice) as bigint) as string) END AS value""")
+
+
+def macro_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    monthly = M.monthly_average(M.valid_observations(macro_obs(spark, sf_dir)))
+    wide = M.wide_by_month(monthly, [s for ss in DOMAINS.values() for s in ss])
+    return M.principal_components(wide, DOMAINS)[0]
+
+
+def panel_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.join_macro(M.add_act_period(panel(spark, sf_dir)), macro_components(spark, sf_dir))
