@@ -130,6 +130,11 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return quantiles_of_counts(value_counts(df, cols, by), probs, by)
 
 
+def breaks_below(value: Column, cut: Column, n: int) -> Column:
+    """How many of the ``n`` breaks in the array ``cut`` lie strictly below ``value``."""
+    return sum((F.coalesce((value > F.get(cut, i)).cast("int"), F.lit(0)) for i in range(n)), F.lit(0))
+
+
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max, one row per column, from one scan."""
     counts = value_counts(df, cols)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanpanel.functions.dates import quarter_start
-from loanpanel.functions.stats import quantiles, safe_corr
+from loanpanel.functions.stats import breaks_below, quantiles, safe_corr
 from loanpanel.operators.delinquency import means_by
 
 
@@ -35,7 +35,7 @@ def delinquency_by_decile(panel: DataFrame, factor: str) -> DataFrame:
     breaks = quantiles(panel, [factor], [i / 10 for i in range(1, 10)])
     cut = breaks.agg(F.sort_array(F.collect_list("quantile"))).scalar()
     decile = F.when(F.col(factor).isNotNull(), F.concat(
-        F.lit("Q"), (1 + F.size(F.filter(cut, lambda b: F.col(factor) > b))).cast("string")))
+        F.lit("Q"), (1 + breaks_below(F.col(factor), cut, 9)).cast("string")))
     return (panel.groupBy(F.col(factor).alias("f")).agg(
                 F.sum("any_delinquent").alias("d"), F.count("any_delinquent").alias("n"),
                 F.count("*").alias("rows"))

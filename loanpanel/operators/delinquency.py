@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loanpanel.functions.stats import histogram, quantiles, running_sum
 
-# (LOAN_ID, time) is unique within a quarter after deduplication, so a loan's window is
-# bounded by its age in months times the quarters that report it
-BY_LOAN = Window.partitionBy("LOAN_ID").orderBy("time", "data_quarter")
+
+def _by_loan() -> WindowSpec:
+    """A loan's rows by age.
+
+    (LOAN_ID, time) is unique within a quarter after deduplication, so the window is bounded
+    by the loan's age in months times the quarters that report it.
+    """
+    return Window.partitionBy("LOAN_ID").orderBy("time", "data_quarter")
 
 
 def quarterly_delinquency(panel: DataFrame) -> DataFrame:
@@ -68,7 +73,7 @@ def naive_survival(panel: DataFrame, step: int = 2) -> DataFrame:
 def transition_matrix(panel: DataFrame) -> DataFrame:
     """Counts and row percentages of moves between delinquency states."""
     moves = (panel.select("LOAN_ID", "any_delinquent",
-                          F.lag("any_delinquent").over(BY_LOAN).alias("dlq_lag"))
+                          F.lag("any_delinquent").over(_by_loan()).alias("dlq_lag"))
              .where("dlq_lag IS NOT NULL")
              .groupBy("dlq_lag", "any_delinquent").agg(F.count("*").alias("count")))
     total = F.sum("count").over(Window.partitionBy("dlq_lag"))
@@ -78,7 +83,7 @@ def transition_matrix(panel: DataFrame) -> DataFrame:
 
 def gaps(panel: DataFrame) -> DataFrame:
     """Rows that do not follow the loan's previous row by exactly one month."""
-    gap = (F.col("time") - F.lag("time").over(BY_LOAN)).alias("time_gap")
+    gap = (F.col("time") - F.lag("time").over(_by_loan())).alias("time_gap")
     return panel.select("LOAN_ID", "time", gap).where("time_gap <> 1")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanpanel.functions import codes
-from loanpanel.functions.stats import describe, quantiles
+from loanpanel.functions.stats import breaks_below, describe, quantiles
 from loanpanel.operators.panel import _distinct
 
 STRATA = ["orig_year", "credit_tier", "ltv_tier", "ever_defaults", "geo_tier"]
@@ -127,8 +127,8 @@ def smart_sample(df: DataFrame, target: int = 500_000, event: str = "survival_ev
     Equal quartile breaks are merged.  ``key`` identifies a row.
     """
     breaks = quantiles(df, [duration], [0.25, 0.5, 0.75])
-    cut = breaks.agg(F.sort_array(F.collect_set("quantile"))).scalar()
-    quartile = F.size(F.filter(cut, lambda b: F.col(duration) > b))
+    cut = breaks.agg(F.sort_array(F.collect_list("quantile"))).scalar()
+    quartile = breaks_below(F.col(duration), cut, 3)
     total = df.agg(F.count("*")).scalar()
 
     def quota(size: Column, _: Column) -> Column:
