@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanpanel.functions.dates import quarter_start
-from loanpanel.functions.stats import breaks_below, quantiles, safe_corr
+from loanpanel.functions.stats import attach_group_row, breaks_below, quantiles, safe_corr
 from loanpanel.operators.delinquency import means_by
 
 
@@ -33,16 +33,15 @@ def stress_factor(columns: Sequence[str]) -> str:
 def delinquency_by_decile(panel: DataFrame, factor: str) -> DataFrame:
     """Delinquency rate by decile of a factor; deciles are right-closed, null is its own group."""
     breaks = quantiles(panel, [factor], [i / 10 for i in range(1, 10)])
-    cut = breaks.agg(F.sort_array(F.collect_list("quantile"))).scalar()
-    decile = F.when(F.col(factor).isNotNull(), F.concat(
-        F.lit("Q"), (1 + breaks_below(F.col(factor), cut, 9)).cast("string")))
-    return (panel.groupBy(F.col(factor).alias("f")).agg(
-                F.sum("any_delinquent").alias("d"), F.count("any_delinquent").alias("n"),
-                F.count("*").alias("rows"))
-            .withColumnRenamed("f", factor).groupBy(decile.alias("decile"))
+    cut = breaks.agg(F.sort_array(F.collect_list("quantile")).alias("cut"))
+    cells = panel.groupBy(factor).agg(
+        F.sum("any_delinquent").alias("d"), F.count("any_delinquent").alias("n"),
+        F.count("*").alias("rows"))
+    f = F.col(factor)
+    decile = F.concat(F.lit("Q"), (1 + breaks_below(f, F.col("cut"), 9)).cast("string"))
+    return (attach_group_row(cells, cut, []).groupBy(F.when(f.isNotNull(), decile).alias("decile"))
             .agg((F.sum("d") / F.sum("n")).alias("dlq_rate"),
-                 (F.sum(F.col(factor) * F.col("rows")) / F.sum(
-                     F.when(F.col(factor).isNotNull(), F.col("rows")))).alias("avg_stress"))
+                 (F.sum(f * F.col("rows")) / F.sum(F.when(f.isNotNull(), F.col("rows")))).alias("avg_stress"))
             .orderBy("avg_stress"))
 
 

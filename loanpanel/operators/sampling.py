@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanpanel.functions import codes
-from loanpanel.functions.stats import breaks_below, describe, quantiles
+from loanpanel.functions.stats import attach_group_row, breaks_below, describe, quantiles
 from loanpanel.operators.panel import _distinct
 
 STRATA = ["orig_year", "credit_tier", "ltv_tier", "ever_defaults", "geo_tier"]
@@ -127,15 +127,15 @@ def smart_sample(df: DataFrame, target: int = 500_000, event: str = "survival_ev
     Equal quartile breaks are merged.  ``key`` identifies a row.
     """
     breaks = quantiles(df, [duration], [0.25, 0.5, 0.75])
-    cut = breaks.agg(F.sort_array(F.collect_list("quantile"))).scalar()
-    quartile = breaks_below(F.col(duration), cut, 3)
-    total = df.agg(F.count("*")).scalar()
+    cut = breaks.agg(F.sort_array(F.collect_list("quantile")).alias("__cut"))
+    rows = attach_group_row(df.select(key, event, duration), cut, [])
+    rows = rows.withColumn("__q", breaks_below(F.col(duration), F.col("__cut"), 3))
 
-    def quota(size: Column, _: Column) -> Column:
+    def quota(size: Column, total: Column) -> Column:
         return F.when(total <= target, size).otherwise(
             proportional_quota(target)(size, total))
 
-    ids = stratified_ids(df.withColumn("__q", quartile), [event, "__q"], quota, seed, key)
+    ids = stratified_ids(rows, [event, "__q"], quota, seed, key)
     return df.join(ids, key, "left_semi")
 
 

@@ -27,12 +27,10 @@ def concordance(df: DataFrame, risk: str, event: str = "survival_event",
              .where("risk IS NOT NULL AND t IS NOT NULL AND e IS NOT NULL")
              .groupBy("risk", "t", "e").agg(F.count("*").alias("n")).persist())
     try:
-        probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-        size, cuts = cells.agg(
-            F.count("*"), F.percentile_approx("risk", probs, 10 * MAX_BUCKETS)).first()
-        buckets = min(MAX_BUCKETS, max(1, -(-size // CELLS_PER_BUCKET)))
-        wanted = sorted(set((cuts or [])[i * MAX_BUCKETS // buckets - 1] for i in range(1, buckets)))
-        splits = [-float("inf"), *wanted, float("inf")]
+        buckets = min(MAX_BUCKETS, -(-cells.count() // CELLS_PER_BUCKET))
+        probs = [i / buckets for i in range(1, buckets)]
+        cuts = cells.agg(F.percentile_approx("risk", probs, 10 * buckets)).first()[0] if probs else []
+        splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
         if len(splits) == 2:
             placed = cells.withColumn("bucket", F.lit(0.0))
         else:

@@ -107,7 +107,7 @@ def _accumulate(sums, beta: Sequence[float], ties: str) -> Evaluation:
         cross = np.outer(r1, d1)
         hess -= (r2 * a0 - d2 * a1) - (np.outer(r1, r1) * b0 - (cross + cross.T) * b1
                                        + np.outer(d1, d1) * b2)
-    return Evaluation(ll, grad, hess, rows, events)
+    return Evaluation(float(ll), grad, hess, rows, events)
 
 
 def _efron_sums(s0: float, d0: float, d: int, chunk: int = 1_000_000):

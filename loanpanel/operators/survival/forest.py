@@ -20,7 +20,7 @@ from pyspark.sql.functions import pandas_udf
 
 from loanpanel.functions.stats import histogram, quantiles, running_sum
 
-NODE_GROUPS = 16  # histogram groups per tree, so that one task never sees a whole level
+NODES_PER_GROUP = 32  # nodes scored together, so that one task never sees a whole level
 TENSOR_CELLS = 4_000_000  # (node, feature, bin, time) cells scored at once
 
 
@@ -119,13 +119,14 @@ def fit_forest(df: DataFrame, features: Sequence[str], key: str = "LOAN_ID",
     edges = {c: [] for c in features} | {r["column"]: r["cuts"] for r in cuts}
     rows = df.select(F.col(key).alias("key"), F.col(duration).alias("time"),
                      F.col(event).cast("int").alias("event"),
-                     F.array(*[_bin(c, edges[c]) for c in features]).alias("bins")
-                     ).persist(StorageLevel.MEMORY_AND_DISK)
+                     F.array(*[_bin(c, edges[c]) for c in features]).alias("bins"))
+    # spread over all cores: every row is drawn for some trees and visited once per level
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    instances = _bootstrap(rows.repartition(cores, "key"), params).persist(StorageLevel.MEMORY_AND_DISK)
     leaf_steps = None
     try:
-        instances = _bootstrap(rows, params)
         splits = _grow(instances, len(features), params)
-        steps = _leaf_steps(_at_node(instances, splits))
+        steps = _leaf_steps(_at_node(instances, splits, params))
         leaf_steps = steps.persist(StorageLevel.MEMORY_AND_DISK)
         # the mortality of a leaf sums its cumulative hazard over all event times of the data
         grid = rows.where("event = 1").groupBy("time").agg(F.lit(1).alias("later"))
@@ -138,7 +139,7 @@ def fit_forest(df: DataFrame, features: Sequence[str], key: str = "LOAN_ID",
             leaf_steps.unpersist()
         raise
     finally:
-        rows.unpersist()
+        instances.unpersist()
 
 
 def _bin(c: str, cuts: Sequence[float]) -> Column:
@@ -158,26 +159,34 @@ def _bootstrap(rows: DataFrame, params: ForestParams) -> DataFrame:
             .withColumn("w", weight).where("w > 0"))
 
 
-def _at_node(instances: DataFrame, splits: pd.DataFrame, depth: int | None = None) -> DataFrame:
-    """Instances with the heap number of the node they reach.
+def _at_node(instances: DataFrame, splits: pd.DataFrame, params: ForestParams) -> DataFrame:
+    """Instances with the heap number of the node they have reached.
 
-    With ``depth`` only the instances that reach an open node of that depth are kept; the
-    small split table of each level is broadcast.
+    Each tree's splits travel as two arrays indexed by node in one broadcast row per tree.
     """
-    spark = instances.sparkSession
-    out = instances.withColumn("node", F.lit(1))
-    levels = np.floor(np.log2(splits["node"])).astype(int) if len(splits) else pd.Series(dtype=int)
-    for level in range(depth if depth is not None else (levels.max() + 1 if len(levels) else 0)):
-        table = spark.createDataFrame(splits[levels == level], "tree int, node int, feature int, bin int")
-        out = out.join(F.broadcast(table), ["tree", "node"], "left" if depth is None else "inner")
-        right = (F.get("bins", F.col("feature")) > F.col("bin")).cast("int")
-        moved = F.col("node") * 2 + right
-        out = out.withColumn("node", F.coalesce(moved, F.col("node"))).drop("feature", "bin")
-    return out
+    if splits.empty:
+        return instances.withColumn("node", F.lit(1))
+    size = int(splits["node"].max()) + 1
+    feature, cut = np.full((2, params.trees, size), -1)
+    feature[splits["tree"], splits["node"]] = splits["feature"]
+    cut[splits["tree"], splits["node"]] = splits["bin"]
+    table = instances.sparkSession.createDataFrame(
+        [(t, f.tolist(), c.tolist()) for t, (f, c) in enumerate(zip(feature, cut))],
+        "tree int, f array<int>, c array<int>")
+
+    def child(node: Column, _: Column) -> Column:
+        split = F.get("f", node)  # null beyond the array, -1 for a leaf
+        right = (F.get("bins", split) > F.get("c", node)).cast("int")
+        return F.when(split >= 0, node * 2 + right).otherwise(node)
+
+    depth = int(math.log2(splits["node"].max())) + 1
+    node = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), child)
+    return instances.join(F.broadcast(table), "tree").withColumn("node", node).drop("f", "c")
 
 
 def _grow(instances: DataFrame, n_features: int, params: ForestParams) -> pd.DataFrame:
     spark = instances.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     tried = params.max_features or max(1, int(math.sqrt(n_features)))
     splits = pd.DataFrame({"tree": [], "node": [], "feature": [], "bin": []}, dtype=int)
     open_nodes = [(t, 1) for t in range(params.trees)]
@@ -187,12 +196,14 @@ def _grow(instances: DataFrame, n_features: int, params: ForestParams) -> pd.Dat
         drawn = [(t, n, np.random.default_rng([params.seed, t, n])
                   .choice(n_features, tried, replace=False).tolist()) for t, n in open_nodes]
         active = spark.createDataFrame(drawn, "tree int, node int, tried array<int>")
-        cells = (_at_node(instances, splits, depth).join(F.broadcast(active), ["tree", "node"])
+        parts = max(1, math.ceil(len(open_nodes) / params.trees / NODES_PER_GROUP))
+        cells = (_at_node(instances, splits, params).join(F.broadcast(active), ["tree", "node"])
                  .withColumn("feature", F.explode("tried"))
                  .groupBy("tree", "node", "feature", F.get("bins", F.col("feature")).alias("bin"), "time")
                  .agg(F.count("*").alias("rows"), F.sum("w").alias("n"),
                       F.sum(F.col("w") * F.col("event")).alias("d"))
-                 .withColumn("part", F.col("node") % NODE_GROUPS))
+                 .withColumn("part", F.col("node") % parts)
+                 .repartition(cores, "tree", "part"))
         best = (cells.groupBy("tree", "part").applyInPandas(
                     _scorer(params), "tree int, node int, feature int, bin int, left long, right long")
                 .toPandas())
