@@ -24,6 +24,11 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], value: str = "corr") -
     return row.select(F.inline(F.array(*cells)))
 
 
+def small_total(c: str | Column) -> Column:
+    """Sum over all rows of a table already reduced to a bounded number of groups."""
+    return F.sum(c).over(Window.partitionBy())
+
+
 def attach_group_row(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
     """``df`` with the columns of its group's row in ``small``.
 
@@ -50,10 +55,10 @@ def value_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
             .groupBy(*by, "column", "value").agg(F.count("*").alias("n")))
 
 
-def _order_bucket(v: Column) -> Column:
-    """A monotone, data-independent bucket: about 4096 buckets per power of two."""
+def order_bucket(v: Column, per_octave: int) -> Column:
+    """A monotone, data-independent bucket of a number: ``per_octave`` per power of two."""
     # 1100 lifts log2 of the smallest positive double (-1074) above zero
-    size = F.floor((F.log2(F.abs(v)) + 1100) * 4096)
+    size = F.floor((F.log2(F.abs(v)) + 1100) * per_octave)
     return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
 
 
@@ -67,9 +72,9 @@ def running_sum(df: DataFrame, order: str, cols: Sequence[str],
     def asc(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()
 
-    rows = df.withColumn("__b", _order_bucket(F.col(order)))
+    # at most 256 buckets per power of two: the offsets stay a small table
+    rows = df.withColumn("__b", order_bucket(F.col(order), 256))
     totals = rows.groupBy("__b").agg(*[F.sum(c).alias(f"__s_{c}") for c in cols])
-    # a few thousand buckets per power of two: a bounded table
     w = Window.orderBy(asc("__b")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__b", *[F.coalesce(F.sum(f"__s_{c}").over(w), F.lit(0)).alias(f"__o_{c}")
                                      for c in cols])
@@ -88,7 +93,7 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float],
     from those small totals, and only their values are ordered.
     """
     keys = [*by, "column"]
-    cells = counts.withColumn("bucket", _order_bucket(F.col("value")))
+    cells = counts.withColumn("bucket", order_bucket(F.col("value"), 4096))
     in_order = Window.partitionBy(*keys).orderBy("bucket")
     totals = (cells.groupBy(*keys, "bucket").agg(F.sum("n").alias("m"))
               .withColumn("before", F.sum("m").over(in_order) - F.col("m"))

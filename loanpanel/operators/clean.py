@@ -38,8 +38,8 @@ def fill_median(df: DataFrame, cols: Sequence[str] | None = None,
     return out.withColumns(fixed).select(*df.columns)
 
 
-def clean(df: DataFrame, by: Sequence[str] = ("data_quarter",)) -> DataFrame:
-    """Raw strings -> the cleaned table (plus the grouping columns in ``by``)."""
-    keep = [c for c in S.CLEAN_COLUMNS if c in df.columns]
-    keep += [c for c in by if c in df.columns and c not in keep]
+def clean(df: DataFrame, by: Sequence[str] = ("data_quarter",),
+          extra: Sequence[str] = ()) -> DataFrame:
+    """Raw strings -> the cleaned table, plus the grouping columns and ``extra`` ones."""
+    keep = [c for c in dict.fromkeys([*S.CLEAN_COLUMNS, *by, *extra]) if c in df.columns]
     return fill_median(fill_categorical(type_columns(df.select(*keep))), by=by)

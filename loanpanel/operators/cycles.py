@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanpanel.functions.dates import quarter_start
-from loanpanel.functions.stats import attach_group_row, breaks_below, quantiles, safe_corr
+from loanpanel.functions.stats import attach_group_row, breaks_below, quantiles_of_counts
 from loanpanel.operators.delinquency import means_by
 
 
@@ -32,12 +32,14 @@ def stress_factor(columns: Sequence[str]) -> str:
 
 def delinquency_by_decile(panel: DataFrame, factor: str) -> DataFrame:
     """Delinquency rate by decile of a factor; deciles are right-closed, null is its own group."""
-    breaks = quantiles(panel, [factor], [i / 10 for i in range(1, 10)])
-    cut = breaks.agg(F.sort_array(F.collect_list("quantile")).alias("cut"))
     cells = panel.groupBy(factor).agg(
         F.sum("any_delinquent").alias("d"), F.count("any_delinquent").alias("n"),
         F.count("*").alias("rows"))
     f = F.col(factor)
+    counts = cells.where(f.isNotNull()).select(F.lit(factor).alias("column"), f.alias("value"),
+                                               F.col("rows").alias("n"))
+    breaks = quantiles_of_counts(counts, [i / 10 for i in range(1, 10)])
+    cut = breaks.agg(F.sort_array(F.collect_list("quantile")).alias("cut"))
     decile = F.concat(F.lit("Q"), (1 + breaks_below(f, F.col("cut"), 9)).cast("string"))
     return (attach_group_row(cells, cut, []).groupBy(F.when(f.isNotNull(), decile).alias("decile"))
             .agg((F.sum("d") / F.sum("n")).alias("dlq_rate"),
@@ -58,10 +60,12 @@ def factor_impact(panel: DataFrame, factor: str = "credit_markets_PC1") -> DataF
                 .agg(F.avg(factor).alias("factor_avg"), F.sum("any_delinquent").alias("dlq_count"),
                      F.count_distinct("LOAN_ID").alias("active_loans"))
                 .withColumn("dlq_pct", F.col("dlq_count") / F.col("active_loans") * 100))
-    fit = quarters.agg(F.struct(
-        F.regr_slope("dlq_pct", "factor_avg").alias("slope"),
-        F.regr_intercept("dlq_pct", "factor_avg").alias("intercept"),
-        safe_corr("dlq_pct", "factor_avg").alias("corr"), F.count("*").alias("n"))).scalar()
+    every = Window.partitionBy()  # one row per quarter
+    sxx, syy, sxy = [f("dlq_pct", "factor_avg").over(every) for f in (F.regr_sxx, F.regr_syy, F.regr_sxy)]
+    slope = F.try_divide(sxy, F.nullif(sxx, F.lit(0.0)))
+    level = F.avg("dlq_pct").over(every) - slope * F.avg("factor_avg").over(every)
+    corr = F.try_divide(sxy, F.nullif(F.sqrt(sxx * syy), F.lit(0.0)))
+    enough = F.count("*").over(every) > 2
     return quarters.withColumns({
-        k: F.when(fit.getField("n") > 2, fit.getField(k)) for k in ("slope", "intercept", "corr")
-    }).orderBy("data_quarter")
+        "slope": F.when(enough, slope), "intercept": F.when(enough, level),
+        "corr": F.when(enough, corr)}).orderBy("data_quarter")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from loanpanel.functions.stats import histogram, quantiles, running_sum
+from loanpanel.functions.stats import histogram, quantiles, running_sum, small_total
 
 
 def _by_loan() -> WindowSpec:
@@ -105,11 +105,13 @@ def exit_analysis(panel: DataFrame, early_below: float = 0.9) -> DataFrame:
     """Early exits by final status: loans last seen before ``early_below`` of the longest age."""
     cells = (loan_exits(panel).groupBy("last_observed_time", "final_status")
              .agg(F.count("*").alias("n")))
-    longest = cells.agg(F.max("last_observed_time")).scalar()
-    total = cells.agg(F.sum("n")).scalar()
-    return (cells.where(F.col("last_observed_time") < longest * early_below)
-            .groupBy("final_status").agg(F.sum("n").alias("early_exits"))
-            .withColumn("pct_of_loans", F.col("early_exits") / total * 100))
+    # one row per last age and status
+    longest = F.max("last_observed_time").over(Window.partitionBy())
+    early = F.col("last_observed_time") < F.col("longest") * early_below
+    return (cells.withColumn("longest", longest).withColumn("total", small_total("n")).where(early)
+            .groupBy("final_status")
+            .agg(F.sum("n").alias("early_exits"),
+                 (F.sum("n") / F.max("total") * 100).alias("pct_of_loans")))
 
 
 def means_by(panel: DataFrame, keys: Sequence[str], cols: dict[str, str]) -> DataFrame:

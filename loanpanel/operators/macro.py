@@ -78,8 +78,9 @@ def principal_components(wide: DataFrame, domains: Mapping[str, Sequence[str]] =
     component makes its largest loading positive, the first of equal ones deciding.
     """
     names = [s for ss in domains.values() for s in ss]
+    # one row per month: cached because the fit, the size check and the join all read it
     z = (scale_series(fill_gaps(wide, names)).groupBy("month", "act_period")
-         .pivot("series_id", names).agg(F.max("z")))
+         .pivot("series_id", names).agg(F.max("z")).persist())
     pairs = {d: list(combinations_with_replacement(ss, 2)) for d, ss in domains.items()}
     stats = z.agg(
         *[F.count(s).alias(f"n_{s}") for s in names], F.count("*").alias("months"),

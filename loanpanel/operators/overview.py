@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanpanel.functions.stats import small_total
 from loanpanel.operators.panel import _distinct
 
 FIRST_ATTRIBUTES = ["ORIG_DATE", "CSCORE_B", "DTI", "ORIG_RATE", "ORIG_UPB", "OLTV",
@@ -47,11 +48,6 @@ def loan_summary(panel: DataFrame, factors: Sequence[str] = SUMMARY_FACTORS) ->
     return panel.groupBy("LOAN_ID").agg(*aggs).select("LOAN_ID", "__first.*", *out)
 
 
-def _per_loan(panel: DataFrame) -> DataFrame:
-    return panel.groupBy("LOAN_ID").agg(F.count("*").alias("obs"), F.min("time").alias("t0"),
-                                        F.max("time").alias("t1"))
-
-
 def panel_overview(panel: DataFrame) -> DataFrame:
     loans = panel.groupBy("LOAN_ID").agg(
         F.count("*").alias("obs"), F.count("time").alias("times"), F.min("time").alias("t0"),
@@ -70,22 +66,22 @@ def panel_overview(panel: DataFrame) -> DataFrame:
 
 def observation_counts(panel: DataFrame) -> DataFrame:
     """``(obs, loans)``: how many loans have each panel length."""
-    return (_per_loan(panel).groupBy("obs").agg(F.count("*").alias("loans")))
+    per_loan = panel.groupBy("LOAN_ID").agg(F.count("*").alias("obs"))
+    return per_loan.groupBy("obs").agg(F.count("*").alias("loans"))
 
 
 def panel_balance(panel: DataFrame, top: int = 10) -> DataFrame:
     """The shortest ``top`` panel lengths with their share of loans."""
-    counts = observation_counts(panel)
-    total = counts.agg(F.sum("loans")).scalar()
-    return (counts.withColumn("pct", F.col("loans") / total * 100).orderBy("obs").limit(top))
+    counts = observation_counts(panel)  # one row per panel length
+    pct = F.col("loans") / small_total("loans") * 100
+    return counts.withColumn("pct", pct).orderBy("obs").limit(top)
 
 
 def event_transitions(panel: DataFrame) -> DataFrame:
     """Loans by number of distinct event values."""
     per_loan = panel.groupBy("LOAN_ID").agg(_distinct("event").alias("unique_events"))
     counts = per_loan.groupBy("unique_events").agg(F.count("*").alias("loans"))
-    total = counts.agg(F.sum("loans")).scalar()
-    return counts.withColumn("pct", F.col("loans") / total * 100).orderBy("unique_events")
+    return counts.withColumn("pct", F.col("loans") / small_total("loans") * 100).orderBy("unique_events")
 
 
 def event_complexity(panel: DataFrame) -> DataFrame:
@@ -95,10 +91,9 @@ def event_complexity(panel: DataFrame) -> DataFrame:
 
 def modal_length(panel: DataFrame, balanced_above: float = 0.8) -> DataFrame:
     """Most common panel length (the shorter on a tie) and the share of loans at it."""
-    counts = observation_counts(panel)
-    total = counts.agg(F.sum("loans")).scalar()
+    counts = observation_counts(panel).withColumn("total", small_total("loans"))
     mode = counts.orderBy(F.desc("loans"), "obs").limit(1)
-    share = F.col("loans") / total
+    share = F.col("loans") / F.col("total")
     return mode.select(
         F.col("obs").alias("modal_length"), F.col("loans").alias("modal_loans"),
         (share * 100).alias("modal_pct"),

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanpanel.functions import codes
-from loanpanel.functions.stats import attach_group_row, breaks_below, describe, quantiles
+from loanpanel.functions.stats import (attach_group_row, breaks_below, describe, quantiles,
+                                       small_total)
 from loanpanel.operators.panel import _distinct
 
 STRATA = ["orig_year", "credit_tier", "ltv_tier", "ever_defaults", "geo_tier"]
@@ -49,7 +50,7 @@ def proportional_quota(target: int) -> Callable[[Column, Column], Column]:
 def strata_targets(loans: DataFrame, target: int, strata: Sequence[str] = STRATA) -> DataFrame:
     """Size, share and sample size of every stratum."""
     sizes = loans.groupBy(*strata).agg(F.count("*").alias("size"))
-    total = sizes.agg(F.sum("size")).scalar()
+    total = small_total("size")
     return sizes.select(*strata, "size", (F.col("size") / total).alias("share"),
                         proportional_quota(target)(F.col("size"), total).alias("target"))
 

@@ -12,17 +12,18 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanpanel.functions.stats import running_sum
+from loanpanel.functions.stats import order_bucket, running_sum
 from loanpanel.operators.survival.table import Z95
 
-MAX_TIMES = 20_000  # distinct durations accumulated on the driver
+DRIVER_TIMES = 5_000  # (time, event) sums accumulated on the driver; more stay in Spark
 
 
 class CoxFitError(RuntimeError):
@@ -43,7 +44,6 @@ class Evaluation:
     rows: int
     events: int
 
-
 def _time_sums(df: DataFrame, beta: Mapping[str, float], event: str, duration: str) -> DataFrame:
     """Per (time, event): count, sum of weights, weighted sums of x and of all products."""
     w = F.exp(linear_predictor(beta))
@@ -63,13 +63,43 @@ def _time_sums(df: DataFrame, beta: Mapping[str, float], event: str, duration: s
 def evaluate(df: DataFrame, beta: Mapping[str, float], event: str = "survival_event",
              duration: str = "survival_time", ties: str = "efron") -> Evaluation:
     """Log-likelihood, gradient and Hessian at ``beta``: one aggregation over the rows."""
-    sums = _time_sums(df, beta, event, duration).limit(2 * MAX_TIMES + 1).toPandas()
-    if len(sums) > 2 * MAX_TIMES:
-        raise ValueError(f"more than {MAX_TIMES} distinct durations; measure time in whole periods")
-    return _accumulate(sums, list(beta.values()), ties)
+    sums = _time_sums(df, beta, event, duration)
+    p = len(beta)
+    near = sums.limit(DRIVER_TIMES + 1).toPandas()
+    if len(near) <= DRIVER_TIMES:
+        return Evaluation(*_accumulate(near, list(beta.values()), ties, 0.0, np.zeros(p + p * (p + 1) // 2)))
+    return _evaluate_ranges(sums, list(beta.values()), ties)
+
+
+def _evaluate_ranges(sums: DataFrame, beta: Sequence[float], ties: str) -> Evaluation:
+    """Accumulate many distinct times in the executors, one range of times per group.
+
+    Only the ranges' totals reach the driver, where they become each range's starting sums.
+    """
+    ranged = sums.withColumn("b", order_bucket(F.col("t"), 256))
+    total = ranged.groupBy("b").agg(
+        F.sum("w").alias("w"),
+        vector_to_array(Summarizer.metrics("sum").summary(array_to_vector("x2"))["sum"]).alias("x2"))
+    s0, s12, start = 0.0, 0.0, {}
+    for row in total.orderBy(F.desc("b")).toLocalIterator():
+        start[row["b"]] = (s0, np.zeros(len(row["x2"])) + s12)
+        s0, s12 = s0 + row["w"], s12 + np.asarray(row["x2"])
+
+    def part(key, pdf):
+        ll, grad, hess, rows, events = _accumulate(pdf, beta, ties, *start[key[0]])
+        return pd.DataFrame([{"ll": float(ll), "grad": grad.tolist(), "hess": hess.ravel().tolist(),
+                              "rows": rows, "events": events}])
+
+    parts = (ranged.groupBy("b").applyInPandas(
+        part, "ll double, grad array<double>, hess array<double>, rows long, events long").toPandas())
+    p = len(beta)
+    return Evaluation(float(parts["ll"].sum()), np.sum(np.stack(parts["grad"]), axis=0),
+                      np.sum(np.stack(parts["hess"]), axis=0).reshape(p, p),
+                      int(parts["rows"].sum()), int(parts["events"].sum()))
 
 
-def _accumulate(sums, beta: Sequence[float], ties: str) -> Evaluation:
+def _accumulate(sums: pd.DataFrame, beta: Sequence[float], ties: str, s0: float, s12: np.ndarray):
+    """Log-likelihood terms of the given times; ``s0, s12`` are the sums of all later times."""
     p = len(beta)
     # the expansion lists x_j, then x_0 x_j .. x_j x_j, for j = 0, 1, ...
     linear = np.array([j + j * (j + 1) // 2 for j in range(p)])
@@ -81,7 +111,6 @@ def _accumulate(sums, beta: Sequence[float], ties: str) -> Evaluation:
         m[lower] = flat[product]
         return m + np.tril(m, -1).T
 
-    s0, s12 = 0.0, np.zeros(p + p * (p + 1) // 2)
     ll, grad, hess, rows, events = 0.0, np.zeros(p), np.zeros((p, p)), 0, 0
     for _, at in sorted(sums.groupby("t"), key=lambda g: g[0], reverse=True):
         s0 += at["w"].sum()
@@ -107,7 +136,7 @@ def _accumulate(sums, beta: Sequence[float], ties: str) -> Evaluation:
         cross = np.outer(r1, d1)
         hess -= (r2 * a0 - d2 * a1) - (np.outer(r1, r1) * b0 - (cross + cross.T) * b1
                                        + np.outer(d1, d1) * b2)
-    return Evaluation(float(ll), grad, hess, rows, events)
+    return float(ll), grad, hess, rows, events
 
 
 def _efron_sums(s0: float, d0: float, d: int, chunk: int = 1_000_000):

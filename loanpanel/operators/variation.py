@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanpanel.functions.stats import correlation_pairs, describe, histogram
-from loanpanel.operators.overview import observation_counts
 
 KEY_VARIABLES = ["credit_score_change", "balance_ratio", "rate_change"]
 PANEL_VARIABLES = [*KEY_VARIABLES, "any_delinquent"]
@@ -17,9 +16,8 @@ ORIGINATION_VARIABLES = ["CSCORE_B", "DTI", "ORIG_RATE", "ORIG_UPB", "OLTV"]
 
 def panel_length_histogram(panel: DataFrame, bins: int = 30) -> DataFrame:
     """Histogram of observations per loan with the mean length on every row."""
-    counts = observation_counts(panel)
-    mean = counts.agg(F.sum(F.col("obs") * F.col("loans")) / F.sum("loans")).scalar()
     per_loan = panel.groupBy("LOAN_ID").agg(F.count("*").alias("obs"))
+    mean = per_loan.agg(F.avg("obs")).scalar()
     return histogram(per_loan, "obs", bins).withColumn("mean_obs", mean)
 
 

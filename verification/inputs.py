@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loanpanel.operators import macro as M
 from loanpanel.operators import panel as P
+from loanpanel.sources.raw import spread
 
 INGEST = ["seq1", "seq2", "seq3"]
 DOMAINS = {"alpha": ["S1", "S2"], "beta": ["S3", "S4", "S5"]}
@@ -22,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def loan_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders")
     cust = table(spark, sf_dir, "customer")
     joined = (line.join(orders, line.l_orderkey == orders.o_orderkey)
