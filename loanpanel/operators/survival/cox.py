@@ -46,10 +46,12 @@ class Evaluation:
 
 def _time_sums(df: DataFrame, beta: Mapping[str, float], event: str, duration: str) -> DataFrame:
     """Per (time, event): count, sum of weights, weighted sums of x and of all products."""
-    w = F.exp(linear_predictor(beta))
+    # inputs are renamed so that a feature may have any name
+    names = [f"__f{i}" for i in range(len(beta))]
     flat = df.select(F.col(duration).alias("t"), F.col(event).cast("int").alias("e"),
-                     w.alias("w"), *beta)
-    x = VectorAssembler(inputCols=list(beta), outputCol="x").transform(flat)
+                     F.exp(linear_predictor(beta)).alias("w"),
+                     *[F.col(c).alias(n) for c, n in zip(beta, names)])
+    x = VectorAssembler(inputCols=names, outputCol="x").transform(flat)
     x = PolynomialExpansion(degree=2, inputCol="x", outputCol="x2").transform(x)
     total = Summarizer.metrics("sum")
     return (x.groupBy("t", "e")
