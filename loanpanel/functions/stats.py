@@ -98,17 +98,15 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float],
     totals = (cells.groupBy(*keys, "bucket").agg(F.sum("n").alias("m"))
               .withColumn("before", F.sum("m").over(in_order) - F.col("m"))
               .withColumn("total", F.sum("m").over(Window.partitionBy(*keys))))
-    prob = F.array(*[F.lit(float(p)) for p in probs])
-    h = F.col("prob") * (F.col("total") - 1)
-    wanted = (totals.withColumn("prob", F.explode(prob))
-              .withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True))))
-              .withColumn("rank", F.when(F.col("upper"), F.ceil(h)).otherwise(F.floor(h)))
-              .where((F.col("rank") >= F.col("before"))
-                     & (F.col("rank") < F.col("before") + F.col("m")))
-              .withColumn("offset", F.col("rank") - F.col("before"))
-              .withColumn("frac", h - F.floor(h))
-              .groupBy(*keys, "bucket")
-              .agg(F.collect_list(F.struct("prob", "upper", "offset", "frac")).alias("wanted")))
+    ranks = []
+    for p in probs:
+        h = F.lit(float(p)) * (F.col("total") - 1)
+        for upper, rank in ((False, F.floor(h)), (True, F.ceil(h))):
+            ranks.append(F.struct(F.lit(float(p)).alias("prob"), F.lit(upper).alias("upper"),
+                                  (rank - F.col("before")).alias("offset"),
+                                  (h - F.floor(h)).alias("frac")))
+    here = F.filter(F.array(*ranks), lambda r: (r.offset >= 0) & (r.offset < F.col("m")))
+    wanted = totals.select(*keys, "bucket", here.alias("wanted")).where(F.size("wanted") > 0)
     # at most 2 * len(probs) buckets per (group, column): bounded, so broadcast is safe
     # (null-safe on `by`: a null group is a group)
     hit = cells.alias("c").join(

@@ -35,29 +35,28 @@ def macro_effect(df: DataFrame, components: Sequence[str], split: str = "2020-12
     Test rows are imputed and scaled with the training medians and moments, each model on
     its own copy.  ``components`` are the macro columns that were joined.
     """
-    train, test = FE.time_split(df, split)
-    train, test = FE.valid_survival(train), FE.valid_survival(test)
-    names = FE.feature_names(train)
-    macro = FE.macro_features(names, components)
-    medians = FE.fit_medians(train, names)
-    train = FE.fill_features(train, medians).persist(StorageLevel.MEMORY_AND_DISK)
-    test = FE.fill_features(test, medians).persist(StorageLevel.MEMORY_AND_DISK)
+    # one row per loan, read by every step below; lost partitions are recomputed
+    data = FE.valid_survival(df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models, data, held_out, rows, scores = {}, {}, {}, [], {}
+        train, test = FE.time_split(data, split)
+        names = FE.feature_names(train)
+        macro = FE.macro_features(names, components)
+        medians = FE.fit_medians(train, names)
+        train, test = FE.fill_features(train, medians), FE.fill_features(test, medians)
+        models, fitted, held_out, rows, scores = {}, {}, {}, [], {}
         choices = {"Non-Macro": ([c for c in names if c not in macro], max_features[0]),
                    "Full": (names, max_features[1])}
         for name, (cols, top) in choices.items():
             cols = FE.select_features(train, cols, top)
             scaler = FE.Scaler.fit(train, cols)
-            data[name], held_out[name] = scaler.transform(train), scaler.transform(test)
-            models[name] = fit_cox_with_fallback(data[name], cols, penalizer=penalizer)
+            fitted[name], held_out[name] = scaler.transform(train), scaler.transform(test)
+            models[name] = fit_cox_with_fallback(fitted[name], cols, penalizer=penalizer)
             risk = models[name].partial_hazard()
-            rows.append(model_row(name, models[name], c_index(data[name].withColumn("risk", risk), "risk")))
+            rows.append(model_row(name, models[name], c_index(fitted[name].withColumn("risk", risk), "risk")))
             scores[name] = c_index(held_out[name].withColumn("risk", risk), "risk")
         table = metrics_table(df.sparkSession, rows)
         chosen = [c for c in models["Full"].features if c in macro]
-        return MacroEffect(models["Non-Macro"], models["Full"], chosen, data, held_out, table,
+        return MacroEffect(models["Non-Macro"], models["Full"], chosen, fitted, held_out, table,
                            compare(table, "Non-Macro", "Full"), scores)
     finally:
-        train.unpersist()
-        test.unpersist()
+        data.unpersist()
