@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanpanel.llm import mixing, url_filter
+from loanpanel.llm import mixing, packing, token_shards, url_filter
 from loanpanel.llm.storage import read
 
 QUERIES: dict = {}
@@ -72,3 +72,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = (F.round(F.get("positions", F.lit(i)), 9) for i in (0, 1))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "copies",
                         first.alias("position"), second.alias("second_position"))
+
+
+@query("op3_token_shards")
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.token_shards(read(spark, sf_dir, "documents"))
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(read(spark, sf_dir, "documents"), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

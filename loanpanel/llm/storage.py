@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanpanel.session import shared_dir
+from loanpanel.session import scratch_path, shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -19,5 +19,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as compressed Parquet below the shared folder and read it back.
+
+    For results too large for a checkpoint's plain rows.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
