@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanpanel.llm import mixing, packing, token_shards, url_filter
+from loanpanel.llm import minhash_dedup, mixing, packing, token_shards, url_filter
 from loanpanel.llm.storage import read
 
 QUERIES: dict = {}
@@ -83,3 +83,24 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(read(spark, sf_dir, "documents"), with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+_SHINGLES = r"""
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [list_aggregate(words, 'string_agg', ' ')]
+      ELSE list_distinct([list_aggregate(words[i:i + 3], 'string_agg', ' ')
+           for i in range(1, len(words) - 2)]) END AS own FROM w)"""
+
+
+@query("op9_minhash_dedup", f"""
+WITH RECURSIVE {_SHINGLES},
+x AS (SELECT doc_id, len(own) AS n, unnest(own) AS shingle FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+          GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(doc_id, to_id) AS (SELECT doc_id, doc_id FROM s UNION
+          SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.to_id = l.a)
+SELECT s.doc_id, any_value(len(own))::bigint AS n_shingles, min(to_id) AS component_id,
+       s.doc_id = min(to_id) AS kept FROM s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id""")
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=4)
