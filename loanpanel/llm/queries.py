@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanpanel.llm import minhash_dedup, mixing, packing, token_shards, url_filter
+from loanpanel.llm import (
+    embedding_dedup,
+    minhash_dedup,
+    mixing,
+    packing,
+    token_shards,
+    url_filter,
+)
 from loanpanel.llm.storage import read
 
 QUERIES: dict = {}
@@ -104,3 +111,18 @@ SELECT s.doc_id, any_value(len(own))::bigint AS n_shingles, min(to_id) AS compon
        s.doc_id = min(to_id) AS kept FROM s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id""")
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=4)
+
+
+@query("op1_embedding_dedup", """
+WITH RECURSIVE u AS (SELECT vec_id, label, embedding::double[] AS v, label IS NOT NULL AND len(embedding) > 0
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.usable AND b.usable
+      AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(vec_id, to_id) AS (SELECT vec_id, vec_id FROM u UNION SELECT r.vec_id, l.b FROM reach r JOIN l ON r.to_id = l.a),
+c AS (SELECT vec_id, min(to_id) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(n.n, 0)::bigint AS n_links, component_id, c.vec_id = component_id AS kept
+FROM c LEFT JOIN n ON c.vec_id = n.vec_id""")
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
