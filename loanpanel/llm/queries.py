@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loanpanel.llm import (
     embedding_dedup,
+    language_id,
     minhash_dedup,
     mixing,
     packing,
@@ -126,3 +127,8 @@ SELECT c.vec_id, coalesce(n.n, 0)::bigint AS n_links, component_id, c.vec_id = c
 FROM c LEFT JOIN n ON c.vec_id = n.vec_id""")
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
