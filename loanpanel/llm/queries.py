@@ -11,6 +11,7 @@ from loanpanel.llm import (
     minhash_dedup,
     mixing,
     packing,
+    quality,
     token_shards,
     url_filter,
 )
@@ -132,3 +133,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_tokens", "chars_per_token", "byte_share", "token_entropy")

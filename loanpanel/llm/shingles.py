@@ -18,10 +18,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values() -> np.ndarray:
-    """A random number per byte, the same for A-Z and a-z."""
+def _byte_values(fold: bool) -> np.ndarray:
+    """A random number per byte; with ``fold`` the same for A-Z and a-z."""
     values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-    values[65:91] = values[97:123]
+    if fold:
+        values[65:91] = values[97:123]
     return values
 
 
@@ -35,8 +36,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of ``texts`` (A-Z as a-z) and the number of its text.
+def word_hashes(texts: Sequence[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of ``texts`` (with ``fold``, A-Z as a-z) and the number of its text.
 
     Words are runs of bytes other than 0x20 and 0x09 to 0x0D.
     """
@@ -47,7 +48,7 @@ def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     power, inverse = _powers(len(data))
-    sums = np.append(np.uint64(0), np.cumsum(_byte_values()[data] * power, dtype=np.uint64))
+    sums = np.append(np.uint64(0), np.cumsum(_byte_values(fold)[data] * power, dtype=np.uint64))
     hashes = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
     ends = np.cumsum([len(t) + 1 for t in texts])
     return hashes, np.searchsorted(ends, start, "right")
