@@ -12,6 +12,7 @@ from loanpanel.llm import (
     mixing,
     packing,
     quality,
+    secret_scan,
     token_shards,
     url_filter,
 )
@@ -140,3 +141,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_tokens", "chars_per_token", "byte_share", "token_entropy")
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    ratios = secret_scan.log_ratios(secret_scan.transition_counts(secret_scan.labelled_samples(docs)))
+    found = secret_scan.scan(docs, ratios)
+    count = [F.size(secret_scan.of_kind(F.col("base"), kind)).cast("long").alias(f"n_{kind}")
+             for kind, *_ in secret_scan.BASE]
+    return found.select("doc_id", *count, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
