@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loanpanel.llm import (
     embedding_dedup,
     language_id,
+    line_dedup,
     minhash_dedup,
     mixing,
     packing,
@@ -152,3 +153,30 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
              for kind, *_ in secret_scan.BASE]
     return found.select("doc_id", *count, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"),
                         secret_scan.joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
+_NEAR_LINES = r"""
+l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM
+      (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+k AS (SELECT doc_id, line_no, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM l),
+d AS (SELECT words, min((doc_id, line_no)) AS first FROM k WHERE len(words) > 0 GROUP BY words),
+v AS (SELECT words, first, i, CASE WHEN i = 0 THEN words ELSE list_concat(words[:i - 1], words[i + 1:]) END AS rest
+      FROM (SELECT words, first, unnest(range(0, len(words) + 1)) AS i FROM d WHERE len(words) >= 8)),
+near AS (SELECT DISTINCT a.words FROM v a JOIN v b ON a.rest = b.rest AND b.first < a.first
+         AND (a.i = b.i OR a.i = 0 OR b.i = 0)),
+g AS (SELECT k.doc_id, k.line_no, (k.doc_id, k.line_no) = d.first AS is_first, n.words IS NOT NULL AS near
+      FROM k JOIN d ON k.words = d.words LEFT JOIN near n ON k.words = n.words)"""
+
+
+@query("op4_line_dedup", f"""
+WITH {_NEAR_LINES},
+s AS (SELECT doc_id, count(*) FILTER (NOT is_first) AS removed_exact, count(*) FILTER (is_first) AS removed_near,
+      list(line_no) AS gone FROM g WHERE near OR NOT is_first GROUP BY doc_id)
+SELECT d.doc_id, coalesce(removed_exact, 0)::bigint AS removed_exact, coalesce(removed_near, 0)::bigint AS removed_near,
+ md5(CASE WHEN gone IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(range(len(string_split(d.text,
+     chr(10)))), lambda i: NOT list_contains(gone, i)), lambda i: string_split(d.text, chr(10))[i + 1]), chr(10)) END) AS text_md5
+FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id""")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents")).select(
+        "doc_id", "removed_exact", "removed_near", F.md5("text").alias("text_md5"))
