@@ -16,7 +16,7 @@ lines is no hot group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanpanel.llm.storage import cut, shared_table
@@ -63,13 +63,28 @@ def distinct_lines(keys: DataFrame) -> DataFrame:
                                       F.min("halves").alias("halves"))
 
 
-def _variants(words: Column) -> Column:
-    """array<struct<x, y, left_out>>: the whole line (0), then without its i-th word."""
-    n = F.size(words)
-    def without(i: Column) -> Column:
-        rest = F.when(i == 0, words).otherwise(F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, n)))
-        return F.struct(F.xxhash64(rest).alias("x"), F.xxhash64(F.lit(1), rest).alias("y"), i.alias("left_out"))
-    return F.transform(F.sequence(F.lit(0), n), without)
+def variants_of(lines: DataFrame) -> DataFrame:
+    """x, y, first, vx, vy, left_out: the whole line (0), then without its i-th word.
+
+    A key is the exclusive or of the hashes of the words with their places, so all keys of a line
+    come from running sums over its words, in time linear in its length.
+    """
+    words = lines.select("x", "y", "first", F.posexplode("words").alias("j", "word"))
+    line = Window.partitionBy("x", "y", "first")
+    upto = line.orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys, whole = [], []
+    for name, seed in (("vx", 0), ("vy", 1)):
+        here, moved = F.xxhash64(F.lit(seed), "word", "j"), F.xxhash64(F.lit(seed), "word", F.col("j") - 1)
+        words = words.withColumn(f"{name}_here", here).withColumn(f"{name}_moved", moved)
+        before = F.bit_xor(f"{name}_here").over(upto).bitwiseXOR(F.col(f"{name}_here"))
+        after = F.bit_xor(f"{name}_moved").over(line).bitwiseXOR(F.bit_xor(f"{name}_moved").over(upto))
+        keys.append(before.bitwiseXOR(after).alias(name))
+        whole.append(F.bit_xor(f"{name}_here").over(line).alias(name))
+    without = F.struct(*keys, (F.col("j") + 1).alias("left_out"))
+    entire = F.when(F.col("j") == 0, F.struct(*whole, F.lit(0).alias("left_out")))
+    rows = words.select("x", "y", "first", F.array(without, entire).alias("v"))
+    return rows.select("x", "y", "first", F.explode("v").alias("v")).filter("v is not null").select(
+        "x", "y", "first", "v.vx", "v.vy", "v.left_out")
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -100,8 +115,7 @@ def suspect_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(x, y, first, partner) of distinct lines with an earlier one within one edit: verified places."""
     suspects = cut(suspect_lines(docs, distinct))
-    variants = suspects.select("x", "y", "first", F.explode(_variants(F.col("words"))).alias("v")).select(
-        "x", "y", "first", F.col("v.x").alias("vx"), F.col("v.y").alias("vy"), F.col("v.left_out").alias("left_out"))
+    variants = variants_of(suspects)
     # a variant of a single line has no partner
     by_place = variants.groupBy("vx", "vy", "left_out").agg(F.min("first").alias("earliest"), F.count("*").alias("n"))
     by_key = by_place.groupBy("vx", "vy").agg(
