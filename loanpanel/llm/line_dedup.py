@@ -162,3 +162,17 @@ def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     none = F.lit(0).cast("long")
     return rows.withColumn("text", text).withColumn("removed_exact", F.coalesce("removed_exact", none)).withColumn(
         "removed_near", F.coalesce("removed_near", none)).drop("_id", "_gone")
+
+
+def documents_left(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the lines that stay, without the documents that lost their last word.
+
+    ``n_chars``, where there is such a column, is counted anew.
+    """
+    rows = dedup_lines(docs, **options)
+    emptied = (F.col("removed_exact") + F.col("removed_near") > 0) & ~F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
+    rows = rows.filter(~emptied | F.col("text").isNull())
+    if "n_chars" in docs.columns:
+        count = F.when(F.col("removed_exact") + F.col("removed_near") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        rows = rows.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)

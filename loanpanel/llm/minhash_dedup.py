@@ -358,5 +358,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents whose component has a smaller doc_id, and without repeated rows of an id."""
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return (docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept"))
+    others = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(others, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])

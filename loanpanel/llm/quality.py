@@ -192,5 +192,6 @@ def passing(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share a doc_id stay if one of them passes.
     """
-    good = judge(docs, **options).filter("kept").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_good"))).drop("_good")
+    verdict = judge(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"))
+    bad = verdict.filter("not _kept").select("_id")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")

@@ -9,9 +9,10 @@ go to the tokenizer whole.
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
@@ -20,6 +21,13 @@ from tokenizers import Tokenizer
 REMEMBERED = 300_000  # units kept per task, about 60 MB
 
 
+def little_endian(ids: list[int]) -> bytes:
+    numbers = array("I", ids)  # unsigned 32 bits
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class UnitIds(dict):
     """Unit behind a space -> its ids as little-endian unsigned 32-bit bytes."""
 
@@ -33,7 +41,7 @@ class UnitIds(dict):
             ids = self.ranks.encode_ordinary(text)
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return little_endian(ids)
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -43,7 +51,7 @@ class UnitIds(dict):
 
     def whole(self, text: str) -> bytes:
         if "  " in text or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return little_endian(self.tokenizer.encode(text, add_special_tokens=False).ids)
         first, *units = text.split(" ")
         return self.encode(first) + b"".join(map(self.__getitem__, units))
 
