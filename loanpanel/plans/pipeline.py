@@ -13,9 +13,10 @@ from loanpanel.operators import panel as P
 from loanpanel.sources import raw, sinks
 
 
-def clean_quarters(spark: SparkSession, folder: str, quarters: Sequence[str], out: str) -> None:
+def clean_quarters(spark: SparkSession, folder: str, quarters: Sequence[str], out: str,
+                   name: str = "{}.csv") -> None:
     """Raw quarter files -> cleaned Parquet by quarter; quarters without a file are skipped."""
-    df = raw.read_raw(spark, raw.quarter_glob(folder, quarters))
+    df = raw.read_raw(spark, raw.quarter_glob(folder, quarters, name))
     keep = df.select(*S.CLEAN_COLUMNS, "data_quarter", *raw.INGEST_ORDER)
     sinks.write_master(C.clean(keep, extra=raw.INGEST_ORDER), out)
 
@@ -26,7 +27,7 @@ def build_master(spark: SparkSession, cleaned: DataFrame, master: str, static: s
     tv = P.encode_time_varying(cleaned, extra=ingest)
     sinks.write_master(P.dedup_last(tv, ingest), master)
     sinks.append_static(spark, P.static_covariates(cleaned, ["data_quarter", *ingest]), static)
-    return P.join_static(sinks.read_master(spark, master), spark.read.parquet(static))
+    return P.join_static(sinks.read_master(spark, master), sinks.read_static(spark, static))
 
 
 def add_macro(panel: DataFrame, observations: DataFrame,

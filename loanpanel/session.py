@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "loanpanel", master: str | None = None, **conf) -> SparkSession:
@@ -48,6 +48,39 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIR[0]
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and go on from the copy.
+
+    What follows may use it several times; a lost executor costs a reread, not the lineage.
+    A folder is set here only if the session has none, as in tests.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, in whatever file system it names."""
+    place, files = _file_system(spark, path)
+    return files.exists(place)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether the table at ``path`` was written to its end: its commit marker is there."""
+    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    place, files = _file_system(spark, path)
+    files.delete(place, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one result below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

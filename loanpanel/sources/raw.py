@@ -10,26 +10,29 @@ from pyspark.sql import functions as F
 from loanpanel import schemas as S
 
 CSV_OPTIONS = {"sep": "|", "header": "false", "mode": "PERMISSIVE"}
-QUARTER_IN_NAME = "([0-9]{4}Q[1-4])"
+QUARTER_IN_PATH = "([0-9]{4}Q[1-4])[^/]*(/[^/]*)?$"
 INGEST_ORDER = ["ingest_split", "ingest_row"]
 
 
 def read_raw(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Headerless pipe-delimited files as 110 text columns.
 
-    Adds the quarter in the file name, and the order of rows inside a file: the start of
-    the split, then an id that grows within it.
+    Adds the quarter in the name of the file or of its folder, and the order of rows inside a
+    file: the start of the split, then an id that grows within it.
     """
     df = spark.read.schema(S.RAW_SCHEMA).options(**CSV_OPTIONS).csv(paths)
     return df.withColumns({
-        "data_quarter": F.regexp_extract("_metadata.file_name", QUARTER_IN_NAME, 1),
+        "data_quarter": F.regexp_extract("_metadata.file_path", QUARTER_IN_PATH, 1),
         "ingest_split": F.col("_metadata.file_block_start"),
         "ingest_row": F.monotonically_increasing_id()})
 
 
-def quarter_glob(folder: str, quarters: Sequence[str], suffix: str = "csv") -> str:
-    """A path pattern for the quarters' files; quarters without a file are skipped."""
-    return f"{folder.rstrip('/')}/{{{','.join(quarters)}}}.{suffix}"
+def quarter_glob(folder: str, quarters: Sequence[str], name: str = "{}.csv") -> str:
+    """A path pattern for the quarters' files or folders; quarters without one are skipped.
+
+    ``name`` has ``{}`` for the quarter.
+    """
+    return f"{folder.rstrip('/')}/{name.replace('{}', '{' + ','.join(quarters) + '}')}"
 
 
 def parse_lines(df: DataFrame, text: str = "value") -> DataFrame:
@@ -61,13 +64,3 @@ def explode_observations(docs: DataFrame) -> DataFrame:
     return (docs.select("series_id", F.explode("observations").alias("o"))
             .select("series_id", "o.date", "o.value"))
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a source that has fewer splits than the cluster has cores.
-
-    One unsplittable file (a single row group, a compressed text file) would otherwise be
-    processed by a single task.  A source with enough splits is returned unchanged, so large
-    inputs never pay for this shuffle.  ``keys`` should identify a row.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanpanel.operators.panel import extend_static
+from loanpanel.session import path_exists
 
 ZSTD = {"compression": "zstd", "parquet.compression.codec.zstd.level": "3"}
 
@@ -32,20 +32,28 @@ def write_master(df: DataFrame, path: str) -> None:
 
 
 def read_master(spark: SparkSession, path: str) -> DataFrame:
-    """The quarterly master; the quarter stays text whatever it looks like."""
-    df = spark.read.parquet(path)
+    """The quarterly master; the quarter stays text whatever it looks like.
+
+    Quarters written before a column was added have nulls in it.
+    """
+    df = spark.read.option("mergeSchema", "true").parquet(path)
     return df.withColumn("data_quarter", F.col("data_quarter").cast("string"))
 
 
 def append_static(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Append the loans the static master does not hold yet (first occurrence wins)."""
-    try:
-        new = extend_static(spark.read.parquet(path), new)
-    except AnalysisException:  # no master yet
-        pass
+    """Append the loans the static master does not hold yet (first occurrence wins).
+
+    The two may differ in columns other than the loan; :func:`read_static` has them all.
+    """
+    if path_exists(spark, path):
+        new = extend_static(read_static(spark, path), new)
     new.write.mode("append").options(**ZSTD).parquet(path)
 
 
+def read_static(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
 def compact(spark: SparkSession, parts: Sequence[str], path: str, files: int | None = None) -> None:
     """Many part files or folders -> one table, evenly sized or with a given file count."""
     df = spark.read.parquet(*parts)

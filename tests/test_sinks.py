@@ -1,5 +1,6 @@
 """Master tables, static master and streaming ingest."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from loanpanel.sources import sinks
@@ -53,13 +54,56 @@ def test_stream_adds_files_once_and_merges_quarters(spark, tmp_path):
         ("a", 1.0, "2017Q1", "06"), ("b", 2.0, "2017Q3", "00"), ("c", 4.0, "2017Q1", "01")]
 
 
-def test_retry_uses_the_staged_copy(spark, tmp_path):
-    """A crash after staging may have emptied a partition of the master; a retry restores it."""
+def test_retry_uses_the_staged_copy(spark, tmp_path, monkeypatch):
+    """A crash during the swap may have emptied a partition of the master; a retry restores it."""
     master, staging = str(tmp_path / "m"), str(tmp_path / "stage")
     batch = spark.createDataFrame([("1", 1.0, "2017Q1")], "LOAN_ID string, time double, data_quarter string")
     stored = spark.createDataFrame([("2", 1.0, "2017Q1")], batch.schema)
     sinks.write_master(stored, master)
-    G.merge_quarters(spark, batch, master, staging)
+    with monkeypatch.context() as m:
+        m.setattr(G, "write_master", lambda df, path: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            G.merge_quarters(spark, batch, master, staging)
     sinks.write_master(batch, master)  # the stored row is gone, as after a half-done swap
     G.merge_quarters(spark, batch, master, staging)
     assert sorted(r["LOAN_ID"] for r in sinks.read_master(spark, master).collect()) == ["1", "2"]
+
+
+def test_a_schema_that_differs_loses_no_rows(spark, tmp_path):
+    """A master with one column more and one with a column less than the batch."""
+    for name, stored in (("more", "LOAN_ID string, time double, data_quarter string, extra int, a int"),
+                         ("less", "LOAN_ID string, time double, data_quarter string")):
+        master, staging = str(tmp_path / name), str(tmp_path / f"{name}-stage")
+        rows = [(i, 1.0, "2017Q1", 5, 6)[:len(stored.split(","))] for i in ("1", "2", "3")]
+        sinks.write_master(spark.createDataFrame(rows, stored), master)
+        batch = spark.createDataFrame([("1", 1.0, "2017Q1", 9)], "LOAN_ID string, time double, data_quarter string, a int")
+        G.merge_quarters(spark, batch, master, staging)
+        got = {r["LOAN_ID"]: r["a"] for r in sinks.read_master(spark, master).collect()}
+        assert got == {"1": 9, "2": 6 if name == "more" else None, "3": 6 if name == "more" else None}
+        assert not (tmp_path / f"{name}-stage").exists()
+
+
+def test_a_half_written_staged_copy_is_not_used(spark, tmp_path):
+    master, staging = str(tmp_path / "m"), str(tmp_path / "stage")
+    batch = spark.createDataFrame([("1", 1.0, "2017Q1"), ("2", 1.0, "2017Q1")], "LOAN_ID string, time double, data_quarter string")
+    batch.limit(1).write.parquet(staging)
+    (tmp_path / "stage" / "_SUCCESS").unlink()
+    G.merge_quarters(spark, batch, master, staging)
+    assert sinks.read_master(spark, master).count() == 2
+
+
+def test_static_master_with_other_columns(spark, tmp_path):
+    path = str(tmp_path / "s")
+    sinks.append_static(spark, spark.createDataFrame([("1", "CA", 3)], "LOAN_ID string, STATE string, more int"), path)
+    sinks.append_static(spark, spark.createDataFrame([("1", 2.0), ("2", 7.0)], "LOAN_ID string, RATE double"), path)
+    got = {r["LOAN_ID"]: (r["STATE"], r["more"], r["RATE"]) for r in sinks.read_static(spark, path).collect()}
+    assert got == {"1": ("CA", 3, None), "2": (None, None, 7.0)}
+
+
+def test_two_batches_share_a_quarter(spark, tmp_path):
+    landing = tmp_path / "landing"
+    obs(spark, [("a", 1.0, "00", "2017Q1", 1)]).coalesce(1).write.mode("append").parquet(str(landing))
+    obs(spark, [("b", 1.0, "01", "2017Q1", 1)]).coalesce(1).write.mode("append").parquet(str(landing))
+    source = spark.readStream.schema(obs(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(str(landing))
+    G.stream_quarters(source, str(tmp_path / "master"), str(tmp_path / "state"), ["seq"]).awaitTermination()
+    assert [x[0] for x in state(spark, str(tmp_path / "master"))] == ["a", "b"]
