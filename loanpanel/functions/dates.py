@@ -9,9 +9,14 @@ MONTH_DAYS = 30.44  # average month length used to turn loan age into a calendar
 
 
 def mmyyyy_to_date(c: Column) -> Column:
-    """'MMYYYY' (text or integer, leading zero optional) -> first of the month, else null."""
-    digits = F.lpad(c.try_cast("int").cast("string"), 6, "0")
-    return F.when(c.try_cast("int") >= 0, F.try_to_date(digits, "MMyyyy"))
+    """'MMYYYY' (text or integer, leading zero optional) -> first of the month, else null.
+
+    Month and year are the number's parts, so longer numbers have no month.
+    """
+    number = c.try_cast("long")
+    month, year = F.floor(number / 10_000), F.pmod(number, F.lit(10_000))
+    text = F.format_string("%04d-%02d-01", year, month)
+    return F.when(month.between(1, 12) & (year >= 1), text.try_cast("date"))
 
 
 def act_period(origination: Column, time: Column) -> Column:

@@ -32,39 +32,41 @@ def small_total(c: str | Column) -> Column:
 def attach_group_row(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
     """``df`` with the columns of its group's row in ``small``.
 
-    ``small`` has one row per group of a low-cardinality key, so it is broadcast; with no
-    key it has a single row, read as a scalar subquery.
+    ``small`` has one row per group; with no key it has a single row, read as a scalar
+    subquery.  Null groups match each other.
     """
     added = [c for c in small.columns if c not in by]
     if not by:
         row = small.select(F.struct(*added)).scalar()
         return df.withColumns({c: row.getField(c) for c in added})
     on = [F.col(f"d.{k}").eqNullSafe(F.col(f"g.{k}")) for k in by]
-    out = df.alias("d").join(F.broadcast(small.alias("g")), on=on, how="left")
+    out = df.alias("d").join(small.alias("g"), on=on, how="left")
     return out.select("d.*", *[f"g.{c}" for c in added])
 
 
-def value_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``(by..., column, value, n)``: non-null values of several columns, pre-aggregated.
+def present(c: str) -> Column:
+    """The column as a double; NaN counts as missing."""
+    value = F.col(c).cast("double")
+    return F.when(~F.isnan(value), value)
 
-    The count per distinct value collapses hot values before anything else shuffles.
-    """
-    wide = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    return (wide.unpivot(list(by), list(cols), "column", "value")
-            .where(F.col("value").isNotNull())
-            .groupBy(*by, "column", "value").agg(F.count("*").alias("n")))
+
+def values_of(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., column, value)``: the values of several columns that are not missing."""
+    wide = df.select(*by, *[present(c).alias(c) for c in cols])
+    return wide.unpivot(list(by), list(cols), "column", "value").where(F.col("value").isNotNull())
 
 
 def order_bucket(v: Column, per_octave: int) -> Column:
     """A monotone, data-independent bucket of a number: ``per_octave`` per power of two."""
     # 1100 lifts log2 of the smallest positive double (-1074) above zero
-    size = F.floor((F.log2(F.abs(v)) + 1100) * per_octave)
+    finite = F.least(F.abs(v), F.lit(1.7976931348623157e308))
+    size = F.floor((F.log2(finite) + 1100) * per_octave)
     return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
 
 
 def running_sum(df: DataFrame, order: str, cols: Sequence[str],
-                descending: bool = False) -> DataFrame:
-    """``cols`` replaced by their running sums in ``order`` (one row per ``order`` value).
+                descending: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """``cols`` replaced by their running sums in ``order`` (one row per ``by`` and ``order``).
 
     Totals per value bucket are accumulated first and added to the sums inside a bucket, so
     no task holds the whole table however many distinct values it has.
@@ -73,53 +75,66 @@ def running_sum(df: DataFrame, order: str, cols: Sequence[str],
         return F.col(c).desc() if descending else F.col(c).asc()
 
     # at most 256 buckets per power of two: the offsets stay a small table
+    keys = [*by, "__b"]
     rows = df.withColumn("__b", order_bucket(F.col(order), 256))
-    totals = rows.groupBy("__b").agg(*[F.sum(c).alias(f"__s_{c}") for c in cols])
-    w = Window.orderBy(asc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__b", *[F.coalesce(F.sum(f"__s_{c}").over(w), F.lit(0)).alias(f"__o_{c}")
+    totals = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"__s_{c}") for c in cols])
+    w = Window.partitionBy(*by).orderBy(asc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, *[F.coalesce(F.sum(f"__s_{c}").over(w), F.lit(0)).alias(f"__o_{c}")
                                      for c in cols])
-    inside = Window.partitionBy("__b").orderBy(asc(order))
-    out = rows.join(F.broadcast(offsets), "__b")
+    inside = Window.partitionBy(*keys).orderBy(asc(order))
+    out = rows.join(offsets, keys)
     sums = {c: F.sum(c).over(inside) + F.col(f"__o_{c}") for c in cols}
     return out.select(*[sums[c].alias(c) if c in sums else F.col(c) for c in df.columns])
 
 
+def _ranks_in(totals: DataFrame, keys: Sequence[str], cell: str, wanted: DataFrame) -> DataFrame:
+    """Where wanted ranks fall among the cells of each key, in the order of ``cell``.
+
+    ``totals`` has (keys, cell, m); ``wanted`` has (keys, prob, upper, offset, frac).  The
+    offset is counted from the key's first row, in the result from the cell's.
+    """
+    upto = F.sum("m").over(Window.partitionBy(*keys).orderBy(cell))
+    cells = totals.withColumn("before", upto - F.col("m"))
+    on = [F.col(f"c.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys]
+    inside = (F.col("w.offset") >= F.col("c.before")) & (F.col("w.offset") < F.col("c.before") + F.col("c.m"))
+    return (cells.alias("c").join(wanted.alias("w"), on=on).where(inside)
+            .select(*[F.col(f"c.{k}").alias(k) for k in [*keys, cell]], "w.prob", "w.upper",
+                    (F.col("w.offset") - F.col("c.before")).alias("offset"), "w.frac"))
+
+
+def _limited_to(rows: DataFrame, keys: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """``rows`` of the keys that hold a wanted rank (null-safe: a null group is a group)."""
+    places = wanted.select(*keys).distinct()
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    return rows.alias("r").join(places.alias("p"), on=on, how="left_semi")
+
+
 def quantiles_of_counts(counts: DataFrame, probs: Sequence[float],
                         by: Sequence[str] = ()) -> DataFrame:
-    """Exact linear-interpolation quantiles of a :func:`value_counts` table.
+    """Exact linear-interpolation quantiles of ``(by..., column, value, n)`` rows.
 
-    Returns ``(by..., column, prob, quantile)``.  No task ever holds a whole column:
-    counts are summed per value bucket, the buckets holding the wanted ranks are found
-    from those small totals, and only their values are ordered.
+    Returns ``(by..., column, prob, quantile)``.  Values need not be distinct.  Rows are first
+    counted per bucket of 1/1024 of a power of two, a small table after the map-side combine;
+    a second pass keeps the buckets that hold a wanted rank, and counts them in 4096 parts each;
+    only the values of the parts that hold one are grouped and ordered.
     """
     keys = [*by, "column"]
-    cells = counts.withColumn("bucket", order_bucket(F.col("value"), 1024))
-    in_order = Window.partitionBy(*keys).orderBy("bucket")
-    totals = (cells.groupBy(*keys, "bucket").agg(F.sum("n").alias("m"))
-              .withColumn("before", F.sum("m").over(in_order) - F.col("m"))
-              .withColumn("total", F.sum("m").over(Window.partitionBy(*keys))))
-    prob = F.array(*[F.lit(float(p)) for p in probs])
+    cells = (counts.withColumn("bucket", order_bucket(F.col("value"), 1024))
+             .withColumn("part", order_bucket(F.col("value"), 1024 * 4096)))
+    totals = cells.groupBy(*keys, "bucket").agg(F.sum("n").alias("m"))
     h = F.col("prob") * (F.col("total") - 1)
-    wanted = (totals.withColumn("prob", F.explode(prob))
-              .withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True))))
-              .withColumn("rank", F.when(F.col("upper"), F.ceil(h)).otherwise(F.floor(h)))
-              .where((F.col("rank") >= F.col("before"))
-                     & (F.col("rank") < F.col("before") + F.col("m")))
-              .withColumn("offset", F.col("rank") - F.col("before"))
-              .withColumn("frac", h - F.floor(h))
-              .groupBy(*keys, "bucket")
-              .agg(F.collect_list(F.struct("prob", "upper", "offset", "frac")).alias("wanted")))
-    # at most 2 * len(probs) buckets per (group, column): bounded, so broadcast is safe
-    # (null-safe on `by`: a null group is a group)
-    hit = cells.alias("c").join(
-        F.broadcast(wanted.alias("w")),
-        on=[F.col(f"c.{k}").eqNullSafe(F.col(f"w.{k}")) for k in [*keys, "bucket"]],
-    ).select(*[F.col(f"c.{k}").alias(k) for k in [*keys, "bucket", "value", "n"]], "wanted")
-    upto = F.sum("n").over(Window.partitionBy(*keys, "bucket").orderBy("value"))
-    picked = (hit.withColumn("upto", upto)
-              .select(*keys, "value", "n", "upto", F.inline("wanted"))
-              .where((F.col("offset") >= F.col("upto") - F.col("n"))
-                     & (F.col("offset") < F.col("upto"))))
+    ranks = (totals.groupBy(*keys).agg(F.sum("m").alias("total"))
+             .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+             .withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True))))
+             .select(*keys, "prob", "upper", F.when(F.col("upper"), F.ceil(h)).otherwise(F.floor(h)).alias("offset"),
+                     (h - F.floor(h)).alias("frac")))
+    wanted = _ranks_in(totals, keys, "bucket", ranks)
+    near = _limited_to(cells, [*keys, "bucket"], wanted)
+    totals = near.groupBy(*keys, "bucket", "part").agg(F.sum("n").alias("m"))
+    wanted = _ranks_in(totals, [*keys, "bucket"], "part", wanted)
+    near = _limited_to(near, [*keys, "bucket", "part"], wanted)
+    totals = near.groupBy(*keys, "bucket", "part", "value").agg(F.sum("n").alias("m"))
+    picked = _ranks_in(totals, [*keys, "bucket", "part"], "value", wanted)
     lo = F.max(F.when(~F.col("upper"), F.col("value")))
     hi = F.max(F.when(F.col("upper"), F.col("value")))
     return (picked.groupBy(*keys, "prob")
@@ -128,11 +143,8 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float],
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
               by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles of several columns in one scan, see :func:`quantiles_of_counts`.
-
-    ``by`` must be a low-cardinality key such as the data quarter.
-    """
-    return quantiles_of_counts(value_counts(df, cols, by), probs, by)
+    """Exact quantiles of several columns, see :func:`quantiles_of_counts`; missing values don't count."""
+    return quantiles_of_counts(values_of(df, cols, by).withColumn("n", F.lit(1)), probs, by)
 
 
 def breaks_below(value: Column, cut: Column, n: int) -> Column:
@@ -141,22 +153,21 @@ def breaks_below(value: Column, cut: Column, n: int) -> Column:
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max, one row per column, from one scan."""
-    counts = value_counts(df, cols)
-    n, v = F.col("n"), F.col("value")
-    moments = (counts.groupBy("column")
-               .agg(F.sum("n").alias("count"), F.sum(n * v).alias("s1"),
-                    F.sum(n * v * v).alias("s2"),
-                    F.min("value").alias("min"), F.max("value").alias("max")))
-    mean = F.col("s1") / F.col("count")
-    var = F.try_divide(F.greatest(F.col("s2") - F.col("count") * mean * mean, F.lit(0.0)),
-                       F.col("count") - 1)
-    quart = (quantiles_of_counts(counts, [0.25, 0.5, 0.75])
+    """count, mean, std, min, quartiles and max, one row per column.
+
+    NaN counts as missing; a column without values has count 0 and nulls.
+    """
+    parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = df.agg(*[F.struct(*[f(present(c)).alias(name) for name, f in parts.items()]).alias(f"c{i}")
+                   for i, c in enumerate(cols)])
+    moments = row.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column"), *[F.col(f"c{i}.{name}").alias(name) for name in parts])
+        for i, c in enumerate(cols)])))
+    quart = (quantiles(df, cols, [0.25, 0.5, 0.75])
              .groupBy("column").pivot("prob", [0.25, 0.5, 0.75]).agg(F.max("quantile"))
              .toDF("column", "p25", "p50", "p75"))
-    return (moments.join(quart, "column")
-            .select("column", "count", mean.alias("mean"), F.sqrt(var).alias("std"),
-                    "min", "p25", "p50", "p75", "max"))
+    return (moments.join(quart, "column", "left")
+            .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:

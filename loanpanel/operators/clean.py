@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loanpanel import schemas as S
 from loanpanel.functions.dates import mmyyyy_to_date
-from loanpanel.functions.stats import attach_group_row, quantiles
+from loanpanel.functions.stats import attach_group_row, present, quantiles
 
 
 def type_columns(df: DataFrame) -> DataFrame:
@@ -32,9 +32,9 @@ def fill_median(df: DataFrame, cols: Sequence[str] | None = None,
     med = quantiles(df, cols, [0.5], by)
     wide = (med.groupBy(*by).pivot("column", cols).agg(F.max("quantile"))
             .toDF(*by, *[f"__med_{c}" for c in cols]))
-    # one row per quarter is broadcast, so the panel itself is not shuffled here
+    # one row per group: small enough a table is broadcast, so the panel itself is not shuffled
     out = attach_group_row(df, wide, by)
-    fixed = {c: F.coalesce(F.col(c), F.col(f"__med_{c}"), F.lit(0.0)) for c in cols}
+    fixed = {c: F.coalesce(present(c), F.col(f"__med_{c}"), F.lit(0.0)) for c in cols}
     return out.withColumns(fixed).select(*df.columns)
 
 

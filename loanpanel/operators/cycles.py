@@ -16,10 +16,9 @@ def factor_columns(panel: DataFrame, first_only: bool = False) -> list[str]:
     return [c for c in panel.columns if "_PC1" in c or (not first_only and "_PC2" in c)]
 
 
-def quarterly_factors(panel: DataFrame, factors: Sequence[str] | None = None,
-                      top: int = 4) -> DataFrame:
-    """Mean of the first ``top`` factors by quarter, with the quarter's start date."""
-    factors = list(factors or factor_columns(panel))[:top]
+def quarterly_factors(panel: DataFrame, factors: Sequence[str] | None = None) -> DataFrame:
+    """Mean of the factors (all of the panel's by default) by quarter, with the quarter's start date."""
+    factors = list(factors or factor_columns(panel))
     out = means_by(panel, ["data_quarter"], {f"avg_{c}": c for c in factors})
     return out.withColumn("quarter_start", quarter_start(F.col("data_quarter")))
 

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from loanpanel import schemas as S
 from loanpanel.functions.dates import act_period
-
-MONTHS_BROADCAST_LIMIT = 100_000  # rows of a monthly table; 8,000 years of months
+from loanpanel.session import cut
 
 
 def valid_observations(obs: DataFrame) -> DataFrame:
@@ -78,9 +77,9 @@ def principal_components(wide: DataFrame, domains: Mapping[str, Sequence[str]] =
     component makes its largest loading positive, the first of equal ones deciding.
     """
     names = [s for ss in domains.values() for s in ss]
-    # one row per month: cached because the fit, the size check and the join all read it
-    z = (scale_series(fill_gaps(wide, names)).groupBy("month", "act_period")
-         .pivot("series_id", names).agg(F.max("z")).persist())
+    # one row per month, written once because the fit and the join both read it
+    z = cut(scale_series(fill_gaps(wide, names)).groupBy("month", "act_period")
+            .pivot("series_id", names).agg(F.max("z")))
     pairs = {d: list(combinations_with_replacement(ss, 2)) for d, ss in domains.items()}
     stats = z.agg(
         *[F.count(s).alias(f"n_{s}") for s in names], F.count("*").alias("months"),
@@ -115,8 +114,9 @@ def add_act_period(panel: DataFrame, origination: str = "ORIG_DATE", time: str =
 
 
 def join_macro(panel: DataFrame, components: DataFrame) -> DataFrame:
-    """Left join on the month.  The monthly table is broadcast once its size is checked."""
-    side = components.drop("month")
-    if side.limit(MONTHS_BROADCAST_LIMIT + 1).count() <= MONTHS_BROADCAST_LIMIT:
-        side = F.broadcast(side)
-    return panel.join(side, "act_period", "left")
+    """Left join on the month.
+
+    The monthly table has one row per month of a four-digit year, at most 119,988, so it is
+    broadcast.
+    """
+    return panel.join(F.broadcast(components.drop("month")), "act_period", "left")

@@ -8,21 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanpanel.functions.stats import small_total
+from loanpanel.operators.cycles import factor_columns
 from loanpanel.operators.panel import _distinct
 
 FIRST_ATTRIBUTES = ["ORIG_DATE", "CSCORE_B", "DTI", "ORIG_RATE", "ORIG_UPB", "OLTV",
                     "PURPOSE", "STATE", "PROP"]
 TIME_VARYING = ["balance_ratio", "credit_score_change", "rate_change"]
-SUMMARY_FACTORS = ["interest_rates_PC1", "credit_markets_PC1", "labor_market_PC1",
-                   "housing_market_PC1"]
-
-
-def loan_summary(panel: DataFrame, factors: Sequence[str] = SUMMARY_FACTORS) -> DataFrame:
+def loan_summary(panel: DataFrame, factors: Sequence[str] | None = None) -> DataFrame:
     """One row per loan: origination attributes, worst outcome, panel span, variation.
 
+    ``factors`` are the macro factors to average, by default every one in the panel.
     Columns the panel lacks are left out.  One aggregation keyed by loan.
     """
     have = set(panel.columns)
+    factors = factor_columns(panel) if factors is None else factors
     first = [c for c in FIRST_ATTRIBUTES if c in have]
     varying = [c for c in TIME_VARYING if c in have]
     factors = [c for c in factors if c in have]
@@ -70,11 +69,11 @@ def observation_counts(panel: DataFrame) -> DataFrame:
     return per_loan.groupBy("obs").agg(F.count("*").alias("loans"))
 
 
-def panel_balance(panel: DataFrame, top: int = 10) -> DataFrame:
-    """The shortest ``top`` panel lengths with their share of loans."""
+def panel_balance(panel: DataFrame) -> DataFrame:
+    """Every panel length with its share of loans, shortest first."""
     counts = observation_counts(panel)  # one row per panel length
     pct = F.col("loans") / small_total("loans") * 100
-    return counts.withColumn("pct", pct).orderBy("obs").limit(top)
+    return counts.withColumn("pct", pct).orderBy("obs")
 
 
 def event_transitions(panel: DataFrame) -> DataFrame:

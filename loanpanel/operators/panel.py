@@ -53,9 +53,13 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
 
 
 def dedup_last(df: DataFrame, ingest: Sequence[str], across_quarters: bool = False) -> DataFrame:
-    """Keep the last-ingested row per loan and age, within a quarter by default."""
+    """Keep the last-ingested row per loan and age, within a quarter by default.
+
+    ``ingest`` orders the rows of a quarter; across quarters the later quarter wins first.
+    """
     keys = ["LOAN_ID", "time"] + ([] if across_quarters else ["data_quarter"])
-    return keep_one(df, keys, [F.col(c).desc_nulls_last() for c in ingest]).drop(*ingest)
+    order = [*(["data_quarter"] if across_quarters else []), *ingest]
+    return keep_one(df, keys, [F.col(c).desc_nulls_last() for c in order]).drop(*ingest)
 
 
 def static_covariates(df: DataFrame, order: Sequence[str]) -> DataFrame:

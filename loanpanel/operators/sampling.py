@@ -11,6 +11,7 @@ from loanpanel.functions import codes
 from loanpanel.functions.stats import (attach_group_row, breaks_below, describe, quantiles,
                                        small_total)
 from loanpanel.operators.panel import _distinct
+from loanpanel.session import cut
 
 STRATA = ["orig_year", "credit_tier", "ltv_tier", "ever_defaults", "geo_tier"]
 
@@ -39,45 +40,66 @@ def add_strata(loans: DataFrame) -> DataFrame:
     })
 
 
-def proportional_quota(target: int) -> Callable[[Column, Column], Column]:
+Quota = Callable[[DataFrame], DataFrame]  # adds ``quota`` to rows (stratum, size)
+
+
+def _share(target: int) -> Column:
     """At least one per stratum, at most all of it, else its share of ``target`` rounded down."""
-    def quota(size: Column, total: Column) -> Column:
-        share = F.floor(target * size / total)
-        return F.least(F.greatest(share, F.lit(1)), size)
+    return F.least(F.greatest(F.floor(target * F.col("size") / small_total("size")), F.lit(1)), F.col("size"))
+
+
+def proportional_quota(target: int) -> Quota:
+    return lambda sizes: sizes.withColumn("quota", _share(target))
+
+
+def exact_quota(target: int) -> Quota:
+    """The proportional quota, with what rounding leaves given to the largest fractions.
+
+    Everything when there are no more than ``target`` rows.  Ties go by stratum name.
+    """
+    def quota(sizes: DataFrame) -> DataFrame:
+        share = target * F.col("size") / small_total("size")
+        rows = sizes.withColumns({"total": small_total("size"), "low": _share(target),
+                                  "fraction": share - F.floor(share)})
+        # a stratum raised to one has had its share
+        place = F.row_number().over(Window.orderBy(F.col("share_below_one"), F.desc("fraction"), "stratum"))
+        rows = (rows.withColumn("share_below_one", share < 1).withColumn("place", place)
+                .withColumn("left", F.lit(target) - small_total("low")))
+        more = F.least(F.col("low") + (F.col("place") <= F.col("left")).cast("int"), F.col("size"))
+        return rows.select("stratum", "size", F.when(F.col("total") <= target, F.col("size")).otherwise(more).alias("quota"))
     return quota
 
 
 def strata_targets(loans: DataFrame, target: int, strata: Sequence[str] = STRATA) -> DataFrame:
     """Size, share and sample size of every stratum."""
     sizes = loans.groupBy(*strata).agg(F.count("*").alias("size"))
-    total = small_total("size")
-    return sizes.select(*strata, "size", (F.col("size") / total).alias("share"),
-                        proportional_quota(target)(F.col("size"), total).alias("target"))
+    return sizes.select(*strata, "size", (F.col("size") / small_total("size")).alias("share"),
+                        _share(target).alias("target"))
 
 
-def stratified_ids(loans: DataFrame, strata: Sequence[str],
-                   quota: Callable[[Column, Column], Column], seed: int = 42,
+def stratified_ids(loans: DataFrame, strata: Sequence[str], quota: Quota, seed: int = 42,
                    key: str = "LOAN_ID") -> DataFrame:
     """Exactly ``quota`` keys per stratum, those with the smallest seeded hash.
 
-    A stratum may hold most of the loans, so it is never ordered as one group: loans are
-    counted per (stratum, hash prefix), whole prefixes below the quota are taken, and only
-    the prefix that crosses it is ranked.
+    The keys are written once.  A stratum may hold most of them, so it is never ordered as one
+    group: keys are counted per (stratum, hash prefix), whole prefixes below the quota are
+    taken, and only the prefix that crosses it is ranked.
     """
     name = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in strata])
-    draws = loans.select(key, name.alias("stratum"),
-                         F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).alias("h"))
-    draws = draws.withColumn("prefix", F.substring("h", 1, 3))
+    draws = cut(loans.select(key, name.alias("stratum"),
+                             F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).alias("h"))
+                .withColumn("prefix", F.substring("h", 1, 3)))
     cells = draws.groupBy("stratum", "prefix").agg(F.count("*").alias("n"))
+    sizes = quota(cells.groupBy("stratum").agg(F.sum("n").alias("size"))).select("stratum", "quota")
     by_prefix = Window.partitionBy("stratum").orderBy("prefix")  # at most 4096 rows each
-    total = cells.agg(F.sum("n")).scalar()
-    plan = (cells.withColumn("before", F.sum("n").over(by_prefix) - F.col("n"))
-            .withColumn("size", F.sum("n").over(Window.partitionBy("stratum")))
-            .withColumn("take", quota(F.col("size"), total) - F.col("before"))
-            .where("take > 0").select("stratum", "prefix", "take"))
+    plan = (cells.withColumn("upto", F.sum("n").over(by_prefix)).join(sizes, "stratum")
+            .withColumn("take", F.col("quota") - F.col("upto") + F.col("n")).where("take > 0")
+            .select("stratum", "prefix", "n", "take"))
+    whole = draws.join(plan.where("take >= n"), ["stratum", "prefix"]).select(key)
     rank = F.row_number().over(Window.partitionBy("stratum", "prefix").orderBy("h", key))
-    return (draws.join(plan, ["stratum", "prefix"])
+    part = (draws.join(plan.where("take < n"), ["stratum", "prefix"])
             .withColumn("rank", rank).where(F.col("rank") <= F.col("take")).select(key))
+    return whole.unionByName(part)
 
 
 def stratified_sample(panel: DataFrame, target: int = 150_000, seed: int = 42,
@@ -107,36 +129,31 @@ def balanced_sample(panel: DataFrame, target: int = 75_000, seed: int = 42) -> D
 
     Loans whose status is never known belong to neither stratum, but count in the share.
     """
-    loans = (panel.groupBy("LOAN_ID").agg(F.max("any_delinquent").alias("ever_delinquent")))
-    known = loans.where(F.col("ever_delinquent").isNotNull())
-    counts = loans.agg(F.count("*").alias("all"),
-                       F.count_if(F.col("ever_delinquent") == 1).alias("ever"))
-    row = counts.select(F.least(F.floor(target * F.col("ever") / F.col("all")),
-                                F.col("ever"))).scalar()
-    ever = stratified_ids(known.where("ever_delinquent = 1"), ["ever_delinquent"],
-                          lambda size, total: F.least(row, size), seed)
-    never = stratified_ids(known.where("ever_delinquent = 0"), ["ever_delinquent"],
-                           lambda size, total: F.least(target - row, size), seed)
-    return ever.union(never)
+    loans = panel.groupBy("LOAN_ID").agg(F.max("any_delinquent").alias("ever_delinquent"))
+
+    def quota(sizes: DataFrame) -> DataFrame:
+        is_ever = F.col("stratum") == "1"
+        ever_size = small_total(F.when(is_ever, F.col("size")).otherwise(0))
+        ever = F.least(F.floor(target * ever_size / small_total("size")), ever_size)
+        return sizes.withColumn("quota", F.when(is_ever, ever).when(
+            F.col("stratum") == "0", F.least(F.lit(target) - ever, F.col("size"))).otherwise(0))
+
+    return stratified_ids(loans, ["ever_delinquent"], quota, seed)
 
 
 def smart_sample(df: DataFrame, target: int = 500_000, event: str = "survival_event",
                  duration: str = "survival_time", key: str = "LOAN_ID",
                  seed: int = 42) -> DataFrame:
-    """Rows stratified by event and duration quartile; all rows when there are few enough.
+    """``target`` rows stratified by event and duration quartile; all rows when there are few enough.
 
-    Equal quartile breaks are merged.  ``key`` identifies a row.
+    Equal quartile breaks are merged; a row without a duration is in a group of its own.
+    ``key`` identifies a row.
     """
     breaks = quantiles(df, [duration], [0.25, 0.5, 0.75])
-    cut = breaks.agg(F.sort_array(F.collect_list("quantile")).alias("__cut"))
-    rows = attach_group_row(df.select(key, event, duration), cut, [])
-    rows = rows.withColumn("__q", breaks_below(F.col(duration), F.col("__cut"), 3))
-
-    def quota(size: Column, total: Column) -> Column:
-        return F.when(total <= target, size).otherwise(
-            proportional_quota(target)(size, total))
-
-    ids = stratified_ids(rows, [event, "__q"], quota, seed, key)
+    cuts = breaks.agg(F.sort_array(F.collect_list("quantile")).alias("__cut"))
+    rows = attach_group_row(df.select(key, event, duration), cuts, [])
+    quartile = F.when(F.col(duration).isNotNull(), breaks_below(F.col(duration), F.col("__cut"), 3))
+    ids = stratified_ids(rows.withColumn("__q", quartile), [event, "__q"], exact_quota(target), seed, key)
     return df.join(ids, key, "left_semi")
 
 

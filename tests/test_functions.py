@@ -67,3 +67,10 @@ def test_ratio_and_tiers(spark):
     got = rows(t.select(codes.credit_tier(F.col("s")), codes.ltv_tier(F.col("l")), codes.geo_tier(F.col("st"))))
     assert got == [("VeryLow", "LowLTV", "Major"), ("Low", "MidLTV", "Large"), ("High", "MidLTV", "Other"),
                    ("VeryHigh", "HighLTV", "Other"), ("VeryHigh", "HighLTV", "Major")]
+
+
+def test_mmyyyy_of_long_numbers(spark):
+    texts = ["1220171", "12017123", "122017", "012017", "12017", "0", "-12017", "132017", "", "abc", "10000", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [None if r[0] is None else r[0].isoformat() for r in df.select(dates.mmyyyy_to_date(F.col("t"))).collect()]
+    assert got == [None, None, "2017-12-01", "2017-01-01", "2017-01-01"] + [None] * 7

@@ -166,3 +166,19 @@ def test_analysis_runs_every_table(spark, panel):
     for name in ("key_insights", "credit", "delinquency_by_decile", "modal_length", "missing_profile"):
         assert tables[name].columns and tables[name].collect() is not None
     assert O.loan_summary(panel).count() == 200 and V.top_states(O.loan_summary(panel)).count() == 3
+
+
+def test_across_quarters_the_later_quarter_wins(spark):
+    """Positions in a file say nothing about the order of files."""
+    df = spark.createDataFrame([("a", 1.0, "2017Q1", 900, "old"), ("a", 1.0, "2017Q3", 0, "new")],
+                               "LOAN_ID string, time double, data_quarter string, seq int, v string")
+    assert [r["v"] for r in P.dedup_last(df, ["seq"], across_quarters=True).collect()] == ["new"]
+
+
+def test_smart_sample_is_exact_and_keeps_unknown_durations_apart(spark):
+    df = spark.range(1000).select(F.col("id").alias("LOAN_ID"), (F.col("id") % 3 == 0).cast("int").alias("survival_event"),
+                                  F.when(F.col("id") % 10 == 0, None).otherwise((F.col("id") % 37).cast("double")).alias("survival_time"))
+    got = SA.smart_sample(df, 97)
+    assert got.count() == 97
+    unknown = got.where("survival_time IS NULL").count()
+    assert 8 <= unknown <= 11  # their own tenth

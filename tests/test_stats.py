@@ -65,3 +65,30 @@ def test_correlation_without_variance(spark):
     got = {(r["var_a"], r["var_b"]): r["corr"] for r in ST.correlation_pairs(df, ["a", "b", "c"]).collect()}
     assert got["a", "b"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4.5, 6])[0, 1])
     assert got["a", "c"] is None and got["b", "c"] is None
+
+
+def test_describe_keeps_small_spreads_and_empty_columns(spark):
+    rows = [(1e9 + i, 3e8 + (i % 3), None, float("nan") if i == 1 else float(i)) for i in range(3)]
+    got = {r["column"]: r for r in ST.describe(spark.createDataFrame(rows, "a double, b double, c double, d double"), list("abcd")).collect()}
+    assert got["a"]["std"] == pytest.approx(1.0) and got["b"]["std"] == pytest.approx(1.0)
+    assert (got["c"]["count"], got["c"]["mean"], got["c"]["p50"]) == (0, None, None)
+    assert (got["d"]["count"], got["d"]["mean"], got["d"]["p50"]) == (2, 1.0, 1.0)
+
+
+def test_quantiles_within_one_narrow_range(spark):
+    """Very many values in a thousandth of a power of two, as ratios near one have."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([1 + rng.random(5000) / 5000, [float("inf"), -float("inf"), 5e-324]])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    probs = [0.01, 0.25, 0.5, 0.99]
+    got = {r["prob"]: r["quantile"] for r in ST.quantiles(df, ["x"], probs).collect()}
+    assert got == {p: pytest.approx(np.quantile(x, p), rel=1e-15) for p in probs}
+
+
+def test_running_sums_by_group(spark):
+    rng = np.random.default_rng(3)
+    rows = [("ab"[i % 2], float(t), 1.0) for i, t in enumerate(rng.permutation(600))]
+    got = ST.running_sum(spark.createDataFrame(rows, "g string, t double, v double"), "t", ["v"], descending=True, by=["g"]).collect()
+    for g in "ab":
+        own = sorted((r["t"], r["v"]) for r in got if r["g"] == g)
+        assert [v for _, v in own] == list(range(len(own), 0, -1))
