@@ -5,48 +5,74 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 4096
-CELLS_PER_BUCKET = 200_000
+from loanpanel.functions.stats import running_sum
+
+CELLS_PER_RANGE = 50_000  # cells that one task counts in memory
+LEAST_LEVELS = 3
 
 
 def concordance(df: DataFrame, risk: str, event: str = "survival_event",
                 duration: str = "survival_time") -> DataFrame:
-    """One row ``(concordant, tied, pairs, c_index)``; a higher ``risk`` should fail sooner.
+    """One row ``(concordant, tied, pairs, c_index, left_out)``; a higher ``risk`` should fail sooner.
 
     A pair is comparable when one member has the event and the other is later, or equally
-    late and censored.  Rows are counted per (risk, time, event) cell, cells are split into
-    risk ranges, pairs across ranges come from small per-range totals and pairs within a
-    range from a local sorted count, so the work is n log n and no task holds all rows.
+    late and censored.  Rows without risk, event or duration are counted in ``left_out``.
+
+    Rows are counted per (risk, time, event) cell, cells are dealt to 2^k ranges of risk.  Pairs
+    of different ranges part at one of the k levels of halving: there, events of upper halves
+    meet the later rows of lower halves by running sums over time.  Pairs within a range come
+    from a sorted count.  No task holds all rows or times.  Counts are doubles, so above 2^53
+    they are rounded.
     """
-    # "rank" orders rows so that an event at t is comparable with every strictly larger rank
-    cells = (df.select(F.col(risk).cast("double").alias("risk"), F.col(duration).alias("t"),
-                       F.col(event).cast("int").alias("e"))
-             .where("risk IS NOT NULL AND t IS NOT NULL AND e IS NOT NULL")
-             .groupBy("risk", "t", "e").agg(F.count("*").alias("n")).persist())
+    rows = df.select(F.col(risk).cast("double").alias("risk"), F.col(duration).cast("double").alias("t"),
+                     F.col(event).cast("int").alias("e"))
+    known = F.col("risk").isNotNull() & F.col("t").isNotNull() & F.col("e").isNotNull()
+    cells = rows.where(known).groupBy("risk", "t", "e").agg(F.count("*").alias("n")).persist()
     try:
-        buckets = min(MAX_BUCKETS, -(-cells.count() // CELLS_PER_BUCKET))
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = cells.agg(F.percentile_approx("risk", probs, 10 * buckets)).first()[0] if probs else []
+        levels = max(LEAST_LEVELS, (-(-cells.count() // CELLS_PER_RANGE) - 1).bit_length())
+        probs = [i / 2**levels for i in range(1, 2**levels)]
+        cuts = cells.agg(F.percentile_approx("risk", probs, 10 * 2**levels)).first()[0] or []
         splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-        if len(splits) == 2:
-            placed = cells.withColumn("bucket", F.lit(0.0))
-        else:
-            placed = Bucketizer(splits=splits, inputCol="risk", outputCol="bucket").transform(cells)
-        # (range x time) totals: bounded by the ranges times the distinct months
-        totals = placed.groupBy("bucket", "t", "e").agg(F.sum("n").alias("n")).toPandas()
-        pairs, across = _totals(totals)
-        within = (placed.groupBy("bucket").applyInPandas(_within, "concordant double, tied double")
-                  .agg(F.sum("concordant").alias("c"), F.sum("tied").alias("t")).first())
+        placed = (Bucketizer(splits=splits, inputCol="risk", outputCol="range").transform(cells)
+                  .withColumn("range", F.col("range").cast("int")))
+        totals = placed.groupBy("range", "t").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("e")).alias("d"))
+        across = _across(totals, levels)
+        every = totals.groupBy("t").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+        pairs = running_sum(every.withColumn("later", F.col("n")), "t", ["later"], descending=True).agg(
+            _product_sum(F.col("d"), F.col("later") - F.col("d")).alias("pairs"))
+        within = (placed.groupBy("range").applyInPandas(_within, "concordant double, tied double")
+                  .agg(F.sum("concordant").alias("c"), F.sum("tied").alias("t")))
+        across, pairs, (inside, tied) = across.first()[0] or 0.0, pairs.first()[0] or 0.0, within.first()
     finally:
         cells.unpersist()
-    concordant, tied = across + (within["c"] or 0.0), within["t"] or 0.0
-    spark = df.sparkSession
-    c_index = (concordant + 0.5 * tied) / pairs if pairs else None
-    return spark.createDataFrame([(int(concordant), int(tied), int(pairs), c_index)],
-                                 "concordant long, tied long, pairs long, c_index double")
+    concordant, tied = across + (inside or 0.0), tied or 0.0
+    left_out = rows.where(~known).count()
+    c = (concordant + 0.5 * tied) / pairs if pairs else None
+    return df.sparkSession.createDataFrame([(concordant, tied, pairs, c, left_out)],
+                                           "concordant double, tied double, pairs double, c_index double, left_out long")
+
+
+def _product_sum(a: Column, b: Column) -> Column:
+    """Sum of products of counts, exact before the last step."""
+    whole = "decimal(19,0)"
+    return F.sum(a.cast(whole) * b.cast(whole)).cast("double")
+
+
+def _across(totals: DataFrame, levels: int) -> DataFrame:
+    """Concordant pairs whose members lie in different ranges, from (range, t, n, d)."""
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels)))  # the last half may hold one range more
+    halves = totals.withColumn("level", level).select(
+        "level", F.expr("shiftright(range, level + 1)").alias("half"), "t",
+        F.expr("shiftright(range, level) % 2 = 1").alias("upper"), "n", "d")
+    cells = halves.groupBy("level", "half", "t").agg(
+        F.sum(F.when(~F.col("upper"), F.col("n")).otherwise(0)).alias("later"),
+        F.sum(F.when(~F.col("upper"), F.col("d")).otherwise(0)).alias("lower_d"),
+        F.sum(F.when(F.col("upper"), F.col("d")).otherwise(0)).alias("upper_d"))
+    sums = running_sum(cells, "t", ["later"], descending=True, by=["level", "half"])
+    return sums.agg(_product_sum(F.col("upper_d"), F.col("later") - F.col("lower_d")))
 
 
 def c_index(df: DataFrame, risk: str, event: str = "survival_event",
@@ -59,21 +85,6 @@ def _rank(t: np.ndarray, e: np.ndarray) -> np.ndarray:
     return 2 * i + (1 - e)
 
 
-def _totals(tot: pd.DataFrame) -> tuple[float, float]:
-    """Comparable pairs, and concordant pairs whose members lie in different ranges."""
-    if tot.empty:
-        return 0.0, 0.0
-    rank = _rank(tot["t"].to_numpy(), tot["e"].to_numpy())
-    _, bucket = np.unique(tot["bucket"].to_numpy(), return_inverse=True)
-    grid = np.zeros((bucket.max() + 1, rank.max() + 2))
-    np.add.at(grid, (bucket, rank), tot["n"].to_numpy())
-    events = grid[:, :-1].copy()
-    events[:, 1::2] = 0  # odd ranks are censored rows
-    later = grid[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]  # rows with a larger rank
-    lower = np.vstack([np.zeros(later.shape[1]), later.cumsum(axis=0)[:-1]])  # in lower ranges
-    return float((events.sum(axis=0) * later.sum(axis=0)).sum()), float((events * lower).sum())
-
-
 def _within(pdf: pd.DataFrame) -> pd.DataFrame:
     """Concordant and tied pairs inside one risk range.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -141,15 +141,35 @@ def _accumulate(sums: pd.DataFrame, beta: Sequence[float], ties: str, s0: float,
     return float(ll), grad, hess, rows, events
 
 
-def _efron_sums(s0: float, d0: float, d: int, chunk: int = 1_000_000):
-    """Sums over the d tied events of 1/u, f/u, 1/u^2, f/u^2, f^2/u^2, ln u with u = s0 - f d0."""
-    out = np.zeros(6)
-    for start in range(0, d, chunk):
-        f = np.arange(start, min(d, start + chunk)) / d
-        u = s0 - f * d0
-        out += [(1 / u).sum(), (f / u).sum(), (1 / u**2).sum(), (f / u**2).sum(),
-                (f**2 / u**2).sum(), np.log(u).sum()]
-    return out
+def _efron_sums(s0: float, d0: float, d: int, near: int = 2_000) -> np.ndarray:
+    """Sums over the d tied events of 1/u, f/u, 1/u^2, f/u^2, f^2/u^2, ln u with u = s0 - f d0.
+
+    f runs over 0, 1/d, ..., (d-1)/d.  The last ``near`` terms, where u may be close to zero,
+    are added one by one; the others come from the Euler-Maclaurin formula in closed form.
+    """
+    first = max(0, d - near)
+    f = np.arange(first, d) / d
+    u = s0 - f * d0
+    out = np.array([(1 / u).sum(), (f / u).sum(), (1 / u**2).sum(), (f / u**2).sum(),
+                    (f**2 / u**2).sum(), np.log(u).sum()])
+    if not first:
+        return out
+    # sums of powers and of the logarithm of v = a - j, j = 0 .. first-1, with u = v * d0 / d
+    step = d0 / d
+    a = s0 / step
+    lo, hi = a - first + 1, a
+
+    def total(integral, value, slope, third) -> float:
+        return float(integral + (value(lo) + value(hi)) / 2 + (slope(hi) - slope(lo)) / 12
+                     - (third(hi) - third(lo)) / 720)
+
+    p1 = total(math.log(hi / lo), lambda v: 1 / v, lambda v: -1 / v**2, lambda v: -6 / v**4)
+    p2 = total(1 / lo - 1 / hi, lambda v: 1 / v**2, lambda v: -2 / v**3, lambda v: -24 / v**5)
+    log = total(hi * math.log(hi) - lo * math.log(lo) - (hi - lo), math.log, lambda v: 1 / v, lambda v: 2 / v**3)
+    # j = a - v turns sums over f = j / d into those above
+    inverse, square = p1 / step, p2 / step**2
+    return out + [inverse, (a * p1 - first) / (d * step), square, (a * p2 - p1) / (d * step**2),
+                  (a * a * p2 - 2 * a * p1 + first) / (d * d * step**2), log + first * math.log(step)]
 
 
 @dataclass(frozen=True)
@@ -164,6 +184,7 @@ class CoxModel:
     penalizer: float
     ties: str
     iterations: int = 0
+    attempt: int = 1  # which of the fallbacks gave the model, see fit_cox_with_fallback
     event: str = "survival_event"
     duration: str = "survival_time"
     gradient: np.ndarray | None = field(default=None, repr=False)
@@ -208,11 +229,10 @@ class CoxModel:
 
     def survival_curves(self, rows: DataFrame, baseline: DataFrame) -> DataFrame:
         """Survival at every baseline time for a few ``rows``: one output row per time."""
-        grid = baseline.agg(F.array_sort(F.collect_list(F.struct("time", "cum_hazard")))).scalar()
-        return (rows.withColumn("__w", self.partial_hazard()).withColumn("__g", F.explode(grid))
-                .withColumn("time", F.col("__g.time"))
-                .withColumn("survival_probability", F.exp(-F.col("__g.cum_hazard") * F.col("__w")))
-                .drop("__w", "__g"))
+        grid = baseline.select("time", F.col("cum_hazard").alias("__h"))
+        return (grid.crossJoin(rows.withColumn("__w", self.partial_hazard()))  # a few rows by contract
+                .withColumn("survival_probability", F.exp(-F.col("__h") * F.col("__w")))
+                .select(*rows.columns, "time", "survival_probability"))
 
     def scores(self, df: DataFrame, baseline: DataFrame) -> DataFrame:
         """``df`` with partial hazard, expected hazard at the last time and two residuals.
@@ -274,19 +294,22 @@ def fit_cox(df: DataFrame, features: Sequence[str], event: str = "survival_event
             raise CoxFitError(f"no convergence in {max_iter} iterations")
         covariance = np.linalg.inv(-(now.hessian - penalizer * now.rows * np.eye(len(beta))))
         return CoxModel(dict(zip(features, map(float, beta))), covariance, now.log_likelihood, now.rows,
-                        now.events, penalizer, ties, i, event, duration, grad)
+                        now.events, penalizer, ties, i, 1, event, duration, grad)
     finally:
         data.unpersist()
 
 
 def fit_cox_with_fallback(df: DataFrame, features: Sequence[str], penalizer: float = 0.1,
                           minimal: int = 15, **options) -> CoxModel:
-    """As :func:`fit_cox`; on failure a stronger penalty, then the first ``minimal`` features."""
+    """As :func:`fit_cox`; on failure a stronger penalty, then the first ``minimal`` features.
+
+    The model's ``attempt`` says which of the three it is, ``penalizer`` and ``features`` how.
+    """
     attempts = [(list(features), penalizer), (list(features), 10 * penalizer),
                 (list(features)[:minimal], penalizer)]
     for i, (names, strength) in enumerate(attempts):
         try:
-            return fit_cox(df, names, penalizer=strength, **options)
+            return replace(fit_cox(df, names, penalizer=strength, **options), attempt=i + 1)
         except CoxFitError:
             if i == len(attempts) - 1:
                 raise

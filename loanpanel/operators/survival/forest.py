@@ -7,6 +7,7 @@ log-rank splits per node, and brings back one row per node.  A tree has at most
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -18,8 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from loanpanel.functions.stats import histogram, quantiles, running_sum
+from loanpanel.functions.stats import histogram, quantiles, running_sum, values_of
 
+MOST_CUTS = 1_000  # cuts of a feature, on average
 NODES_PER_GROUP = 32  # nodes scored together, so that one task never sees a whole level
 TENSOR_CELLS = 4_000_000  # (node, feature, bin, time) cells scored at once
 
@@ -33,7 +35,7 @@ class ForestParams:
     max_features: int | None = None  # None: square root of the feature count
     sample: float = 0.1
     seed: int = 42
-    bins: int = 32
+    bins: int | None = 32  # None: every distinct value is a cut, for features with few of them
 
 
 @dataclass
@@ -113,26 +115,24 @@ def fit_forest(df: DataFrame, features: Sequence[str], key: str = "LOAN_ID",
                params: ForestParams = ForestParams()) -> Forest:
     """Grow the forest.  ``key`` identifies a row and decides its bootstrap weights."""
     features = list(features)
-    probs = [i / params.bins for i in range(1, params.bins)]
-    cuts = (quantiles(df, features, probs).groupBy("column")
-            .agg(F.sort_array(F.collect_set("quantile")).alias("cuts")).collect())
-    edges = {c: [] for c in features} | {r["column"]: r["cuts"] for r in cuts}
+    edges = _edges(df, features, params.bins)
     rows = df.select(F.col(key).alias("key"), F.col(duration).alias("time"),
                      F.col(event).cast("int").alias("event"),
                      F.array(*[_bin(c, edges[c]) for c in features]).alias("bins"))
-    # spread over all cores: every row is drawn for some trees and visited once per level
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    instances = _bootstrap(rows.repartition(cores, "key"), params).persist(StorageLevel.MEMORY_AND_DISK)
+    missing = df.where(" OR ".join(f"`{c}` IS NULL" for c in features)).limit(1).count()
+    if missing:
+        raise ValueError("features of a forest must not be null: impute them first")
+    instances = bootstrap(rows, params).persist(StorageLevel.MEMORY_AND_DISK)
     leaf_steps = None
     try:
-        splits = _grow(instances, len(features), params)
-        steps = _leaf_steps(_at_node(instances, splits, params))
-        leaf_steps = steps.persist(StorageLevel.MEMORY_AND_DISK)
+        splits, placed = _grow(instances, len(features), params)
+        leaf_steps = _leaf_steps(placed).persist(StorageLevel.MEMORY_AND_DISK)
         # the mortality of a leaf sums its cumulative hazard over all event times of the data
         grid = rows.where("event = 1").groupBy("time").agg(F.lit(1).alias("later"))
         later = running_sum(grid, "time", ["later"], descending=True)
         mortality = (leaf_steps.join(later, "time").groupBy("tree", "node")
                      .agg(F.sum(F.col("hazard") * F.col("later")).alias("mortality")).toPandas())
+        placed.unpersist()
         return Forest(features, edges, splits, mortality, leaf_steps, params)
     except BaseException:
         if leaf_steps is not None:
@@ -142,80 +142,95 @@ def fit_forest(df: DataFrame, features: Sequence[str], key: str = "LOAN_ID",
         instances.unpersist()
 
 
+def _edges(df: DataFrame, features: Sequence[str], bins: int | None) -> dict[str, list[float]]:
+    if bins:
+        found = quantiles(df, features, [i / bins for i in range(1, bins)]).select("column", F.col("quantile").alias("cut"))
+    else:
+        found = values_of(df, features).select("column", F.col("value").alias("cut"))
+    cuts = found.distinct().limit(len(features) * MOST_CUTS + 1).collect()
+    if len(cuts) > len(features) * MOST_CUTS:
+        raise ValueError(f"more than {MOST_CUTS} distinct values a feature: set bins")
+    return {c: sorted(r["cut"] for r in cuts if r["column"] == c) for c in features}
+
+
 def _bin(c: str, cuts: Sequence[float]) -> Column:
     """Number of cuts below the value."""
     return sum(((F.col(c) > x).cast("int") for x in cuts), F.lit(0)).cast("smallint")
 
 
-def _bootstrap(rows: DataFrame, params: ForestParams) -> DataFrame:
+def bootstrap(rows: DataFrame, params: ForestParams) -> DataFrame:
     """One row per (row, tree) drawn, weighted by a Poisson count from a hash of both."""
-    u = (F.pmod(F.xxhash64(F.lit(params.seed), "tree", "key"), F.lit(2**52)) + 0.5) / float(2**52)
-    weight, below, term = F.lit(0), math.exp(-params.sample), math.exp(-params.sample)
-    for k in range(1, 13):  # the tail beyond 12 draws is below 1e-20
-        weight = weight + (u >= below).cast("int")
+    if not 0 < params.sample <= 10:
+        raise ValueError("sample is the mean number of draws of a row, above 0 and at most 10")
+    def drawn(tree: Column) -> Column:
+        name = F.concat_ws(":", F.lit(str(params.seed)), tree.cast("string"), F.col("key").cast("string"))
+        u = (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)  # 52 bits
+        return F.struct(tree.cast("int").alias("tree"), sum(((u >= p).cast("int") for p in below), F.lit(0)).alias("w"))
+
+    below, term = [math.exp(-params.sample)], math.exp(-params.sample)
+    for k in range(1, 13 + math.ceil(8 * params.sample)):  # the tail beyond is below 1e-17
         term *= params.sample / k
-        below += term
-    return (rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(params.trees - 1))))
-            .withColumn("w", weight).where("w > 0"))
+        below.append(below[-1] + term)
+    trees = F.transform(F.sequence(F.lit(0), F.lit(params.trees - 1)), drawn)
+    return rows.select("*", F.inline(F.filter(trees, lambda x: x["w"] > 0)))
+
+
+def _one_level_down(placed: DataFrame, splits: pd.DataFrame) -> DataFrame:
+    """Rows of split nodes move to a child; ``splits`` are those of one level."""
+    table = placed.sparkSession.createDataFrame(splits[["tree", "node", "feature", "bin"]].astype(int),
+                                                "tree int, node int, f int, c int")
+    right = (F.get("bins", F.col("f")) > F.col("c")).cast("int")
+    node = F.when(F.col("f").isNotNull(), F.col("node") * 2 + right).otherwise(F.col("node"))
+    # at most 2^depth nodes per tree
+    return placed.join(F.broadcast(table), ["tree", "node"], "left").withColumn("node", node).drop("f", "c")
+
+
+def tried_features(seed: int, tree: int, node: int, n: int, most: int) -> list[int]:
+    """``most`` of ``n`` features for a node: those with the smallest hash."""
+    def place(i: int) -> str:
+        return hashlib.md5(f"{seed}:{tree}:{node}:{i}".encode()).hexdigest()
+    return sorted(range(n), key=place)[:most]
 
 
-def _at_node(instances: DataFrame, splits: pd.DataFrame, params: ForestParams) -> DataFrame:
-    """Instances with the heap number of the node they have reached.
+def _grow(instances: DataFrame, n_features: int, params: ForestParams) -> tuple[pd.DataFrame, DataFrame]:
+    """The split table, and the instances at their leaves.
 
-    Each tree's splits travel as two arrays indexed by node in one broadcast row per tree.
+    Instances carry their node from level to level; each level is kept until the next is there.
     """
-    if splits.empty:
-        return instances.withColumn("node", F.lit(1))
-    size = int(splits["node"].max()) + 1
-    feature, cut = np.full((2, params.trees, size), -1)
-    feature[splits["tree"], splits["node"]] = splits["feature"]
-    cut[splits["tree"], splits["node"]] = splits["bin"]
-    table = instances.sparkSession.createDataFrame(
-        [(t, f.tolist(), c.tolist()) for t, (f, c) in enumerate(zip(feature, cut))],
-        "tree int, f array<int>, c array<int>")
-
-    def child(node: Column, _: Column) -> Column:
-        split = F.get("f", node)  # null beyond the array, -1 for a leaf
-        right = (F.get("bins", split) > F.get("c", node)).cast("int")
-        return F.when(split >= 0, node * 2 + right).otherwise(node)
-
-    depth = int(math.log2(splits["node"].max())) + 1
-    node = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), child)
-    return instances.join(F.broadcast(table), "tree").withColumn("node", node).drop("f", "c")
-
-
-def _grow(instances: DataFrame, n_features: int, params: ForestParams) -> pd.DataFrame:
     spark = instances.sparkSession
-    cores = spark.sparkContext.defaultParallelism
     tried = params.max_features or max(1, int(math.sqrt(n_features)))
     splits = pd.DataFrame({"tree": [], "node": [], "feature": [], "bin": []}, dtype=int)
     open_nodes = [(t, 1) for t in range(params.trees)]
+    placed = instances.withColumn("node", F.lit(1))
+    above = None
     for depth in range(params.max_depth):
         if not open_nodes:
             break
-        drawn = [(t, n, np.random.default_rng([params.seed, t, n])
-                  .choice(n_features, tried, replace=False).tolist()) for t, n in open_nodes]
+        drawn = [(t, n, tried_features(params.seed, t, n, n_features, tried)) for t, n in open_nodes]
         active = spark.createDataFrame(drawn, "tree int, node int, tried array<int>")
         parts = max(1, math.ceil(len(open_nodes) / params.trees / NODES_PER_GROUP))
-        cells = (_at_node(instances, splits, params).join(F.broadcast(active), ["tree", "node"])
+        cells = (placed.join(F.broadcast(active), ["tree", "node"])
                  .withColumn("feature", F.explode("tried"))
                  .groupBy("tree", "node", "feature", F.get("bins", F.col("feature")).alias("bin"), "time")
                  .agg(F.count("*").alias("rows"), F.sum("w").alias("n"),
                       F.sum(F.col("w") * F.col("event")).alias("d"))
-                 .withColumn("part", F.col("node") % parts)
-                 .repartition(cores, "tree", "part"))
+                 .withColumn("part", F.col("node") % parts))
         best = (cells.groupBy("tree", "part").applyInPandas(
                     _scorer(params), "tree int, node int, feature int, bin int, left long, right long")
                 .toPandas())
+        if above is not None:
+            above.unpersist()
         if best.empty:
             break
+        above = placed if depth else None
+        placed = _one_level_down(placed, best).persist(StorageLevel.MEMORY_AND_DISK)
         splits = pd.concat([splits, best[["tree", "node", "feature", "bin"]]], ignore_index=True).astype(int)
         need = max(params.min_split, 2 * params.min_leaf)
         open_nodes = [(int(t), 2 * int(n) + side) for t, n, left, right
                       in best[["tree", "node", "left", "right"]].itertuples(index=False)
                       for side, size in ((0, left), (1, right)) if size >= need]
         open_nodes.sort()
-    return splits
+    return splits, placed
 
 
 def _scorer(params: ForestParams):

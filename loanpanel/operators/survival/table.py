@@ -19,16 +19,17 @@ def survival_table(panel: DataFrame, covariates: Sequence[str] = ()) -> DataFram
     With ``act_period`` in the panel, ``macro_quarter`` is the start of that row's quarter.
     """
     is_event = F.coalesce(F.col("event"), F.lit(0)) == 1
-    # event rows first, earliest first; without an event the last row is the smallest key
-    order = F.struct((~is_event).cast("int").alias("a"),
-                     F.when(is_event, F.col("time")).otherwise(-F.col("time")).alias("b"),
-                     F.col("data_quarter").alias("c"))
     row = [F.col("time").alias("survival_time"), *[F.col(c) for c in covariates]]
     if "act_period" in panel.columns:
         month = month_of_act_period(F.col("act_period"))
         row.append(F.trunc(month, "quarter").alias("macro_quarter"))
+    # the first event row, without an event the last row; the later quarter is the later row
+    seen = F.struct("time", "data_quarter")
     return (panel.groupBy("LOAN_ID")
-            .agg(F.max("event").alias("survival_event"), F.min_by(F.struct(*row), order).alias("r"))
+            .agg(F.max("event").alias("survival_event"),
+                 F.min_by(F.struct(*row), F.when(is_event, seen)).alias("first_event"),
+                 F.max_by(F.struct(*row), seen).alias("last"))
+            .select("LOAN_ID", "survival_event", F.coalesce("first_event", "last").alias("r"))
             .select("LOAN_ID", "survival_event", "r.*"))
 
 

@@ -7,11 +7,14 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loanpanel.operators import features as FE
 from loanpanel.operators.survival.compare import compare, metrics_table, model_row
 from loanpanel.operators.survival.concordance import c_index
 from loanpanel.operators.survival.cox import CoxModel, fit_cox_with_fallback
+from loanpanel.operators.survival.forest import Forest, ForestParams, fit_forest, risk_histogram
+from loanpanel.session import cut
 
 
 @dataclass
@@ -60,3 +63,39 @@ def macro_effect(df: DataFrame, components: Sequence[str], split: str = "2020-12
                            compare(table, "Non-Macro", "Full"), scores)
     finally:
         data.unpersist()
+
+
+@dataclass
+class ForestEffect:
+    """Two forests, their concordance on both periods, and the full one's curves and scores."""
+
+    non_macro: Forest
+    full: Forest
+    c_index: DataFrame  # model, part, c_index
+    curves: DataFrame  # part, time, survival, cum_hazard
+    test_scores: DataFrame  # histogram of the full forest's scores after the split
+
+
+def forest_effect(df: DataFrame, components: Sequence[str], split: str = "2020-12-31", key: str = "LOAN_ID",
+                  params: ForestParams = ForestParams()) -> ForestEffect:
+    """Forests with and without macro features, grown up to ``split``, evaluated on both sides of it.
+
+    Missing features are filled with the training medians.
+    """
+    data = FE.valid_survival(df).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        train, test = FE.time_split(data, split)
+        names = FE.feature_names(train)
+        macro = FE.macro_features(names, components)
+        medians = FE.fit_medians(train, names)
+        parts = {"train": FE.fill_features(train, medians), "test": FE.fill_features(test, medians)}
+        spark, rows, forests = df.sparkSession, [], {}
+        for name, cols in (("Non-Macro", [c for c in names if c not in macro]), ("Full", names)):
+            forests[name] = fit_forest(parts["train"], cols, key, params=params)
+            rows += [(name, part, c_index(forests[name].score(own), "risk")) for part, own in parts.items()]
+        full = forests["Full"]
+        curves = [full.average_curve(own).withColumn("part", F.lit(part)) for part, own in parts.items()]
+        return ForestEffect(forests["Non-Macro"], full, spark.createDataFrame(rows, "model string, part string, c_index double"),
+                            cut(curves[0].unionByName(curves[1])), cut(risk_histogram(full.score(parts["test"]))))
+    finally:
+        data.unpersist()

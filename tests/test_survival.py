@@ -132,10 +132,10 @@ def brute_concordance(risk, t, e):
     return conc, tied, pairs
 
 
-@pytest.mark.parametrize("cells", [CC.CELLS_PER_BUCKET, 20])
+@pytest.mark.parametrize("cells", [CC.CELLS_PER_RANGE, 20])
 @pytest.mark.parametrize("risk", ["x", "z", "one"])
 def test_concordance_brute_force(frame, small, monkeypatch, cells, risk):
-    monkeypatch.setattr(CC, "CELLS_PER_BUCKET", cells)
+    monkeypatch.setattr(CC, "CELLS_PER_RANGE", cells)
     x, z, t, e = small
     values = {"x": x, "z": z, "one": np.ones(len(x))}[risk]
     df = frame.withColumn("one", F.lit(1.0))
@@ -195,10 +195,13 @@ def test_forest_curves(frame, forest):
 def test_forest_leaf_size(frame):
     params = FO.ForestParams(trees=3, max_depth=6, sample=1.0, min_leaf=15, seed=2)
     model = FO.fit_forest(frame, ["x", "z"], params=params)
-    drawn = FO._bootstrap(frame.select(F.col("LOAN_ID").alias("key"), model._bins().alias("bins")), params)
-    sizes = FO._at_node(drawn, model.splits, params).groupBy("tree", "node").count().toPandas()
+    drawn = FO.bootstrap(frame.select(F.col("LOAN_ID").alias("key"), model._bins().alias("bins")), params)
+    placed = drawn.withColumn("node", F.lit(1))
+    for depth in range(params.max_depth):
+        placed = FO._one_level_down(placed, model.splits[model.splits["node"].map(lambda n: int(n).bit_length()) == depth + 1])
+    sizes = placed.groupBy("tree", "node").count().toPandas()
     assert sizes["count"].min() >= 15
-    mean = FO._bootstrap(frame.select(F.col("LOAN_ID").alias("key")), FO.ForestParams(trees=200, sample=0.1)
+    mean = FO.bootstrap(frame.select(F.col("LOAN_ID").alias("key")), FO.ForestParams(trees=200, sample=0.1)
                          ).agg(F.sum("w")).first()[0] / (200 * 400)
     assert mean == pytest.approx(0.1, abs=0.01)
 
@@ -253,3 +256,44 @@ def test_macro_effect(spark, frame):
     assert out.test_c_index["Full"] > 0.65 > out.test_c_index["Non-Macro"]
     mean = out.train["Full"].agg(F.avg("f_PC1"), F.stddev_pop("f_PC1")).first()
     assert mean[0] == pytest.approx(0, abs=1e-9) and mean[1] == pytest.approx(1)
+
+
+def test_concordance_over_ranges_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(float(rng.integers(0, 60)) / 7, float(rng.integers(1, 90)) / 4, int(rng.random() < 0.6)) for _ in range(700)]
+    rows += [(1.0, 3.0, 1)] * 50 + [(None, 2.0, 1), (1.0, None, 0)]
+    concordant = tied = pairs = 0
+    known = [r for r in rows if None not in r]
+    for s, t, e in known:
+        if e:
+            later = [x for x, u, f in known if u > t or (u == t and f == 0)]
+            pairs += len(later)
+            concordant += sum(x < s for x in later)
+            tied += sum(x == s for x in later)
+    df = spark.createDataFrame(rows, "risk double, survival_time double, survival_event int")
+    for cells in (50_000, 20):
+        monkeypatch.setattr(CC, "CELLS_PER_RANGE", cells)
+        got = CC.concordance(df, "risk").first()
+        assert (got["concordant"], got["tied"], got["pairs"], got["left_out"]) == (concordant, tied, pairs, 2)
+
+
+def test_a_censored_loan_takes_its_last_row(spark):
+    df = spark.createDataFrame([("a", 1.0, 0, "2017Q4", 1.0), ("a", 2.0, 0, "2017Q1", 2.0), ("a", 2.0, 0, "2018Q1", 3.0),
+                                ("b", 1.0, 1, "2018Q1", 5.0), ("b", 1.0, 1, "2017Q1", 4.0), ("b", 3.0, 0, "2018Q1", 6.0)],
+                               "LOAN_ID string, time double, event int, data_quarter string, x double")
+    got = {r["LOAN_ID"]: (r["survival_time"], r["x"]) for r in T.survival_table(df, ["x"]).collect()}
+    assert got == {"a": (2.0, 3.0), "b": (1.0, 4.0)}
+
+
+def test_efron_sums_in_closed_form():
+    for s0, d0, d in ((1e5, 5e4, 40_000), (5e4, 5e4, 40_000), (123.0, 7.0, 3_000), (10.0, 4.0, 5)):
+        f = np.arange(d) / d
+        u = s0 - f * d0
+        want = [(1 / u).sum(), (f / u).sum(), (1 / u**2).sum(), (f / u**2).sum(), (f**2 / u**2).sum(), np.log(u).sum()]
+        assert CX._efron_sums(s0, d0, d) == pytest.approx(want, rel=1e-10)
+
+
+def test_forest_rejects_missing_features(spark):
+    df = spark.createDataFrame([("a", 1.0, 1, None), ("b", 2.0, 0, 1.0)], "LOAN_ID string, survival_time double, survival_event int, x double")
+    with pytest.raises(ValueError):
+        FO.fit_forest(df, ["x"])
