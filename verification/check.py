@@ -10,9 +10,7 @@ import pandas as pd
 
 from loanpanel.session import build_session
 from verification.catalog import ORACLES, QUERIES
-
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+from verification.inputs import TABLES
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:

@@ -183,7 +183,7 @@ def panel_overview(spark, d):
 
 
 @query("panel_balance", LOANS + "SELECT obs, count(*) AS loans, "
-       + r("100.0 * count(*) / sum(count(*)) OVER ()", "pct") + " FROM l GROUP BY obs ORDER BY obs LIMIT 10")
+       + r("100.0 * count(*) / sum(count(*)) OVER ()", "pct") + " FROM l GROUP BY obs ORDER BY obs")
 def panel_balance(spark, d):
     return rounded(O.panel_balance(I.panel(spark, d)))
 

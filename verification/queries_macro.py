@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from loanpanel.operators import cycles as CY
 from loanpanel.operators import macro as M
+from loanpanel.plans.pipeline import add_macro, build_master, clean_quarters
 from loanpanel.session import scratch_path
-from loanpanel.sources import raw
+from loanpanel.sources import raw, sinks
 from verification import inputs as I
 from verification import sql as Q
+from verification.queries_panel import raw_lines
 from verification.registry import query, r, rounded
 
 SERIES = [s for ss in I.DOMAINS.values() for s in ss]
@@ -111,3 +113,30 @@ def housing_dlq(spark, d):
  {r('(SELECT corr(dlq_pct, factor_avg) FROM q)', 'corr')} FROM q""")
 def credit_impact(spark, d):
     return rounded(CY.factor_impact(I.panel_macro(spark, d), "alpha_PC1"))
+
+
+# files of every quarter, one line per observation in ingest order, through the whole pipeline:
+# nulls filled by quarter, first-of-month origination, keep-last within the quarter
+@query("pipeline_panel", f"""WITH {Q.LOAN_OBS},
+ m AS (SELECT data_quarter, median(CSCORE_B) AS a, median(CURR_SCOREB) AS b FROM loan_obs GROUP BY 1),
+ f AS (SELECT o.* REPLACE (coalesce(CSCORE_B, a, 0) AS CSCORE_B, coalesce(CURR_SCOREB, b, 0) AS CURR_SCOREB,
+  coalesce(DLQ_STATUS, 'Missing') AS DLQ_STATUS, cast(date_trunc('month', ORIG_DATE) AS date) AS ORIG_DATE)
+  FROM loan_obs o JOIN m USING (data_quarter)),
+ p AS (SELECT {Q.ENCODE}, ORIG_DATE FROM (SELECT *, row_number() OVER (PARTITION BY LOAN_ID, LOAN_AGE, data_quarter
+  ORDER BY seq1 DESC, seq2 DESC, seq3 DESC) AS rn FROM f WHERE LOAN_AGE >= 0) WHERE rn = 1),
+ {Q.MACRO_CTE}
+ SELECT data_quarter, count(*) AS n, cast(sum(event) AS bigint) AS events, cast(sum(any_delinquent) AS bigint) AS delinquent,
+  {r('avg(balance_ratio)', 'balance')}, {r('avg(credit_score_change)', 'score_change')}, {r('avg(alpha_PC1)', 'alpha')}, {r('avg(beta_PC1)', 'beta')},
+  min(act_period) AS first_month FROM (SELECT *, {Q.ACT_PERIOD} AS act_period FROM p) LEFT JOIN pcs USING (act_period) GROUP BY data_quarter""")
+def pipeline_panel(spark, d):
+    base = scratch_path(spark, "pipeline")
+    lines = raw_lines(spark, d).repartition("data_quarter").sortWithinPartitions(*I.INGEST)
+    lines.select("value", F.col("data_quarter").alias("quarter")).write.partitionBy("quarter").text(f"{base}/raw")
+    quarters = [f"{y}Q{q}" for y in range(1990, 2010) for q in (1, 2, 3, 4)]  # those without a file are skipped
+    clean_quarters(spark, f"{base}/raw", quarters, f"{base}/clean", "quarter={}")
+    panel = build_master(spark, sinks.read_master(spark, f"{base}/clean"), f"{base}/master", f"{base}/static")
+    panel = add_macro(panel, I.macro_obs(spark, d), I.DOMAINS)
+    return rounded(panel.groupBy("data_quarter").agg(
+        F.count("*").alias("n"), F.sum("event").alias("events"), F.sum("any_delinquent").alias("delinquent"),
+        F.avg("balance_ratio").alias("balance"), F.avg("credit_score_change").alias("score_change"),
+        F.avg("alpha_PC1").alias("alpha"), F.avg("beta_PC1").alias("beta"), F.min("act_period").alias("first_month")))

@@ -34,7 +34,7 @@ def raw_lines(spark, d):
     filled = {*RAW_FILLED, "ORIG_DATE", "ACT_PERIOD"}
     fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in filled else F.lit("")
               for c in S.RAW_COLUMNS]
-    return obs.select(F.concat_ws("|", *fields).alias("value"), "data_quarter")
+    return obs.select(F.concat_ws("|", *fields).alias("value"), "data_quarter", *I.INGEST)
 
 
 def _raw_column(c: str) -> str:
@@ -63,7 +63,7 @@ def raw_parse(spark, d):
 def raw_clean(spark, d):
     """Text file on disk -> reader -> full cleaning, summarised by quarter."""
     path = scratch_path(spark, "raw")
-    raw_lines(spark, d).write.partitionBy("data_quarter").text(path)
+    raw_lines(spark, d).drop(*I.INGEST).write.partitionBy("data_quarter").text(path)
     lines = spark.read.text(path).withColumn("data_quarter", F.col("data_quarter").cast("string"))
     out = C.clean(raw.parse_lines(lines))
     return rounded(out.groupBy("data_quarter").agg(
@@ -74,22 +74,25 @@ def raw_clean(spark, d):
         F.avg("NO_UNITS").alias("units")))
 
 
-@query("input_files")
+@query("input_files", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in I.TABLES))
 def input_files(spark, d):
-    files = raw.input_files(spark.read.parquet(f"{d}/{{lineitem,orders,customer}}.parquet"))
-    return files.select(F.element_at(F.split("file", "/"), -1).alias("file"), "bytes", "rows")
+    files = raw.input_files(spark.read.parquet(f"{d}/*.parquet"))
+    name = F.regexp_extract("file", r"([a-z]+)\.parquet", 1).alias("name")
+    return files.where("bytes > 0").groupBy(name).agg(F.sum("rows").alias("rows"))
 
 
 @query("parse_mmyyyy", """SELECT o_orderkey, cast(date_trunc('month', o_orderdate) AS date) AS from_text,
  cast(date_trunc('month', o_orderdate) AS date) AS from_int, cast(NULL AS date) AS bad_month,
- cast(NULL AS date) AS bad_text FROM orders""")
+ cast(NULL AS date) AS bad_text, cast(NULL AS date) AS too_long, cast(NULL AS date) AS month_only FROM orders""")
 def parse_mmyyyy(spark, d):
     text = F.date_format("o_orderdate", "MMyyyy")
     return I.table(spark, d, "orders").select(
         "o_orderkey", mmyyyy_to_date(text).alias("from_text"),
         mmyyyy_to_date(text.cast("int")).alias("from_int"),
         mmyyyy_to_date(F.concat(F.lit("13"), F.substring(text, 3, 4))).alias("bad_month"),
-        mmyyyy_to_date(F.col("o_orderpriority")).alias("bad_text"))
+        mmyyyy_to_date(F.col("o_orderpriority")).alias("bad_text"),
+        mmyyyy_to_date(F.concat(F.lit("1"), text)).alias("too_long"),
+        mmyyyy_to_date(F.substring(text, 1, 2)).alias("month_only"))
 
 
 CATS = ["DLQ_STATUS", "Zero_Bal_Code", "PURPOSE", "STATE", "PROP"]

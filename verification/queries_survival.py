@@ -11,6 +11,7 @@ from loanpanel.operators.survival import concordance as CC
 from loanpanel.operators.survival import cox as CX
 from loanpanel.operators.survival import forest as FO
 from loanpanel.operators.survival import table as T
+from loanpanel.plans.macro_effect import forest_effect as run_forest_effect
 from loanpanel.plans.macro_effect import macro_effect as run_macro_effect
 from verification import inputs as I
 from verification import sql_survival as SS
@@ -114,21 +115,26 @@ def macro_features(spark, d):
     return known.withColumn("is_macro", F.col("feature").isin(macro))
 
 
-@query("smart_sample", SS.SURV + """, q AS (SELECT quantile_cont(survival_time, [0.25, 0.5, 0.75]) AS cut FROM surv),
- s AS (SELECT LOAN_ID, survival_event, len(list_filter(cut, lambda b: survival_time > b)) AS quartile FROM surv, q)
- SELECT LOAN_ID FROM (SELECT *, row_number() OVER (PARTITION BY survival_event, quartile ORDER BY md5('42:' || LOAN_ID), LOAN_ID) AS k,
-  count(*) OVER (PARTITION BY survival_event, quartile) AS n, count(*) OVER () AS total FROM s)
- WHERE k <= least(greatest(floor(1000 * n / total), 1), n)""")
+# the floor of each share, at least one; what is left of 1,000 goes to the largest fractions
+SMART = SS.SURV + """, q AS (SELECT quantile_cont(survival_time, [0.25, 0.5, 0.75]) AS cut FROM surv),
+ s AS (SELECT LOAN_ID, survival_event, len(list_filter(cut, lambda b: survival_time > b)) AS quartile FROM surv, q),
+ sizes AS (SELECT survival_event, quartile, count(*) AS n, 1000 * count(*) / sum(count(*)) OVER () AS share,
+  sum(count(*)) OVER () AS total FROM s GROUP BY 1, 2),
+ low AS (SELECT *, least(greatest(floor(share), 1), n) AS base,
+  row_number() OVER (ORDER BY share < 1, share - floor(share) DESC, survival_event || '|' || quartile) AS place FROM sizes),
+ quota AS (SELECT survival_event, quartile, CASE WHEN total <= 1000 THEN n ELSE least(n,
+  base + (place <= 1000 - sum(base) OVER ())::int) END AS quota FROM low),
+ k AS (SELECT LOAN_ID, survival_event FROM (SELECT *, row_number() OVER (PARTITION BY survival_event, quartile
+  ORDER BY md5('42:' || LOAN_ID), LOAN_ID) AS k FROM s) JOIN quota USING (survival_event, quartile) WHERE k <= quota)"""
+
+
+@query("smart_sample", SMART + " SELECT LOAN_ID FROM k")
 def smart_sample(spark, d):
     return SA.smart_sample(surv(spark, d), 1000).select("LOAN_ID")
 
 
-@query("sample_quality", SS.SURV + """, q AS (SELECT quantile_cont(survival_time, [0.25, 0.5, 0.75]) AS cut FROM surv),
- s AS (SELECT LOAN_ID, survival_event, len(list_filter(cut, lambda b: survival_time > b)) AS quartile FROM surv, q),
- k AS (SELECT survival_event FROM (SELECT *, row_number() OVER (PARTITION BY survival_event, quartile ORDER BY md5('42:' || LOAN_ID), LOAN_ID) AS k,
-  count(*) OVER (PARTITION BY survival_event, quartile) AS n, count(*) OVER () AS total FROM s)
- WHERE k <= least(greatest(floor(1000 * n / total), 1), n))
- SELECT """ + r("(SELECT avg(survival_event) FROM surv)", "original_rate") + ", " + r("(SELECT avg(survival_event) FROM k)", "sample_rate") + ", "
+@query("sample_quality", SMART + " SELECT " + r("(SELECT avg(survival_event) FROM surv)", "original_rate") + ", "
+       + r("(SELECT avg(survival_event) FROM k)", "sample_rate") + ", "
        + r("abs((SELECT avg(survival_event) FROM surv) - (SELECT avg(survival_event) FROM k))", "difference"))
 def sample_quality(spark, d):
     df = surv(spark, d)
@@ -274,7 +280,7 @@ def cox_scores(spark, d):
 
 # --- concordance and comparison ----------------------------------------------
 
-C_COLUMNS = "concordant, tied, pairs, " + r("(concordant + 0.5*tied) / pairs", "c_index", 9)
+C_COLUMNS = "concordant::double AS concordant, tied::double AS tied, pairs::double AS pairs, cast(0 AS bigint) AS left_out, " + r("(concordant + 0.5*tied) / pairs", "c_index", 9)
 
 
 @query("c_index", SS.SURV + ",\n" + SS.concordance_cte("c", "OLTV", "valid") + f"\nSELECT {C_COLUMNS} FROM c")
@@ -282,7 +288,7 @@ def c_index(spark, d):
     return rounded(CC.concordance(valid(spark, d), "OLTV"), 9)
 
 
-@query("cox_c_index", SCORED3 + ",\n" + SS.concordance_cte("c", "w", "scored") + f"\nSELECT {r('(concordant + 0.5*tied) / pairs', 'c_index')}, pairs FROM c")
+@query("cox_c_index", SCORED3 + ",\n" + SS.concordance_cte("c", "w", "scored") + f"\nSELECT {r('(concordant + 0.5*tied) / pairs', 'c_index')}, pairs::double AS pairs FROM c")
 def cox_c_index(spark, d):
     model, df, cached = fitted(spark, d)
     out = CC.concordance(df.withColumn("risk", model.partial_hazard()), "risk")
@@ -330,6 +336,70 @@ def macro_effect(spark, d):
     return rounded(result.metrics.withColumn("test_c_index", held_out[F.col("model")]))
 
 
+# --- many distinct times -------------------------------------------------------
+
+# days from a fixed date to the order, with hundredths: nearly as many times as rows
+DAYS = """WITH days AS (SELECT o_orderkey AS LOAN_ID,
+ date_diff('day', DATE '1990-01-01', cast(o_orderdate AS date)) + (o_custkey % 100) / 1e2 AS survival_time,
+ cast(o_orderstatus = 'F' AS int) AS survival_event, cast(50 + o_custkey % 50 AS double) AS OLTV,
+ cast(10 + o_custkey % 41 AS double) AS DTI FROM orders)"""
+
+
+def days(spark, d):
+    return I.table(spark, d, "orders").selectExpr(
+        "o_orderkey AS LOAN_ID", "datediff(cast(o_orderdate AS date), DATE '1990-01-01') + (o_custkey % 100) / 1e2 AS survival_time",
+        "cast(o_orderstatus = 'F' AS int) AS survival_event", "cast(50 + o_custkey % 50 AS double) AS OLTV",
+        "cast(10 + o_custkey % 41 AS double) AS DTI")
+
+
+@query("risk_table_days", DAYS + ", " + RISK.format(src="days") + " SELECT * FROM risk")
+def risk_table_days(spark, d):
+    return T.risk_table(days(spark, d))
+
+
+@query("nelson_aalen_days", DAYS + ", " + RISK.format(src="days") + ", " + HAZARD + f" SELECT time, at_risk, events, {LIMITS} FROM cum")
+def nelson_aalen_days(spark, d):
+    return rounded(T.nelson_aalen(T.risk_table(days(spark, d))))
+
+
+@query("cox_loglik_days", DAYS + f", {FIXED_CTE},\n{SS.evaluate_cte('ee', 'fixed', PAIR, 'days', 'efron')}\n"
+       f"SELECT n AS rows, events, {r('ll', 'log_likelihood', 4)}, {r('g0', 'score_oltv', 4)}, {r('g1', 'score_dti', 4)} FROM ee")
+def cox_loglik_days(spark, d):
+    e = CX.evaluate(days(spark, d), FIXED)
+    return rounded(spark.createDataFrame([(e.rows, e.events, float(e.log_likelihood), *map(float, e.gradient))],
+                                         "rows long, events long, log_likelihood double, score_oltv double, score_dti double"), 4)
+
+
+@query("c_index_days", DAYS + ",\n" + SS.concordance_cte("c", "OLTV", "days") + f"\nSELECT {C_COLUMNS} FROM c")
+def c_index_days(spark, d):
+    return rounded(CC.concordance(days(spark, d), "OLTV"), 9)
+
+
+MACRO3 = ["OLTV", "alpha_PC1", "beta_PC1"]
+
+
+@query("hazard_ratios_macro", SS.SURV_MACRO + ",\nknown AS (SELECT * FROM valid WHERE alpha_PC1 IS NOT NULL AND beta_PC1 IS NOT NULL),\n"
+       + f"{SS.scaled_cte(MACRO3, 'known')},\n{SS.fit_cte('fit', MACRO3)}\n" + " UNION ALL ".join(
+           f"SELECT '{c}' AS feature, {r(f'b{i}', 'coef', 6)}, {r(f'exp(b{i})', 'hazard_ratio', 6)} FROM fit" for i, c in enumerate(MACRO3) if i))
+def hazard_ratios_macro(spark, d):
+    """Hazard ratios of the macro features of a model that has others too."""
+    df = FE.valid_survival(surv_macro(spark, d)).where("alpha_PC1 IS NOT NULL AND beta_PC1 IS NOT NULL")
+    df = FE.Scaler.fit(df, MACRO3).transform(df)
+    model = CX.fit_cox(df, MACRO3)
+    return rounded(model.hazard_ratios(spark, only=FACTORS).select("feature", "coef", "hazard_ratio"))
+
+
+@query("cox_fallback", f"{SS.SURV}, {SS.scaled_cte(['OLTV'])},\n{SS.fit_cte('fit', ['OLTV'], penalizer=0.0)}\n"
+       f"SELECT 'OLTV' AS feature, {r('b0', 'coef')}, 3 AS attempt, 0e0 AS penalizer FROM fit")
+def cox_fallback(spark, d):
+    """Without a penalty, a repeated feature makes the information singular: fewer features are left."""
+    df, cached = scaled(spark, d, ["OLTV"])
+    model = CX.fit_cox_with_fallback(df.withColumn("again", F.col("OLTV")), ["OLTV", "again"], penalizer=0.0, minimal=1)
+    cached.unpersist()
+    return rounded(spark.createDataFrame([(c, b, model.attempt, model.penalizer) for c, b in model.beta.items()],
+                                         "feature string, coef double, attempt int, penalizer double"))
+
+
 # --- forest -----------------------------------------------------------------
 
 def forest(spark, d):
@@ -337,6 +407,13 @@ def forest(spark, d):
     return FO.fit_forest(df, SS.STATIC), df
 
 
+@query("rsf_bootstrap", SS.SURV + ", " + SS.bootstrap_cte(FO.ForestParams()) + " SELECT * FROM drawn")
+def rsf_bootstrap(spark, d):
+    """How often every tree draws every loan; loans not drawn are left out."""
+    rows = valid(spark, d).select(F.col("LOAN_ID").alias("key"))
+    return FO.bootstrap(rows, FO.ForestParams()).select(F.col("key").alias("LOAN_ID"), "tree", "w")
+
+
 @query("rsf_fit")
 def rsf_fit(spark, d):
     """Splits of the fitted forest, one row per inner node."""
@@ -370,6 +447,71 @@ def rsf_curves(spark, d):
     return rounded(model.survival_curves(df.orderBy("LOAN_ID").limit(5), "LOAN_ID"))
 
 
+# a forest of three trees and two levels is small enough to be grown in SQL as well
+FEW = FO.ForestParams(trees=3, max_depth=2, sample=0.6)
+
+
+def few_trees(spark, d):
+    df = valid(spark, d).select("LOAN_ID", "survival_time", "survival_event", *SS.STATIC).persist()
+    model = FO.fit_forest(df, SS.STATIC, params=FEW)
+    return model, df
+
+
+FEW_SQL = SS.SURV + SS.forest_cte(FEW, SS.STATIC)
+
+
+@query("rsf_few_splits", FEW_SQL + " SELECT tree, node, feature, bin FROM splits")
+def rsf_few_splits(spark, d):
+    """Log-rank splits of the first two levels."""
+    model, df = few_trees(spark, d)
+    df.unpersist()
+    return spark.createDataFrame(model.splits.astype(int), "tree int, node int, feature int, bin int")
+
+
+@query("rsf_few_score", FEW_SQL + f" SELECT LOAN_ID, {r('risk', 'risk')} FROM score")
+def rsf_few_score(spark, d):
+    model, df = few_trees(spark, d)
+    return rounded(model.score(df).select("LOAN_ID", "risk"))
+
+
+@query("rsf_few_curve", FEW_SQL + f" SELECT time, {r('s', 'survival')}, {r('-ln(s + 1e-9)', 'cum_hazard')} FROM curve")
+def rsf_few_curve(spark, d):
+    model, df = few_trees(spark, d)
+    return rounded(model.average_curve(df))
+
+
+@query("rsf_few_c_index", FEW_SQL + ", scored AS (SELECT v.*, round(s.risk, 9) AS risk FROM valid v JOIN score s USING (LOAN_ID)),\n"
+       + SS.concordance_cte("c", "risk", "scored") + f"\nSELECT {C_COLUMNS} FROM c")
+def rsf_few_c_index(spark, d):
+    model, df = few_trees(spark, d)
+    return rounded(CC.concordance(model.score(df).withColumn("risk", F.round("risk", 9)), "risk"), 9)
+
+
+@query("rsf_few_risk_hist", FEW_SQL + f""", b AS (SELECT min(risk) AS lo, CASE WHEN max(risk) = min(risk) THEN 1 ELSE max(risk) - min(risk) END AS span FROM score),
+ g AS (SELECT least(floor((risk - lo) * 30 / span), 29)::int AS bin, count(*) AS n FROM score, b GROUP BY 1)
+ SELECT i::int AS bin, coalesce(n, 0)::bigint AS count FROM range(30) t(i) LEFT JOIN g ON g.bin = i""")
+def rsf_few_risk_hist(spark, d):
+    """Histogram of a forest's scores."""
+    model, df = few_trees(spark, d)
+    return FO.risk_histogram(model.score(df)).select("bin", "count")
+
+
+def forest_pair(spark, d):
+    return run_forest_effect(surv_macro(spark, d), FACTORS, I.SPLIT_DATE, params=FO.ForestParams(trees=10, max_depth=5))
+
+
+@query("rsf_macro_effect")
+def rsf_macro_effect(spark, d):
+    """Forests with and without the macro components: concordance before and after the split."""
+    return rounded(forest_pair(spark, d).c_index)
+
+
+@query("rsf_avg_cumhaz_split")
+def rsf_avg_cumhaz_split(spark, d):
+    """The full forest's average curves on both periods."""
+    return rounded(forest_pair(spark, d).curves)
+
+
 def _risk_hist_sql():
     from verification.queries_explore import histogram_sql
     return SCORED_FIXED + ",\n" + histogram_sql("scored", "w")
