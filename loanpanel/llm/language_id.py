@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanpanel.llm.shingles import mix
+from loanpanel.operators.sampling import stratified_ids
 
 BITS = 15  # hashed features
 ORDERS = (1, 2, 3)
@@ -163,23 +164,21 @@ def train(docs: DataFrame, per_language: int = 1_000, passes: int = 3) -> Model:
 
     Document frequencies count every row. Weights and temperature are fitted on at most
     ``per_language`` documents of each language, the first in a hash order of the id; every fifth
-    of them is set aside for the temperature.
+    of them, in the order of ids, is set aside for the temperature. A null id is in no sample.
     """
     docs = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
     seen, total = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + seen)) + 1
-    place = F.xxhash64(F.lit(11), "doc_id")
     # the sample has a bound, so its ids may be sent along and its texts collected
-    ids = (docs.selectExpr("doc_id", "lang").withColumn("place", place)
-           .withColumn("nth", F.expr("row_number() over (partition by lang order by place, doc_id)"))
-           .filter(F.col("nth") <= per_language).select("doc_id", "lang", "nth"))
-    sample = docs.join(F.broadcast(ids), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).collect()
-    sample = sorted(sample, key=lambda r: (r["lang"], r["nth"]))
+    ids = stratified_ids(docs.select("doc_id", "lang").distinct(), ["lang"], lambda sizes: sizes.withColumn(
+        "quota", F.least("size", F.lit(per_language))), seed=11, key="doc_id").distinct()
+    sample = docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "lang"]).collect()
+    sample = sorted(sample, key=lambda r: (r["lang"], r["doc_id"]))
     languages = sorted({r["lang"] for r in sample})
     rows = []
     texts = [r["text"].encode() for r in sample]
     for i, feature, count in features(texts):
-        rows.append((feature, _vector(feature, count, idf), languages.index(sample[i]["lang"]), sample[i]["nth"]))
+        rows.append((feature, _vector(feature, count, idf), languages.index(sample[i]["lang"]), i))
     fitted = [r[:3] for r in rows if r[3] % 5]
     aside = [r[:3] for r in rows if r[3] % 5 == 0] or fitted
     weights, bias = train_ftrl(fitted, len(languages), passes)

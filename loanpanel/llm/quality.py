@@ -192,6 +192,6 @@ def passing(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share a doc_id stay if one of them passes.
     """
-    verdict = judge(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"))
-    bad = verdict.filter("not _kept").select("_id")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    verdict = judge(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("good"))
+    bad = verdict.filter("not good").select("_id")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")

@@ -3,20 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loanpanel.session import scratch_path, shared_dir
+from loanpanel.session import cut, scratch_path
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and go on from the copy.
-
-    Lost executors then cost a reread instead of the whole lineage. A folder is set here
-    only if the session has none, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+__all__ = ["cut", "read", "sent_if_small", "shared_table"]
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
@@ -29,5 +20,11 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent_if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df`` written once, and broadcast to joins if it has at most ``most`` rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
