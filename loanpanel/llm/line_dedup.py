@@ -8,10 +8,11 @@ have an equal variant. Variants are hashed keys; of the lines with an equal key
 word left out, all but the earliest go, and so do lines that one more word turns into an earlier
 line, or the other way round. The partner found is verified word by word.
 
-Only lines that may have a partner emit variants: an edit leaves the first or the second half
-of a line's words alone, so a line no other line shares a half with has none.
-Everything is DataFrame functions; keys are pre-aggregated, so a line or a variant of very many
-lines is no hot group.
+Only lines that may have a partner emit variants: an edit leaves the first or the last words of a
+line alone, so a line that shares neither end with another has none. Everything is DataFrame
+functions; keys are pre-aggregated, so a line or a variant of very many lines is no hot group.
+Tables of suspects are sent to the executors while they have at most a million rows; beyond,
+they are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanpanel.llm.storage import cut, shared_table
+from loanpanel.llm.storage import cut, sent_if_small, shared_table
 
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -36,31 +37,42 @@ def lines_of(docs: DataFrame) -> DataFrame:
         F.regexp_like("line", F.lit(r"[^\x20\x09-\x0D]")))
 
 
-def _halves(words: Column, n: Column) -> Column:
+def _end_length(n: Column) -> Column:
+    """Words of either end that make a key for a line of n words: at most (n - 1) / 2.
+
+    Steps of a quarter, so that lines of nearly the same length agree on it.
+    """
+    step = F.floor(F.log((n - 1) / 2) / F.log(F.lit(1.25)) + 1e-9)
+    return F.floor(F.pow(F.lit(1.25), step) + 1e-9).cast("int")
+
+
+def _ends(words: Column, n: Column) -> Column:
     """Keys of which two lines within one edit share at least one.
 
-    A line of n words gives its first n div 2 and its last n - n div 2 words for its own length,
-    and the same for length n - 1, as the longer line of an insertion.
+    The first and the last words in the number for n; where it differs for n - 1, also in that
+    one, as the longer line of an insertion. One edit cannot change both ends.
     """
     def pair(m: Column) -> list[Column]:
-        front = F.floor(m / 2).cast("int")
-        return [F.xxhash64(F.lit("front"), m, F.slice(words, F.lit(1), front)),
-                F.xxhash64(F.lit("back"), m, F.slice(words, n - (m - front) + 1, m - front))]
+        return [F.xxhash64(F.lit("front"), m, F.slice(words, F.lit(1), m)),
+                F.xxhash64(F.lit("back"), m, F.slice(words, n - m + 1, m))]
 
-    return F.array(*pair(n), *pair(n - 1))
+    own, shorter = _end_length(n), _end_length(n - 1)
+    return F.when(own == shorter, F.array(*pair(own))).otherwise(F.array(*pair(own), *pair(shorter)))
 
 
 def line_keys(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, line_no, x, y (128 bits of the words), halves (null for lines below ``min_words``)."""
+    """doc_id, line_no, x, y (128 bits of the words), ends (null for lines below ``min_words``)."""
     rows = lines_of(docs).withColumn("words", words_of(F.col("line"))).withColumn("n", F.size("words"))
     return rows.select("doc_id", "line_no", F.xxhash64("words").alias("x"), F.xxhash64(F.lit(1), "words").alias("y"),
-                       F.when(F.col("n") >= min_words, _halves(F.col("words"), F.col("n"))).alias("halves"))
+                       F.when(F.col("n") >= min_words, _ends(F.col("words"), F.col("n"))).alias("ends"))
 
 
-def distinct_lines(keys: DataFrame) -> DataFrame:
-    """x, y, first (earliest place), copies, halves."""
-    return keys.groupBy("x", "y").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"),
-                                      F.min("halves").alias("halves"))
+def suspects_of(keys: DataFrame) -> DataFrame:
+    """x of the lines that share an end with another line."""
+    ends = keys.filter("ends is not null").select("x", F.explode("ends").alias("shared"))
+    shared = (ends.groupBy("shared").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+              .filter("low <> high").select("shared"))
+    return ends.join(sent_if_small(shared), "shared", "left_semi").select("x").distinct()
 
 
 def variants_of(lines: DataFrame) -> DataFrame:
@@ -99,35 +111,31 @@ def within_one_edit(a: Column, b: Column) -> Column:
             .otherwise(tail(a, first) == tail(b, first + 1)))
 
 
-def suspect_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """x, y, first, words of the distinct lines that share a half with another."""
-    halves = distinct.filter("halves is not null").select("x", F.explode("halves").alias("half"))
-    shared = (halves.groupBy("half").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-              .filter("low <> high").select("half"))
-    suspects = halves.join(shared, "half", "left_semi").select("x").distinct()
-    places = distinct.select("x", "y", "first").join(suspects, "x", "left_semi")
+def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(x, y, first, partner) of those ``lines`` with an earlier one within one edit: verified places.
+
+    ``lines`` has x, y and first, the earliest place of a line.
+    """
     texts = lines_of(docs).select(F.struct("doc_id", "line_no").alias("first"), "line")
     # a place names one line; repeated rows of a document repeat it
-    return (places.join(texts, "first").withColumn("words", words_of(F.col("line"))).drop("line")
-            .dropDuplicates(["x", "y"]))
-
-
-def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(x, y, first, partner) of distinct lines with an earlier one within one edit: verified places."""
-    suspects = cut(suspect_lines(docs, distinct))
-    variants = variants_of(suspects)
-    # a variant of a single line has no partner
-    by_place = variants.groupBy("vx", "vy", "left_out").agg(F.min("first").alias("earliest"), F.count("*").alias("n"))
+    lines = cut(texts.join(sent_if_small(lines), "first").withColumn("words", words_of(F.col("line"))).drop("line")
+                .dropDuplicates(["x", "y"]))
+    variants = variants_of(lines.repartition("x", "y"))
+    # most variants are of a single line and have no partner
+    shared = (variants.groupBy("vx").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+              .filter("low <> high").select("vx"))
+    variants = cut(variants.join(sent_if_small(shared), "vx", "left_semi"))
+    by_place = variants.groupBy("vx", "vy", "left_out").agg(F.min("first").alias("earliest"))
     by_key = by_place.groupBy("vx", "vy").agg(
-        F.sum("n").alias("all"), F.min(F.when(F.col("left_out") == 0, F.col("earliest"))).alias("whole"),
-        F.min(F.when(F.col("left_out") > 0, F.col("earliest"))).alias("longer")).filter(F.col("all") > 1).drop("all")
+        F.min(F.when(F.col("left_out") == 0, F.col("earliest"))).alias("whole"),
+        F.min(F.when(F.col("left_out") > 0, F.col("earliest"))).alias("longer"))
     known = by_place.join(by_key, ["vx", "vy"]).select(
         "vx", "vy", "left_out", F.when(F.col("left_out") == 0, F.col("longer"))
         .otherwise(F.least("earliest", "whole")).alias("partner"))
     partners = (variants.join(known, ["vx", "vy", "left_out"]).filter("partner < first")
                 .groupBy("x", "y", "first").agg(F.min("partner").alias("partner")))
-    mine = suspects.select("x", "y", "words")
-    theirs = suspects.select(F.col("first").alias("partner"), F.col("words").alias("other"))
+    mine = lines.select("x", "y", "words")
+    theirs = lines.select(F.col("first").alias("partner"), F.col("words").alias("other"))
     return (partners.join(mine, ["x", "y"]).join(theirs, "partner")
             .filter(within_one_edit(F.col("words"), F.col("other"))).select("x", "y", "first", "partner"))
 
@@ -135,44 +143,52 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """doc_id, line_no, near (boolean): the lines that go, equal copies and near ones."""
     keys = shared_table(line_keys(docs, min_words), "lines")
-    distinct = cut(distinct_lines(keys))
-    near = near_lines(docs, distinct).select("x", "y", F.lit(True).alias("near"))
-    repeated = distinct.join(near, ["x", "y"], "left").filter("copies > 1 or near").select("x", "y", "first", "near")
-    rows = keys.select("doc_id", "line_no", "x", "y").join(repeated, ["x", "y"])
+    suspects = suspects_of(keys).withColumn("suspect", F.lit(True))
+    distinct = keys.groupBy("x", "y").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"))
+    lines = cut(distinct.join(sent_if_small(suspects), "x", "left").filter("copies > 1 or suspect"))
+    near = near_lines(docs, lines.filter("suspect").select("x", "y", "first")).select("x", "y", F.lit(True).alias("near"))
+    repeated = lines.join(near, ["x", "y"], "left").filter("copies > 1 or near").select("x", "y", "first", "near")
+    rows = keys.select("doc_id", "line_no", "x", "y").join(sent_if_small(repeated), ["x", "y"])
     is_first = F.struct("doc_id", "line_no") == F.col("first")
     return rows.filter(F.col("near") | ~is_first).select(
         "doc_id", "line_no", (F.coalesce("near", F.lit(False)) & is_first).alias("near"))
 
 
+def _cleared(docs: DataFrame, min_words: int) -> DataFrame:
+    """row (all columns of ``docs``), left (the text that stays), exact and near (numbers of lines that go)."""
+    gone = (removed_lines(docs, min_words).groupBy("doc_id")
+            .agg(F.collect_set("line_no").alias("gone"), F.count_if(~F.col("near")).alias("exact"),
+                 F.count_if("near").alias("near")))  # at most a document's lines
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("whole"), F.struct("*").alias("row"))
+    rows = rows.join(sent_if_small(gone), F.col("id").eqNullSafe(F.col("doc_id")), "left")
+    lines = F.transform(F.split("whole", "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
+    stay = F.filter(lines, lambda x: ~F.array_contains("gone", x["i"]))
+    text = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.array_join(F.transform(stay, lambda x: x["line"]), "\n"))
+    none = F.lit(0).cast("long")
+    return rows.select("row", text.alias("left"), F.coalesce("exact", none).alias("exact"), F.coalesce("near", none).alias("near"))
+
+
 def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """``docs`` with removed_exact and removed_near (long), the text without the lines that go.
 
     Blank lines stay. A null text stays null. Rows that share a doc_id are read as one place: a
-    line number that goes, goes in all of them. Texts count whole; other columns pass. An empty
-    table gives no rows.
+    line number that goes, goes in all of them. Texts count whole; other columns pass, but for
+    those named like the two new ones. An empty table gives no rows.
     """
-    gone = (removed_lines(docs, min_words).groupBy("doc_id")
-            .agg(F.collect_set("line_no").alias("_gone"), F.count_if(~F.col("near")).alias("removed_exact"),
-                 F.count_if("near").alias("removed_near")))  # at most a document's lines
-    gone = gone.withColumnRenamed("doc_id", "_id")
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    lines = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
-    stay = F.filter(lines, lambda x: ~F.array_contains("_gone", x["i"]))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda x: x["line"]), "\n"))
-    none = F.lit(0).cast("long")
-    return rows.withColumn("text", text).withColumn("removed_exact", F.coalesce("removed_exact", none)).withColumn(
-        "removed_near", F.coalesce("removed_near", none)).drop("_id", "_gone")
+    new = ["removed_exact", "removed_near"]
+    columns = [F.col("left").alias(c) if c == "text" else F.col(f"row.{c}") for c in docs.columns if c not in new]
+    return _cleared(docs, min_words).select(*columns, F.col("exact").alias(new[0]), F.col("near").alias(new[1]))
 
 
-def documents_left(docs: DataFrame, **options) -> DataFrame:
+def documents_left(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """``docs`` with the lines that stay, without the documents that lost their last word.
 
-    ``n_chars``, where there is such a column, is counted anew.
+    ``n_chars``, where there is such a column, is counted anew for changed texts.
     """
-    rows = dedup_lines(docs, **options)
-    emptied = (F.col("removed_exact") + F.col("removed_near") > 0) & ~F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
-    rows = rows.filter(~emptied | F.col("text").isNull())
+    changed = F.col("exact") + F.col("near") > 0
+    rows = _cleared(docs, min_words).filter(~changed | F.regexp_like("left", F.lit(r"[^\x20\x09-\x0D]")))
+    own = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        count = F.when(F.col("removed_exact") + F.col("removed_near") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        rows = rows.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        count = F.when(changed, F.length("left")).otherwise(F.col("row.n_chars"))
+        own["n_chars"] = count.cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[own.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
