@@ -130,8 +130,10 @@ def credit_impact(spark, d):
   min(act_period) AS first_month FROM (SELECT *, {Q.ACT_PERIOD} AS act_period FROM p) LEFT JOIN pcs USING (act_period) GROUP BY data_quarter""")
 def pipeline_panel(spark, d):
     base = scratch_path(spark, "pipeline")
-    lines = raw_lines(spark, d).repartition("data_quarter").sortWithinPartitions(*I.INGEST)
-    lines.select("value", F.col("data_quarter").alias("quarter")).write.partitionBy("quarter").text(f"{base}/raw")
+    lines = raw_lines(spark, d).withColumnRenamed("data_quarter", "quarter")
+    # the writer would sort by quarter anew, and lose the order, if the rows were not so sorted
+    lines = lines.repartition("quarter").sortWithinPartitions("quarter", *I.INGEST)
+    lines.select("value", "quarter").write.partitionBy("quarter").text(f"{base}/raw")
     quarters = [f"{y}Q{q}" for y in range(1990, 2010) for q in (1, 2, 3, 4)]  # those without a file are skipped
     clean_quarters(spark, f"{base}/raw", quarters, f"{base}/clean", "quarter={}")
     panel = build_master(spark, sinks.read_master(spark, f"{base}/clean"), f"{base}/master", f"{base}/static")
