@@ -9,10 +9,13 @@
    trees follows from the target recall.
 3. Within a node, pairs that look similar enough (the estimate's error allowed for) are
    reduced to a heaviest spanning forest, so a group of copies gives as many pairs as it has
-   members. The pairs are confirmed on full sets, and confirmed links are joined to components.
-4. Where a pair of a forest was not confirmed, or a node stayed larger than ``limit`` at the
-   deepest level, all its similar-looking pairs between different components are confirmed too.
-   Pairs within a component can add nothing, so no link is lost to the forest.
+   members. The forests of all trees make candidate groups; the pairs are confirmed on full sets,
+   and confirmed links are joined to components.
+4. A candidate group that is not one component yet is compared exactly: its members outside the
+   largest component meet all members, on full sets, until they are linked. Pairs within a
+   component can add nothing, so no link is lost to the forest.
+
+Nodes and groups that are larger than a task should hold are compared in chunks.
 
 (Christiani, Pagh, Sivertsen: Scalable and Robust Set Similarity Join.)
 """
@@ -29,9 +32,11 @@ from pyspark.sql import functions as F
 
 from loanpanel.llm import shingles
 from loanpanel.llm.components import connected_components
-from loanpanel.llm.storage import cut
+from loanpanel.llm.storage import cut, sent_if_small
 
 PERMUTATIONS = 64
+POSTINGS = 1 << 20  # posting-list entries counted at once
+GROUP = ["node", "chunk", "chunk2"]
 ERRORS = 4.0  # standard errors below the threshold at which an estimate still counts as similar
 
 
@@ -147,10 +152,11 @@ def _similar(group: np.ndarray, size: np.ndarray, short: np.ndarray, threshold:
     return np.concatenate(left), np.concatenate(right), np.concatenate(weight)
 
 
-def _spanning_forest(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Numbers of the pairs of a heaviest spanning forest (Boruvka); ties by place."""
+def _spanning_forest(label: np.ndarray, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs of a heaviest spanning forest (Boruvka) over the labels; ties by place."""
     order = np.argsort(-weight, kind="stable")
-    a, b, number = left[order], right[order], order
+    a, b, number = label[left[order]], label[right[order]], order
+    n = int(label.max(initial=0)) + 1
     root = np.arange(n)
     taken: list[np.ndarray] = []
 
@@ -160,73 +166,125 @@ def _spanning_forest(n: int, left: np.ndarray, right: np.ndarray, weight: np.nda
             x = root[x]
         return x
 
-    label = np.arange(n)
     while len(a):
         best = np.full(n, len(a))
         rank = np.arange(len(a))
-        np.minimum.at(best, label[a], rank)
-        np.minimum.at(best, label[b], rank)
+        np.minimum.at(best, a, rank)
+        np.minimum.at(best, b, rank)
         chosen = np.unique(best[best < len(a)])
         for k in chosen:
             x, y = find(a[k]), find(b[k])
             root[max(x, y)] = min(x, y)
         taken.append(number[chosen])
-        label = root.copy()
-        while (label != label[label]).any():
-            label = label[label]
-        keep = label[a] != label[b]
+        now = root.copy()
+        while (now != now[now]).any():
+            now = now[now]
+        a, b = now[a], now[b]
+        keep = a != b
         a, b, number = a[keep], b[keep], number[keep]
     return np.concatenate(taken) if taken else np.empty(0, np.int64)
 
 
-def _compared(groups: DataFrame, threshold: float, forest: bool) -> DataFrame:
-    """(node, a, b): similar-looking pairs within (node, chunk[, chunk2]) of ``groups``.
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups (node, chunk, chunk2) from batches that are sorted by them."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        keys = [table.column(c).to_numpy() for c in GROUP]
+        last = np.logical_and.reduce([k == k[-1] for k in keys])
+        cut_at = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if cut_at:
+            yield table.slice(0, cut_at)
+        held = table.slice(cut_at)
+    if held is not None and held.num_rows:
+        yield held
 
-    ``groups`` has node, chunk, chunk2, rep, n_shingles, short and part; whole groups are
-    gathered across Arrow batches.
-    """
-    kept = dict(groups.dtypes)["rep"]
-    rows = (groups.repartition("node", "chunk", "chunk2")
-            .sortWithinPartitions("node", "chunk", "chunk2", "n_shingles", "rep"))
-
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        node, chunk, chunk2, size, part = (table.column(c).to_numpy() for c in (
-            "node", "chunk", "chunk2", "n_shingles", "part"))
-        new = (node[1:] != node[:-1]) | (chunk[1:] != chunk[:-1]) | (chunk2[1:] != chunk2[:-1])
-        group = np.append(0, np.cumsum(new))
-        short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(-1, PERMUTATIONS)
-        a, b, weight = _similar(group, size, short, threshold, None if forest else part)
-        if forest:
-            tree = _spanning_forest(len(group), a, b, weight)
-            a, b = a[tree], b[tree]
-        rep = table.column("rep").combine_chunks()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(node[a]), rep.take(pa.array(a)), rep.take(pa.array(b))], ["node", "a", "b"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            keys = [table.column(c).to_numpy() for c in ("node", "chunk", "chunk2")]
-            last = np.logical_and.reduce([k == k[-1] for k in keys])
-            cut_at = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            if cut_at:
-                yield pairs(table.slice(0, cut_at))
-            held = table.slice(cut_at)
-        if held is not None and held.num_rows:
-            yield pairs(held)
+def _group_numbers(table: pa.Table) -> np.ndarray:
+    keys = [table.column(c).to_numpy() for c in GROUP]
+    return np.append(0, np.cumsum(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
 
-    return rows.mapInArrow(compare, f"node long, a {kept}, b {kept}")
 
+def _compared(groups: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): a heaviest spanning forest of the similar-looking pairs within each of ``groups``.
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Of the distinct ``pairs`` (a, b of doc_ids), those whose full sets reach the threshold.
+    ``groups`` has node, chunk, chunk2, rep, n_shingles, short and part; pairs within a part are
+    left out, and a part counts as connected (null: a row is its own part).
+    """
+    kept = dict(groups.dtypes)["rep"]
+    rows = groups.repartition(*GROUP).sortWithinPartitions(*GROUP, "n_shingles", "rep")
 
-    Sets are computed for the documents of pairs only, and each is sent once per pair.
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            group, size = _group_numbers(table), table.column("n_shingles").to_numpy()
+            short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(-1, PERMUTATIONS)
+            part = table.column("part")
+            label, given = np.arange(len(group)), None
+            if not part.null_count:
+                given = part.to_numpy()
+                _, label = np.unique(np.stack([group, given]), axis=1, return_inverse=True)
+                label = label.ravel()
+            a, b, weight = _similar(group, size, short, threshold, given)
+            tree = _spanning_forest(label, a, b, weight)
+            rep = table.column("rep").combine_chunks()
+            yield pa.RecordBatch.from_arrays([rep.take(pa.array(a[tree])), rep.take(pa.array(b[tree]))], ["a", "b"])
+
+    return rows.mapInArrow(compare, f"a {kept}, b {kept}")
+
+
+def _linked_exactly(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that join parts within each of ``groups``, found on full sets.
+
+    ``groups`` has node, chunk, chunk2, rep, part and outside; rows outside the main part meet all
+    rows, by posting lists of the group's shingles.
     """
+    kept = dict(groups.dtypes)["rep"]
+    parts = round(threshold * 1_000_000)
+    rows = (groups.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+            .repartition(*GROUP).sortWithinPartitions(*GROUP, "rep"))
+
+    def joined(outside: np.ndarray, parts_of: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, int]]:
+        _, label = np.unique(parts_of, return_inverse=True)
+        size = np.array([len(x) for x in own])
+        _, shingle = np.unique(np.concatenate(own), return_inverse=True)
+        order = np.argsort(shingle, kind="stable")
+        holder = np.repeat(np.arange(len(own)), size)[order]
+        start = np.append(0, np.cumsum(np.bincount(shingle)))
+        first = np.append(0, np.cumsum(size))
+        found = []
+        for i in np.flatnonzero(outside):
+            mine, common = shingle[first[i]:first[i + 1]], np.zeros(len(own), np.int64)
+            count = start[mine + 1] - start[mine]
+            for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(np.cumsum(count) // POSTINGS)) + 1):
+                n = count[part]
+                place = np.repeat(start[mine[part]] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+                common += np.bincount(holder[place], minlength=len(own))
+            for j in np.flatnonzero((common * 1_000_000 >= parts * (size[i] + size - common)) & (label != label[i])):
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    found.append((i, j))
+        return found
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            first = np.append(np.flatnonzero(np.diff(_group_numbers(table), prepend=-1)), table.num_rows)
+            rep = table.column("rep").combine_chunks()
+            left, right = [], []
+            for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+                own = [np.frombuffer(x, np.uint64) for x in table.column("own").slice(lo, hi - lo).to_pylist()]
+                outside, part = (table.column(c).slice(lo, hi - lo).to_numpy() for c in ("outside", "part"))
+                for i, j in joined(outside, part, own):
+                    left.append(lo + i)
+                    right.append(lo + j)
+            yield pa.RecordBatch.from_arrays([rep.take(pa.array(x, pa.int64())) for x in (left, right)], ["a", "b"])
+
+    return rows.mapInArrow(compare, f"a {kept}, b {kept}")
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(doc_id, own): the sorted shingle hashes of the documents in ``ids``."""
     kept = dict(docs.dtypes)["doc_id"]
-    parts = max(1, round(threshold * 1_000_000))
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,28 +294,43 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: float)
                 out += [np.unique(values[first[i]:first[i + 1]]).tobytes() for i in range(len(part))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "own"])
 
+    wanted = docs.select("doc_id", "text").join(sent_if_small(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    return wanted.mapInArrow(full_sets, f"doc_id {kept}, own binary")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Of the distinct ``pairs`` (a, b of doc_ids), those whose full sets reach the threshold.
+
+    Sets are computed for the documents of pairs only, and each is sent once per pair.
+    """
+    kept = dict(docs.dtypes)["doc_id"]
+    parts = round(threshold * 1_000_000)
+
+    def linked(sides: tuple[set[bytes], set[bytes]]) -> bool:
+        for mine, theirs in ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x in sides[0] for y in sides[1]):
+            common = len(np.intersect1d(mine, theirs, assume_unique=True))
+            if common * 1_000_000 >= parts * (len(mine) + len(theirs) - common):
+                return True
+        return False
+
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        pair, sides, kind = None, (set(), set()), None  # more than one set where a doc_id repeats
         for batch in batches:
-            links = []
-            for a, b, mine in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "own"))):
-                mine = np.frombuffer(mine, np.uint64)
-                if held is not None and held[:2] == (a, b):
-                    theirs = held[2]
-                    common = len(np.intersect1d(mine, theirs, assume_unique=True))
-                    if common * 1_000_000 >= parts * (len(mine) + len(theirs) - common):
-                        links.append((a, b))
-                    held = None
-                else:
-                    held = (a, b, mine)
-            found = pa.array([x[0] for x in links], batch.column("a").type), pa.array([x[1] for x in links], batch.column("b").type)
-            yield pa.RecordBatch.from_arrays(list(found), ["a", "b"])
+            links, kind = [], batch.column("a").type
+            for a, b, doc_id, own in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "doc_id", "own"))):
+                if pair is not None and pair != (a, b):
+                    if linked(sides):
+                        links.append(pair)
+                    sides = (set(), set())
+                pair = (a, b)
+                sides[doc_id == b].add(own)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], kind) for i in (0, 1)], ["a", "b"])
+        if pair is not None and linked(sides):
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x in pair], ["a", "b"])
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "a", "b")
-    wanted = docs.select("doc_id", "text").join(ends.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = wanted.mapInArrow(full_sets, f"doc_id {kept}, own binary")
-    rows = ends.join(sets, "doc_id").repartition("a", "b").sortWithinPartitions("a", "b")
-    return rows.select("a", "b", "own").mapInArrow(overlaps, f"a {kept}, b {kept}").distinct()
+    rows = ends.join(_full_sets(docs, ends, words), "doc_id").repartition("a", "b").sortWithinPartitions("a", "b")
+    return rows.select("a", "b", "doc_id", "own").mapInArrow(overlaps, f"a {kept}, b {kept}").distinct()
 
 
 def _groups(nodes: DataFrame, limit: int) -> DataFrame:
@@ -269,31 +342,30 @@ def _groups(nodes: DataFrame, limit: int) -> DataFrame:
                .agg(F.min("rep").alias("rep"), F.first("chunks").alias("chunks"))
                .select("node", "rep", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")))
     rows = chunked.select("node", "chunk", "rep").unionByName(leaders.select("node", F.col("chunk").cast("int").alias("chunk"), "rep"))
-    return rows.withColumn("chunk2", F.lit(0)).withColumn("part", F.lit(0).cast("long"))
+    return rows.withColumn("chunk2", F.lit(0)).withColumn("part", F.lit(None).cast("long"))
 
 
 def _open_groups(nodes: DataFrame, part_of: DataFrame, limit: int) -> DataFrame:
-    """Second comparison: of each node, all against the members outside its largest component.
+    """Second comparison: of each node (node, rep), all against the members outside its largest part.
 
     Both sides are dealt to chunks of about ``limit``, and every chunk of the one meets every
-    chunk of the other.
+    chunk of the other. Nodes of a single part are left out.
     """
     rows = (nodes.join(part_of, "rep", "left")
-            .withColumn("part", F.xxhash64(F.coalesce("component", "rep"))))
+            .select("node", "rep", F.xxhash64(F.coalesce("component", "rep")).alias("part")))
     counts = rows.groupBy("node", "part").agg(F.count("*").alias("n"))
     nodes = counts.groupBy("node").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"),
                                        F.sum("n").alias("all"), F.max("n").alias("most")).filter("parts > 1")
-    rows = (rows.drop("members", "component").join(nodes, "node")
+    rows = (rows.join(nodes, "node").withColumn("outside", F.col("part") != F.col("main"))
             .withColumn("m", F.ceil(F.col("all") / limit).cast("int"))
             .withColumn("k", F.ceil((F.col("all") - F.col("most")) / limit).cast("int"))
             .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
-            .withColumn("outside", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("k")).cast("int")))
-    everyone = rows.select("node", "rep", "part", F.col("mine").alias("chunk"),
-                           F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("chunk2"))
-    outside = (rows.filter("part <> main")
-               .select("node", "rep", "part", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("chunk"),
-                       F.col("outside").alias("chunk2")))
-    return everyone.unionByName(outside).distinct()
+            .withColumn("other", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("k")).cast("int")))
+    one = ["node", "rep", "part", "outside"]
+    everyone = rows.select(*one, F.col("mine").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("chunk2"))
+    others = rows.filter("outside").select(
+        *one, F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("chunk"), F.col("other").alias("chunk2"))
+    return everyone.unionByName(others).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.995,
@@ -330,24 +402,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     for more in leaves[1:]:
         nodes = nodes.unionByName(more)
 
-    forest = cut(_compared(_groups(nodes, limit).join(members, "rep"), threshold, forest=True).distinct())
-    tried = forest.select("a", "b").distinct()
-    links = cut(_confirmed(tried, docs, words, threshold))
-    part_of = cut(connected_components(links)).withColumnRenamed("id", "rep")
-
-    def end(side: str) -> DataFrame:
-        return part_of.select(F.col("rep").alias(side), F.col("component").alias(f"{side}_part"))
-
-    apart = (forest.join(end("a"), "a", "left").join(end("b"), "b", "left")
-             .filter(~F.coalesce("a_part", "a").eqNullSafe(F.coalesce("b_part", "b"))).select("node").distinct())
-    again = nodes.filter(F.col("members") > limit).unionByName(
-        nodes.filter(F.col("members") <= limit).join(apart, "node", "left_semi"))
-    rest = _compared(_open_groups(again, part_of, limit).join(members, "rep"), threshold, forest=False)
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    rest = cut(rest.select(*pair).distinct().join(tried.select(*pair), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = cut(_confirmed(rest, docs, words, threshold))
-        part_of = cut(connected_components(links.unionByName(more))).withColumnRenamed("id", "rep")
+    def components(links: DataFrame) -> DataFrame:
+        return cut(connected_components(links)).withColumnRenamed("id", "rep")
+
+    forest = cut(_compared(_groups(nodes, limit).join(members, "rep"), threshold).filter("a <> b").distinct())
+    group_of = components(forest)
+    huge = nodes.filter(F.col("members") > limit).select("node", "rep")
+    if not huge.isEmpty():  # their chunks have met through the leaders only
+        more = cut(_compared(_open_groups(huge, group_of, limit).join(members, "rep"), threshold).filter("a <> b").distinct())
+        if not more.isEmpty():
+            forest = forest.unionByName(more).distinct()
+            group_of = components(forest)
+    links = cut(_confirmed(forest, docs, words, threshold))
+    part_of = components(links)
+    groups = _open_groups(group_of.select(F.xxhash64("component").alias("node"), "rep"), part_of, limit // 2)
+    groups = cut(groups)
+    if not groups.isEmpty():
+        sets = _full_sets(docs, groups.select(F.col("rep").alias("doc_id")), words)
+        more = cut(_linked_exactly(groups, sets, threshold).filter("a <> b").distinct())
+        if not more.isEmpty():
+            part_of = components(links.unionByName(more))
 
     digest = ["h1", "h2", "n_shingles"]
     found = (sketch.join(classes.select(*digest, "rep"), digest, "left").join(part_of, "rep", "left")
@@ -359,6 +433,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents whose component has a smaller doc_id, and without repeated rows of an id."""
     others = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(others, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    kept = docs.join(others, docs["doc_id"].eqNullSafe(others["_id"]), "left_anti")
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
