@@ -20,32 +20,72 @@ from pyspark.sql import functions as F
 BASE = (("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
         ("access", r"AKIA[A-Z0-9]+", 0, 16),
         ("hex", r"[0-9a-f]+", 0, 32))
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: The same spans with the least length in the pattern, where a match that is too short hides no other.
+FASTER = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
+#: Strings of which a text with a match has one.
+HINTS = {"assign": ("=", ":"), "access": ("AKIA",)}
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 START = " "
+SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def pattern_spans(text: Column, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start, end>> of the leftmost non-overlapping matches whose group has ``least`` characters."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    rows = F.arrays_zip(between.alias("gap"), F.transform(found, lambda x: F.length(x)).alias("n"),
-                        F.transform(inner, lambda x: F.length(x)).alias("inner"))
-    span = "array<struct<start:bigint,end:bigint,inner:bigint>>"
-    walked = F.aggregate(
-        F.slice(rows, 1, F.size(found)), F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(span).alias("spans")),
-        lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + m["n"]).cast("bigint").alias("at"),
-            F.concat(acc["spans"], F.array(F.struct(
-                (acc["at"] + m["gap"]).cast("bigint").alias("start"),
-                (acc["at"] + m["gap"] + m["n"]).cast("bigint").alias("end"), m["inner"].cast("bigint").alias("inner"))))
-            .cast(span).alias("spans")))["spans"]
-    kept = F.transform(F.filter(walked, lambda s: s["inner"] >= least),
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once.
+
+    The optimiser copies a projection into each of its uses; it leaves a generated row alone.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def matches(text: Column, kind: str, pattern: str) -> Column:
+    """All matches of a pattern; texts without one of its hints are not searched."""
+    found = F.regexp_extract_all(text, F.lit(FASTER.get(kind, pattern)), F.lit(0))
+    hinted = F.lit(False)
+    for hint in HINTS.get(kind, ()):
+        hinted = hinted | F.contains(text, F.lit(hint))
+    return F.when(hinted, found).otherwise(F.array().cast("array<string>")) if kind in HINTS else found
+
+
+def with_spans(df: DataFrame, patterns: dict[str, tuple[str, int, int]]) -> DataFrame:
+    """``df`` (text and more) with an array<struct<start, end>> per kind of (pattern, group, least).
+
+    Spans are the leftmost non-overlapping matches whose group has ``least`` characters; they come
+    from the lengths of the matches and of the pieces between them.
+    """
+    text, none = F.col("text"), F.array().cast("array<string>")
+    df = once(df, **{f"{kind}_found": matches(text, kind, p) for kind, (p, *_) in patterns.items()})
+    pieces = {}
+    for kind, (pattern, group, _) in patterns.items():
+        some = F.size(f"{kind}_found") > 0
+        pieces[f"{kind}_between"] = F.when(some, F.split(text, FASTER.get(kind, pattern), -1)).otherwise(none)
+        if group:
+            pieces[f"{kind}_inner"] = F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(none)
+    df = once(df, **pieces)
+    spans = {}
+    for kind, (_, group, least) in patterns.items():
+        rows = F.zip_with(F.slice(f"{kind}_between", F.lit(1), F.size(f"{kind}_found")),
+                          F.arrays_zip(F.col(f"{kind}_found").alias("found"), F.col(f"{kind}_{'inner' if group else 'found'}").alias("inner")),
+                          lambda gap, m: F.struct(F.length(gap).cast("bigint").alias("gap"), F.length(m["found"]).cast("bigint").alias("n"),
+                                                  F.length(m["inner"]).alias("inner")))
+        spans[kind] = _long_enough(_walked(rows), least).cast(SPANS)
+    df = once(df, **spans)
+    return df.drop(*[f"{kind}_{part}" for kind in patterns for part in ("found", "between", "inner")])
+
+
+def _walked(rows: Column) -> Column:
+    """array<struct<start, end, inner>> from the lengths of gaps and matches in order."""
+    span = "array<struct<start:bigint,end:bigint,inner:int>>"
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(span).alias("spans"))
+    return F.aggregate(rows, begin, lambda acc, m: F.struct(
+        (acc["at"] + m["gap"] + m["n"]).alias("at"),
+        F.concat(acc["spans"], F.array(F.struct((acc["at"] + m["gap"]).alias("start"), (acc["at"] + m["gap"] + m["n"]).alias("end"),
+                                                m["inner"].alias("inner")))).cast(span).alias("spans")))["spans"]
+
+
+def _long_enough(spans: Column, least: int) -> Column:
+    return F.transform(F.filter(spans, lambda s: s["inner"] >= least),
                        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    # a text without the pattern is settled by one search
-    return F.when(F.regexp_like(text, F.lit(pattern)), kept).otherwise(
-        F.array().cast("array<struct<start:bigint,end:bigint>>"))
 
 
 def named(spans: Column, place: int, kind: str) -> Column:
@@ -54,13 +94,6 @@ def named(spans: Column, place: int, kind: str) -> Column:
         s["start"].alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<start, place, kind, end>> of all base kinds, by start, then kind as listed."""
-    kinds = [named(pattern_spans(text, pattern, group, least), i, kind)
-             for i, (kind, pattern, group, least) in enumerate(BASE)]
-    return F.array_sort(F.concat(*kinds))
-
-
 def of_kind(spans: Column, kind: str) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
@@ -84,22 +117,26 @@ def transition_counts(samples: DataFrame) -> DataFrame:
             .groupBy("random", "pair").agg(F.count("*").alias("n")))
 
 
-def log_ratios(counts: DataFrame, smoothing: float = 0.5) -> dict[str, float]:
-    """Pair -> log(P(second | first, random) / P(second | first, identifier)), smoothed over the alphabet."""
+def log_ratios(counts: DataFrame, smoothing: float = 0.5, weight: float = 8.0) -> dict[str, float]:
+    """Pair -> log(P(second | first, random) / P(second | first, identifier)).
+
+    A character's share after another is backed off, with ``weight``, to its share after any, and
+    that, with ``smoothing`` for each character, to the same share for all.
+    """
     tables: dict[bool, dict[str, float]] = {True: {}, False: {}}
     for row in counts.collect():  # bounded by the alphabet
-        tables[row["random"]][row["pair"]] = row["n"]
-    totals = {label: {} for label in tables}
+        if row["pair"][1] in ALPHABET:
+            tables[row["random"]][row["pair"]] = row["n"]
+    shares = {}
     for label, table in tables.items():
+        after, anywhere = dict.fromkeys(START + ALPHABET, 0), dict.fromkeys(ALPHABET, smoothing)
         for pair, n in table.items():
-            totals[label][pair[0]] = totals[label].get(pair[0], 0) + n
-    out = {}
-    for first in START + ALPHABET:
-        for second in ALPHABET:
-            share = [(tables[k].get(first + second, 0) + smoothing)
-                     / (totals[k].get(first, 0) + smoothing * len(ALPHABET)) for k in (True, False)]
-            out[first + second] = math.log(share[0] / share[1])
-    return out
+            after[pair[0]] = after.get(pair[0], 0) + n
+            anywhere[pair[1]] += n
+        total = sum(anywhere.values())
+        shares[label] = {first + second: (table.get(first + second, 0) + weight * anywhere[second] / total)
+                         / (after[first] + weight) for first in START + ALPHABET for second in ALPHABET}
+    return {pair: math.log(shares[True][pair] / shares[False][pair]) for pair in shares[True]}
 
 
 def mean_log_ratio(token: Column, ratios: dict[str, float]) -> Column:
@@ -115,9 +152,8 @@ def mean_log_ratio(token: Column, ratios: dict[str, float]) -> Column:
     return walked["sum"] / F.length(token)
 
 
-def _values(text: Column, pattern: str, group: int, least: int) -> Column:
-    found = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda v: F.length(v) >= least)
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast("array<string>"))
+def _at_least(least: int):
+    return lambda value: F.length(value) >= least
 
 
 def labelled_samples(docs: DataFrame, identifiers_from: int = 2_000) -> DataFrame:
@@ -127,8 +163,12 @@ def labelled_samples(docs: DataFrame, identifiers_from: int = 2_000) -> DataFram
     of at most ``identifiers_from`` documents, those that hold no base span.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    values = [_values(F.col("text"), pattern, group, least) for _, pattern, group, least in BASE]
-    secret = rows.select(F.explode(F.concat(*values)).alias("token"), F.lit(True).alias("random"))
+    found = once(rows, **{kind: matches(F.col("text"), kind, pattern) for kind, pattern, *_ in BASE})
+    values = []
+    for kind, pattern, group, least in BASE:
+        value = F.when(F.size(kind) > 0, F.regexp_extract_all("text", F.lit(pattern), F.lit(group))) if group else F.col(kind)
+        values.append(F.filter(F.coalesce(value, F.array().cast("array<string>")), _at_least(least)))
+    secret = found.select(F.explode(F.concat(*values)).alias("token"), F.lit(True).alias("random"))
     clean = ~F.regexp_like("text", F.lit(BASE[0][1])) & ~F.regexp_like("text", F.lit(BASE[1][1]))
     chosen = rows.select("doc_id").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(identifiers_from)
     words = rows.join(F.broadcast(chosen), "doc_id").filter(clean).select(
@@ -144,9 +184,11 @@ def scan(docs: DataFrame, ratios: dict[str, float], least_ratio: float = 0.5) ->
     rows are scanned each; other columns are not read.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("base", base_spans(F.col("text")))
-    added = F.filter(pattern_spans(F.col("text"), CANDIDATE, 0, 0), lambda s: ~F.exists(
-        F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    token = lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
-    added = F.filter(added, lambda s: mean_log_ratio(token(s), ratios) >= least_ratio)
-    return rows.select("doc_id", "base", named(added, len(BASE), "random").alias("added"))
+    rows = with_spans(rows, {kind: (pattern, group, least) for kind, pattern, group, least in BASE}
+                      | {"candidate": (CANDIDATE, 0, 0)})
+    rows = once(rows, base=F.array_sort(F.concat(*[named(F.col(kind), i, kind) for i, (kind, *_) in enumerate(BASE)])))
+    rows = once(rows, free=F.filter("candidate", lambda s: ~F.exists(
+        F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    token = lambda s: F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    added = F.filter("free", lambda s: mean_log_ratio(token(s), ratios) >= least_ratio)
+    return once(rows, added=named(added, len(BASE), "random")).select("doc_id", "base", "added")
