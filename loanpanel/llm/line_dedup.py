@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from loanpanel.llm.storage import cut, sent_if_small, shared_table
 
 SPACE = r"[\x20\x09-\x0D]+"
+BLANK = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def words_of(line: Column) -> Column:
-    """The words of a line, A-Z as a-z; none for a blank line."""
-    return F.filter(F.split(F.translate(line, UPPER, UPPER.lower()), SPACE), lambda w: w != "")
+    """The words of a line that has one, A-Z as a-z."""
+    return F.split(F.btrim(F.translate(line, UPPER, UPPER.lower()), F.lit(BLANK)), SPACE)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
