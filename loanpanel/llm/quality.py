@@ -29,6 +29,9 @@ WINDOW = 5  # words
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 #: How many times the middle half's width a measure may lie outside of it.
 WIDTHS = {"chars_per_token": 8.0, "byte_share": 8.0, "token_entropy": 4.0}
+#: The least that counts as the middle half's width, whatever the documents: most groups have no byte token at all.
+LEAST = {"chars_per_token": 0.05, "byte_share": 0.005, "token_entropy": 0.05}
+CHARACTER = 4  # byte tokens of one character at most
 #: First code point of a range and its script; other code points count for no script.
 SCRIPTS = ((0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"),
            (0x700, "other"), (0x900, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"),
@@ -153,13 +156,14 @@ def by_length(measures: DataFrame) -> DataFrame:
 def bands(rows: DataFrame, widths: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """Per group and length class: the lowest and highest allowed value of every measure.
 
-    Where the middle half is narrower than a hundredth of the median, that counts as its width.
+    Where the middle half is narrower than a hundredth of the median or than ``LEAST``, the larger
+    of these counts as its width.
     """
     out = rows.filter("n_words > 0").groupBy("group", "length_class").agg(
         *[F.percentile_approx(m, [0.25, 0.5, 0.75], accuracy).alias(m) for m in MEASURES])
     for m in MEASURES:
         low, middle, high = (F.get(m, F.lit(i)) for i in range(3))
-        spread = widths[m] * F.greatest(high - low, F.abs(middle) / 100)
+        spread = widths[m] * F.greatest(high - low, F.abs(middle) / 100, F.lit(LEAST[m]))
         out = out.withColumn(f"{m}_low", low - spread).withColumn(f"{m}_high", high + spread)
     return out.drop(*MEASURES)
 
@@ -170,7 +174,7 @@ def judge(docs: DataFrame, widths: dict[str, float] | None = None, min_words: in
 
     The base rules reject a text of fewer than ``min_words`` words and one with more than
     ``max_repeat`` per cent of its words in repeated windows. A null, empty or blank text has no
-    words and is rejected. A group's band needs no least number of documents: a document alone in
+    words and is rejected. The byte tokens of a single character never reject. A group's band needs no least number of documents: a document alone in
     its group lies within its own band. Texts count whole; repeated rows are judged each; other
     columns are not read; an empty table gives no rows.
     """
@@ -179,7 +183,10 @@ def judge(docs: DataFrame, widths: dict[str, float] | None = None, min_words: in
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     outside = F.lit(False)
     for m in MEASURES:
-        outside = outside | (F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high"))
+        above = F.col(m) > F.col(f"{m}_high")
+        if m == "byte_share":  # a share says little of a short text
+            above = above & (F.round(F.col(m) * F.col("n_tokens")) > CHARACTER)
+        outside = outside | (F.col(m) < F.col(f"{m}_low")) | above
     rows = rows.join(limits, ["group", "length_class"], "left")
     rows = rows.withColumn("base_failed", base).withColumn("fertility_failed", F.coalesce(outside, F.lit(False)))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens",

@@ -55,6 +55,18 @@ def test_fertility_rejects_what_its_language_does_not_write(spark):
     assert sum(not got[i]["kept"] for i in range(150)) <= 2
 
 
+def test_one_rare_character_does_not_reject(spark):
+    rng = random.Random(12)
+    vocabulary = words(rng, 300)
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in [12] * 60 + [rng.randint(100, 400) for _ in range(120)]]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    rows += [(1000, texts[70] + " \U0001F9EC", "en"), (1001, texts[0] + " \U0001F9EC", "en"),
+             (1002, texts[71] + " " + "\U0001F9EC " * 200, "en")]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["byte_share"] == 0 for i in range(180)) and got[1000]["byte_share"] > 0
+    assert got[1000]["kept"] and got[1001]["kept"] and got[1002]["fertility_failed"]
+
+
 def test_scripts():
     assert [quality.main_script(t) for t in ("abc", "где", "漢字 a", "日本のこと", "12 !", "", "ελ")] == [
         "latin", "cyrillic", "han", "japanese", "none", "none", "greek"]
