@@ -5,11 +5,13 @@ characters per token, the share of byte tokens, and the entropy of the document'
 distribution, less what its length explains. A document is compared with its group, its language
 or, without one, its main script, among documents of about its length: it is rejected where a
 measure lies outside the group's band, the middle half of all documents widened by a multiple
-of its width. Bands come from all documents by sums and mergeable quantile summaries.
+of its width. Bands come from all documents, equal texts of a group counted once, by sums and
+mergeable quantile summaries.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -85,7 +87,7 @@ def repeated_words(hashes: np.ndarray) -> int:
 
 
 def measured(docs: DataFrame, group_col: str | None = "lang", vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
-    """One row per document: doc_id, the base counts, the measures (null without a word) and its group."""
+    """One row per document: doc_id, the base counts, the measures (null without a word), its group and a digest of its text."""
     kept = dict(docs.dtypes)["doc_id"]
     own = docs.select("doc_id", "text", (F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")).alias("lang"))
     continuation = np.zeros(256, np.int64)
@@ -123,13 +125,15 @@ def measured(docs: DataFrame, group_col: str | None = "lang", vocabulary: str =
                     found["token_entropy"].append(_entropy(ids) if n else None)
             groups = [lang if lang is not None else main_script(t.decode())
                       for lang, t in zip(batch.column("lang").to_pylist(), texts)]
+            digests = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(found[c], pa.int64()) for c in counts),
-                 *(pa.array(found[c], pa.float64()) for c in MEASURES), pa.array(groups)],
-                ["doc_id", *counts, *MEASURES, "group"])
+                 *(pa.array(found[c], pa.float64()) for c in MEASURES), pa.array(groups, pa.string()),
+                 pa.array(digests, pa.binary())],
+                ["doc_id", *counts, *MEASURES, "group", "digest"])
 
     return own.mapInArrow(measure, f"doc_id {kept}, {', '.join(f'{c} long' for c in counts)}, "
-                                   f"{', '.join(f'{c} double' for c in MEASURES)}, group string")
+                                   f"{', '.join(f'{c} double' for c in MEASURES)}, group string, digest binary")
 
 
 def _entropy(ids: np.ndarray) -> float:
@@ -143,23 +147,35 @@ def length_class(n_tokens: Column) -> Column:
     return F.floor(F.log2(F.greatest(n_tokens, F.lit(1))) / 2)
 
 
-def by_length(measures: DataFrame) -> DataFrame:
-    """``measures`` with length_class, and token_entropy less the class's linear trend in log length."""
-    log_n = F.log(F.greatest("n_tokens", F.lit(1)))
-    rows = measures.withColumn("length_class", length_class(F.col("n_tokens")))
-    trend = (rows.filter("n_words > 0").groupBy("group", "length_class")
-             .agg(F.coalesce(F.try_divide(F.covar_pop("token_entropy", log_n), F.var_pop(log_n)), F.lit(0.0)).alias("trend")))
-    return (rows.join(trend, ["group", "length_class"], "left")
-            .withColumn("token_entropy", F.col("token_entropy") - F.col("trend") * log_n).drop("trend"))
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """Of ``rows`` with a word and a length class, one per text of a group: copies must not set its bands."""
+    return (rows.filter("n_words > 0").groupBy("group", "length_class", "digest")
+            .agg(*[F.first(c).alias(c) for c in ("n_tokens", *MEASURES)]))
 
 
-def bands(rows: DataFrame, widths: dict[str, float], accuracy: int = 10_000) -> DataFrame:
-    """Per group and length class: the lowest and highest allowed value of every measure.
+def log_length() -> Column:
+    return F.log(F.greatest("n_tokens", F.lit(1)))
 
-    Where the middle half is narrower than a hundredth of the median or than ``LEAST``, the larger
-    of these counts as its width.
+
+def trends(texts: DataFrame) -> DataFrame:
+    """Per group and length class: trend, the slope of token_entropy over log length."""
+    slope = F.try_divide(F.covar_pop("token_entropy", log_length()), F.var_pop(log_length()))
+    return texts.groupBy("group", "length_class").agg(F.coalesce(slope, F.lit(0.0)).alias("trend"))
+
+
+def less_trend() -> Column:
+    return F.col("token_entropy") - F.col("trend") * log_length()
+
+
+def bands(texts: DataFrame, widths: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """Per group and length class: the trend, and the lowest and highest allowed value of every measure.
+
+    token_entropy counts less its trend. Where the middle half is narrower than a hundredth of the
+    median or than ``LEAST``, the larger of these counts as its width.
     """
-    out = rows.filter("n_words > 0").groupBy("group", "length_class").agg(
+    rows = texts.join(trends(texts), ["group", "length_class"]).withColumn("token_entropy", less_trend())
+    out = rows.groupBy("group", "length_class").agg(
+        F.first("trend").alias("trend"),
         *[F.percentile_approx(m, [0.25, 0.5, 0.75], accuracy).alias(m) for m in MEASURES])
     for m in MEASURES:
         low, middle, high = (F.get(m, F.lit(i)) for i in range(3))
@@ -174,12 +190,13 @@ def judge(docs: DataFrame, widths: dict[str, float] | None = None, min_words: in
 
     The base rules reject a text of fewer than ``min_words`` words and one with more than
     ``max_repeat`` per cent of its words in repeated windows. A null, empty or blank text has no
-    words and is rejected. The byte tokens of a single character never reject. A group's band needs no least number of documents: a document alone in
-    its group lies within its own band. Texts count whole; repeated rows are judged each; other
-    columns are not read; an empty table gives no rows.
+    words and is rejected. Bands count equal texts of a group once; near copies count each. The byte
+    tokens of a single character never reject. A group's band needs no least number of documents: a
+    document alone in its group lies within its own band. Texts count whole; repeated rows are
+    judged each; other columns are not read; an empty table gives no rows.
     """
-    rows = by_length(cut(measured(docs, group_col, vocabulary)))
-    limits = bands(rows, {**WIDTHS, **(widths or {})})
+    rows = cut(measured(docs, group_col, vocabulary).withColumn("length_class", length_class(F.col("n_tokens"))))
+    limits = bands(cut(distinct_texts(rows)), {**WIDTHS, **(widths or {})})
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     outside = F.lit(False)
     for m in MEASURES:
@@ -187,7 +204,7 @@ def judge(docs: DataFrame, widths: dict[str, float] | None = None, min_words: in
         if m == "byte_share":  # a share says little of a short text
             above = above & (F.round(F.col(m) * F.col("n_tokens")) > CHARACTER)
         outside = outside | (F.col(m) < F.col(f"{m}_low")) | above
-    rows = rows.join(limits, ["group", "length_class"], "left")
+    rows = rows.join(limits, ["group", "length_class"], "left").withColumn("token_entropy", less_trend())
     rows = rows.withColumn("base_failed", base).withColumn("fertility_failed", F.coalesce(outside, F.lit(False)))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens",
                        *MEASURES, "group", "base_failed", "fertility_failed",

@@ -67,6 +67,23 @@ def test_one_rare_character_does_not_reject(spark):
     assert got[1000]["kept"] and got[1001]["kept"] and got[1002]["fertility_failed"]
 
 
+def test_copies_do_not_set_the_bands(spark):
+    """A third of all rows are copies of one text, once a middling one and once a hex dump."""
+    rng = random.Random(15)
+    vocabulary = words(rng, 400)
+    texts = [" ".join(rng.choice(vocabulary[:rng.randint(60, 400)]) for _ in range(rng.randint(90, 250))) for _ in range(200)]
+    schema = "doc_id long, text string, lang string"
+    alone = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], schema)).collect()}
+    middling = sorted(alone, key=lambda i: alone[i]["token_entropy"])[100]
+    dump = " ".join("%08x" % rng.getrandbits(32) for _ in range(100))
+    for hot in (texts[middling], dump):
+        rows = [(i, t, "en") for i, t in enumerate(texts + [hot] * 100)]
+        got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, schema)).collect()}
+        assert len(got) == 300 and len({got[i]["kept"] for i in range(200, 300)}) == 1  # every row is judged
+        assert sum(got[i]["kept"] != alone[i]["kept"] for i in range(200)) <= 2
+        assert got[200]["kept"] == (hot != dump)
+
+
 def test_scripts():
     assert [quality.main_script(t) for t in ("abc", "где", "漢字 a", "日本のこと", "12 !", "", "ελ")] == [
         "latin", "cyrillic", "han", "japanese", "none", "none", "greek"]
