@@ -1,8 +1,8 @@
 """Language identification by sparse multinomial logistic regression on character n-grams.
 
-Letters (case-folded in ASCII), with other characters as single breaks, give hashed character
-n-grams; their TF-IDF vector, scaled to length one, is the input. Document frequencies come from
-all training documents. Weights are trained with follow-the-regularised-leader and an elastic
+Letters of any script with their marks, in lower case, and other characters as single breaks give
+hashed n-grams of code points; their TF-IDF vector, scaled to length one, is the input. Document
+frequencies come from all training documents. Weights are trained with follow-the-regularised-leader and an elastic
 net, so most are zero; one temperature is then fitted on training documents the weights have
 not seen. Only the text is an input of a prediction.
 """
@@ -10,8 +10,11 @@ not seen. Only the text is an input of a prediction.
 from __future__ import annotations
 
 import math
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +38,21 @@ class Model:
     temperature: float
 
 
+@cache
 def _folded() -> np.ndarray:
-    """Bytes as letters: A-Z as a-z, bytes of other scripts as they are, all else a break (32)."""
-    table = np.arange(256, dtype=np.uint8)
-    table[:128] = 32
-    table[65:91] = table[97:123] = np.arange(97, 123)
+    """By code point: letters as their lower case, marks as they are, all else a break (32)."""
+    table = np.full(sys.maxunicode + 1, 32, np.uint32)
+    for point in range(sys.maxunicode + 1):
+        if unicodedata.category(c := chr(point))[0] in "LM":
+            low = c.lower()
+            table[point] = ord(low) if len(low) == 1 else point
     return table
 
 
+def _points(text: bytes) -> np.ndarray:
+    return np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le") + b" \0\0\0", "<u4")
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
@@ -56,15 +66,16 @@ def features(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         while last < len(texts) and (last == first or size + len(texts[last]) <= CHUNK):
             size += len(texts[last]) + 1
             last += 1
-        data = table[np.frombuffer(b" ".join(texts[first:last]) + b" ", np.uint8)]
-        owner = np.repeat(np.arange(first, last), [len(t) + 1 for t in texts[first:last]])
+        points = [_points(t) for t in texts[first:last]]
+        data = table[np.concatenate(points)]
+        owner = np.repeat(np.arange(first, last), [len(p) for p in points])
         keep = np.append(True, (data[1:] != 32) | (data[:-1] != 32) | (owner[1:] != owner[:-1]))  # one break in a row
         data, owner = data[keep].astype(np.uint64), owner[keep]
         grams, owners = [], []
         for n in ORDERS:
             code = np.full(max(0, len(data) - n + 1), n, np.uint64)
             for i in range(n):
-                code = code * np.uint64(257) + data[i:i + len(code)]
+                code = code * np.uint64(len(table)) + data[i:i + len(code)]
             whole = owner[:len(code)] == owner[n - 1:n - 1 + len(code)]
             grams.append((mix(code[whole]) >> np.uint64(64 - BITS)).astype(np.int64))
             owners.append(owner[:len(code)][whole])
@@ -207,7 +218,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             score = np.zeros(len(texts))
             if known.languages:
                 for i, feature, count in features(texts):
-                    if not has_letter(texts[i].decode()):
+                    if not has_letter(texts[i].decode("utf-8", "replace")):
                         continue
                     value = _vector(feature, count, known.idf)
                     p = _softmax((value @ known.weights[feature] + known.bias) / known.temperature)

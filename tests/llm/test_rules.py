@@ -190,6 +190,26 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_languages_of_one_script_differ_by_the_order_of_letters(spark):
+    """Three-byte letters, all equally frequent in both languages."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        circle = "กขคงจฉ"[::1 if i % 2 else -1] * 3
+        starts = [rng.randrange(6) for _ in range(rng.randint(10, 30))]
+        rows.append((i, " ".join(circle[k:k + 6] for k in starts), ("xx", "yy")[i % 2]))
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("held_out").collect()
+    assert len(got) > 60 and all(r["lang_pred"] == ("xx", "yy")[r["doc_id"] % 2] for r in got)
+
+
+def test_features_are_of_characters():
+    def found(text):
+        return [(f.tolist(), n.tolist()) for _, f, n in language_id.features([text.encode()])]
+
+    assert found("a\u2013b\u00a0c") == found("a b c") and found("ÉÑ где") == found("éñ ГДЕ")
+    assert found("กา") != found("ก า") and sum(found("漢字仮名")[0][1]) == 5 + 4 + 3  # with the break at the end
+
+
 def test_language_weights_are_sparse_and_calibrated(spark):
     rng = random.Random(1)
     rows = [(i, prose(rng, 1) if i % 2 else " ".join(rng.choice(SYLLABLES["es"]) for _ in range(20)), ("xx", "es")[(i + 1) % 2]) for i in range(200)]
