@@ -297,3 +297,19 @@ def test_forest_rejects_missing_features(spark):
     df = spark.createDataFrame([("a", 1.0, 1, None), ("b", 2.0, 0, 1.0)], "LOAN_ID string, survival_time double, survival_event int, x double")
     with pytest.raises(ValueError):
         FO.fit_forest(df, ["x"])
+
+
+def test_forest_pair_grows_the_whole_forests(monkeypatch):
+    """The macro comparison's queries use the reference's forest: 50 trees of depth 10."""
+    import inspect
+
+    from verification import queries_survival as Q
+
+    calls = []
+    monkeypatch.setattr(Q, "surv_macro", lambda spark, d: None)
+    real = inspect.signature(Q.run_forest_effect)
+    monkeypatch.setattr(Q, "run_forest_effect", lambda *a, **b: calls.append(real.bind(*a, **b)))
+    Q.forest_pair(None, None)
+    calls[0].apply_defaults()
+    used = calls[0].arguments["params"]
+    assert used == FO.ForestParams() and (used.trees, used.max_depth, used.sample) == (50, 10, 0.1)

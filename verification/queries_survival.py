@@ -497,7 +497,7 @@ def rsf_few_risk_hist(spark, d):
 
 
 def forest_pair(spark, d):
-    return run_forest_effect(surv_macro(spark, d), FACTORS, I.SPLIT_DATE, params=FO.ForestParams(trees=10, max_depth=5))
+    return run_forest_effect(surv_macro(spark, d), FACTORS, I.SPLIT_DATE)
 
 
 @query("rsf_macro_effect")
