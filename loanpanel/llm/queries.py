@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanpanel.llm import (
+    bpe,
+    divergence,
     embedding_dedup,
     language_id,
     line_dedup,
@@ -180,3 +182,37 @@ FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id""")
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents")).select(
         "doc_id", "removed_exact", "removed_near", F.md5("text").alias("text_md5"))
+
+
+# counts of kept terms for every source of the language, 0 where it has none
+_SHARES = r"""
+d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT doc) >= 3),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+gr AS (SELECT DISTINCT d.lang, d.source, coalesce(v, 0) AS v FROM d LEFT JOIN size ON d.lang = size.lang),
+own AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+c AS (SELECT g.lang, g.source, k.term, g.v, coalesce(o.n, 0) AS n, sum(coalesce(o.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total,
+      sum(coalesce(o.n, 0)) OVER (PARTITION BY g.lang, k.term) AS lang_n, sum(coalesce(o.n, 0)) OVER (PARTITION BY g.lang) AS lang_total
+      FROM gr g JOIN kept k ON g.lang = k.lang LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+s AS (SELECT lang, source, term, n, (1 + 1000000000 * (n + 1)::hugeint // (total + v))::bigint AS p,
+      (1 + 1000000000 * (lang_n + 1)::hugeint // (lang_total + v))::bigint AS q FROM c)"""
+
+
+@query("op11_divergence", f"""
+WITH {_SHARES},
+priced AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+           FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::bigint AS value FROM gr a JOIN gr b
+      ON a.lang = b.lang AND a.source <> b.source LEFT JOIN priced x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM s WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::int AS rank FROM r)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 200""")
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+@query("op12_bpe")
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"))
