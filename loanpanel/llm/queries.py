@@ -14,6 +14,7 @@ from loanpanel.llm import (
     minhash_dedup,
     mixing,
     packing,
+    prefix_trie,
     quality,
     secret_scan,
     token_shards,
@@ -216,3 +217,31 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_bpe")
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"))
+
+
+# crc32 bit by bit; paths are lists of turn digests, and a subtree is the nodes whose path goes on
+@query("op13_prefix_trie", r"""
+WITH c AS (SELECT conv_id, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), ':', coalesce(text, ''))) AS k, turn,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, k, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos FROM c),
+n AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)) AS bytes
+      FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, n, base, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(bytes, lambda x: x::bigint)),
+      lambda crc, x: list_reduce(list_prepend(xor(crc, x), [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END))) % 4 AS h FROM n),
+b AS (SELECT h.conv_id, h.h, count(t.pos) AS taken FROM h LEFT JOIN t ON t.conv_id = h.base AND t.pos <= h.h GROUP BY ALL),
+rows_ AS (SELECT b.conv_id, t.pos, t.k, t.words FROM b JOIN h USING (conv_id) JOIN t ON t.conv_id = h.base AND t.pos <= b.h
+      UNION ALL SELECT t.conv_id, t.pos - b.h + b.taken, t.k, t.words FROM t JOIN b ON t.conv_id = b.conv_id AND t.pos > b.h
+      UNION ALL SELECT conv_id, 0, '', 0 FROM b),
+p AS (SELECT conv_id, pos, words, list(k) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS path,
+      pos = max(pos) OVER (PARTITION BY conv_id) AS is_end FROM rows_),
+node AS (SELECT path, any_value(pos) AS depth, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n,
+      coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (is_end), '') AS ends FROM p GROUP BY path),
+kids AS (SELECT path[:len(path) - 1] AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+f AS (SELECT a.*, coalesce(k.n, 0) AS kids, u.conv_id AS up FROM node a LEFT JOIN kids k ON a.path = k.path
+      LEFT JOIN node u ON u.path = a.path[:len(a.path) - 1] AND a.depth > 0)
+SELECT a.conv_id, a.depth::bigint AS depth, any_value(a.up) AS parent_conv_id, any_value(a.n)::bigint AS n_convs, any_value(a.kids)::bigint AS n_children,
+ count(*) FILTER (d.kids = 0)::bigint AS n_leaves, sum((d.n - 1) * d.words)::bigint AS saved_tokens, sha256(any_value(a.ends)) AS ends_sha256
+FROM f a JOIN f d ON d.path[:len(a.path)] = a.path AND d.depth >= a.depth GROUP BY a.conv_id, a.depth""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
