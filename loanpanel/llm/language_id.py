@@ -208,10 +208,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     columns are not read.
     """
     kept = dict(docs.dtypes)["doc_id"]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # plain lists and arrays: a broadcast class would have to be installed on the executors
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.idf, model.weights, model.bias, model.temperature))
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known = Model(*sent.value)
         for batch in batches:
             texts = _encoded(batch)
             language: list[str] = ["und"] * len(texts)

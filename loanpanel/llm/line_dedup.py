@@ -11,8 +11,9 @@ line, or the other way round. The partner found is verified word by word.
 Only lines that may have a partner emit variants: an edit leaves the first or the last words of a
 line alone, so a line that shares neither end with another has none. Everything is DataFrame
 functions; keys are pre-aggregated, so a line or a variant of very many lines is no hot group.
-Tables of suspects are sent to the executors while they have at most a million rows; beyond,
-they are joined by shuffle.
+Tables of suspects are sent to the executors up to a number of bytes; beyond, they are joined by
+shuffle. A document is known by its id and a digest of its text, so that documents which share an
+id, or have none, keep their lines apart.
 """
 
 from __future__ import annotations
@@ -22,20 +23,26 @@ from pyspark.sql import functions as F
 
 from loanpanel.llm.storage import cut, sent_if_small, shared_table
 
-SPACE = r"[\x20\x09-\x0D]+"
-BLANK = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OTHER_BLANKS = "\t\x0b\x0c\r"
+DOCUMENT = ["doc_id", "text1", "text2"]  # the digest in two halves
+PLACE = [*DOCUMENT, "line_no"]
 
 
-def words_of(line: Column) -> Column:
-    """The words of a line that has one, A-Z as a-z."""
-    return F.split(F.btrim(F.translate(line, UPPER, UPPER.lower()), F.lit(BLANK)), SPACE)
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` as doc_id, text1, text2, text."""
+    return docs.select("doc_id", *[F.xxhash64(F.lit(i), "text").alias(f"text{i}") for i in (1, 2)], "text")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line of every line with a word; null text has none."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).filter(
-        F.regexp_like("line", F.lit(r"[^\x20\x09-\x0D]")))
+    """The document, line_no (from 0), line of every line with a word, for documents of :func:`keyed`.
+
+    The words of ``line`` are parted by single blanks and have A-Z as a-z. Null text has no lines.
+    """
+    folded = F.translate("text", UPPER + OTHER_BLANKS, UPPER.lower() + " " * len(OTHER_BLANKS))
+    lines = docs.select(*DOCUMENT, F.posexplode(F.split(folded, "\n", -1)).alias("line_no", "line")).filter(F.trim("line") != "")
+    single = F.when(F.contains("line", F.lit("  ")), F.regexp_replace("line", "  +", " ")).otherwise(F.col("line"))
+    return lines.select(*PLACE, F.trim(single).alias("line"))
 
 
 def _end_length(n: Column) -> Column:
@@ -47,25 +54,26 @@ def _end_length(n: Column) -> Column:
     return F.floor(F.pow(F.lit(1.25), step) + 1e-9).cast("int")
 
 
-def _ends(words: Column, n: Column) -> Column:
+def _ends(line: Column, n: Column) -> Column:
     """Keys of which two lines within one edit share at least one.
 
     The first and the last words in the number for n; where it differs for n - 1, also in that
     one, as the longer line of an insertion. One edit cannot change both ends.
     """
     def pair(m: Column) -> list[Column]:
-        return [F.xxhash64(F.lit("front"), m, F.slice(words, F.lit(1), m)),
-                F.xxhash64(F.lit("back"), m, F.slice(words, n - m + 1, m))]
+        return [F.xxhash64(F.lit("front"), m, F.call_function("substring_index", line, F.lit(" "), m)),
+                F.xxhash64(F.lit("back"), m, F.call_function("substring_index", line, F.lit(" "), -m))]
 
     own, shorter = _end_length(n), _end_length(n - 1)
     return F.when(own == shorter, F.array(*pair(own))).otherwise(F.array(*pair(own), *pair(shorter)))
 
 
 def line_keys(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, line_no, x, y (128 bits of the words), ends (null for lines below ``min_words``)."""
-    rows = lines_of(docs).withColumn("words", words_of(F.col("line"))).withColumn("n", F.size("words"))
-    return rows.select("doc_id", "line_no", F.xxhash64("words").alias("x"), F.xxhash64(F.lit(1), "words").alias("y"),
-                       F.when(F.col("n") >= min_words, _ends(F.col("words"), F.col("n"))).alias("ends"))
+    """The place, x, y (128 bits of the words), ends (null for lines below ``min_words``)."""
+    blanks = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+    rows = lines_of(docs).withColumn("n", (blanks + 1).cast("int"))
+    return rows.select(*PLACE, F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y"),
+                       F.when(F.col("n") >= min_words, _ends(F.col("line"), F.col("n"))).alias("ends"))
 
 
 def suspects_of(keys: DataFrame) -> DataFrame:
@@ -115,12 +123,13 @@ def within_one_edit(a: Column, b: Column) -> Column:
 def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(x, y, first, partner) of those ``lines`` with an earlier one within one edit: verified places.
 
-    ``lines`` has x, y and first, the earliest place of a line.
+    ``docs`` as of :func:`keyed`; ``lines`` has x, y and first, the earliest place of a line.
     """
-    texts = lines_of(docs).select(F.struct("doc_id", "line_no").alias("first"), "line")
+    texts = lines_of(docs).select(F.struct(*PLACE).alias("first"), "line")
     # a place names one line; repeated rows of a document repeat it
-    lines = cut(texts.join(sent_if_small(lines), "first").withColumn("words", words_of(F.col("line"))).drop("line")
-                .dropDuplicates(["x", "y"]))
+    same = F.col("t.first").eqNullSafe(F.col("l.first"))
+    found = texts.alias("t").join(sent_if_small(lines).alias("l"), same).select("l.*", F.split("line", " ").alias("words"))
+    lines = cut(found.dropDuplicates(["x", "y"]))
     variants = variants_of(lines.repartition("x", "y"))
     # most variants are of a single line and have no partner
     shared = (variants.groupBy("vx").agg(F.min("x").alias("low"), F.max("x").alias("high"))
@@ -142,29 +151,45 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """doc_id, line_no, near (boolean): the lines that go, equal copies and near ones."""
+    """doc_id, text1, text2, line_no, near (boolean): the lines that go, equal copies and near ones.
+
+    Earlier means by doc_id, null first, then by the text's digest, then by line number.
+    """
+    docs = keyed(docs)
     keys = shared_table(line_keys(docs, min_words), "lines")
     suspects = suspects_of(keys).withColumn("suspect", F.lit(True))
-    distinct = keys.groupBy("x", "y").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"))
+    distinct = keys.groupBy("x", "y").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"))
     lines = cut(distinct.join(sent_if_small(suspects), "x", "left").filter("copies > 1 or suspect"))
     near = near_lines(docs, lines.filter("suspect").select("x", "y", "first")).select("x", "y", F.lit(True).alias("near"))
     repeated = lines.join(near, ["x", "y"], "left").filter("copies > 1 or near").select("x", "y", "first", "near")
-    rows = keys.select("doc_id", "line_no", "x", "y").join(sent_if_small(repeated), ["x", "y"])
-    is_first = F.struct("doc_id", "line_no") == F.col("first")
-    return rows.filter(F.col("near") | ~is_first).select(
-        "doc_id", "line_no", (F.coalesce("near", F.lit(False)) & is_first).alias("near"))
+    rows = keys.select(*PLACE, "x", "y").join(sent_if_small(repeated), ["x", "y"])
+    is_first = F.struct(*PLACE).eqNullSafe(F.col("first"))
+    return rows.filter(F.col("near") | ~is_first).select(*PLACE, (F.coalesce("near", F.lit(False)) & is_first).alias("near"))
+
+
+def without(lines: Column, gone: Column) -> Column:
+    """The array ``lines`` without the elements at the places ``gone`` (ascending, from 0), in linear time.
+
+    What stays are the runs between two places that go.
+    """
+    def runs(x: Column) -> Column:  # x holds both arrays, so neither is formed again for every run
+        starts = F.concat(F.array(F.lit(0)), F.transform(x["gone"], lambda g: g + 1))
+        ends = F.concat(x["gone"], F.array(F.size(x["lines"])))
+        return F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(x["lines"], a + 1, b - a)))
+
+    return F.get(F.transform(F.array(F.struct(lines.alias("lines"), gone.alias("gone"))), runs), F.lit(0))
 
 
 def _cleared(docs: DataFrame, min_words: int) -> DataFrame:
     """row (all columns of ``docs``), left (the text that stays), exact and near (numbers of lines that go)."""
-    gone = (removed_lines(docs, min_words).groupBy("doc_id")
-            .agg(F.collect_set("line_no").alias("gone"), F.count_if(~F.col("near")).alias("exact"),
+    gone = (removed_lines(docs, min_words).groupBy(*DOCUMENT)
+            .agg(F.sort_array(F.collect_set("line_no")).alias("gone"), F.count_if(~F.col("near")).alias("exact"),
                  F.count_if("near").alias("near")))  # at most a document's lines
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("whole"), F.struct("*").alias("row"))
-    rows = rows.join(sent_if_small(gone), F.col("id").eqNullSafe(F.col("doc_id")), "left")
-    lines = F.transform(F.split("whole", "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
-    stay = F.filter(lines, lambda x: ~F.array_contains("gone", x["i"]))
-    text = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.array_join(F.transform(stay, lambda x: x["line"]), "\n"))
+    columns = [F.xxhash64(F.lit(i), "text").alias(f"text{i}") for i in (1, 2)]
+    rows = docs.select("doc_id", *columns, F.col("text").alias("whole"), F.struct("*").alias("row")).alias("d")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}")) for c in DOCUMENT]
+    rows = rows.join(sent_if_small(gone).alias("g"), same, "left")
+    text = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.array_join(without(F.split("whole", "\n", -1), F.col("gone")), "\n"))
     none = F.lit(0).cast("long")
     return rows.select("row", text.alias("left"), F.coalesce("exact", none).alias("exact"), F.coalesce("near", none).alias("near"))
 
@@ -172,9 +197,10 @@ def _cleared(docs: DataFrame, min_words: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """``docs`` with removed_exact and removed_near (long), the text without the lines that go.
 
-    Blank lines stay. A null text stays null. Rows that share a doc_id are read as one place: a
-    line number that goes, goes in all of them. Texts count whole; other columns pass, but for
-    those named like the two new ones. An empty table gives no rows.
+    Blank lines stay. A null text stays null. Documents that share a doc_id, or have none, are told
+    apart by their texts; rows equal in both are one document, so the same lines go from each.
+    Texts count whole; other columns pass, but for those named like the two new ones. An empty table
+    gives no rows.
     """
     new = ["removed_exact", "removed_near"]
     columns = [F.col("left").alias(c) if c == "text" else F.col(f"row.{c}") for c in docs.columns if c not in new]

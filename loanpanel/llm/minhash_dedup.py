@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from loanpanel.llm import shingles
 from loanpanel.llm.components import connected_components
-from loanpanel.llm.storage import cut, sent_if_small
+from loanpanel.llm.storage import cut, sent_if_small, shared_table
 
 PERMUTATIONS = 64
 POSTINGS = 1 << 20  # posting-list entries counted at once
@@ -90,12 +90,16 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
         sketch, f"doc_id {kept}, n_shingles long, h1 long, h2 long, signature binary, short binary")
 
 
-def trees_for(recall: float, threshold: float, levels: int = 2) -> int:
+def trees_for(recall: float, threshold: float, levels: int) -> int:
     """Trees that bring a pair at the threshold into a common node with probability ``recall``.
 
-    Taken for pairs that have to survive ``levels`` levels by one chosen token each.
+    In a node, a pair shares the first child with chance ``threshold``, and the second, which is
+    there with chance 1 / threshold - 1, likewise; taken for pairs that need all ``levels`` levels.
     """
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**levels))
+    together = 1.0
+    for _ in range(levels):
+        together = 1 - (1 - threshold * together) * (1 - (1 - threshold) * together)
+    return math.ceil(math.log(1 - recall) / math.log(1 - together))
 
 
 def _children(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -386,7 +390,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     classes = cut(classes)
     members = classes.select("rep", "n_shingles", "short")
 
-    roots = F.array(*[F.xxhash64(F.lit(seed), F.lit(t)) for t in range(trees_for(recall, threshold))])
+    roots = F.array(*[F.xxhash64(F.lit(seed), F.lit(t)) for t in range(trees_for(recall, threshold, levels))])
     current = _children(classes.withColumn("node", F.explode(roots)), threshold)
     leaves = []
     for level in range(levels):
@@ -431,8 +435,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id, and without repeated rows of an id."""
-    others = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(others, docs["doc_id"].eqNullSafe(others["_id"]), "left_anti")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """``docs`` without the documents whose component has a smaller doc_id, and without repeated rows.
+
+    Rows with equal ids and equal texts are one document. Documents that share an id but not the
+    text, or have no id, are documents of their own: of a group of near copies the smallest id
+    stays, null last, equal ids by the digest of the text.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.filter("n > 1 or doc_id is null").isEmpty():
+        others = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_id"))
+        return docs.join(others, docs["doc_id"] == others["_id"], "left_anti")
+    digest = [F.xxhash64(F.lit(i), "text") for i in (1, 2)]
+    rows = shared_table(docs.select(F.struct("doc_id", *[d.alias(f"text{i}") for i, d in enumerate(digest)]).alias("key"),
+                                    F.struct("*").alias("row")), "rows")
+    order = [F.asc_nulls_last("key.doc_id"), "key.text0", "key.text1"]
+    parts = max(8, -(-rows.count() // 1_000_000))
+    # numbers in the order of the keys
+    keys = cut(rows.select("key").distinct().repartitionByRange(parts, *order).sortWithinPartitions(*order)
+               .withColumn("number", F.monotonically_increasing_id()))
+    same = F.col("r.key").eqNullSafe(F.col("k.key"))
+    rows = shared_table(rows.alias("r").join(keys.alias("k"), same).select("number", "row"), "numbered")
+    others = near_duplicates(rows.select(F.col("number").alias("doc_id"), "row.text"), **options).filter("not kept")
+    kept = rows.join(others.select(F.col("doc_id").alias("number")).distinct(), "number", "left_anti")
+    return kept.dropDuplicates(["number"]).select("row.*")

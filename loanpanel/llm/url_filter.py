@@ -55,6 +55,13 @@ class RuleTrie:
                 tails[tail] = (host + path, verdict)
             node["tails"] = dict(sorted(tails.items(), key=lambda x: -len(x[0])))
 
+    @classmethod
+    def of(cls, root: dict) -> RuleTrie:
+        """A trie with the dictionaries of another one."""
+        trie = cls(())
+        trie.root = root
+        return trie
+
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the winning rule, None if no rule fits."""
         best, segments, node = None, path.split("/"), self.root
@@ -96,12 +103,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, st
     few = rules.limit(max_broadcast_rules + 1).collect()
     if len(few) > max_broadcast_rules:
         return _by_join(urls, rules, id_col, default)
-    trie = spark.sparkContext.broadcast(RuleTrie(tuple(r) for r in few))
+    # plain dictionaries: a broadcast class would have to be installed on the executors
+    sent = spark.sparkContext.broadcast(RuleTrie(tuple(r) for r in few).root)
 
     @F.pandas_udf("rule string, verdict string")
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        trie = RuleTrie.of(sent.value)
         for hosts, paths in batches:
-            found = [trie.value.find(h, p) or (None, default) for h, p in zip(hosts, paths)]
+            found = [trie.find(h, p) or (None, default) for h, p in zip(hosts, paths)]
             yield pd.DataFrame(found, columns=["rule", "verdict"])
 
     return (urls.withColumn("judged", judge("host", "path"))

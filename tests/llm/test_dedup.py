@@ -61,10 +61,28 @@ def test_repeated_ids_and_no_documents(spark):
                                  "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in minhash_dedup.near_duplicates(docs).collect())
     assert got == [(-1, -1), (1, 1), (1, 1), (1, 1), (2, 1)]
-    assert minhash_dedup.one_of_each(docs).count() == 2
+    # (1, x ...) and (2, x ...) are copies; the document without an id is one of its own
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in minhash_dedup.one_of_each(docs).collect()) == [
+        (-1, "q r s"), (1, "a b c d e f"), (1, "x y z u v w")]
     assert minhash_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_no_text_is_lost_with_null_or_repeated_ids(spark):
+    rng = random.Random(9)
+    texts = [" ".join(words(rng, 30)) for _ in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (2, texts[2]), (2, texts[3]), (2, texts[3]), (2, texts[3] + " more"),
+            (3, texts[4]), (None, texts[4]), (4, None), (4, ""), (None, None), (5, texts[5] + " tail")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, number int")
+    left = minhash_dedup.one_of_each(docs)
+    assert left.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in left.collect()]
+    near = [t for t in kept if t[1] in (texts[3], texts[3] + " more")]
+    assert len(near) == 1 and near[0][0] == 2
+    assert sorted(map(str, set(kept) - set(near))) == sorted(map(str, [
+        (None, texts[0]), (None, texts[1]), (2, texts[2]), (3, texts[4]), (4, None), (4, ""), (None, None), (5, texts[5] + " tail")]))
+    assert len(kept) == len(set(kept))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 300), (300, 500), (7, 7), (None, 3)], "a long, b long")
     got = {r["id"]: r["component"] for r in connected_components(edges).collect()}
@@ -151,6 +169,30 @@ def near_line_rules(rows, least):
     return {at: first[own] == at for at, own in places.items() if own in near or first[own] != at}
 
 
+def test_lines_of_documents_with_null_or_repeated_ids(spark):
+    shared = "a line that both documents share in full here"
+    rows = [(2, f"{shared}\nunique tail alpha"), (2, f"unique head beta\nunique tail gamma\n{shared}"),
+            (None, f"{shared}\nonly here"), (None, f"first\n{shared}\nsecond"), (None, f"first\n{shared}\nsecond")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = line_dedup.dedup_lines(docs).collect()
+    lines = [line for r in out for line in r["text"].split("\n")]
+    assert sum(r["removed_exact"] for r in out) == 3 + 1 - lines.count(shared) + 1  # rows equal in id and text are one document
+    for once in ("unique tail alpha", "unique head beta", "unique tail gamma", "only here"):
+        assert lines.count(once) == 1
+    assert lines.count("first") == lines.count("second") == 2
+    assert lines.count(shared) in (1, 2)
+    null_first = [r["text"] for r in out if r["doc_id"] == 2]
+    assert all(shared not in t for t in null_first)
+
+
+def test_a_text_of_very_many_equal_lines(spark):
+    n = 200_000
+    rows = [(1, "\n".join(["same again"] * n + ["last"])), (2, "\n".join(f"line {i}" if i % 2 else "same again" for i in range(2_001)))]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["text"] == "same again\nlast" and got[1]["removed_exact"] == n - 1
+    assert got[2]["text"] == "\n".join(f"line {i}" for i in range(1, 2_001, 2)) and got[2]["removed_exact"] == 1_001
+
+
 def test_lines(spark):
     rng = random.Random(2)
     rows = [r[:2] for r in corpus()]
@@ -168,6 +210,7 @@ def test_lines(spark):
     want = near_line_rules(rows, 8)
     got = {(r["doc_id"], r["line_no"]): r["near"] for r in line_dedup.removed_lines(docs).collect()}
     assert got == want and any(want.values())
+    assert spark.range(1).select(line_dedup.without(F.array(*map(F.lit, "abcde")), F.array(F.lit(0), F.lit(2), F.lit(4)))).first()[0] == ["b", "d"]
     for r in line_dedup.dedup_lines(docs).collect():
         text = dict(rows)[r["doc_id"]]
         stay = None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if (r["doc_id"], k) not in want)
