@@ -1,29 +1,34 @@
 """Random survival forest grown level by level as Spark aggregations.
 
-Rows stay in the executors: each level aggregates bin histograms of the open nodes, scores
-log-rank splits per node, and brings back one row per node.  A tree has at most
-``2 ** max_depth`` nodes, so the split tables are small whatever the number of rows.
+Rows stay in the executors. Each level is one job: rows walk down the trees grown so far, are
+counted per (node, feature, value, time), and the best log-rank split of every open node comes
+back as one row. A tree has at most ``2 ** max_depth`` nodes, so the split tables are small
+whatever the number of rows. All distinct values are cuts, unless ``bins`` are asked for.
+
+The log-rank statistic of every cut of a node follows from prefix sums over its counts in value
+order. A node with more counts than one task should hold is cut into ranges of values: a range
+also gets the counts per time of all smaller and of all larger values, which is all that the
+statistics of its own cuts depend on.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from loanpanel.functions.stats import histogram, quantiles, running_sum, values_of
+from loanpanel.functions.stats import histogram, quantiles, running_sum
+from loanpanel.session import cut
 
-MOST_CUTS = 1_000  # cuts of a feature, on average
-NODES_PER_GROUP = 32  # nodes scored together, so that one task never sees a whole level
-TENSOR_CELLS = 4_000_000  # (node, feature, bin, time) cells scored at once
+CELLS_PER_TASK = 200_000  # (node, feature, value, time) counts scored together, on average
+ROWS_PER_NODE = 200_000  # a node with more rows is scored range by range
 
 
 @dataclass(frozen=True)
@@ -35,52 +40,37 @@ class ForestParams:
     max_features: int | None = None  # None: square root of the feature count
     sample: float = 0.1
     seed: int = 42
-    bins: int | None = 32  # None: every distinct value is a cut, for features with few of them
+    bins: int | None = None  # None: every distinct value is a cut; else quantile bins
 
 
 @dataclass
 class Forest:
-    """Split table, bin edges, leaf mortality, and leaf hazard steps as a DataFrame."""
+    """Split table, bin edges, leaf mortality, and leaf hazard steps as a DataFrame.
+
+    A row goes right where its value (its bin, if there are bins) is above ``cut``.
+    """
 
     features: list[str]
-    edges: dict[str, list[float]]
-    splits: pd.DataFrame  # tree, node, feature (index), bin
+    edges: dict[str, list[float]] | None
+    splits: pd.DataFrame  # tree, node, feature (index), cut
     mortality: pd.DataFrame  # tree, node, mortality
     leaf_steps: DataFrame  # tree, node, time, hazard, drop
     params: ForestParams
 
-    def _arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per tree and heap node: split feature (-1 for a leaf), split bin, mortality."""
-        shape = (self.params.trees, 2 ** (self.params.max_depth + 1))
-        feature, cut, score = np.full(shape, -1, np.int16), np.zeros(shape, np.int16), np.zeros(shape)
-        s, m = self.splits, self.mortality
-        feature[s["tree"], s["node"]], cut[s["tree"], s["node"]] = s["feature"], s["bin"]
-        score[m["tree"], m["node"]] = m["mortality"]
-        return feature, cut, score
-
-    def _bins(self) -> Column:
-        return F.array(*[_bin(c, self.edges[c]) for c in self.features])
+    def _trees(self) -> Column:
+        return _tree_arrays(self.splits, self.params.trees, self.mortality)
 
     def score(self, df: DataFrame, output: str = "risk") -> DataFrame:
         """Ensemble mortality: the leaf's summed cumulative hazard, averaged over trees."""
-        feature, cut, mortality = self._arrays()
-
-        @pandas_udf("double")
-        def risk(bins: pd.Series) -> pd.Series:
-            leaves = _route(np.stack(bins.to_numpy()) if len(bins) else None, feature, cut)
-            return pd.Series(mortality[np.arange(len(mortality))[:, None], leaves].mean(axis=0))
-
-        return df.withColumn(output, risk(self._bins()))
+        rows = df.withColumn("__x", _values(self.features, self.edges))
+        total = F.aggregate(self._trees(), F.lit(0.0), lambda total, tree: total + _leaf(F.col("__x"), tree, self.params.max_depth)["mortality"])
+        return rows.withColumn("__total", total).select(*df.columns, (F.col("__total") / self.params.trees).alias(output))
 
     def leaves(self, df: DataFrame) -> DataFrame:
         """One row per (row of ``df``, tree) with the leaf it falls into."""
-        feature, cut, _ = self._arrays()
-
-        @pandas_udf("array<int>")
-        def leaf(bins: pd.Series) -> pd.Series:
-            return pd.Series(list(_route(np.stack(bins.to_numpy()), feature, cut).T.astype(np.int32)))
-
-        return df.select("*", F.posexplode(leaf(self._bins())).alias("tree", "node"))
+        rows = df.withColumn("__x", _values(self.features, self.edges))
+        found = F.transform(self._trees(), lambda tree: _leaf(F.col("__x"), tree, self.params.max_depth)["node"])
+        return rows.withColumn("__leaves", found).select(*df.columns, F.posexplode("__leaves").alias("tree", "node"))
 
     def average_curve(self, df: DataFrame) -> DataFrame:
         """``(time, survival, cum_hazard)``: mean predicted survival over all rows of ``df``.
@@ -102,9 +92,6 @@ class Forest:
         upto = F.sum("fall").over(Window.partitionBy(key).orderBy("time"))  # bounded by the months
         return falls.select(key, "time", (1 - upto).alias("survival"))
 
-    def release(self) -> None:
-        self.leaf_steps.unpersist()
-
 
 def risk_histogram(scored: DataFrame, risk: str = "risk", bins: int = 30) -> DataFrame:
     return histogram(scored, risk, bins)
@@ -114,75 +101,117 @@ def fit_forest(df: DataFrame, features: Sequence[str], key: str = "LOAN_ID",
                event: str = "survival_event", duration: str = "survival_time",
                params: ForestParams = ForestParams()) -> Forest:
     """Grow the forest.  ``key`` identifies a row and decides its bootstrap weights."""
-    features = list(features)
-    edges = _edges(df, features, params.bins)
-    rows = df.select(F.col(key).alias("key"), F.col(duration).alias("time"),
-                     F.col(event).cast("int").alias("event"),
-                     F.array(*[_bin(c, edges[c]) for c in features]).alias("bins"))
-    missing = df.where(" OR ".join(f"`{c}` IS NULL" for c in features)).limit(1).count()
-    if missing:
+    return fit_forests(df, {"": list(features)}, key, event, duration, params)[""]
+
+
+def fit_forests(df: DataFrame, models: Mapping[str, Sequence[str]], key: str = "LOAN_ID",
+                event: str = "survival_event", duration: str = "survival_time",
+                params: ForestParams = ForestParams()) -> dict[str, Forest]:
+    """Forests over several feature lists, their trees grown side by side in the same jobs.
+
+    Each is the forest that :func:`fit_forest` gives; a row's draws are those of its tree.
+    """
+    models = {name: list(own) for name, own in models.items()}
+    features = list(dict.fromkeys(c for own in models.values() for c in own))
+    if df.where(" OR ".join(f"`{c}` IS NULL" for c in features)).limit(1).count():
         raise ValueError("features of a forest must not be null: impute them first")
-    instances = bootstrap(rows, params).persist(StorageLevel.MEMORY_AND_DISK)
-    leaf_steps = None
-    try:
-        splits, placed = _grow(instances, len(features), params)
-        leaf_steps = _leaf_steps(placed).persist(StorageLevel.MEMORY_AND_DISK)
-        # the mortality of a leaf sums its cumulative hazard over all event times of the data
-        grid = rows.where("event = 1").groupBy("time").agg(F.lit(1).alias("later"))
-        later = running_sum(grid, "time", ["later"], descending=True)
-        mortality = (leaf_steps.join(later, "time").groupBy("tree", "node")
-                     .agg(F.sum(F.col("hazard") * F.col("later")).alias("mortality")).toPandas())
-        placed.unpersist()
-        return Forest(features, edges, splits, mortality, leaf_steps, params)
-    except BaseException:
-        if leaf_steps is not None:
-            leaf_steps.unpersist()
-        raise
-    finally:
-        instances.unpersist()
-
-
-def _edges(df: DataFrame, features: Sequence[str], bins: int | None) -> dict[str, list[float]]:
-    if bins:
-        found = quantiles(df, features, [i / bins for i in range(1, bins)]).select("column", F.col("quantile").alias("cut"))
-    else:
-        found = values_of(df, features).select("column", F.col("value").alias("cut"))
-    cuts = found.distinct().limit(len(features) * MOST_CUTS + 1).collect()
-    if len(cuts) > len(features) * MOST_CUTS:
-        raise ValueError(f"more than {MOST_CUTS} distinct values a feature: set bins")
+    edges = _edges(df, features, params.bins) if params.bins else None
+    columns = df.select(F.col(key).alias("key"), F.col(duration).alias("time"), F.col(event).cast("int").alias("event"),
+                        _values(features, edges).alias("x"))
+    rows = cut(columns.select("*", _draws(params).alias("draws")))  # read once a level
+    grower = _Grower(rows.where(F.size("draws") > 0), [[features.index(c) for c in own] for own in models.values()], params)
+    grower.grow()
+    leaf_steps = cut(_leaf_steps(grower.placed(params.max_depth)))
+    # the mortality of a leaf sums its cumulative hazard over all event times of the data
+    grid = rows.where("event = 1").groupBy("time").agg(F.lit(1).alias("later"))
+    later = running_sum(grid, "time", ["later"], descending=True)
+    mortality = (leaf_steps.join(later, "time").groupBy("tree", "node")
+                 .agg(F.sum(F.col("hazard") * F.col("later")).alias("mortality")).toPandas())
+    forests = {}
+    for i, (name, own) in enumerate(models.items()):
+        first, last = i * params.trees, (i + 1) * params.trees
+        splits, scores = (t[(t["tree"] >= first) & (t["tree"] < last)].assign(tree=lambda t: t["tree"] - first).reset_index(drop=True)
+                          for t in (grower.splits, mortality))
+        places = {features.index(c): k for k, c in enumerate(own)}
+        splits["feature"] = splits["feature"].map(places).astype(int)
+        steps = leaf_steps.where(F.col("tree").between(first, last - 1)).withColumn("tree", F.col("tree") - first)
+        forests[name] = Forest(own, {c: edges[c] for c in own} if edges else None, splits, scores, steps, params)
+    return forests
+
+
+def _edges(df: DataFrame, features: Sequence[str], bins: int) -> dict[str, list[float]]:
+    found = quantiles(df, features, [i / bins for i in range(1, bins)]).select("column", F.col("quantile").alias("cut"))
+    cuts = found.distinct().collect()  # fewer than ``bins`` a feature
     return {c: sorted(r["cut"] for r in cuts if r["column"] == c) for c in features}
 
 
-def _bin(c: str, cuts: Sequence[float]) -> Column:
-    """Number of cuts below the value."""
-    return sum(((F.col(c) > x).cast("int") for x in cuts), F.lit(0)).cast("smallint")
+def _values(features: Sequence[str], edges: Mapping[str, Sequence[float]] | None) -> Column:
+    """The features as an array of doubles; with ``edges``, how many of them lie below each."""
+    if not edges:
+        return F.array(*[F.col(c).cast("double") for c in features])
+    def below(c: str) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, edges[c])), lambda e: F.col(c) > e)) if edges[c] else F.lit(0)
 
+    return F.array(*[below(c).cast("double") for c in features])
 
-def bootstrap(rows: DataFrame, params: ForestParams) -> DataFrame:
-    """One row per (row, tree) drawn, weighted by a Poisson count from a hash of both."""
+
+def _draws(params: ForestParams) -> Column:
+    """Array of (tree, w): the trees that draw a row, by a Poisson count from a hash of tree and column ``key``."""
     if not 0 < params.sample <= 10:
         raise ValueError("sample is the mean number of draws of a row, above 0 and at most 10")
-    def drawn(tree: Column) -> Column:
-        name = F.concat_ws(":", F.lit(str(params.seed)), tree.cast("string"), F.col("key").cast("string"))
-        u = (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)  # 52 bits
-        return F.struct(tree.cast("int").alias("tree"), sum(((u >= p).cast("int") for p in below), F.lit(0)).alias("w"))
-
     below, term = [math.exp(-params.sample)], math.exp(-params.sample)
     for k in range(1, 13 + math.ceil(8 * params.sample)):  # the tail beyond is below 1e-17
         term *= params.sample / k
         below.append(below[-1] + term)
-    trees = F.transform(F.sequence(F.lit(0), F.lit(params.trees - 1)), drawn)
-    return rows.select("*", F.inline(F.filter(trees, lambda x: x["w"] > 0)))
 
+    def uniform(tree: Column) -> Column:
+        name = F.concat_ws(":", F.lit(str(params.seed)), tree.cast("string"), F.col("key").cast("string"))
+        u = (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)  # 52 bits
+        return F.struct(tree.cast("int").alias("tree"), u.alias("u"))
+
+    def drawn(one: Column) -> Column:  # a step of its own, so that each hash is formed once
+        return F.struct(one["tree"].alias("tree"), sum(((one["u"] >= p).cast("int") for p in below), F.lit(0)).alias("w"))
 
-def _one_level_down(placed: DataFrame, splits: pd.DataFrame) -> DataFrame:
-    """Rows of split nodes move to a child; ``splits`` are those of one level."""
-    table = placed.sparkSession.createDataFrame(splits[["tree", "node", "feature", "bin"]].astype(int),
-                                                "tree int, node int, f int, c int")
-    right = (F.get("bins", F.col("f")) > F.col("c")).cast("int")
-    node = F.when(F.col("f").isNotNull(), F.col("node") * 2 + right).otherwise(F.col("node"))
-    # at most 2^depth nodes per tree
-    return placed.join(F.broadcast(table), ["tree", "node"], "left").withColumn("node", node).drop("f", "c")
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(params.trees - 1)), uniform)
+    return F.transform(F.filter(hashed, lambda one: one["u"] >= below[0]), drawn)
+
+
+def bootstrap(rows: DataFrame, params: ForestParams) -> DataFrame:
+    """One row per (row, tree) drawn, weighted by a Poisson count from a hash of both."""
+    return rows.select("*", F.inline(_draws(params)))
+
+
+def _tree_arrays(splits: pd.DataFrame, trees: int, mortality: pd.DataFrame | None = None) -> Column:
+    """Constant array of trees, each as arrays over its nodes, the root first.
+
+    A node has a feature (-1: leaf), a cut, the place of its left child (the right one follows),
+    its heap number and its mortality. They reach the executors as one constant of the plan.
+    """
+    of_tree = {t: {n: (f, c) for n, f, c in own[["node", "feature", "cut"]].itertuples(index=False)} for t, own in splits.groupby("tree")}
+    deaths = {} if mortality is None else dict(zip(zip(mortality["tree"], mortality["node"]), mortality["mortality"]))
+    rows = []
+    for t in range(trees):
+        own, nodes, child = of_tree.get(t, {}), [1], []
+        for node in nodes:  # grows as it goes
+            child.append(len(nodes))
+            if node in own:
+                nodes += [2 * node, 2 * node + 1]
+        rows.append({"feature": [int(own[n][0]) if n in own else -1 for n in nodes], "cut": [float(own[n][1]) if n in own else 0.0 for n in nodes],
+                     "child": child, "node": nodes, "mortality": [float(deaths.get((t, n), 0.0)) for n in nodes]})
+    kind = "feature:array<int>,cut:array<double>,child:array<int>,node:array<int>,mortality:array<double>"
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")
+
+
+def _leaf(x: Column, tree: Column, depth: int) -> Column:
+    """(node, mortality) that the values ``x`` reach in at most ``depth`` levels of a tree."""
+    def step(at: Column, _: Column) -> Column:
+        f = F.get(tree["feature"], at)
+        return F.when(f < 0, at).otherwise(F.get(tree["child"], at) + (F.get(x, f) > F.get(tree["cut"], at)).cast("int"))
+
+    def reached(at: Column) -> Column:
+        return F.struct(F.get(tree["node"], at).alias("node"), F.get(tree["mortality"], at).alias("mortality"))
+
+    return F.aggregate(F.slice(F.array(*[F.lit(i) for i in range(max(1, depth))]), 1, depth), F.lit(0), step, reached)
 
 
 def tried_features(seed: int, tree: int, node: int, n: int, most: int) -> list[int]:
@@ -192,92 +221,163 @@ def tried_features(seed: int, tree: int, node: int, n: int, most: int) -> list[i
     return sorted(range(n), key=place)[:most]
 
 
-def _grow(instances: DataFrame, n_features: int, params: ForestParams) -> tuple[pd.DataFrame, DataFrame]:
-    """The split table, and the instances at their leaves.
-
-    Instances carry their node from level to level; each level is kept until the next is there.
+class _Grower:
+    """Grows the trees of several models over ``rows`` (key, time, event, x, draws); tree m * trees + t is tree t of model m."""
+
+    def __init__(self, rows: DataFrame, models: Sequence[Sequence[int]], params: ForestParams):
+        self.rows, self.models, self.params, self.spark = rows, models, params, rows.sparkSession
+        self.splits = pd.DataFrame({"tree": pd.Series(dtype=int), "node": pd.Series(dtype=int), "feature": pd.Series(dtype=int),
+                                    "cut": pd.Series(dtype=float)})
+
+    def placed(self, depth: int) -> DataFrame:
+        """tree, node, x, time, event, w: every drawn row at its node after ``depth`` levels."""
+        drawn = self.rows.select("x", "time", "event", F.inline("draws"))
+        if len(self.models) > 1:  # the same draws for all
+            each = F.transform(F.sequence(F.lit(0), F.lit(len(self.models) - 1)), lambda m: m * self.params.trees + F.col("tree"))
+            drawn = drawn.withColumn("tree", F.explode(each))
+        own = F.get(_tree_arrays(self.splits, len(self.models) * self.params.trees), F.col("tree"))
+        leaf = F.get(F.transform(F.array(own), lambda tree: _leaf(F.col("x"), tree, depth)["node"]), F.lit(0))
+        return drawn.select("tree", leaf.alias("node"), "x", "time", "event", "w")
+
+    def grow(self) -> None:
+        params, trees = self.params, self.params.trees
+        open_nodes = {(t, 1): None for t in range(len(self.models) * trees)}  # with their rows, where known
+        for depth in range(params.max_depth):
+            if not open_nodes:
+                break
+            best = self._best_splits(depth, open_nodes)
+            self.splits = pd.concat([self.splits, best[["tree", "node", "feature", "cut"]]], ignore_index=True)
+            need = max(params.min_split, 2 * params.min_leaf)
+            open_nodes = {(t, 2 * n + side): size for t, n, left, right in best[["tree", "node", "left", "right"]].itertuples(index=False)
+                          for side, size in ((0, left), (1, right)) if size >= need}
+
+    def _tried(self, tree: int, node: int) -> list[int]:
+        own = self.models[tree // self.params.trees]
+        most = self.params.max_features or max(1, int(math.sqrt(len(own))))
+        return [own[i] for i in tried_features(self.params.seed, tree % self.params.trees, node, len(own), most)]
+
+    def _best_splits(self, depth: int, open_nodes: Mapping[tuple[int, int], int | None]) -> pd.DataFrame:
+        """tree, node, feature, cut, left, right (rows) of the open nodes that have a split."""
+        if depth == 0:  # the roots' rows
+            sizes = {r["tree"]: r["n"] for r in self.placed(0).groupBy("tree").agg(F.count("*").alias("n")).collect()}
+            open_nodes = {(t, n): sizes.get(t, 0) for t, n in open_nodes}
+        tried = [(t, n, self._tried(t, n), size > ROWS_PER_NODE) for (t, n), size in open_nodes.items()]
+        active = self.spark.createDataFrame(tried, "tree int, node int, tried array<int>, large boolean")
+        keys = ["tree", "node", "feature"]
+        cells = (self.placed(depth).join(F.broadcast(active), ["tree", "node"])  # at most 2^depth nodes a tree
+                 .select("tree", "node", F.explode("tried").alias("feature"), "x", "time", "event", "w", "large")
+                 .groupBy(*keys, F.get("x", F.col("feature")).alias("value"), "time", "large")
+                 .agg(F.count("*").alias("rows"), F.sum("w").alias("n"), F.sum(F.col("w") * F.col("event")).alias("d")))
+        parts = max(1, -(-sum(open_nodes.values()) * len(tried[0][2]) // CELLS_PER_TASK))
+        whole = cells.where("not large").drop("large").withColumn("range", F.lit(0).cast("long"))
+        cells_of = whole.withColumn("part", F.pmod(F.xxhash64("tree", "node"), F.lit(parts)))
+        if any(large for *_, large in tried):
+            ranged = _in_ranges(cut(cells.where("large").drop("large")), keys)
+            cells_of = cells_of.unionByName(ranged.withColumn("part", F.pmod(F.xxhash64(*keys, "range"), F.lit(parts))))
+        scores = cells_of.groupBy("part").applyInPandas(
+            _scorer(self.params), "tree int, node int, feature int, cut double, left long, right long, stat double")
+        order = F.struct("stat", -F.col("feature"), -F.col("cut"))  # ties: the first feature, the lowest cut
+        best = scores.groupBy("tree", "node").agg(F.max_by(F.struct("feature", "cut", "left", "right"), order).alias("s"))
+        return best.select("tree", "node", "s.*").orderBy("tree", "node").toPandas()
+
+
+def _in_ranges(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The cells of large nodes dealt to ranges of values, each with all smaller and larger values as two more.
+
+    Those are at minus and plus infinity, with their counts per time.
     """
-    spark = instances.sparkSession
-    tried = params.max_features or max(1, int(math.sqrt(n_features)))
-    splits = pd.DataFrame({"tree": [], "node": [], "feature": [], "bin": []}, dtype=int)
-    open_nodes = [(t, 1) for t in range(params.trees)]
-    placed = instances.withColumn("node", F.lit(1))
-    above = None
-    for depth in range(params.max_depth):
-        if not open_nodes:
-            break
-        drawn = [(t, n, tried_features(params.seed, t, n, n_features, tried)) for t, n in open_nodes]
-        active = spark.createDataFrame(drawn, "tree int, node int, tried array<int>")
-        parts = max(1, math.ceil(len(open_nodes) / params.trees / NODES_PER_GROUP))
-        cells = (placed.join(F.broadcast(active), ["tree", "node"])
-                 .withColumn("feature", F.explode("tried"))
-                 .groupBy("tree", "node", "feature", F.get("bins", F.col("feature")).alias("bin"), "time")
-                 .agg(F.count("*").alias("rows"), F.sum("w").alias("n"),
-                      F.sum(F.col("w") * F.col("event")).alias("d"))
-                 .withColumn("part", F.col("node") % parts))
-        best = (cells.groupBy("tree", "part").applyInPandas(
-                    _scorer(params), "tree int, node int, feature int, bin int, left long, right long")
-                .toPandas())
-        if above is not None:
-            above.unpersist()
-        if best.empty:
-            break
-        above = placed if depth else None
-        placed = _one_level_down(placed, best).persist(StorageLevel.MEMORY_AND_DISK)
-        splits = pd.concat([splits, best[["tree", "node", "feature", "bin"]]], ignore_index=True).astype(int)
-        need = max(params.min_split, 2 * params.min_leaf)
-        open_nodes = [(int(t), 2 * int(n) + side) for t, n, left, right
-                      in best[["tree", "node", "left", "right"]].itertuples(index=False)
-                      for side, size in ((0, left), (1, right)) if size >= need]
-        open_nodes.sort()
-    return splits, placed
+    probs = [i / 64 for i in range(1, 64)]
+    bounds = cells.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("value", probs, 1_000)).alias("bounds"))
+    ranged = cells.join(F.broadcast(bounds), keys)  # a row per large node and tried feature
+    ranged = ranged.withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("value"))).cast("long")).drop("bounds")
+    sums = ranged.groupBy(*keys, "range", "time").agg(*[F.sum(c).alias(c) for c in ("rows", "n", "d")])
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(probs)).cast("long")))
+    beside = (sums.withColumnRenamed("range", "own").withColumn("range", other).where("range <> own")
+              .groupBy(*keys, "range", (F.col("own") < F.col("range")).alias("below"), "time")
+              .agg(*[F.sum(c).alias(c) for c in ("rows", "n", "d")]))
+    infinite = F.when(F.col("below"), F.lit(-math.inf)).otherwise(F.lit(math.inf))
+    return ranged.unionByName(beside.withColumn("value", infinite).drop("below"))
 
 
 def _scorer(params: ForestParams):
-    """Best log-rank split per node from bin histograms (runs in the executors)."""
+    """Best log-rank split per (node, feature, range) from counts per value and time (runs in the executors)."""
     min_leaf, min_split = params.min_leaf, params.min_split
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        time, t = np.unique(pdf["time"].to_numpy(), return_inverse=True)
-        pair, g = np.unique(pdf[["node", "feature"]].to_numpy(), axis=0, return_inverse=True)
-        g, bins = g.ravel(), int(pdf["bin"].max()) + 1
-        step = max(1, TENSOR_CELLS // (bins * len(time)))
-        found = []
-        for start in range(0, len(pair), step):
-            some = (g >= start) & (g < start + step)
-            at = (g[some] - start, pdf["bin"].to_numpy()[some], t[some])
-            grid = np.zeros((3, min(step, len(pair) - start), bins, len(time)))
-            for k, c in enumerate(("rows", "n", "d")):
-                np.add.at(grid[k], at, pdf[c].to_numpy()[some])
-            found.append(_logrank(grid, min_leaf, min_split))
-        cut, stat, left, right = (np.concatenate(x) for x in zip(*found))
-        out = pd.DataFrame({"tree": pdf["tree"].iloc[0], "node": pair[:, 0], "feature": pair[:, 1],
-                            "bin": cut, "left": left, "right": right, "stat": stat})
-        out = out[out["stat"] > 0].sort_values(["node", "stat", "feature"], ascending=[True, False, True])
-        return out.drop_duplicates("node").drop(columns="stat")
+        pdf = pdf.sort_values(["tree", "node", "feature", "range", "value"], kind="stable")
+        names = pdf[["tree", "node", "feature", "range"]].to_numpy()
+        first = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(axis=1)])
+        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(pdf)]))
+        value, rows = pdf["value"].to_numpy(), pdf["rows"].to_numpy(float)
+        u, v = _logrank(group, pdf["time"].to_numpy(), pdf["n"].to_numpy(float), pdf["d"].to_numpy(float))
+        left = _cumulative(rows, group)
+        every = np.bincount(group, rows)[group]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # equal splits have equal statistics but for rounding errors
+            stat = np.round(np.where((v > 1e-12) & (np.abs(u) > 1e-9), np.abs(u) / np.sqrt(v), 0.0), 9)
+        last = np.r_[(value[1:] != value[:-1]) | (group[1:] != group[:-1]), True]
+        fits = last & np.isfinite(value) & (left >= min_leaf) & (every - left >= min_leaf) & (every >= min_split) & (stat > 0)
+        out = pd.DataFrame({"tree": names[:, 0], "node": names[:, 1], "feature": names[:, 2], "cut": value,
+                            "left": left.astype(int), "right": (every - left).astype(int), "stat": stat, "group": group})[fits]
+        return out.sort_values(["group", "stat", "cut"], ascending=[True, False, True]).drop_duplicates("group").drop(columns="group")
 
     return score
 
 
-def _logrank(grid: np.ndarray, min_leaf: int, min_split: int):
-    """Best cut per (node, feature) of a ``[rows|n|d, group, bin, time]`` histogram."""
-    rows, n, d = grid
-    left_rows = rows.sum(axis=2).cumsum(axis=1)
-    all_rows = left_rows[:, -1:]
-    at_risk = np.flip(np.flip(n, 2).cumsum(axis=2), 2)
-    y1, d1 = at_risk.cumsum(axis=1), d.cumsum(axis=1)
-    y, dt = y1[:, -1:], d1[:, -1:]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        share = np.where(y > 0, y1 / y, 0.0)
-        u = (d1 - dt * share).sum(axis=2)
-        v = np.where(y > 1, dt * share * (1 - share) * (y - dt) / (y - 1), 0.0).sum(axis=2)
-        stat = np.where(v > 0, np.abs(u) / np.sqrt(v), 0.0)
-    fits = (left_rows >= min_leaf) & (all_rows - left_rows >= min_leaf) & (all_rows >= min_split)
-    stat = np.where(fits, stat, 0.0)
-    cut = stat.argmax(axis=1)
-    pick = np.arange(len(cut))
-    left = left_rows[pick, cut]
-    return cut, stat[pick, cut], left, all_rows[:, 0] - left
+def _cumulative(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Running sums that start anew with every group (ascending numbers)."""
+    total = np.cumsum(x)
+    first = np.r_[True, group[1:] != group[:-1]]
+    before = (total - x)[first]
+    return total - before[np.cumsum(first) - 1]
+
+
+def _logrank(group: np.ndarray, time: np.ndarray, n: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-rank numerator and variance of cutting each group behind each of its cells.
+
+    Cells (time, n rows of which d died then) stand in the order of their values. With y at risk
+    and d dead in the whole group at a time, hazard d / y and b = d (y - d) / ((y - 1) y^2), a
+    cell on the left adds d - n H(time) to the numerator, H the summed hazard up to its time. The
+    variance sums b (y1 y - y1^2) over times, y1 at risk on the left: the first part adds up over
+    cells; the square couples each cell with those before it, by B(the earlier time of both), B
+    the sum of b.
+    """
+    order = np.lexsort((time, group))
+    g, t = group[order], time[order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (t[1:] != t[:-1])]
+    slot = np.cumsum(new) - 1  # of a (group, time)
+    owner = g[new]
+    at, died = np.bincount(slot, n[order]), np.bincount(slot, d[order])
+    risk = _cumulative(at[::-1], owner[::-1])[::-1]
+    b = np.where(risk > 1, died * (risk - died) / np.maximum(risk - 1, 1), 0.0) / risk**2
+    hazard, linear, square = (_cumulative(x, owner) for x in (died / risk, b * risk, b))
+    place = np.empty(len(group), int)
+    place[order] = slot
+    first_slot = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    rank = place - first_slot[np.searchsorted(owner[first_slot], group)]
+    u = _cumulative(d - n * hazard[place], group)
+    own = square[place]
+    sooner, sooner_n = _sooner(group, rank, np.stack((n * own, n)))
+    later_n = _cumulative(n, group) - n - sooner_n
+    pairs = _cumulative(n * n * own + 2 * n * (sooner + own * later_n), group)
+    return u, _cumulative(n * linear[place], group) - pairs
+
+
+def _sooner(group: np.ndarray, rank: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each cell, the sums of ``weights`` over earlier cells of its group with a smaller rank.
+
+    Two ranks part at the highest bit where they differ: a running sum per bit counts all such pairs.
+    """
+    total = np.zeros_like(weights)
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        prefix = rank >> (bit + 1)
+        order = np.lexsort((prefix, group))  # stable: keeps the order of the cells
+        high = (rank[order] >> bit) & 1 == 1
+        run = np.r_[True, (np.diff(group[order]) != 0) | (np.diff(prefix[order]) != 0)].cumsum() - 1
+        for k in range(len(weights)):
+            low = np.where(high, 0.0, weights[k][order])
+            total[k][order] += np.where(high, _cumulative(low, run), 0.0)
+    return total
 
 
 def _leaf_steps(placed: DataFrame) -> DataFrame:
@@ -297,18 +397,3 @@ def _leaf_steps(placed: DataFrame) -> DataFrame:
     alive = F.when(F.coalesce(done.over(before), F.lit(0)) == 1, 0.0).otherwise(alive)
     return (steps.withColumn("drop", alive * F.col("hazard"))
             .select("tree", "node", "time", "hazard", "drop"))
-
-
-def _route(bins: np.ndarray | None, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Leaf reached by every row in every tree, as ``[tree, row]``."""
-    trees = np.arange(len(feature))[:, None]
-    if bins is None:
-        return np.zeros((len(feature), 0), int)
-    node = np.ones((len(feature), len(bins)), int)
-    while True:
-        f = feature[trees, node]
-        inner = f >= 0
-        if not inner.any():
-            return node
-        right = bins[np.arange(len(bins))[None, :], np.maximum(f, 0)] > cut[trees, node]
-        node = np.where(inner, 2 * node + right, node)

@@ -13,7 +13,7 @@ from loanpanel.operators import features as FE
 from loanpanel.operators.survival.compare import compare, metrics_table, model_row
 from loanpanel.operators.survival.concordance import c_index
 from loanpanel.operators.survival.cox import CoxModel, fit_cox_with_fallback
-from loanpanel.operators.survival.forest import Forest, ForestParams, fit_forest, risk_histogram
+from loanpanel.operators.survival.forest import Forest, ForestParams, fit_forests, risk_histogram
 from loanpanel.session import cut
 
 
@@ -89,13 +89,17 @@ def forest_effect(df: DataFrame, components: Sequence[str], split: str = "2020-1
         macro = FE.macro_features(names, components)
         medians = FE.fit_medians(train, names)
         parts = {"train": FE.fill_features(train, medians), "test": FE.fill_features(test, medians)}
-        spark, rows, forests = df.sparkSession, [], {}
-        for name, cols in (("Non-Macro", [c for c in names if c not in macro]), ("Full", names)):
-            forests[name] = fit_forest(parts["train"], cols, key, params=params)
-            rows += [(name, part, c_index(forests[name].score(own), "risk")) for part, own in parts.items()]
+        forests = fit_forests(parts["train"], {"Non-Macro": [c for c in names if c not in macro], "Full": names}, key, params=params)
+        both = parts["train"].withColumn("part", F.lit("train")).unionByName(parts["test"].withColumn("part", F.lit("test")))
+        for i, forest in enumerate(forests.values()):
+            both = forest.score(both, f"risk_{i}")
+        scored = cut(both)
+        rows = [(name, part, c_index(scored.where(F.col("part") == part), f"risk_{i}"))
+                for i, name in enumerate(forests) for part in parts]
         full = forests["Full"]
-        curves = [full.average_curve(own).withColumn("part", F.lit(part)) for part, own in parts.items()]
-        return ForestEffect(forests["Non-Macro"], full, spark.createDataFrame(rows, "model string, part string, c_index double"),
-                            cut(curves[0].unionByName(curves[1])), cut(risk_histogram(full.score(parts["test"]))))
+        curves = [full.average_curve(scored.where(F.col("part") == part)).withColumn("part", F.lit(part)) for part in parts]
+        histogram = risk_histogram(scored.where("part = 'test'"), "risk_1")
+        table = df.sparkSession.createDataFrame(rows, "model string, part string, c_index double")
+        return ForestEffect(forests["Non-Macro"], full, table, cut(curves[0].unionByName(curves[1])), cut(histogram))
     finally:
         data.unpersist()

@@ -195,11 +195,8 @@ def test_forest_curves(frame, forest):
 def test_forest_leaf_size(frame):
     params = FO.ForestParams(trees=3, max_depth=6, sample=1.0, min_leaf=15, seed=2)
     model = FO.fit_forest(frame, ["x", "z"], params=params)
-    drawn = FO.bootstrap(frame.select(F.col("LOAN_ID").alias("key"), model._bins().alias("bins")), params)
-    placed = drawn.withColumn("node", F.lit(1))
-    for depth in range(params.max_depth):
-        placed = FO._one_level_down(placed, model.splits[model.splits["node"].map(lambda n: int(n).bit_length()) == depth + 1])
-    sizes = placed.groupBy("tree", "node").count().toPandas()
+    drawn = FO.bootstrap(frame.select(F.col("LOAN_ID").alias("key")), params).withColumnRenamed("key", "LOAN_ID")
+    sizes = drawn.join(model.leaves(frame), ["LOAN_ID", "tree"]).groupBy("tree", "node").count().toPandas()
     assert sizes["count"].min() >= 15
     mean = FO.bootstrap(frame.select(F.col("LOAN_ID").alias("key")), FO.ForestParams(trees=200, sample=0.1)
                          ).agg(F.sum("w")).first()[0] / (200 * 400)
@@ -208,18 +205,21 @@ def test_forest_leaf_size(frame):
 
 def test_logrank_matches_definition(small):
     x, _, t, e = small
-    left = x <= 0
-    grid = np.zeros((3, 1, 2, int(t.max()) + 1))
-    for side, at, dead in zip(left, t, e):
-        grid[:, 0, 0 if side else 1, int(at)] += (1, 1, dead)
-    _, stat, n_left, n_right = FO._logrank(grid, 1, 2)
-    u = v = 0.0
-    for at in np.unique(t[e == 1]):
-        y, y1 = (t >= at).sum(), ((t >= at) & left).sum()
-        d, d1 = ((t == at) & (e == 1)).sum(), ((t == at) & (e == 1) & left).sum()
-        u += d1 - d * y1 / y
-        v += d * y1 / y * (1 - y1 / y) * (y - d) / (y - 1) if y > 1 else 0
-    assert stat[0] == pytest.approx(abs(u) / math.sqrt(v)) and (n_left[0], n_right[0]) == (left.sum(), (~left).sum())
+    order = np.argsort(x)
+    x, t, e = x[order], t[order], e[order]
+    n = np.arange(len(x)) % 3 + 1.0  # weights
+    group = np.r_[np.zeros(250, int), np.ones(len(x) - 250, int)]
+    u, v = FO._logrank(group, t, n, n * e)
+    for cell in (40, 249, 300):
+        own = group == group[cell]
+        left = own & (np.arange(len(x)) <= cell)
+        num = var = 0.0
+        for at in np.unique(t[own & (e == 1)]):
+            y, y1 = n[own & (t >= at)].sum(), n[left & (t >= at)].sum()
+            d, d1 = (n * e)[own & (t == at)].sum(), (n * e)[left & (t == at)].sum()
+            num += d1 - d * y1 / y
+            var += d * (y1 / y) * (1 - y1 / y) * (y - d) / (y - 1) if y > 1 else 0.0
+        assert u[cell] == pytest.approx(num, abs=1e-9) and v[cell] == pytest.approx(var, abs=1e-9)
 
 
 def test_chi_square_tail():
@@ -293,6 +293,89 @@ def test_efron_sums_in_closed_form():
         assert CX._efron_sums(s0, d0, d) == pytest.approx(want, rel=1e-10)
 
 
+def naive_forest(rows, features, draws, params):
+    """Splits of an unbinned forest: every cut of every tried feature, the log-rank statistic from its definition."""
+    found = set()
+    for tree, drawn in sorted(draws.items()):
+        level = {1: [(rows[k], w) for k, w in drawn]}
+        for _ in range(params.max_depth):
+            deeper = {}
+            for node, own in sorted(level.items()):
+                best = None
+                for f in FO.tried_features(params.seed, tree, node, len(features), max(1, int(len(features) ** 0.5))):
+                    for cut in sorted({x[f] for (x, _, _), _ in own}):
+                        left = [x[f] <= cut for (x, _, _), _ in own]
+                        if min(sum(left), len(own) - sum(left)) < params.min_leaf or len(own) < params.min_split:
+                            continue
+                        u = v = 0.0
+                        for t in sorted({t for (_, t, e), _ in own if e}):
+                            y = sum(w for (_, s, _), w in own if s >= t)
+                            y1 = sum(w for ((_, s, _), w), l in zip(own, left) if s >= t and l)
+                            d = sum(w for (_, s, e), w in own if s == t and e)
+                            u += sum(w for ((_, s, e), w), l in zip(own, left) if s == t and e and l) - d * y1 / y
+                            v += d * (y1 / y) * (1 - y1 / y) * (y - d) / (y - 1) if y > 1 else 0.0
+                        stat = round(abs(u) / v ** 0.5, 9) if v > 1e-12 and abs(u) > 1e-9 else 0.0
+                        if stat > 0 and (best is None or (-stat, f, cut) < best[:3]):
+                            best = (-stat, f, cut, left)
+                if best:
+                    _, f, cut, left = best
+                    found.add((tree, node, f, cut))
+                    for side in (0, 1):
+                        part = [o for o, l in zip(own, left) if l == (side == 0)]
+                        if len(part) >= max(params.min_split, 2 * params.min_leaf):
+                            deeper[2 * node + side] = part
+            level = deeper
+    return found
+
+
+@pytest.fixture(scope="module")
+def days(spark):
+    """Nearly as many values and times as rows, a few ties of both, one constant feature."""
+    rng = np.random.default_rng(12)
+    n = 260
+    x, z = rng.normal(size=n), np.round(rng.normal(size=n), 1)
+    t = np.round(rng.exponential(30 / np.exp(x)), 1)
+    e = (rng.random(n) < 0.6).astype(int)
+    rows = [(i, float(x[i]), float(z[i]), 1.0, float(t[i]), int(e[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "LOAN_ID long, x double, z double, flat double, survival_time double, survival_event int")
+    return df, {r[0]: (r[1:4], r[4], r[5]) for r in rows}
+
+
+EXACT = FO.ForestParams(trees=4, max_depth=4, sample=0.8, min_leaf=6, seed=3)
+
+
+def split_set(model):
+    return set(map(tuple, model.splits[["tree", "node", "feature", "cut"]].itertuples(index=False)))
+
+
+@pytest.mark.parametrize("most", [200_000, 40])
+def test_splits_are_those_of_an_unbinned_forest(days, monkeypatch, most):
+    """Also when nodes of more than 40 rows are scored range by range."""
+    monkeypatch.setattr(FO, "ROWS_PER_NODE", most)
+    monkeypatch.setattr(FO, "CELLS_PER_TASK", 300)
+    df, rows = days
+    features = ["x", "z", "flat"]
+    draws = {}
+    for r in FO.bootstrap(df.select(F.col("LOAN_ID").alias("key")), EXACT).collect():
+        draws.setdefault(r["tree"], []).append((r["key"], r["w"]))
+    want = naive_forest(rows, features, draws, EXACT)
+    assert len(want) > 10
+    assert split_set(FO.fit_forest(df, features, params=EXACT)) == want
+
+
+def test_forests_grown_together_are_those_grown_alone(days):
+    df, _ = days
+    lists = {"one": ["x", "flat"], "two": ["z", "x"]}
+    both = FO.fit_forests(df, lists, params=EXACT)
+    for name, features in lists.items():
+        alone = FO.fit_forest(df, features, params=EXACT)
+        assert split_set(both[name]) == split_set(alone)
+        got, want = (m.score(df).toPandas().set_index("LOAN_ID")["risk"].sort_index() for m in (both[name], alone))
+        assert np.allclose(got, want)
+    plan = both["one"].score(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan  # scored in the JVM
+
+
 def test_forest_rejects_missing_features(spark):
     df = spark.createDataFrame([("a", 1.0, 1, None), ("b", 2.0, 0, 1.0)], "LOAN_ID string, survival_time double, survival_event int, x double")
     with pytest.raises(ValueError):

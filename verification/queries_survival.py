@@ -11,6 +11,7 @@ from loanpanel.operators.survival import concordance as CC
 from loanpanel.operators.survival import cox as CX
 from loanpanel.operators.survival import forest as FO
 from loanpanel.operators.survival import table as T
+from loanpanel.session import cut
 from loanpanel.plans.macro_effect import forest_effect as run_forest_effect
 from loanpanel.plans.macro_effect import macro_effect as run_macro_effect
 from verification import inputs as I
@@ -403,7 +404,7 @@ def cox_fallback(spark, d):
 # --- forest -----------------------------------------------------------------
 
 def forest(spark, d):
-    df = valid(spark, d).persist()
+    df = cut(valid(spark, d).select("LOAN_ID", "survival_time", "survival_event", *SS.STATIC))
     return FO.fit_forest(df, SS.STATIC), df
 
 
@@ -418,7 +419,7 @@ def rsf_bootstrap(spark, d):
 def rsf_fit(spark, d):
     """Splits of the fitted forest, one row per inner node."""
     model, _ = forest(spark, d)
-    return spark.createDataFrame(model.splits, "tree int, node int, feature int, bin int")
+    return spark.createDataFrame(model.splits, "tree int, node int, feature int, cut double")
 
 
 @query("rsf_score")
@@ -448,11 +449,11 @@ def rsf_curves(spark, d):
 
 
 # a forest of three trees and two levels is small enough to be grown in SQL as well
-FEW = FO.ForestParams(trees=3, max_depth=2, sample=0.6)
+FEW = FO.ForestParams(trees=3, max_depth=2, sample=0.6, bins=32)
 
 
 def few_trees(spark, d):
-    df = valid(spark, d).select("LOAN_ID", "survival_time", "survival_event", *SS.STATIC).persist()
+    df = cut(valid(spark, d).select("LOAN_ID", "survival_time", "survival_event", *SS.STATIC))
     model = FO.fit_forest(df, SS.STATIC, params=FEW)
     return model, df
 
@@ -463,9 +464,8 @@ FEW_SQL = SS.SURV + SS.forest_cte(FEW, SS.STATIC)
 @query("rsf_few_splits", FEW_SQL + " SELECT tree, node, feature, bin FROM splits")
 def rsf_few_splits(spark, d):
     """Log-rank splits of the first two levels."""
-    model, df = few_trees(spark, d)
-    df.unpersist()
-    return spark.createDataFrame(model.splits.astype(int), "tree int, node int, feature int, bin int")
+    model, _ = few_trees(spark, d)
+    return spark.createDataFrame(model.splits.rename(columns={"cut": "bin"}).astype(int), "tree int, node int, feature int, bin int")
 
 
 @query("rsf_few_score", FEW_SQL + f" SELECT LOAN_ID, {r('risk', 'risk')} FROM score")
