@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanpanel.session import cut
+
 
 def safe_corr(a: str | Column, b: str | Column) -> Column:
     """Pairwise-complete Pearson correlation; null (not an error) on zero variance."""
@@ -141,10 +143,45 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float],
             .agg((lo + (hi - lo) * F.max("frac")).alias("quantile")))
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-              by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles of several columns, see :func:`quantiles_of_counts`; missing values don't count."""
-    return quantiles_of_counts(values_of(df, cols, by).withColumn("n", F.lit(1)), probs, by)
+ACCURACY = 10_000  # a sketch misses a rank by at most this part of the rows
+
+
+def rank_sketches(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
+                  more: Sequence[Column] = ()) -> DataFrame:
+    """One row per group, from one scan: s0, s1, .. with values around each wanted rank, and ``more``.
+
+    A sketch has two values per probability, between which the value at its rank lies.
+    """
+    around = [min(max(p + side * 3 / ACCURACY, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    sketches = [F.percentile_approx(present(c), around, ACCURACY).alias(f"s{i}") for i, c in enumerate(cols)]
+    return df.groupBy(*by).agg(*sketches, *more)
+
+
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
+              sketches: DataFrame | None = None) -> DataFrame:
+    """Exact quantiles of several columns in two scans; missing values don't count.
+
+    Returns ``(by..., column, prob, quantile)``. The first scan brackets every wanted rank by a
+    mergeable sketch (``sketches``, where it has been made). The second counts: each value inside a
+    bracket by itself, all values of a gap between brackets together, as the least of them. The
+    counts are written once, and the ranks found among them.
+    """
+    if sketches is None:
+        sketches = cut(rank_sketches(df, cols, probs, by))
+    wide = df.select(*by, *[present(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    wide = attach_group_row(wide, sketches.select(*by, *[f"s{i}" for i in range(len(cols))]), by)
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("value"), F.col(f"s{i}").alias("sketch"))
+                     for i, c in enumerate(cols)])
+    long = wide.select(*by, F.inline(each)).where(F.col("value").isNotNull())
+    value = F.col("value")
+    inside, gap = F.lit(False), F.lit(0)
+    for i in range(len(probs)):
+        low, high = F.get("sketch", F.lit(2 * i)), F.get("sketch", F.lit(2 * i + 1))
+        inside |= (low <= value) & (value <= high)
+        gap += (high < value).cast("int")
+    cells = (long.select(*by, "column", "value", gap.alias("gap"), F.when(inside, value).alias("own"))
+             .groupBy(*by, "column", "gap", "own").agg(F.min("value").alias("value"), F.count("*").alias("n")))
+    return quantiles_of_counts(cut(cells).select(*by, "column", "value", "n"), probs, by)
 
 
 def breaks_below(value: Column, cut: Column, n: int) -> Column:
@@ -158,13 +195,14 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     NaN counts as missing; a column without values has count 0 and nulls.
     """
     parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    row = df.agg(*[F.struct(*[f(present(c)).alias(name) for name, f in parts.items()]).alias(f"c{i}")
-                   for i, c in enumerate(cols)])
-    moments = row.select(F.inline(F.array(*[F.struct(
+    row = [F.struct(*[f(present(c)).alias(name) for name, f in parts.items()]).alias(f"c{i}") for i, c in enumerate(cols)]
+    probs = [0.25, 0.5, 0.75]
+    first = cut(rank_sketches(df, cols, probs, more=row))
+    moments = first.select(F.inline(F.array(*[F.struct(
         F.lit(c).alias("column"), *[F.col(f"c{i}.{name}").alias(name) for name in parts])
         for i, c in enumerate(cols)])))
-    quart = (quantiles(df, cols, [0.25, 0.5, 0.75])
-             .groupBy("column").pivot("prob", [0.25, 0.5, 0.75]).agg(F.max("quantile"))
+    quart = (quantiles(df, cols, probs, sketches=first)
+             .groupBy("column").pivot("prob", probs).agg(F.max("quantile"))
              .toDF("column", "p25", "p50", "p75"))
     return (moments.join(quart, "column", "left")
             .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,11 +88,34 @@ def overall_correlation(panel: DataFrame, cols: Sequence[str] | None = None) ->
 
 
 def within_correlation(panel: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Correlation after subtracting each loan's mean (a loan's window is bounded by its age)."""
+    """Correlation after subtracting each loan's mean of a variable, over rows that have both.
+
+    Rows are reduced to sums per loan and those are added up, so no row waits for its loan's mean.
+    Within a loan the co-moments are taken about the means of the rows that have both variables,
+    and moved to the loan's own means; they are merged as such, which keeps their digits whatever
+    the variables' size.
+    """
     cols = _analysis_columns(panel, cols)
-    w = Window.partitionBy("LOAN_ID")
-    centred = panel.select(*[(F.col(c) - F.avg(c).over(w)).alias(c) for c in cols])
-    return correlation_pairs(centred, cols)
+    pairs = list(combinations(cols, 2))
+    sums = []
+    for i, (a, b) in enumerate(pairs):
+        sums += [F.regr_count(a, b).alias(f"n{i}"), F.regr_avgx(b, a).alias(f"a{i}"), F.regr_avgy(b, a).alias(f"b{i}"),
+                 F.regr_sxx(b, a).alias(f"aa{i}"), F.regr_syy(b, a).alias(f"bb{i}"), F.regr_sxy(b, a).alias(f"ab{i}")]
+    loans = panel.groupBy("LOAN_ID").agg(*[F.avg(c).alias(f"mean_{c}") for c in cols], *sums)
+    totals = []
+    for i, (a, b) in enumerate(pairs):
+        n, da, db = F.col(f"n{i}"), F.col(f"a{i}") - F.col(f"mean_{a}"), F.col(f"b{i}") - F.col(f"mean_{b}")
+        for name, moment, moved in (("aa", f"aa{i}", n * da * da), ("bb", f"bb{i}", n * db * db), ("ab", f"ab{i}", n * da * db)):
+            totals.append(F.sum(F.col(moment) + moved).alias(f"{name}{i}"))
+        totals += [F.sum("n%d" % i).alias(f"n{i}"), F.sum(n * da).alias(f"da{i}"), F.sum(n * db).alias(f"db{i}")]
+    row = loans.agg(*totals)
+    cells = []
+    for i, (a, b) in enumerate(pairs):
+        n, sa, sb = F.col(f"n{i}"), F.col(f"da{i}"), F.col(f"db{i}")  # the centred values' sums, zero but for missing pairs
+        aa, bb, ab = (F.col(f"{m}{i}") - F.try_divide(x, n) for m, x in (("aa", sa * sa), ("bb", sb * sb), ("ab", sa * sb)))
+        corr = F.try_divide(ab, F.nullif(F.sqrt(aa * bb), F.lit(0.0)))
+        cells.append(F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), corr.alias("corr")))
+    return row.select(F.inline(F.array(*cells)))
 
 
 def correlation_difference(panel: DataFrame, target: str = "any_delinquent",

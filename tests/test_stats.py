@@ -1,10 +1,12 @@
 """Quantiles, running sums and histograms against numpy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from loanpanel.functions import stats as ST
+from loanpanel.operators import variation as V
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +94,41 @@ def test_running_sums_by_group(spark):
     for g in "ab":
         own = sorted((r["t"], r["v"]) for r in got if r["g"] == g)
         assert [v for _, v in own] == list(range(len(own), 0, -1))
+
+
+def test_within_correlation_needs_no_window_and_keeps_digits(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for loan in range(40):
+        base = rng.normal(size=3) * 1e9
+        for _ in range(int(rng.integers(1, 9))):
+            x = rng.normal()
+            v = [base[0] + x, base[1] + 0.5 * x + rng.normal(), base[2] + rng.normal()]
+            rows.append((f"l{loan}", *[None if rng.random() < 0.15 else float(a) for a in v]))
+    rows += [("hot", float(i % 7), float(i % 5), None) for i in range(300)] + [(None, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "LOAN_ID string, a double, b double, c double")
+    got = V.within_correlation(df, ["a", "b", "c"])
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    pdf = pd.DataFrame(rows, columns=["LOAN_ID", "a", "b", "c"])
+    centred = pdf[["a", "b", "c"]] - pdf.groupby("LOAN_ID", dropna=False)[["a", "b", "c"]].transform("mean")
+    for r in got.collect():
+        both = centred[[r["var_a"], r["var_b"]]].dropna()
+        assert r["corr"] == pytest.approx(both.corr().iloc[0, 1], abs=1e-6)
+
+
+def test_quantiles_scan_the_input_twice(spark):
+    """Groups, ties, missing values, extremes, and more rows than a sketch keeps."""
+    rng = np.random.default_rng(2)
+    values = np.concatenate((rng.lognormal(0, 9, 40_000), np.repeat([0.0, -0.0, 5.0, 7.5], 9_000), -rng.random(20_000), [np.inf, -np.inf]))
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, len(values)), "x": values, "y": rng.normal(size=len(values))})
+    pdf.loc[::9, "y"] = np.nan
+    df = spark.createDataFrame(pdf)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["g"], r["column"], r["prob"]): r["quantile"] for r in ST.quantiles(df, ["x", "y"], probs, by=["g"]).collect()}
+    for g, own in pdf.groupby("g"):
+        for c in ("x", "y"):
+            for p in probs:
+                want = np.sort(own[c].dropna().to_numpy())
+                h = p * (len(want) - 1)
+                lo, hi = want[int(np.floor(h))], want[int(np.ceil(h))]
+                assert got[g, c, p] == pytest.approx(lo if lo == hi or np.isinf(lo) else lo + (hi - lo) * (h - np.floor(h)), nan_ok=True) or np.isinf(hi)

@@ -337,6 +337,42 @@ def macro_effect(spark, d):
     return rounded(result.metrics.withColumn("test_c_index", held_out[F.col("model")]))
 
 
+# with so few features none is dropped, so SQL can fit both models and score the held-out period
+EFFECT2, EFFECT3 = ["OLTV", "ORIG_RATE"], ["OLTV", "ORIG_RATE", "alpha_PC1"]
+
+
+def _effect_sql() -> str:
+    filled = ", ".join(f"coalesce({c}, m_{c}, 0) AS {c}" for c in EFFECT3)
+    moments = ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in EFFECT3)
+    z = ", ".join(f"({c} - a_{c}) / s_{c} AS {c}" for c in EFFECT3)
+    ctes = [SS.SURV_MACRO + f", me_known AS (SELECT *, macro_quarter <= DATE '{I.SPLIT_DATE}' AS early FROM valid WHERE macro_quarter IS NOT NULL)",
+            "me_med AS (SELECT " + ", ".join(f"median({c}) AS m_{c}" for c in EFFECT3) + " FROM me_known WHERE early)",
+            f"me_filled AS (SELECT LOAN_ID, survival_time, survival_event, early, {filled} FROM me_known, me_med)",
+            f"me_mom AS (SELECT {moments} FROM me_filled WHERE early)",
+            f"me_scaled AS (SELECT LOAN_ID, survival_time, survival_event, early, {z} FROM me_filled, me_mom)",
+            "std AS (SELECT * FROM me_scaled WHERE early)"]
+    rows = []
+    for name, model, cols in (("Non-Macro", "two", EFFECT2), ("Full", "three", EFFECT3)):
+        w = " + ".join(f"b{i}*{c}" for i, c in enumerate(cols))
+        ctes += [SS.fit_cte(model, cols), f"w_{model} AS (SELECT s.*, exp({w}) AS w FROM me_scaled s, {model})"]
+        for part in ("early", "NOT early"):
+            ctes += [f"{model}_{part[:3].strip()} AS (SELECT * FROM w_{model} WHERE {part})",
+                     SS.concordance_cte(f"c_{model}_{part[:3].strip()}", "w", f"{model}_{part[:3].strip()}")]
+        rate = "(concordant + 0.5*tied) / pairs"
+        rows.append(f"""SELECT '{name}' AS model, {len(cols)} AS features, n AS observations, events, (SELECT {r(rate, 'x')[:-5]} FROM c_{model}_ear) AS c_index,
+ {r(f'-2*pll + {2 * len(cols)}', 'partial_aic')}, {r('pll', 'log_likelihood')}, (SELECT {r(rate, 'x')[:-5]} FROM c_{model}_NOT) AS test_c_index FROM {model}""")
+    return ",\n".join(ctes) + "\n" + " UNION ALL ".join(rows)
+
+
+@query("macro_effect_few", _effect_sql())
+def macro_effect_few(spark, d):
+    """The whole comparison over three features: medians, scaling, both fits, concordance on both periods."""
+    df = surv_macro(spark, d).select("LOAN_ID", "survival_time", "survival_event", "macro_quarter", *EFFECT3)
+    result = run_macro_effect(df, ["alpha_PC1"], I.SPLIT_DATE)
+    held_out = F.create_map(*[x for k, v in result.test_c_index.items() for x in (F.lit(k), F.lit(v))])
+    return rounded(result.metrics.withColumn("test_c_index", held_out[F.col("model")]))
+
+
 # --- many distinct times -------------------------------------------------------
 
 # days from a fixed date to the order, with hundredths: nearly as many times as rows
@@ -381,13 +417,15 @@ MACRO3 = ["OLTV", "alpha_PC1", "beta_PC1"]
 
 @query("hazard_ratios_macro", SS.SURV_MACRO + ",\nknown AS (SELECT * FROM valid WHERE alpha_PC1 IS NOT NULL AND beta_PC1 IS NOT NULL),\n"
        + f"{SS.scaled_cte(MACRO3, 'known')},\n{SS.fit_cte('fit', MACRO3)}\n" + " UNION ALL ".join(
-           f"SELECT '{c}' AS feature, {r(f'b{i}', 'coef', 6)}, {r(f'exp(b{i})', 'hazard_ratio', 6)} FROM fit" for i, c in enumerate(MACRO3) if i))
+           f"SELECT '{c}' AS feature, {r(f'b{i}', 'coef', 6)}, {r(f'exp(b{i})', 'hazard_ratio', 6)},"
+           f" {r(f'exp(b{i} - 1.959963984540054*sqrt(v{i}))', 'ci_lower', 6)}, {r(f'exp(b{i} + 1.959963984540054*sqrt(v{i}))', 'ci_upper', 6)} FROM fit"
+           for i, c in enumerate(MACRO3) if i))
 def hazard_ratios_macro(spark, d):
     """Hazard ratios of the macro features of a model that has others too."""
     df = FE.valid_survival(surv_macro(spark, d)).where("alpha_PC1 IS NOT NULL AND beta_PC1 IS NOT NULL")
     df = FE.Scaler.fit(df, MACRO3).transform(df)
     model = CX.fit_cox(df, MACRO3)
-    return rounded(model.hazard_ratios(spark, only=FACTORS).select("feature", "coef", "hazard_ratio"))
+    return rounded(model.hazard_ratios(spark, only=FACTORS).select("feature", "coef", "hazard_ratio", "ci_lower", "ci_upper"), 6)
 
 
 @query("cox_fallback", f"{SS.SURV}, {SS.scaled_cte(['OLTV'])},\n{SS.fit_cte('fit', ['OLTV'], penalizer=0.0)}\n"
