@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
@@ -21,40 +23,68 @@ def concordance(df: DataFrame, risk: str, event: str = "survival_event",
     A pair is comparable when one member has the event and the other is later, or equally
     late and censored.  Rows without risk, event or duration are counted in ``left_out``.
 
-    Rows are counted per (risk, time, event) cell, cells are dealt to 2^k ranges of risk.  Pairs
-    of different ranges part at one of the k levels of halving: there, events of upper halves
-    meet the later rows of lower halves by running sums over time.  Pairs within a range come
-    from a sorted count.  No task holds all rows or times.  Counts are doubles, so above 2^53
-    they are rounded.
+    Rows are counted per (risk, time, event) cell, cells are dealt to at most 2^k ranges of risk.
+    Pairs of different ranges part at one of the k levels of halving: there, events of upper
+    halves meet the later rows of lower halves by running sums over time.  A risk with more cells
+    than a range should hold is a range of its own; its pairs are all tied and come from running
+    sums over time as well.  Pairs within the other ranges come from a sorted count, so no task
+    holds all rows or times, however few the risks.  Counts are doubles, so above 2^53 they are
+    rounded.
     """
-    rows = df.select(F.col(risk).cast("double").alias("risk"), F.col(duration).cast("double").alias("t"),
-                     F.col(event).cast("int").alias("e"))
-    known = F.col("risk").isNotNull() & F.col("t").isNotNull() & F.col("e").isNotNull()
-    cells = rows.where(known).groupBy("risk", "t", "e").agg(F.count("*").alias("n")).persist()
+    risk, t, e = F.col(risk).cast("double"), F.col(duration).cast("double"), F.col(event).cast("int")
+    known = risk.isNotNull() & t.isNotNull() & e.isNotNull()
+    cells = (df.select(*[F.when(known, c).alias(name) for c, name in ((risk, "risk"), (t, "t"), (e, "e"))])
+             .groupBy("risk", "t", "e").agg(F.count("*").alias("n")).persist())
     try:
-        levels = max(LEAST_LEVELS, (-(-cells.count() // CELLS_PER_RANGE) - 1).bit_length())
-        probs = [i / 2**levels for i in range(1, 2**levels)]
-        cuts = cells.agg(F.percentile_approx("risk", probs, 10 * 2**levels)).first()[0] or []
-        splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-        placed = (Bucketizer(splits=splits, inputCol="risk", outputCol="range").transform(cells)
-                  .withColumn("range", F.col("range").cast("int")))
+        splits, levels, left_out = _ranges(cells)
+        placed = (Bucketizer(splits=splits, inputCol="risk", outputCol="range")
+                  .transform(cells.where("risk IS NOT NULL")).withColumn("range", F.col("range").cast("int")))
+        # ranges of one risk: [c, the next double)
+        alone = F.col("range").isin([i for i, (a, b) in enumerate(zip(splits, splits[1:])) if b == np.nextafter(a, np.inf)])
         totals = placed.groupBy("range", "t").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("e")).alias("d"))
-        across = _across(totals, levels)
         every = totals.groupBy("t").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-        pairs = running_sum(every.withColumn("later", F.col("n")), "t", ["later"], descending=True).agg(
-            _product_sum(F.col("d"), F.col("later") - F.col("d")).alias("pairs"))
-        within = (placed.groupBy("range").applyInPandas(_within, "concordant double, tied double")
-                  .agg(F.sum("concordant").alias("c"), F.sum("tied").alias("t")))
-        across, pairs, (inside, tied) = across.first()[0] or 0.0, pairs.first()[0] or 0.0, within.first()
+        none = F.lit(None).cast("double")
+        sums = (_across(totals, levels).select(F.col("value").alias("concordant"), none.alias("tied"), none.alias("pairs"))
+                .union(_later_pairs(every).select(none, none, "value"))
+                .union(_later_pairs(totals.where(alone), ["range"]).select(none, "value", none))
+                .union(placed.where(~alone).groupBy("range").applyInPandas(_within, "concordant double, tied double")
+                       .select("concordant", "tied", none)))
+        concordant, tied, pairs = (x or 0.0 for x in sums.agg(F.sum("concordant"), F.sum("tied"), F.sum("pairs")).first())
     finally:
         cells.unpersist()
-    concordant, tied = across + (inside or 0.0), tied or 0.0
-    left_out = rows.where(~known).count()
     c = (concordant + 0.5 * tied) / pairs if pairs else None
     return df.sparkSession.createDataFrame([(concordant, tied, pairs, c, left_out)],
                                            "concordant double, tied double, pairs double, c_index double, left_out long")
 
 
+def _ranges(cells: DataFrame) -> tuple[list[float], int, int]:
+    """Splits of the risks, the levels of halving they need, and the rows without a value.
+
+    A value that is two cuts or more has more cells than a range should: it is cut off on both sides.
+    """
+    def cuts(levels: int) -> Column:
+        probs = [i / 2**levels for i in range(1, 2**levels)]
+        return F.percentile_approx("risk", probs, 10 * 2**levels)
+
+    most = 8  # levels that the first look covers
+    count, left_out, found = cells.agg(F.count("risk"), F.sum(F.when(F.col("risk").isNull(), F.col("n"))), cuts(most)).first()
+    levels = max(LEAST_LEVELS, (-(-count // CELLS_PER_RANGE) - 1).bit_length())
+    if levels > most:
+        found = cells.agg(cuts(levels)).first()[0]
+    elif found:
+        step = 2 ** (most - levels)
+        found = found[step - 1::step]
+    found = [c for c in found or [] if np.isfinite(c)]
+    inner = set(found) | {float(np.nextafter(c, np.inf)) for c in found if found.count(c) > 1}
+    return [-float("inf"), *sorted(inner), float("inf")], levels, left_out or 0
+
+
+def _later_pairs(totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Comparable pairs of (by, t, n, d): events times the rows later, or as late and censored."""
+    sums = running_sum(totals.withColumn("later", F.col("n")), "t", ["later"], descending=True, by=by)
+    return sums.agg(_product_sum(F.col("d"), F.col("later") - F.col("d")).alias("value"))
+
+
 def _product_sum(a: Column, b: Column) -> Column:
     """Sum of products of counts, exact before the last step."""
     whole = "decimal(19,0)"
@@ -72,7 +102,7 @@ def _across(totals: DataFrame, levels: int) -> DataFrame:
         F.sum(F.when(~F.col("upper"), F.col("d")).otherwise(0)).alias("lower_d"),
         F.sum(F.when(F.col("upper"), F.col("d")).otherwise(0)).alias("upper_d"))
     sums = running_sum(cells, "t", ["later"], descending=True, by=["level", "half"])
-    return sums.agg(_product_sum(F.col("upper_d"), F.col("later") - F.col("lower_d")))
+    return sums.agg(_product_sum(F.col("upper_d"), F.col("later") - F.col("lower_d")).alias("value"))
 
 
 def c_index(df: DataFrame, risk: str, event: str = "survival_event",

@@ -1,20 +1,19 @@
 """Cox proportional hazards as a distributed Newton iteration.
 
-Every evaluation is one aggregation: rows are reduced to sums per distinct time (JVM side,
-combined before the shuffle), and only those sums, whose number depends on the months of
-loan age and not on the rows, are accumulated over the risk sets.
+Every evaluation is one job: blocks of rows are reduced to sums per distinct time, and only
+those sums are accumulated over the risk sets, from the last time back: totals by range of
+times, a scan of the totals, then the times within each range.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from loanpanel.functions.stats import order_bucket, running_sum
 from loanpanel.operators.survival.table import Z95
 
-DRIVER_TIMES = 5_000  # (time, event) sums accumulated on the driver; more stay in Spark
+HELD_CELLS = 4_096  # (time, event) sums a task holds before it sends them
 
 
 class CoxFitError(RuntimeError):
@@ -45,95 +44,142 @@ class Evaluation:
     events: int
 
 def _time_sums(df: DataFrame, beta: Mapping[str, float], event: str, duration: str) -> DataFrame:
-    """Per (time, event): count, sum of weights, weighted sums of x and of all products."""
-    # inputs are renamed so that a feature may have any name
-    names = [f"__f{i}" for i in range(len(beta))]
-    flat = df.select(F.col(duration).alias("t"), F.col(event).cast("int").alias("e"),
-                     F.exp(linear_predictor(beta)).alias("w"),
-                     *[F.col(c).alias(n) for c, n in zip(beta, names)])
-    x = VectorAssembler(inputCols=names, outputCol="x").transform(flat)
-    x = PolynomialExpansion(degree=2, inputCol="x", outputCol="x2").transform(x)
-    total = Summarizer.metrics("sum")
-    return (x.groupBy("t", "e")
-            .agg(F.count("*").alias("n"), F.sum("w").alias("w"),
-                 total.summary(F.col("x2"), F.col("w")).alias("x2"),
-                 total.summary(F.col("x")).alias("x"))
-            .select("t", "e", "n", "w", vector_to_array("x2.sum").alias("x2"),
-                    vector_to_array("x.sum").alias("x")))
+    """Per (time, event): n and v, the sums of w, w x, w x x' (lower triangle) and x.
+
+    Blocks of rows are multiplied at once; a task sends one row per cell, or a few more where it
+    meets more than ``HELD_CELLS`` cells. Rows without time count nowhere.
+    """
+    p, b = len(beta), np.array(list(beta.values()), dtype=float)
+    lower = np.tril_indices(p)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def sent() -> pa.RecordBatch:
+            n = pa.array([c[0] for c in held.values()], pa.int64())
+            v = pa.array([np.concatenate([[w], wx, wxx[lower], x]) for _, w, wx, wxx, x in held.values()],
+                         pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in held], pa.float64()), pa.array([k[1] for k in held], pa.int32()), n, v],
+                ["t", "e", "n", "v"])
+
+        for batch in batches:
+            flat = batch.column("x").flatten()
+            if flat.null_count:
+                raise ValueError("features must not be null")
+            x = flat.to_numpy().reshape(len(batch), p)
+            t, e = batch.column("t").to_numpy(), batch.column("e").to_numpy()
+            order = np.lexsort((e, t))
+            x, t, e = x[order], t[order], e[order]
+            w = np.exp(x @ b)
+            new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (e[1:] != e[:-1])]) if len(t) else []
+            for i, k in zip(new, [*new[1:], len(t)]):
+                rows, weights = x[i:k], w[i:k]
+                weighted = rows * weights[:, None]
+                cell = [k - i, weights.sum(), weighted.sum(axis=0), weighted.T @ rows, rows.sum(axis=0)]
+                key = (t[i], e[i])
+                held[key] = [a + c for a, c in zip(held[key], cell)] if key in held else cell
+            if len(held) > HELD_CELLS:
+                yield sent()
+                held = {}
+        if held:
+            yield sent()
+
+    rows = df.select(F.col(duration).cast("double").alias("t"),
+                     F.coalesce(F.col(event).cast("int") == 1, F.lit(False)).cast("int").alias("e"),
+                     F.array(*[F.col(c).cast("double") for c in beta]).cast("array<double>").alias("x"))
+    known = rows.where(F.col("t").isNotNull() & ~F.isnan("t"))
+    parts = (known.mapInArrow(blocks, "t double, e int, n long, v array<double>")
+             .withColumn("b", order_bucket(F.col("t"), 256)))
+    # one exchange, by range: the cells, the ranges' totals and the last scan all keep to it
+    return (parts.repartition("b").groupBy("b", "t", "e")
+            .agg(F.sum("n").alias("n"), _vector_sum("v").alias("v")))
+
+
+def _vector_sum(c: str) -> Column:
+    return vector_to_array(Summarizer.metrics("sum").summary(array_to_vector(c))["sum"])
+
+
+def _later_sums(totals: DataFrame) -> DataFrame:
+    """``(b, later)``: the sums of all later ranges, by a scan of the ranges' totals.
+
+    There are at most 256 ranges for a power of two of the times; the scan holds one of them.
+    """
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        later = 0.0
+        for batch in batches:
+            out = []
+            for v in batch.column("v"):
+                v = v.values.to_numpy()
+                out.append(np.zeros(len(v)) + later)
+                later = out[-1] + v
+            yield pa.RecordBatch.from_arrays([batch.column("b"), pa.array(out, pa.list_(pa.float64()))], ["b", "later"])
+
+    return (totals.repartition(1).sortWithinPartitions(F.desc("b"))
+            .mapInArrow(scan, "b long, later array<double>"))
 
 
 def evaluate(df: DataFrame, beta: Mapping[str, float], event: str = "survival_event",
              duration: str = "survival_time", ties: str = "efron") -> Evaluation:
-    """Log-likelihood, gradient and Hessian at ``beta``: one aggregation over the rows."""
-    sums = _time_sums(df, beta, event, duration)
-    p = len(beta)
-    near = sums.limit(DRIVER_TIMES + 1).toPandas()
-    if len(near) <= DRIVER_TIMES:
-        return Evaluation(*_accumulate(near, list(beta.values()), ties, 0.0, np.zeros(p + p * (p + 1) // 2)))
-    return _evaluate_ranges(sums, list(beta.values()), ties)
+    """Log-likelihood, gradient and Hessian at ``beta``: one job over the rows.
 
+    Sums per time are accumulated over the risk sets range by range, each from the sums of the
+    later ranges. No task holds more than a few times' sums; the driver gets one row per task.
+    """
+    p, b = len(beta), list(beta.values())
+    sums = _time_sums(df, beta, event, duration)
+    later = _later_sums(sums.groupBy("b").agg(_vector_sum("v").alias("v")))
+    ranged = sums.join(later, "b").repartition("b").sortWithinPartitions("b", F.desc("t"), "e")
 
-def _evaluate_ranges(sums: DataFrame, beta: Sequence[float], ties: str) -> Evaluation:
-    """Accumulate many distinct times in the executors, one range of times per group.
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ll, grad, hess, rows, events = _accumulate(_cells(batches), p, b, ties)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([ll]), pa.array([grad]), pa.array([hess.ravel()]), pa.array([rows], pa.int64()),
+             pa.array([events], pa.int64())], ["ll", "grad", "hess", "rows", "events"])
 
-    Only the ranges' totals reach the driver, where they become each range's starting sums.
-    """
-    ranged = sums.withColumn("b", order_bucket(F.col("t"), 256))
-    total = ranged.groupBy("b").agg(
-        F.sum("w").alias("w"),
-        vector_to_array(Summarizer.metrics("sum").summary(array_to_vector("x2"))["sum"]).alias("x2"))
-    s0, s12, start = 0.0, 0.0, {}
-    for row in total.orderBy(F.desc("b")).toLocalIterator():
-        start[row["b"]] = (s0, np.zeros(len(row["x2"])) + s12)
-        s0, s12 = s0 + row["w"], s12 + np.asarray(row["x2"])
-
-    def part(key, pdf):
-        ll, grad, hess, rows, events = _accumulate(pdf, beta, ties, *start[key[0]])
-        return pd.DataFrame([{"ll": float(ll), "grad": grad.tolist(), "hess": hess.ravel().tolist(),
-                              "rows": rows, "events": events}])
-
-    parts = (ranged.groupBy("b").applyInPandas(
-        part, "ll double, grad array<double>, hess array<double>, rows long, events long").toPandas())
-    p = len(beta)
+    parts = ranged.mapInArrow(walk, "ll double, grad array<double>, hess array<double>, rows long, events long").toPandas()
     return Evaluation(float(parts["ll"].sum()), np.sum(np.stack(parts["grad"]), axis=0),
                       np.sum(np.stack(parts["hess"]), axis=0).reshape(p, p),
                       int(parts["rows"].sum()), int(parts["events"].sum()))
 
 
-def _accumulate(sums: pd.DataFrame, beta: Sequence[float], ties: str, s0: float, s12: np.ndarray):
-    """Log-likelihood terms of the given times; ``s0, s12`` are the sums of all later times."""
-    p = len(beta)
-    # the expansion lists x_j, then x_0 x_j .. x_j x_j, for j = 0, 1, ...
-    linear = np.array([j + j * (j + 1) // 2 for j in range(p)])
-    lower = np.tril_indices(p)
-    product = linear[lower[0]] + 1 + lower[1]
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        keys = [batch.column(c).to_pylist() for c in ("b", "t", "e", "n")]
+        for row in zip(*keys, batch.column("v"), batch.column("later")):
+            yield (*row[:4], row[4].values.to_numpy(), row[5])
+
+
+def _accumulate(cells: Iterator[tuple], p: int, beta: Sequence[float], ties: str):
+    """Log-likelihood terms of cells (range, time, event, n, v, later), latest time of a range first.
+
+    A time's censored cell comes before its events, so both are in its risk set.
+    """
+    lower, beta = np.tril_indices(p), np.asarray(beta, dtype=float)
 
-    def square(flat: np.ndarray) -> np.ndarray:
+    def parts(v: np.ndarray):
         m = np.zeros((p, p))
-        m[lower] = flat[product]
-        return m + np.tril(m, -1).T
+        m[lower] = v[1 + p:1 + p + len(lower[0])]
+        return v[0], v[1:1 + p], m + np.tril(m, -1).T
 
     ll, grad, hess, rows, events = 0.0, np.zeros(p), np.zeros((p, p)), 0, 0
-    for _, at in sorted(sums.groupby("t"), key=lambda g: g[0], reverse=True):
-        s0 += at["w"].sum()
-        s12 = s12 + np.sum(np.stack(at["x2"].to_list()), axis=0)
-        rows += int(at["n"].sum())
-        died = at[at["e"] == 1]
-        if died.empty:
+    at, upto = None, None
+    for b, _, event, n, v, later in cells:
+        upto = (upto if b == at else later.values.to_numpy()) + v
+        at = b
+        rows += n
+        if event != 1:
             continue
-        row = died.iloc[0]
-        d = int(row["n"])
+        d = n
         events += d
-        r1, r2 = s12[linear], square(s12)
+        s0, r1, r2 = parts(upto)
+        d0, d1, d2 = parts(v)
         if ties == "efron":
-            d0, d12 = row["w"], np.asarray(row["x2"])
             a0, a1, b0, b1, b2, logs = _efron_sums(s0, d0, d)
         else:
-            d0, d12 = 0.0, np.zeros_like(s12)
             a0, a1, b0, b1, b2, logs = d / s0, 0.0, d / s0**2, 0.0, 0.0, d * math.log(s0)
-        d1, d2 = d12[linear], square(d12)
-        x = np.asarray(row["x"])
-        ll += float(x @ np.asarray(beta)) - logs
+        x = v[len(v) - p:]
+        ll += float(x @ beta) - logs
         grad += x - (r1 * a0 - d1 * a1)
         cross = np.outer(r1, d1)
         hess -= (r2 * a0 - d2 * a1) - (np.outer(r1, r1) * b0 - (cross + cross.T) * b1

@@ -89,14 +89,21 @@ def test_cox_derivatives_match_finite_differences(frame, small, ties):
         assert np.allclose(got.hessian[i], (second[0] - second[1]) / (2 * h), rtol=1e-6)
 
 
-def test_cox_many_times_equals_driver_path(frame, monkeypatch):
-    jittered = frame.withColumn("survival_time", F.col("survival_time") + F.col("LOAN_ID") / 1000)
-    near = CX.evaluate(jittered, {"x": 0.4, "z": 0.1})
-    monkeypatch.setattr(CX, "DRIVER_TIMES", 10)
-    far = CX.evaluate(jittered.repartition(3), {"x": 0.4, "z": 0.1})
-    assert far.log_likelihood == pytest.approx(near.log_likelihood, rel=1e-12)
-    assert np.allclose(far.gradient, near.gradient) and np.allclose(far.hessian, near.hessian)
-    assert (far.rows, far.events) == (near.rows, near.events)
+@pytest.mark.parametrize("held", [CX.HELD_CELLS, 10])
+def test_cox_many_times(frame, small, monkeypatch, held):
+    monkeypatch.setattr(CX, "HELD_CELLS", held)
+    x, z, t, e = small
+    far = frame.withColumn("survival_time", 1000 + F.col("survival_time") + F.col("LOAN_ID") / 1000)  # few ranges
+    wide = frame.withColumn("survival_time", F.exp(F.col("survival_time") + F.col("LOAN_ID") / 1000))  # many
+    t, design = t + np.arange(len(t)) / 1000, np.column_stack([x, z])
+    for df in (far, wide):
+        got = CX.evaluate(df.repartition(3), {"x": 0.4, "z": 0.1})
+        assert got.log_likelihood == pytest.approx(brute_loglik(np.array([0.4, 0.1]), design, t, e, "efron"), rel=1e-12)
+        assert (got.rows, got.events) == (len(t), e.sum())
+    # a missing time counts nowhere, a missing feature is an error
+    assert CX.evaluate(df.withColumn("survival_time", F.when(F.col("LOAN_ID") > 9, F.col("survival_time"))), {"x": 0.0}).rows == len(t) - 10
+    with pytest.raises(Exception, match="must not be null"):
+        CX.evaluate(df.withColumn("x", F.when(F.col("LOAN_ID") > 9, F.col("x"))), {"x": 0.0})
 
 
 def test_cox_fit(spark, frame):
@@ -277,6 +284,21 @@ def test_concordance_over_ranges_brute_force(spark, monkeypatch):
         assert (got["concordant"], got["tied"], got["pairs"], got["left_out"]) == (concordant, tied, pairs, 2)
 
 
+@pytest.mark.parametrize("values", [[0.5], [0.5, 0.25], [0.0, 1.0, 2.0, -7.0]])
+def test_concordance_of_few_risks_and_many_times(spark, monkeypatch, values):
+    monkeypatch.setattr(CC, "CELLS_PER_RANGE", 50)
+    rng = np.random.default_rng(8)
+    risk, t, e = rng.choice(values, 900), rng.permutation(900) / 4, rng.integers(0, 2, 900)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for a, b, c in zip(risk, t, e)],
+                               "risk double, survival_time double, survival_event int")
+    got = CC.concordance(df, "risk").first()
+    assert (got["concordant"], got["tied"], got["pairs"]) == brute_concordance(risk, t, e)
+    splits, levels, left_out = CC._ranges(df.toDF("risk", "t", "e").withColumn("n", F.lit(1)))
+    assert len(splits) - 1 <= 2**levels and left_out == 0
+    # every value has a range of its own, so no task counts its cells
+    assert set(values) | {np.nextafter(v, np.inf) for v in values} == set(splits[1:-1])
+
+
 def test_a_censored_loan_takes_its_last_row(spark):
     df = spark.createDataFrame([("a", 1.0, 0, "2017Q4", 1.0), ("a", 2.0, 0, "2017Q1", 2.0), ("a", 2.0, 0, "2018Q1", 3.0),
                                 ("b", 1.0, 1, "2018Q1", 5.0), ("b", 1.0, 1, "2017Q1", 4.0), ("b", 3.0, 0, "2018Q1", 6.0)],
