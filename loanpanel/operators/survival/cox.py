@@ -44,7 +44,7 @@ class Evaluation:
     events: int
 
 def _time_sums(df: DataFrame, beta: Mapping[str, float], event: str, duration: str) -> DataFrame:
-    """Per (time, event): n and v, the sums of w, w x, w x x' (lower triangle) and x.
+    """Per (time, event): v, the sums of 1, w, w x, w x x' (lower triangle) and x.
 
     Blocks of rows are multiplied at once; a task sends one row per cell, or a few more where it
     meets more than ``HELD_CELLS`` cells. Rows without time count nowhere.
@@ -56,12 +56,11 @@ def _time_sums(df: DataFrame, beta: Mapping[str, float], event: str, duration: s
         held: dict[tuple, list] = {}
 
         def sent() -> pa.RecordBatch:
-            n = pa.array([c[0] for c in held.values()], pa.int64())
-            v = pa.array([np.concatenate([[w], wx, wxx[lower], x]) for _, w, wx, wxx, x in held.values()],
+            v = pa.array([np.concatenate([[n, w], wx, wxx[lower], x]) for n, w, wx, wxx, x in held.values()],
                          pa.list_(pa.float64()))
             return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in held], pa.float64()), pa.array([k[1] for k in held], pa.int32()), n, v],
-                ["t", "e", "n", "v"])
+                [pa.array([k[0] for k in held], pa.float64()), pa.array([k[1] for k in held], pa.int32()), v],
+                ["t", "e", "v"])
 
         for batch in batches:
             flat = batch.column("x").flatten()
@@ -89,11 +88,10 @@ def _time_sums(df: DataFrame, beta: Mapping[str, float], event: str, duration: s
                      F.coalesce(F.col(event).cast("int") == 1, F.lit(False)).cast("int").alias("e"),
                      F.array(*[F.col(c).cast("double") for c in beta]).cast("array<double>").alias("x"))
     known = rows.where(F.col("t").isNotNull() & ~F.isnan("t"))
-    parts = (known.mapInArrow(blocks, "t double, e int, n long, v array<double>")
+    parts = (known.mapInArrow(blocks, "t double, e int, v array<double>")
              .withColumn("b", order_bucket(F.col("t"), 256)))
-    # one exchange, by range: the cells, the ranges' totals and the last scan all keep to it
-    return (parts.repartition("b").groupBy("b", "t", "e")
-            .agg(F.sum("n").alias("n"), _vector_sum("v").alias("v")))
+    # one exchange, by range: the cells, the ranges' totals and the last walk all keep to it
+    return parts.repartition("b").groupBy("b", "t", "e").agg(_vector_sum("v").alias("v"))
 
 
 def _vector_sum(c: str) -> Column:
@@ -127,9 +125,6 @@ def evaluate(df: DataFrame, beta: Mapping[str, float], event: str = "survival_ev
     later ranges. No task holds more than a few times' sums; the driver gets one row per task.
     """
     p, b = len(beta), list(beta.values())
-    sums = _time_sums(df, beta, event, duration)
-    later = _later_sums(sums.groupBy("b").agg(_vector_sum("v").alias("v")))
-    ranged = sums.join(later, "b").repartition("b").sortWithinPartitions("b", F.desc("t"), "e")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ll, grad, hess, rows, events = _accumulate(_cells(batches), p, b, ties)
@@ -137,7 +132,14 @@ def evaluate(df: DataFrame, beta: Mapping[str, float], event: str = "survival_ev
             [pa.array([ll]), pa.array([grad]), pa.array([hess.ravel()]), pa.array([rows], pa.int64()),
              pa.array([events], pa.int64())], ["ll", "grad", "hess", "rows", "events"])
 
-    parts = ranged.mapInArrow(walk, "ll double, grad array<double>, hess array<double>, rows long, events long").toPandas()
+    # kept for the two uses in the job below: Spark does not see that both are the same exchange
+    sums = _time_sums(df, beta, event, duration).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        later = _later_sums(sums.groupBy("b").agg(_vector_sum("v").alias("v")))
+        ranged = sums.join(later, "b").repartition("b").sortWithinPartitions("b", F.desc("t"), "e")
+        parts = ranged.mapInArrow(walk, "ll double, grad array<double>, hess array<double>, rows long, events long").toPandas()
+    finally:
+        sums.unpersist()
     return Evaluation(float(parts["ll"].sum()), np.sum(np.stack(parts["grad"]), axis=0),
                       np.sum(np.stack(parts["hess"]), axis=0).reshape(p, p),
                       int(parts["rows"].sum()), int(parts["events"].sum()))
@@ -145,13 +147,13 @@ def evaluate(df: DataFrame, beta: Mapping[str, float], event: str = "survival_ev
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        keys = [batch.column(c).to_pylist() for c in ("b", "t", "e", "n")]
-        for row in zip(*keys, batch.column("v"), batch.column("later")):
-            yield (*row[:4], row[4].values.to_numpy(), row[5])
+        keys = [batch.column(c).to_pylist() for c in ("b", "e")]
+        for b, e, v, later in zip(*keys, batch.column("v"), batch.column("later")):
+            yield b, e, v.values.to_numpy(), later
 
 
 def _accumulate(cells: Iterator[tuple], p: int, beta: Sequence[float], ties: str):
-    """Log-likelihood terms of cells (range, time, event, n, v, later), latest time of a range first.
+    """Log-likelihood terms of cells (range, event, v, later), latest time of a range first.
 
     A time's censored cell comes before its events, so both are in its risk set.
     """
@@ -159,14 +161,15 @@ def _accumulate(cells: Iterator[tuple], p: int, beta: Sequence[float], ties: str
 
     def parts(v: np.ndarray):
         m = np.zeros((p, p))
-        m[lower] = v[1 + p:1 + p + len(lower[0])]
-        return v[0], v[1:1 + p], m + np.tril(m, -1).T
+        m[lower] = v[2 + p:2 + p + len(lower[0])]
+        return v[1], v[2:2 + p], m + np.tril(m, -1).T
 
     ll, grad, hess, rows, events = 0.0, np.zeros(p), np.zeros((p, p)), 0, 0
     at, upto = None, None
-    for b, _, event, n, v, later in cells:
+    for b, event, v, later in cells:
         upto = (upto if b == at else later.values.to_numpy()) + v
         at = b
+        n = int(v[0])
         rows += n
         if event != 1:
             continue
