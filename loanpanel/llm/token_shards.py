@@ -1,31 +1,39 @@
-"""Token ids in training order, as shards of fixed-stride records.
+"""Token ids in training order, as binary shards of fixed-stride records.
 
 Documents are cut into sequences of at most ``length`` ids. A keyed Feistel network with
 cycle-walking permutes the sequence numbers 0..n-1; a sequence's image is its global slot.
-Shards are ranges of slots. A record holds the number of ids as an unsigned 32-bit number and
+Shards are ranges of slots, each a file ``shard-<k>.bin``. A record holds the number of ids as an unsigned 32-bit number and
 the ids as unsigned 16-bit numbers, padded with zeros to the stride, so the record of a slot
 is found by arithmetic and reading can resume at any slot. Number, key and rounds give the
 slot without a table, and the inverse network gives the number of a slot.
 
-Sequences are numbered without a sort: the position within the tokenising task plus the
-counts of the tasks before it.
+Sequences are numbered in the order of (id, digest of the text, piece): documents are dealt to
+ranges of that order before they are tokenised, so a sequence's number is its position within
+its range plus the counts of the ranges before. The slots follow from the rows alone, not from
+their partitions; rows that tie are equal.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanpanel.llm import tokens
 from loanpanel.llm.storage import shared_table
+from loanpanel.session import scratch_path
 
 HEADER = 4
+READ_RECORDS = 1_024  # records read at once
 ROUNDS = 6
 
 
@@ -65,9 +73,14 @@ def token_sequences(docs: DataFrame, length: int = 1024, end_id: int = 2, vocabu
                     rank_file: str | None = "byte_bpe_50k.tiktoken") -> DataFrame:
     """One row per sequence: task, nth (in the task), doc_id, piece, n_ids, ids (unsigned 16-bit).
 
-    A null or empty text is its end id alone. Ids must be below 65,536.
+    Tasks and their rows follow the order of (doc_id, digest, piece). A null or empty text is its
+    end id alone. Ids must be below 65,536.
     """
     kept = dict(docs.dtypes)["doc_id"]
+    # the last key parts equal rows, which may be many; their order does not show
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"),
+                        F.monotonically_increasing_id().alias("row"))
+    keyed = keyed.repartitionByRange("doc_id", "digest", "row").sortWithinPartitions("doc_id", "digest", "row")
     end = np.array([end_id], "<u4").tobytes()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +106,7 @@ def token_sequences(docs: DataFrame, length: int = 1024, end_id: int = 2, vocabu
                 ["task", "nth", "doc_id", "piece", "n_ids", "ids"])
             nth += n
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return keyed.select("doc_id", "text").mapInArrow(
         cut_up, f"task long, nth long, doc_id {kept}, piece int, n_ids int, ids binary")
 
 
@@ -121,62 +134,107 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, per_shard
                           "n_ids", "ids"), n
 
 
-def token_shards(docs: DataFrame, key: int = 42, length: int = 1024, per_shard: int = 8_192,
-                 per_block: int = 256, **options) -> DataFrame:
-    """One row per block of ``per_block`` consecutive slots: shard, first_slot, n, stride, doc_ids, pieces, records.
+@dataclass(frozen=True)
+class Shards:
+    """Written shards: their folder, ``manifest`` (a row per file) and ``index`` (a row per sequence)."""
 
-    ``records`` is the concatenation of the block's records; ordered by first_slot, the blocks
-    of a shard are its bytes. Writing the result with ``write.parquet`` gives one file range per
-    shard, ordered by slot. Blocks bound what a task holds; a shard is never built in memory.
+    folder: str
+    manifest: DataFrame
+    index: DataFrame
+
+
+def write_shards(docs: DataFrame, folder: str | None = None, key: int = 42, length: int = 1024,
+                 per_shard: int = 8_192, **options) -> Shards:
+    """Write the shards of ``docs`` below ``folder`` (else below the cluster's shared folder).
+
+    ``index``: slot, shard, offset (of its record in the file), doc_id, piece, n_ids, crc32 (of the
+    record). ``manifest``: shard, file, first_slot, n, stride, bytes. Both are Parquet tables in the
+    folder. A task writes the records one by one, under a temporary name that becomes the shard's
+    when it is whole; a repeated task writes the same bytes. An empty table has no shard.
     """
+    folder = (folder or scratch_path(docs.sparkSession, "shards")).rstrip("/")
     ordered, n = training_order(docs, key, length, per_shard, **options)
-    shards = max(1, -(-n // per_shard))
     stride = HEADER + 2 * length
     kept = dict(ordered.dtypes)["doc_id"]
-    rows = ordered.repartitionByRange(shards, "shard").sortWithinPartitions("slot")
-
-    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple] = []
-
-        def done() -> pa.RecordBatch:
-            records = bytearray(stride * len(block))
-            for i, (_, _, _, _, size, ids) in enumerate(block):
-                records[i * stride:i * stride + HEADER] = int(size).to_bytes(HEADER, "little")
-                records[i * stride + HEADER:i * stride + HEADER + len(ids)] = ids
-            return pa.RecordBatch.from_arrays(
-                [pa.array([block[0][1]], pa.int64()), pa.array([block[0][0]], pa.int64()), pa.array([len(block)], pa.int32()),
-                 pa.array([stride], pa.int32()), pa.array([[b[2] for b in block]]), pa.array([[b[3] for b in block]], pa.list_(pa.int32())),
-                 pa.array([bytes(records)], pa.binary())],
-                ["shard", "first_slot", "n", "stride", "doc_ids", "pieces", "records"])
-
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("slot", "shard", "doc_id", "piece", "n_ids", "ids"))):
-                if block and (len(block) == per_block or row[1] != block[0][1]):
-                    yield done()
-                    block = []
-                block.append(row)
-        if block:
-            yield done()
-
-    return rows.mapInArrow(lay_out, f"shard long, first_slot long, n int, stride int, doc_ids array<{kept}>, "
-                                    "pieces array<int>, records binary")
-
-
-def read_records(blocks: DataFrame, first_slot: int = 0) -> DataFrame:
-    """Resume reading at ``first_slot``: slot, doc_id, piece, ids in slot order of every block."""
-    kept = dict(blocks.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
-    wanted = blocks.filter(F.col("first_slot") + F.col("n") > first_slot)
-
-    def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, n, stride, doc_ids, pieces, records in zip(*(batch.column(c).to_pylist() for c in (
-                    "first_slot", "n", "stride", "doc_ids", "pieces", "records"))):
-                own = range(max(0, first_slot - first), n)
-                ids = [np.frombuffer(records, "<u2", int.from_bytes(records[i * stride:i * stride + HEADER], "little"),
-                                     i * stride + HEADER).astype(np.int32) for i in own]
+    rows = ordered.repartitionByRange(max(1, -(-n // per_shard)), "shard").sortWithinPartitions("slot")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root)
+        shard, out, temporary = None, None, ""
+
+        def finish() -> None:
+            if out is not None:
+                out.close()
+                files.move(temporary, f"{root}/{shard_name(shard)}")
+
+        try:
+            for batch in batches:
+                slot = batch.column("slot").to_numpy()
+                crc = np.zeros(len(slot), np.int64)
+                for i, (k, size, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "n_ids", "ids")))):
+                    if k != shard:
+                        finish()
+                        shard, temporary = k, f"{root}/_{shard_name(k)}.{uuid.uuid4().hex}"
+                        out = files.open_output_stream(temporary)
+                    record = (size.to_bytes(HEADER, "little") + ids).ljust(stride, b"\0")
+                    out.write(record)
+                    crc[i] = zlib.crc32(record)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([first + i for i in own], pa.int64()), pa.array([doc_ids[i] for i in own]),
-                     pa.array([pieces[i] for i in own], pa.int32()), pa.array(ids, pa.list_(pa.int32()))],
-                    ["slot", "doc_id", "piece", "ids"])
+                    [batch.column("slot"), batch.column("shard"), pa.array(slot % per_shard * stride),
+                     *(batch.column(c) for c in ("doc_id", "piece", "n_ids")), pa.array(crc)],
+                    ["slot", "shard", "offset", "doc_id", "piece", "n_ids", "crc32"])
+            finish()
+            out = None
+        finally:
+            if out is not None:  # a task that failed
+                out.close()
+                files.delete_file(temporary)
+
+    index = rows.mapInArrow(write, f"slot long, shard long, offset long, doc_id {kept}, piece int, n_ids int, crc32 long")
+    index.write.mode("overwrite").parquet(f"{folder}/_index")
+    session, name = docs.sparkSession, F.format_string("shard-%08d.bin", F.col("shard"))
+    index = session.read.schema(index.schema).parquet(f"{folder}/_index")
+    manifest = index.groupBy("shard").agg(F.min("slot").alias("first_slot"), F.count("*").alias("n")).select(
+        "shard", name.alias("file"), "first_slot", "n", F.lit(stride).alias("stride"),
+        (F.col("n") * stride).alias("bytes"))
+    manifest.write.mode("overwrite").parquet(f"{folder}/_manifest")
+    return Shards(folder, session.read.schema(manifest.schema).parquet(f"{folder}/_manifest"), index)
+
+
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
+
+
+def read_slots(spark: SparkSession, folder: str, first: int = 0, last: int | None = None) -> DataFrame:
+    """``(slot, ids)`` of slots ``first`` to ``last`` (to the end if none), in slot order within a shard.
+
+    Files outside are not opened; a file is read on from the first wanted record, whose place
+    follows from its slot.
+    """
+    folder = folder.rstrip("/")
+    manifest = spark.read.parquet(f"{folder}/_manifest").where(F.col("first_slot") + F.col("n") > first)
+    if last is not None:
+        manifest = manifest.where(F.col("first_slot") <= last)
 
-    return wanted.mapInArrow(take_apart, f"slot long, doc_id {kept}, piece int, ids array<int>")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for file, start, n, stride in zip(*(batch.column(c).to_pylist() for c in ("file", "first_slot", "n", "stride"))):
+                at = max(first, start)
+                end = start + n if last is None else min(start + n, last + 1)
+                with files.open_input_file(f"{root}/{file}") as source:
+                    source.seek((at - start) * stride)
+                    for low in range(at, end, READ_RECORDS):
+                        count = min(READ_RECORDS, end - low)
+                        data = source.read(count * stride)
+                        if len(data) != count * stride:
+                            raise OSError(f"{file} is cut short")
+                        ids = [np.frombuffer(data, "<u2", int.from_bytes(data[i:i + HEADER], "little"), i + HEADER)
+                               .astype(np.int32) for i in range(0, len(data), stride)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.arange(low, low + count), pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
+                            ["slot", "ids"])
+
+    return (manifest.repartitionByRange("shard").sortWithinPartitions("shard")
+            .mapInArrow(read, "slot long, ids array<int>"))

@@ -176,24 +176,55 @@ def test_permutation(n):
         assert slots.tolist() != list(range(n)) and slots.tolist() != token_shards.permuted(np.arange(n), n, key=10).tolist()
 
 
-def test_token_shards_round_trip(spark, tokenizer):
+def test_token_shards_round_trip(spark, tokenizer, tmp_path):
     rows = [r[:2] for r in corpus()] + [(400 + i, t) for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("clash")).repartition(3)
-    blocks = token_shards.token_shards(docs, length=64, per_shard=32, per_block=10).cache()
-    order = [(r["shard"], r["first_slot"], r["n"], len(r["records"]), r["stride"]) for r in blocks.collect()]
-    at = 0
-    for shard, first, n, size, stride in sorted(order):
-        assert first == at and shard == first // 32 == (first + n - 1) // 32 and size == n * stride and stride == 4 + 2 * 64
-        at += n
-    found = defaultdict(dict)
-    for r in token_shards.read_records(blocks).collect():
-        found[r["doc_id"]][r["piece"]] = r["ids"]
-    for i, text in rows:
-        ids = [x for k in sorted(found[i]) for x in found[i][k]]
-        assert ids == tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
-    later = [r["slot"] for r in token_shards.read_records(blocks, first_slot=37).collect()]
-    assert sorted(later) == list(range(37, at))
-    assert token_shards.token_shards(docs.limit(0)).count() == 0
+    folder = str(tmp_path / "shards")
+    shards = token_shards.write_shards(docs, folder, key=7, length=64, per_shard=32)
+    stride = 4 + 2 * 64
+    # by brute force: numbers in the order of the ids, sent through the permutation
+    wanted = []
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+        wanted += [(i, k, ids[at:at + 64]) for k, at in enumerate(range(0, len(ids), 64))]
+    n = len(wanted)
+    by_slot = dict(zip(token_shards.permuted(np.arange(n), n, key=7).tolist(), wanted))
+    index = {r["slot"]: r for r in shards.index.collect()}
+    assert sorted(index) == list(range(n))
+    for slot, (i, k, ids) in by_slot.items():
+        r = index[slot]
+        assert (r["doc_id"], r["piece"], r["n_ids"], r["shard"], r["offset"]) == (i, k, len(ids), slot // 32, slot % 32 * stride)
+        with open(f"{folder}/{token_shards.shard_name(r['shard'])}", "rb") as f:
+            f.seek(r["offset"])
+            record = f.read(stride)
+        assert zlib.crc32(record) == r["crc32"] and int.from_bytes(record[:4], "little") == len(ids)
+        assert np.frombuffer(record, "<u2", len(ids), 4).tolist() == ids and not any(record[4 + 2 * len(ids):])
+    files = {p.name for p in (tmp_path / "shards").iterdir() if p.name.endswith(".bin")}
+    manifest = shards.manifest.collect()
+    assert files == {r["file"] for r in manifest} and sum(r["n"] for r in manifest) == n
+    assert all((tmp_path / "shards" / r["file"]).stat().st_size == r["bytes"] == r["n"] * stride for r in manifest)
+    read = {r["slot"]: r["ids"] for r in token_shards.read_slots(spark, folder).collect()}
+    assert read == {slot: ids for slot, (_, _, ids) in by_slot.items()}
+    # a resumed read opens no other file
+    for name in files - {token_shards.shard_name(1)}:
+        (tmp_path / "shards" / name).write_bytes(b"")
+    later = token_shards.read_slots(spark, folder, first=37, last=63).collect()
+    assert [r["slot"] for r in later] == list(range(37, 64)) and all(r["ids"] == by_slot[r["slot"]][2] for r in later)
+    with pytest.raises(Exception, match="cut short"):
+        token_shards.read_slots(spark, folder, first=20).collect()
+    assert token_shards.write_shards(docs.limit(0)).index.count() == 0
+
+
+def test_token_order_does_not_depend_on_partitions(spark):
+    rows = [r[:2] for r in corpus()] + [(None, f"no id {i}") for i in range(9)] + [(1, "again " * i) for i in range(9)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for parts in (2, 5, 32):
+        ordered, n = token_shards.training_order(docs.repartition(parts), length=64)
+        found.append(sorted((r["slot"], r["doc_id"], r["piece"], bytes(r["ids"])) for r in
+                            ordered.fillna({"doc_id": -1}).collect()))
+        assert [x[0] for x in found[-1]] == list(range(n))
+    assert found[0] == found[1] == found[2]
 
 
 def test_pipeline(spark, tmp_path):
