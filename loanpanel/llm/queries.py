@@ -90,11 +90,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_token_shards")
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the shards; a row per sequence tells the file and the place of its record."""
-    shards = token_shards.write_shards(read(spark, sf_dir, "documents"))
-    files = shards.manifest.select("shard", "file", "stride")
-    return shards.index.join(files, "shard").select("slot", "shard", "file", "offset", "stride", "doc_id", "piece",
-                                                    "n_ids", "crc32")
+    """The shards' bytes, as blocks of records; ``write_shards`` appends the same blocks to files."""
+    return token_shards.token_shards(read(spark, sf_dir, "documents"))
 
 
 @query("op7_packing")

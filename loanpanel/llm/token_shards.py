@@ -7,10 +7,11 @@ the ids as unsigned 16-bit numbers, padded with zeros to the stride, so the reco
 is found by arithmetic and reading can resume at any slot. Number, key and rounds give the
 slot without a table, and the inverse network gives the number of a slot.
 
-Sequences are numbered in the order of (id, digest of the text, piece): documents are dealt to
-ranges of that order before they are tokenised, so a sequence's number is its position within
-its range plus the counts of the ranges before. The slots follow from the rows alone, not from
-their partitions; rows that tie are equal.
+Sequences are numbered in the order of (id, digest of the text, piece), by a sort of these keys
+alone in ranges: a number is the position within the range plus the counts of the ranges before.
+The slots follow from the rows alone, not from their partitions; rows that tie are equal. The ids
+are written in buckets by tokenising task, where the numbers join them, and move once, to their
+shard.
 """
 
 from __future__ import annotations
@@ -71,16 +72,11 @@ def permuted(numbers: np.ndarray, n: int, key: int, backwards: bool = False) ->
 
 def token_sequences(docs: DataFrame, length: int = 1024, end_id: int = 2, vocabulary: str = "byte_bpe_50k.json",
                     rank_file: str | None = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """One row per sequence: task, nth (in the task), doc_id, piece, n_ids, ids (unsigned 16-bit).
+    """One row per sequence: task, nth (in the task), doc_id, digest, piece, n_ids, ids (unsigned 16-bit).
 
-    Tasks and their rows follow the order of (doc_id, digest, piece). A null or empty text is its
-    end id alone. Ids must be below 65,536.
+    A null or empty text is its end id alone. Ids must be below 65,536.
     """
     kept = dict(docs.dtypes)["doc_id"]
-    # the last key parts equal rows, which may be many; their order does not show
-    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"),
-                        F.monotonically_increasing_id().alias("row"))
-    keyed = keyed.repartitionByRange("doc_id", "digest", "row").sortWithinPartitions("doc_id", "digest", "row")
     end = np.array([end_id], "<u4").tobytes()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,13 +97,22 @@ def token_sequences(docs: DataFrame, length: int = 1024, end_id: int = 2, vocabu
             n = len(of)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, task), pa.int64()), pa.array(np.arange(nth, nth + n), pa.int64()),
-                 batch.column("doc_id").take(pa.array(of, pa.int32())), pa.array(piece, pa.int32()),
+                 *(batch.column(c).take(pa.array(of, pa.int32())) for c in ("doc_id", "digest")), pa.array(piece, pa.int32()),
                  pa.array(size, pa.int32()), pa.array(ids, pa.binary())],
-                ["task", "nth", "doc_id", "piece", "n_ids", "ids"])
+                ["task", "nth", "doc_id", "digest", "piece", "n_ids", "ids"])
             nth += n
 
-    return keyed.select("doc_id", "text").mapInArrow(
-        cut_up, f"task long, nth long, doc_id {kept}, piece int, n_ids int, ids binary")
+    digest = F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")
+    return docs.select("doc_id", "text", digest).mapInArrow(
+        cut_up, f"task long, nth long, doc_id {kept}, digest long, piece int, n_ids int, ids binary")
+
+
+def _bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``by``, which joins on it need not move."""
+    session, name = df.sparkSession, f"tokens_{uuid.uuid4().hex}"
+    (df.write.option("compression", "zstd").option("path", scratch_path(session, "tokens"))
+     .bucketBy(buckets, by).saveAsTable(name, format="parquet"))
+    return session.table(name)
 
 
 def training_order(docs: DataFrame, key: int = 42, length: int = 1024, per_shard: int = 8_192,
@@ -117,46 +122,91 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, per_shard
     Tokens are written once to the shared folder. Other columns of ``docs`` are not read;
     repeated rows are separate sequences; an empty table has none.
     """
-    written = shared_table(token_sequences(docs, length, **options), "tokens")
-    counts = written.groupBy("task").count()  # one row per task
-    before = F.sum("count").over(Window.orderBy("task")) - F.col("count")
-    counts = counts.select("task", before.alias("before"))
-    n = written.count()
+    sequences = token_sequences(docs, length, **options)
+    written = _bucketed(sequences, "task", max(1, sequences.rdd.getNumPartitions()))
+    # the last keys part equal documents, which may be many
+    order = ["doc_id", "digest", "piece", "task", "nth"]
+    ranged = written.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()  # the range above the 33rd bit, the row in it below
+    ranged = shared_table(ranged.select("task", "nth", F.shiftright(place, 33).alias("range"),
+                                        place.bitwiseAND(2**33 - 1).alias("row")), "numbers")
+    counts = ranged.groupBy("range").count()  # one row per range
+    before = F.sum("count").over(Window.orderBy("range")) - F.col("count")
+    counts = counts.select("range", before.alias("before"))
+    n = ranged.count()
 
     @F.pandas_udf("long")
     def slot_of(numbers: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for number in numbers:
             yield pd.Series(permuted(number.to_numpy(np.int64), n, key))
 
-    ordered = (written.join(F.broadcast(counts), "task")  # as many rows as tokenising tasks
-               .withColumn("slot", slot_of(F.col("before") + F.col("nth"))))
+    slots = (ranged.join(F.broadcast(counts), "range")  # as many rows as ranges
+             .select("task", "nth", slot_of(F.col("before") + F.col("row")).alias("slot")))
+    ordered = written.join(slots.hint("merge"), ["task", "nth"])
     return ordered.select("slot", F.floor(F.col("slot") / per_shard).alias("shard"), "doc_id", "piece",
                           "n_ids", "ids"), n
 
 
+def token_shards(docs: DataFrame, key: int = 42, length: int = 1024, per_shard: int = 8_192,
+                 per_block: int = 256, **options) -> DataFrame:
+    """One row per block of ``per_block`` consecutive slots: shard, first_slot, n, stride, doc_ids, pieces, records.
+
+    ``records`` is the concatenation of the block's records; ordered by first_slot, the blocks
+    of a shard are its bytes; :func:`write_shards` makes files of them. Blocks bound what a task
+    holds; a shard is never built in memory.
+    """
+    ordered, n = training_order(docs, key, length, per_shard, **options)
+    shards = max(1, -(-n // per_shard))
+    stride = HEADER + 2 * length
+    kept = dict(ordered.dtypes)["doc_id"]
+    rows = ordered.repartitionByRange(shards, "shard").sortWithinPartitions("slot")
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[tuple] = []
+
+        def done() -> pa.RecordBatch:
+            records = bytearray(stride * len(block))
+            for i, (_, _, _, _, size, ids) in enumerate(block):
+                records[i * stride:i * stride + HEADER] = int(size).to_bytes(HEADER, "little")
+                records[i * stride + HEADER:i * stride + HEADER + len(ids)] = ids
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block[0][1]], pa.int64()), pa.array([block[0][0]], pa.int64()), pa.array([len(block)], pa.int32()),
+                 pa.array([stride], pa.int32()), pa.array([[b[2] for b in block]]), pa.array([[b[3] for b in block]], pa.list_(pa.int32())),
+                 pa.array([bytes(records)], pa.binary())],
+                ["shard", "first_slot", "n", "stride", "doc_ids", "pieces", "records"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("slot", "shard", "doc_id", "piece", "n_ids", "ids"))):
+                if block and (len(block) == per_block or row[1] != block[0][1]):
+                    yield done()
+                    block = []
+                block.append(row)
+        if block:
+            yield done()
+
+    return rows.mapInArrow(lay_out, f"shard long, first_slot long, n int, stride int, doc_ids array<{kept}>, "
+                                    "pieces array<int>, records binary")
+
+
 @dataclass(frozen=True)
 class Shards:
-    """Written shards: their folder, ``manifest`` (a row per file) and ``index`` (a row per sequence)."""
+    """Written shards: their folder, ``manifest`` (a row per file) and ``index`` (a row per block)."""
 
     folder: str
     manifest: DataFrame
     index: DataFrame
 
 
-def write_shards(docs: DataFrame, folder: str | None = None, key: int = 42, length: int = 1024,
-                 per_shard: int = 8_192, **options) -> Shards:
-    """Write the shards of ``docs`` below ``folder`` (else below the cluster's shared folder).
+def write_shards(docs: DataFrame, folder: str | None = None, **options) -> Shards:
+    """Write the shards of ``docs`` as files below ``folder`` (else the cluster's shared folder).
 
-    ``index``: slot, shard, offset (of its record in the file), doc_id, piece, n_ids, crc32 (of the
-    record). ``manifest``: shard, file, first_slot, n, stride, bytes. Both are Parquet tables in the
-    folder. A task writes the records one by one, under a temporary name that becomes the shard's
-    when it is whole; a repeated task writes the same bytes. An empty table has no shard.
+    ``index``: the blocks, with the crc32 of their records instead of these. ``manifest``: shard,
+    file, first_slot, n, stride, bytes. Both are Parquet tables in the folder. A task appends block
+    by block, under a temporary name that becomes the shard's when it is whole; a repeated task
+    writes the same bytes. An empty table has no shard. Options are those of :func:`token_shards`.
     """
     folder = (folder or scratch_path(docs.sparkSession, "shards")).rstrip("/")
-    ordered, n = training_order(docs, key, length, per_shard, **options)
-    stride = HEADER + 2 * length
-    kept = dict(ordered.dtypes)["doc_id"]
-    rows = ordered.repartitionByRange(max(1, -(-n // per_shard)), "shard").sortWithinPartitions("slot")
+    blocks = token_shards(docs, **options)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(folder)
@@ -170,20 +220,17 @@ def write_shards(docs: DataFrame, folder: str | None = None, key: int = 42, leng
 
         try:
             for batch in batches:
-                slot = batch.column("slot").to_numpy()
-                crc = np.zeros(len(slot), np.int64)
-                for i, (k, size, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "n_ids", "ids")))):
+                crc = []
+                for k, records in zip(batch.column("shard").to_pylist(), batch.column("records").to_pylist()):
                     if k != shard:
                         finish()
                         shard, temporary = k, f"{root}/_{shard_name(k)}.{uuid.uuid4().hex}"
                         out = files.open_output_stream(temporary)
-                    record = (size.to_bytes(HEADER, "little") + ids).ljust(stride, b"\0")
-                    out.write(record)
-                    crc[i] = zlib.crc32(record)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("slot"), batch.column("shard"), pa.array(slot % per_shard * stride),
-                     *(batch.column(c) for c in ("doc_id", "piece", "n_ids")), pa.array(crc)],
-                    ["slot", "shard", "offset", "doc_id", "piece", "n_ids", "crc32"])
+                    out.write(records)
+                    crc.append(zlib.crc32(records))
+                kept = [c for c in batch.schema.names if c != "records"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(crc, pa.int64())],
+                                                 [*kept, "crc32"])
             finish()
             out = None
         finally:
@@ -191,13 +238,13 @@ def write_shards(docs: DataFrame, folder: str | None = None, key: int = 42, leng
                 out.close()
                 files.delete_file(temporary)
 
-    index = rows.mapInArrow(write, f"slot long, shard long, offset long, doc_id {kept}, piece int, n_ids int, crc32 long")
+    kinds = [f"{c} {kind}" for c, kind in blocks.dtypes if c != "records"]
+    index = blocks.mapInArrow(write, ", ".join([*kinds, "crc32 long"]))
     index.write.mode("overwrite").parquet(f"{folder}/_index")
     session, name = docs.sparkSession, F.format_string("shard-%08d.bin", F.col("shard"))
     index = session.read.schema(index.schema).parquet(f"{folder}/_index")
-    manifest = index.groupBy("shard").agg(F.min("slot").alias("first_slot"), F.count("*").alias("n")).select(
-        "shard", name.alias("file"), "first_slot", "n", F.lit(stride).alias("stride"),
-        (F.col("n") * stride).alias("bytes"))
+    manifest = index.groupBy("shard", "stride").agg(F.min("first_slot").alias("first_slot"), F.sum("n").alias("n")).select(
+        "shard", name.alias("file"), "first_slot", "n", "stride", (F.col("n") * F.col("stride")).alias("bytes"))
     manifest.write.mode("overwrite").parquet(f"{folder}/_manifest")
     return Shards(folder, session.read.schema(manifest.schema).parquet(f"{folder}/_manifest"), index)
 

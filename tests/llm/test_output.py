@@ -180,7 +180,7 @@ def test_token_shards_round_trip(spark, tokenizer, tmp_path):
     rows = [r[:2] for r in corpus()] + [(400 + i, t) for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("clash")).repartition(3)
     folder = str(tmp_path / "shards")
-    shards = token_shards.write_shards(docs, folder, key=7, length=64, per_shard=32)
+    shards = token_shards.write_shards(docs, folder, key=7, length=64, per_shard=32, per_block=10)
     stride = 4 + 2 * 64
     # by brute force: numbers in the order of the ids, sent through the permutation
     wanted = []
@@ -189,15 +189,18 @@ def test_token_shards_round_trip(spark, tokenizer, tmp_path):
         wanted += [(i, k, ids[at:at + 64]) for k, at in enumerate(range(0, len(ids), 64))]
     n = len(wanted)
     by_slot = dict(zip(token_shards.permuted(np.arange(n), n, key=7).tolist(), wanted))
-    index = {r["slot"]: r for r in shards.index.collect()}
+    index = {}
+    for r in shards.index.collect():
+        with open(f"{folder}/{token_shards.shard_name(r['shard'])}", "rb") as f:
+            f.seek(r["first_slot"] % 32 * stride)
+            records = f.read(r["n"] * stride)
+        assert zlib.crc32(records) == r["crc32"] and r["stride"] == stride and r["first_slot"] // 32 == r["shard"]
+        for i in range(r["n"]):
+            index[r["first_slot"] + i] = r["doc_ids"][i], r["pieces"][i], records[i * stride:(i + 1) * stride]
     assert sorted(index) == list(range(n))
     for slot, (i, k, ids) in by_slot.items():
-        r = index[slot]
-        assert (r["doc_id"], r["piece"], r["n_ids"], r["shard"], r["offset"]) == (i, k, len(ids), slot // 32, slot % 32 * stride)
-        with open(f"{folder}/{token_shards.shard_name(r['shard'])}", "rb") as f:
-            f.seek(r["offset"])
-            record = f.read(stride)
-        assert zlib.crc32(record) == r["crc32"] and int.from_bytes(record[:4], "little") == len(ids)
+        record = index[slot][2]
+        assert index[slot][:2] == (i, k) and int.from_bytes(record[:4], "little") == len(ids)
         assert np.frombuffer(record, "<u2", len(ids), 4).tolist() == ids and not any(record[4 + 2 * len(ids):])
     files = {p.name for p in (tmp_path / "shards").iterdir() if p.name.endswith(".bin")}
     manifest = shards.manifest.collect()
