@@ -123,7 +123,8 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, per_shard
     repeated rows are separate sequences; an empty table has none.
     """
     sequences = token_sequences(docs, length, **options)
-    written = _bucketed(sequences, "task", max(1, sequences.rdd.getNumPartitions()))
+    buckets = max(1, sequences.rdd.getNumPartitions())
+    written = _bucketed(sequences, "task", buckets)
     # the last keys part equal documents, which may be many
     order = ["doc_id", "digest", "piece", "task", "nth"]
     ranged = written.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
@@ -142,7 +143,8 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, per_shard
 
     slots = (ranged.join(F.broadcast(counts), "range")  # as many rows as ranges
              .select("task", "nth", slot_of(F.col("before") + F.col("row")).alias("slot")))
-    ordered = written.join(slots.hint("merge"), ["task", "nth"])
+    # dealt as the buckets are; else Spark moves both sides where it wants more partitions
+    ordered = written.join(slots.repartition(buckets, "task").hint("merge"), ["task", "nth"])
     return ordered.select("slot", F.floor(F.col("slot") / per_shard).alias("shard"), "doc_id", "piece",
                           "n_ids", "ids"), n
 
