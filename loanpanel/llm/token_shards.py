@@ -10,8 +10,7 @@ slot without a table, and the inverse network gives the number of a slot.
 Sequences are numbered in the order of (id, digest of the text, piece), by a sort of these keys
 alone in ranges: a number is the position within the range plus the counts of the ranges before.
 The slots follow from the rows alone, not from their partitions; rows that tie are equal. The ids
-are written in buckets by tokenising task, where the numbers join them, and move once, to their
-shard.
+move twice, to their number and to their shard.
 """
 
 from __future__ import annotations
@@ -107,14 +106,6 @@ def token_sequences(docs: DataFrame, length: int = 1024, end_id: int = 2, vocabu
         cut_up, f"task long, nth long, doc_id {kept}, digest long, piece int, n_ids int, ids binary")
 
 
-def _bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
-    """``df`` written to the shared folder in buckets of ``by``, which joins on it need not move."""
-    session, name = df.sparkSession, f"tokens_{uuid.uuid4().hex}"
-    (df.write.option("compression", "zstd").option("path", scratch_path(session, "tokens"))
-     .bucketBy(buckets, by).saveAsTable(name, format="parquet"))
-    return session.table(name)
-
-
 def training_order(docs: DataFrame, key: int = 42, length: int = 1024, per_shard: int = 8_192,
                    **options) -> tuple[DataFrame, int]:
     """Sequences with their slot and shard, and the number of sequences.
@@ -122,9 +113,7 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, per_shard
     Tokens are written once to the shared folder. Other columns of ``docs`` are not read;
     repeated rows are separate sequences; an empty table has none.
     """
-    sequences = token_sequences(docs, length, **options)
-    buckets = max(1, sequences.rdd.getNumPartitions())
-    written = _bucketed(sequences, "task", buckets)
+    written = shared_table(token_sequences(docs, length, **options), "tokens")
     # the last keys part equal documents, which may be many
     order = ["doc_id", "digest", "piece", "task", "nth"]
     ranged = written.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
@@ -143,8 +132,7 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, per_shard
 
     slots = (ranged.join(F.broadcast(counts), "range")  # as many rows as ranges
              .select("task", "nth", slot_of(F.col("before") + F.col("row")).alias("slot")))
-    # dealt as the buckets are; else Spark moves both sides where it wants more partitions
-    ordered = written.join(slots.repartition(buckets, "task").hint("merge"), ["task", "nth"])
+    ordered = written.join(slots.hint("merge"), ["task", "nth"])
     return ordered.select("slot", F.floor(F.col("slot") / per_shard).alias("shard"), "doc_id", "piece",
                           "n_ids", "ids"), n
 
