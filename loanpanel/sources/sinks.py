@@ -1,4 +1,4 @@
-"""Parquet sinks: single tables, the quarterly master, the static master, exports."""
+"""Parquet sinks: single tables, the quarterly master, the static master, tables by loan, exports."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanpanel.operators.panel import extend_static
-from loanpanel.session import path_exists
+from loanpanel.session import path_exists, scratch_path
 
 ZSTD = {"compression": "zstd", "parquet.compression.codec.zstd.level": "3"}
 
@@ -40,6 +40,21 @@ def read_master(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("data_quarter", F.col("data_quarter").cast("string"))
 
 
+def write_by_loan(df: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Store ``df`` as a catalogue table in ``buckets`` of the loan, and read it from there.
+
+    Lags, loan aggregates and joins with a table of as many buckets then stay where their bucket is,
+    however often the table is asked.  Rows are dealt by loan first, so a bucket is one file, sorted
+    by loan (and age).  An existing table is replaced.  Files lie below ``path``, else below the
+    cluster's shared folder.
+    """
+    order = [c for c in ("LOAN_ID", "time") if c in df.columns]
+    path = path or scratch_path(df.sparkSession, table)
+    (df.repartition(buckets, "LOAN_ID").write.mode("overwrite").options(**ZSTD).option("path", path)
+     .bucketBy(buckets, "LOAN_ID").sortBy(*order).saveAsTable(table, format="parquet"))
+    return df.sparkSession.table(table)
+
+
 def append_static(spark: SparkSession, new: DataFrame, path: str) -> None:
     """Append the loans the static master does not hold yet (first occurrence wins).
 

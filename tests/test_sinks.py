@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loanpanel.operators import delinquency as D
+from loanpanel.operators import panel as P
 from loanpanel.sources import sinks
 from loanpanel.streaming import ingest as G
 from tests.test_panel import obs
@@ -107,3 +109,29 @@ def test_two_batches_share_a_quarter(spark, tmp_path):
     source = spark.readStream.schema(obs(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(str(landing))
     G.stream_quarters(source, str(tmp_path / "master"), str(tmp_path / "state"), ["seq"]).awaitTermination()
     assert [x[0] for x in state(spark, str(tmp_path / "master"))] == ["a", "b"]
+
+
+def exchanges(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning(LOAN_ID" in line]
+
+
+@pytest.mark.parametrize("buckets", [3, 16])
+def test_tables_by_loan_move_no_loans(spark, tmp_path, buckets):
+    rows = [(str(i % 40), float(i // 40), i % 7 // 5, f"2017Q{i % 4 + 1}") for i in range(400)] + [(None, 0.0, 1, "2017Q1")] * 2
+    panel = spark.createDataFrame(rows, "LOAN_ID string, time double, any_delinquent int, data_quarter string").withColumn("event", F.lit(0))
+    static = spark.createDataFrame([(str(i), i) for i in range(30)], "LOAN_ID string, score int")
+    stored = sinks.write_by_loan(panel.repartition(5), f"by_loan_{buckets}", buckets, str(tmp_path / "p"))
+    known = sinks.write_by_loan(static, f"static_{buckets}", buckets, str(tmp_path / "s"))
+    assert len(list((tmp_path / "p").glob("*.parquet"))) <= buckets
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for ask in (D.transition_matrix, D.gap_summary, D.loan_exits, lambda df: P.join_static(df, static if df is panel else known)):
+            got, want = ask(stored), ask(panel)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+            assert not exchanges(got) and exchanges(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    again = sinks.write_by_loan(panel.limit(10), f"by_loan_{buckets}", buckets, str(tmp_path / "q"))
+    assert again.count() == 10

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loanpanel.operators import delinquency as D
 from loanpanel.operators import overview as O
 from loanpanel.operators import sampling as SA
 from loanpanel.operators import variation as V
+from loanpanel.sources import sinks
 from verification import inputs as I
 from verification import sql as Q
 from verification.registry import query, r, rounded
 
+BUCKETS = 16  # of tables stored by loan
+
 QUARTERS = ", ".join(f"'{q}'" for q in I.OBSERVATION_QUARTERS)
 SEEN = "ORDER BY time, data_quarter"
 CHARS = f"""chars AS (SELECT LOAN_ID, first(ORIG_DATE {SEEN}) AS actual_orig_date, first(data_quarter {SEEN}) AS first_observed,
@@ -266,14 +271,24 @@ LAGGED = Q.PANEL.rstrip() + """, g AS (SELECT LOAN_ID, time, any_delinquent, lag
  time - lag(time) OVER w AS time_gap FROM panel WINDOW w AS (PARTITION BY LOAN_ID ORDER BY time, data_quarter)) """
 
 
-@query("transition_matrix", LAGGED + """SELECT dlq_lag, any_delinquent, count(*) AS count,
+MOVES = LAGGED + """SELECT dlq_lag, any_delinquent, count(*) AS count,
  cast(sum(count(*)) OVER (PARTITION BY dlq_lag) AS bigint) AS total_from_state,
  round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY dlq_lag), 6) + 0e0 AS transition_pct
- FROM g WHERE dlq_lag IS NOT NULL GROUP BY dlq_lag, any_delinquent""")
+ FROM g WHERE dlq_lag IS NOT NULL GROUP BY dlq_lag, any_delinquent"""
+
+
+@query("transition_matrix", MOVES)
 def transition_matrix(spark, d):
     return rounded(D.transition_matrix(I.panel(spark, d)))
 
 
+@query("moves_by_loan", MOVES)
+def moves_by_loan(spark, d):
+    """The panel stored in buckets of the loan: the lag moves no rows."""
+    stored = sinks.write_by_loan(I.panel(spark, d), f"panel_{uuid.uuid4().hex}", BUCKETS)
+    return rounded(D.transition_matrix(stored))
+
+
 @query("time_gaps", LAGGED + "SELECT LOAN_ID, time, time_gap FROM g WHERE time_gap <> 1")
 def time_gaps(spark, d):
     return D.gaps(I.panel(spark, d))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loanpanel import schemas as S
@@ -18,6 +20,8 @@ from verification import inputs as I
 from verification import sql as Q
 from verification.registry import query, r, rounded
 
+BUCKETS = 16  # of tables stored by loan
+
 KEY = "LOAN_ID, LOAN_AGE, seq1, seq2, seq3"
 KEYS = ["LOAN_ID", "LOAN_AGE", "seq1", "seq2", "seq3"]
 
@@ -229,14 +233,26 @@ def static_master_append(spark, d):
     return spark.read.parquet(path)
 
 
-@query("panel_join", Q.TV.rstrip() + ", st AS (" + STATIC_SQL + f""")
+PANEL_JOIN = Q.TV.rstrip() + ", st AS (" + STATIC_SQL + f""")
  SELECT {Q.TV_COLUMNS.replace('LOAN_ID', 'tv.LOAN_ID', 1)}, {', '.join('st.' + c for c in STATIC if c != 'LOAN_ID')}
- FROM tv LEFT JOIN st ON tv.LOAN_ID = st.LOAN_ID""")
+ FROM tv LEFT JOIN st ON tv.LOAN_ID = st.LOAN_ID"""
+
+
+@query("panel_join", PANEL_JOIN)
 def panel_join(spark, d):
     static = P.static_covariates(I.loan_obs(spark, d), STATIC_ORDER)
     return P.join_static(rounded(I.time_varying(spark, d)), static)
 
 
+@query("panel_join_by_loan", PANEL_JOIN)
+def panel_join_by_loan(spark, d):
+    """Both sides stored in buckets of the loan: the join moves no rows."""
+    static = P.static_covariates(I.loan_obs(spark, d), STATIC_ORDER)
+    stored = [sinks.write_by_loan(df, f"{name}_{uuid.uuid4().hex}", BUCKETS)
+              for name, df in (("varying", I.time_varying(spark, d)), ("static", static))]
+    return P.join_static(rounded(stored[0]), stored[1])
+
+
 @query("quarter_union", Q.OBS + """SELECT data_quarter, count(*) AS n, count(DISTINCT LOAN_ID) AS loans FROM loan_obs
  WHERE LOAN_AGE >= 0 GROUP BY 1""")
 def quarter_union(spark, d):
