@@ -169,7 +169,7 @@ def _accumulate(cells: Iterator[tuple], p: int, beta: Sequence[float], ties: str
     for b, event, v, later in cells:
         upto = (upto if b == at else later.values.to_numpy()) + v
         at = b
-        n = int(v[0])
+        n = round(v[0])  # vector sums of counts may miss the whole number by rounding
         rows += n
         if event != 1:
             continue
