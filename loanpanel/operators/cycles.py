@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loanpanel.functions.dates import quarter_start
 from loanpanel.functions.stats import attach_group_row, breaks_below, quantiles_of_counts
 from loanpanel.operators.delinquency import means_by
+from loanpanel.operators.loan_bitmaps import sums_and_loans
 
 
 def factor_columns(panel: DataFrame, first_only: bool = False) -> list[str]:
@@ -55,10 +56,12 @@ def factor_impact(panel: DataFrame, factor: str = "credit_markets_PC1") -> DataF
 
     The trend and correlation appear on every row; they are null below three quarters.
     """
-    quarters = (panel.groupBy("data_quarter")
-                .agg(F.avg(factor).alias("factor_avg"), F.sum("any_delinquent").alias("dlq_count"),
-                     F.count_distinct("LOAN_ID").alias("active_loans"))
-                .withColumn("dlq_pct", F.col("dlq_count") / F.col("active_loans") * 100))
+    sums = sums_and_loans(panel, ["data_quarter"], {
+        "factor_sum": F.col(factor), "factor_n": F.col(factor).isNotNull().cast("int"),
+        "dlq_count": F.col("any_delinquent")}, "active_loans")
+    quarters = sums.select(
+        "data_quarter", F.try_divide("factor_sum", "factor_n").alias("factor_avg"), "dlq_count", "active_loans",
+        (F.try_divide("dlq_count", "active_loans") * 100).alias("dlq_pct"))
     every = Window.partitionBy()  # one row per quarter
     sxx, syy, sxy = [f("dlq_pct", "factor_avg").over(every) for f in (F.regr_sxx, F.regr_syy, F.regr_sxy)]
     slope = F.try_divide(sxy, F.nullif(sxx, F.lit(0.0)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loanpanel.functions.stats import histogram, quantiles, running_sum, small_total
+from loanpanel.operators.loan_bitmaps import sums_and_loans
 
 
 def _by_loan() -> WindowSpec:
@@ -20,11 +21,12 @@ def _by_loan() -> WindowSpec:
 
 
 def quarterly_delinquency(panel: DataFrame) -> DataFrame:
-    return (panel.groupBy("data_quarter")
-            .agg(F.avg("any_delinquent").alias("any_delinquent_rate"),
-                 F.avg("serious_delinquent").alias("serious_delinquent_rate"),
-                 F.count_distinct("LOAN_ID").alias("active_loans"))
-            .orderBy("data_quarter"))
+    """Delinquency rates and active loans by quarter; loans are counted by bitmaps where they are numbered."""
+    flags = ["any_delinquent", "serious_delinquent"]
+    quarters = sums_and_loans(panel, ["data_quarter"], {
+        **{c: F.col(c) for c in flags}, **{f"n_{c}": F.col(c).isNotNull().cast("int") for c in flags}}, "active_loans")
+    rates = [F.try_divide(c, f"n_{c}").alias(f"{c}_rate") for c in flags]
+    return quarters.select("data_quarter", *rates, "active_loans").orderBy("data_quarter")
 
 
 def first_delinquency(panel: DataFrame) -> DataFrame:

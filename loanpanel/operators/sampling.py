@@ -179,7 +179,9 @@ def describe_credit(panel: DataFrame, column: str = "CSCORE_B") -> DataFrame:
 
 
 def coverage(panel: DataFrame) -> DataFrame:
-    return panel.agg(_distinct("STATE").alias("states"),
+    """States and quarters in the panel, counted over their distinct pairs."""
+    pairs = panel.select("STATE", "data_quarter").distinct()
+    return pairs.agg(_distinct("STATE").alias("states"),
                      _distinct("data_quarter").alias("quarters"),
                      F.min("data_quarter").alias("first_quarter"),
                      F.max("data_quarter").alias("last_quarter"))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanpanel.operators import delinquency as D
+from loanpanel.operators import loan_bitmaps as LB
 from loanpanel.operators import overview as O
 from loanpanel.operators import sampling as SA
 from loanpanel.operators import variation as V
+from loanpanel.session import cut, scratch_path
 from loanpanel.sources import sinks
 from verification import inputs as I
 from verification import sql as Q
@@ -208,12 +212,45 @@ def event_complexity(spark, d):
     return O.event_complexity(I.panel(spark, d))
 
 
-@query("quarter_dlq", Q.PANEL + f"SELECT data_quarter, {r('avg(any_delinquent)', 'any_delinquent_rate')}, "
-       f"{r('avg(serious_delinquent)', 'serious_delinquent_rate')}, count(DISTINCT LOAN_ID) AS active_loans FROM panel GROUP BY 1")
+QUARTER_DLQ = Q.PANEL + (
+    f"SELECT data_quarter, {r('avg(any_delinquent)', 'any_delinquent_rate')}, "
+    f"{r('avg(serious_delinquent)', 'serious_delinquent_rate')}, count(DISTINCT LOAN_ID) AS active_loans FROM panel GROUP BY 1")
+
+
+@query("quarter_dlq", QUARTER_DLQ)
 def quarter_dlq(spark, d):
     return rounded(D.quarterly_delinquency(I.panel(spark, d)))
 
 
+@query("quarter_dlq_numbered", QUARTER_DLQ)
+def quarter_dlq_numbered(spark, d):
+    """Active loans by bitmaps over dense loan numbers."""
+    return rounded(D.quarterly_delinquency(LB.add_numbers(I.panel(spark, d), LB.number_loans(I.loan_obs(spark, d)))))
+
+
+@query("loan_counts", Q.PANEL + """SELECT 'quarter' AS level, data_quarter AS value, count(DISTINCT LOAN_ID) AS loans FROM panel GROUP BY data_quarter
+ UNION ALL SELECT 'state', STATE, count(DISTINCT LOAN_ID) FROM panel GROUP BY STATE
+ UNION ALL SELECT 'year', substring(data_quarter, 1, 4), count(DISTINCT LOAN_ID) FROM panel GROUP BY 2
+ UNION ALL SELECT 'all', NULL, count(DISTINCT LOAN_ID) FROM panel""")
+def loan_counts(spark, d):
+    """Bitmaps by quarter and state from two batches of loans, the second appended twice, counted at four levels."""
+    panel, path = I.panel(spark, d), scratch_path(spark, "bitmaps")
+    late = F.col("data_quarter") >= "1995Q1"
+    numbers = None
+    for batch in (panel.where(~late), panel.where(late)):
+        new = cut(LB.number_loans(batch, numbers))
+        numbers = new if numbers is None else numbers.unionByName(new)
+        bitmaps = LB.loan_bitmaps(LB.add_numbers(batch, numbers), ["data_quarter", "STATE"])
+        LB.append_bitmaps(bitmaps, path)
+    LB.append_bitmaps(bitmaps, path)
+    stored = spark.read.parquet(path).withColumn("year", F.substring("data_quarter", 1, 4))
+    levels = {"quarter": "data_quarter", "state": "STATE", "year": "year"}
+    counts = [LB.count_loans(stored, [c]).select(F.lit(level).alias("level"), F.col(c).alias("value"), "loans")
+              for level, c in levels.items()]
+    whole = LB.count_loans(stored).select(F.lit("all").alias("level"), F.lit(None).cast("string").alias("value"), "loans")
+    return reduce(DataFrame.unionByName, [*counts, whole])
+
+
 def histogram_sql(source: str, value: str, by: str | None = None, bins: int = 30, extra: str = "") -> str:
     """Left-closed equal-width bins with empty bins kept."""
     g = f"{by}, " if by else ""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loanpanel.operators import cycles as CY
+from loanpanel.operators import loan_bitmaps as LB
 from loanpanel.operators import macro as M
 from loanpanel.plans.pipeline import add_macro, build_master, clean_quarters
 from loanpanel.session import scratch_path
@@ -106,15 +107,25 @@ def housing_dlq(spark, d):
     return rounded(CY.factor_and_delinquency(I.panel_macro(spark, d), "beta_PC1"))
 
 
-@query("credit_impact", Q.PANEL_MACRO.rstrip() + f""", q AS (SELECT data_quarter, avg(alpha_PC1) AS factor_avg, cast(sum(any_delinquent) AS bigint) AS dlq_count,
+CREDIT_IMPACT = Q.PANEL_MACRO.rstrip() + f""", q AS (SELECT data_quarter, avg(alpha_PC1) AS factor_avg, cast(sum(any_delinquent) AS bigint) AS dlq_count,
  count(DISTINCT LOAN_ID) AS active_loans, 100 * sum(any_delinquent) / count(DISTINCT LOAN_ID) AS dlq_pct FROM panel_macro GROUP BY 1)
  SELECT data_quarter, {r('factor_avg', 'factor_avg')}, dlq_count, active_loans, {r('dlq_pct', 'dlq_pct')},
  {r('(SELECT regr_slope(dlq_pct, factor_avg) FROM q)', 'slope')}, {r('(SELECT regr_intercept(dlq_pct, factor_avg) FROM q)', 'intercept')},
- {r('(SELECT corr(dlq_pct, factor_avg) FROM q)', 'corr')} FROM q""")
+ {r('(SELECT corr(dlq_pct, factor_avg) FROM q)', 'corr')} FROM q"""
+
+
+@query("credit_impact", CREDIT_IMPACT)
 def credit_impact(spark, d):
     return rounded(CY.factor_impact(I.panel_macro(spark, d), "alpha_PC1"))
 
 
+@query("credit_impact_numbered", CREDIT_IMPACT)
+def credit_impact_numbered(spark, d):
+    """Active loans by bitmaps over dense loan numbers."""
+    panel = LB.add_numbers(I.panel_macro(spark, d), LB.number_loans(I.loan_obs(spark, d)))
+    return rounded(CY.factor_impact(panel, "alpha_PC1"))
+
+
 # files of every quarter, one line per observation in ingest order, through the whole pipeline:
 # nulls filled by quarter, first-of-month origination, keep-last within the quarter
 @query("pipeline_panel", f"""WITH {Q.LOAN_OBS},
