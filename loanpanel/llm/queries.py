@@ -151,8 +151,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_secret_scan")
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    ratios = secret_scan.log_ratios(secret_scan.transition_counts(secret_scan.labelled_samples(docs)))
-    found = secret_scan.scan(docs, ratios)
+    model = secret_scan.trained(secret_scan.labelled_samples(docs))
+    found = secret_scan.scan(docs, model.ratios, model.least_ratio)
     count = [F.size(secret_scan.of_kind(F.col("base"), kind)).cast("long").alias(f"n_{kind}")
              for kind, *_ in secret_scan.BASE]
     return found.select("doc_id", *count, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"),

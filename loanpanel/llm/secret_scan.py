@@ -1,9 +1,12 @@
 """Secret scan: patterns, and character Markov models of random strings and identifiers.
 
-Patterns give the base spans. The method adds spans of kind ``random``: long runs of key
+Patterns give the base spans. The method adds spans of kind ``random``: runs of 16 or more key
 characters whose log-likelihood ratio under a first-order character model of random strings
 against one of ordinary identifiers is high per character. Both models are transition tables
-over at most 66 character classes, counted from labelled samples.
+over at most 67 characters, counted from labelled samples of several families: secret values of
+the documents and strings drawn from alphabets; words of the documents, alone and joined to names
+and paths, numbers, dates and rules. Each family weighs the same. A fifth of the samples is held
+out; they choose the threshold and give its error rates.
 
 Positions come from the built-in functions: the pieces between matches and the matches
 alternate, so their lengths add up to the spans. Everything is DataFrame functions.
@@ -12,10 +15,13 @@ alternate, so their lengths add up to the spans. Everything is DataFrame functio
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanpanel.session import cut
+
 #: The patterns of the base kinds, in order, the group that is measured and its least length.
 BASE = (("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
         ("access", r"AKIA[A-Z0-9]+", 0, 16),
@@ -24,9 +30,13 @@ BASE = (("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=
 FASTER = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
 #: Strings of which a text with a match has one.
 HINTS = {"assign": ("=", ":"), "access": ("AKIA",)}
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+LEAST = 16
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 START = " "
+#: Alphabets of drawn strings, as slices of ``ALPHABET``: letters of one case, with digits, all.
+DRAWN = {"upper": ALPHABET[:26] + "234567", "lower": ALPHABET[26:52], "lower digits": ALPHABET[26:62], "hex": "0123456789abcdef",
+         "letters digits": ALPHABET[:62], "base 64": ALPHABET[:64], "url base 64": ALPHABET[:62] + "_-"}
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
@@ -105,36 +115,44 @@ def joined(spans: Column) -> Column:
 
 
 def transition_counts(samples: DataFrame) -> DataFrame:
-    """(random, pair, n) from labelled samples (token string, random boolean).
+    """(random, family, pair, n) from labelled samples (token string, random boolean, family string).
 
-    A pair is two adjacent characters, the first of a token behind ``START``. At most 2 * 67 * 66
-    rows. Null tokens and labels are left out.
+    A pair is two adjacent characters, the first of a token behind ``START``. At most 67 * 68 rows a
+    family and label; without a column of that name all samples are one. Null tokens and labels are left out.
     """
+    if "family" not in samples.columns:
+        samples = samples.withColumn("family", F.lit(""))
     tokens = samples.filter("token is not null and random is not null")
     padded = F.concat(F.lit(START), "token")
     pairs = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substring(padded, i, F.lit(2)))
-    return (tokens.filter(F.length("token") > 0).select("random", F.explode(pairs).alias("pair"))
-            .groupBy("random", "pair").agg(F.count("*").alias("n")))
+    return (tokens.filter(F.length("token") > 0).select("random", "family", F.explode(pairs).alias("pair"))
+            .filter(F.contains(F.lit(ALPHABET), F.substring("pair", 2, 1)))
+            .groupBy("random", "family", "pair").agg(F.count("*").alias("n")))
 
 
-def log_ratios(counts: DataFrame, smoothing: float = 0.5, weight: float = 8.0) -> dict[str, float]:
+def log_ratios(counts: DataFrame, smoothing: float = 0.5, weight: float = 8.0, family_weight: float = 20_000.0) -> dict[str, float]:
     """Pair -> log(P(second | first, random) / P(second | first, identifier)).
 
-    A character's share after another is backed off, with ``weight``, to its share after any, and
+    Every family counts as ``family_weight`` pairs, so that one frequent kind of secret does not hide
+    the others. A character's share after another is backed off, with ``weight``, to its share after any, and
     that, with ``smoothing`` for each character, to the same share for all.
     """
-    tables: dict[bool, dict[str, float]] = {True: {}, False: {}}
-    for row in counts.collect():  # bounded by the alphabet
-        if row["pair"][1] in ALPHABET:
-            tables[row["random"]][row["pair"]] = row["n"]
+    rows = counts.collect()  # bounded by the alphabet and the families
+    sizes: dict[tuple, int] = {}
+    for row in rows:
+        sizes[row["random"], row["family"]] = sizes.get((row["random"], row["family"]), 0) + row["n"]
     shares = {}
-    for label, table in tables.items():
-        after, anywhere = dict.fromkeys(START + ALPHABET, 0), dict.fromkeys(ALPHABET, smoothing)
-        for pair, n in table.items():
-            after[pair[0]] = after.get(pair[0], 0) + n
-            anywhere[pair[1]] += n
+    for label in (True, False):
+        table: dict[str, float] = {}
+        after, anywhere = dict.fromkeys(START + ALPHABET, 0.0), dict.fromkeys(ALPHABET, smoothing)
+        for row in rows:
+            if row["random"] == label:
+                pair, n = row["pair"], family_weight * row["n"] / sizes[label, row["family"]]
+                table[pair] = table.get(pair, 0.0) + n
+                after[pair[0]] = after.get(pair[0], 0.0) + n
+                anywhere[pair[1]] += n
         total = sum(anywhere.values())
-        shares[label] = {first + second: (table.get(first + second, 0) + weight * anywhere[second] / total)
+        shares[label] = {first + second: (table.get(first + second, 0.0) + weight * anywhere[second] / total)
                          / (after[first] + weight) for first in START + ALPHABET for second in ALPHABET}
     return {pair: math.log(shares[True][pair] / shares[False][pair]) for pair in shares[True]}
 
@@ -156,24 +174,107 @@ def _at_least(least: int):
     return lambda value: F.length(value) >= least
 
 
-def labelled_samples(docs: DataFrame, identifiers_from: int = 2_000) -> DataFrame:
-    """(token, random) from ``docs``: values of base spans, and words of the first documents in hash order.
+def _pick(choices: list[Column], *seeds: Column | str) -> Column:
+    """One of the choices by a hash of the seeds."""
+    return F.element_at(F.array(*choices), (F.pmod(F.xxhash64(*seeds), F.lit(len(choices))) + 1).cast("int"))
+
+
+def _drawn(letters: Column, length: Column, *seeds: Column | str) -> Column:
+    """A string of ``length`` characters from ``letters``, each by a hash of the seeds and its place."""
+    return F.array_join(F.transform(F.sequence(F.lit(1), length), lambda j: F.substring(
+        letters, (F.pmod(F.xxhash64(*seeds, j), F.length(letters)) + 1).cast("int"), F.lit(1))), "")
+
+
+def drawn_strings(spark: SparkSession, each: int = 1_000) -> DataFrame:
+    """(token, random, family): ``each`` random strings of 16 to 47 characters from every alphabet of ``DRAWN``."""
+    length = (LEAST + F.pmod(F.xxhash64("family", "id"), F.lit(32))).cast("int")
+    rows = spark.range(each).select("id", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("family"), F.lit(letters).alias("letters")) for name, letters in DRAWN.items()])))
+    return rows.select(_drawn(F.col("letters"), length, "family", "id").alias("token"), F.lit(True).alias("random"), "family")
+
+
+def plain_strings(spark: SparkSession, each: int = 1_000) -> DataFrame:
+    """(token, random, family): ``each`` long numbers and dates with times, and rules of every character."""
+    rows = spark.range(each)
+    length = (LEAST + F.pmod(F.xxhash64("id"), F.lit(32))).cast("int")
+    number = rows.select(_drawn(F.lit("0123456789"), length, F.lit("number"), "id").alias("token"), F.lit("number").alias("family"))
+    moment = F.timestamp_seconds(F.pmod(F.xxhash64(F.lit("moment"), "id"), F.lit(2_000_000_000)))
+    shapes = [F.date_format(moment, f) for f in ("yyyy-MM-dd-HH-mm-ss", "yyyy/MM/dd/HH/mm/ss", "yyyyMMdd_HHmmss", "yyyyMMdd'T'HHmmss'Z'", "yyyy-MM-dd")]
+    date = rows.select(_pick(shapes, F.lit("shape"), "id").alias("token"), F.lit("date").alias("family"))
+    rule = spark.range(len(ALPHABET)).select(F.inline(F.array(*[F.struct(
+        F.repeat(F.substring(F.lit(ALPHABET), (F.col("id") + 1).cast("int"), F.lit(1)), F.lit(n)).alias("token"),
+        F.lit("rule").alias("family")) for n in (16, 20, 30, 40, 60, 72, 80, 120)])))
+    return number.unionByName(date).unionByName(rule).select("token", F.lit(False).alias("random"), "family")
+
+
+def _names(words: Column) -> Column:
+    """Every three words in a row as a name or path of one of nine shapes."""
+    def shape(i: Column) -> Column:
+        three = F.slice(words, i, F.lit(3))
+        a, b, c = (F.element_at(three, k) for k in (1, 2, 3))
+        year = (F.lit(1990) + F.pmod(F.xxhash64(a, b), F.lit(50))).cast("string")
+        month = F.lpad((F.pmod(F.xxhash64(b, c), F.lit(12)) + 1).cast("string"), 2, "0")
+        count = F.pmod(F.xxhash64(c, a), F.lit(1_000)).cast("string")
+        return _pick([F.concat_ws("-", a, b, c), F.concat_ws("_", a, b, c), F.concat_ws("/", a, b, c), F.concat(a, b, c),
+                      F.concat(F.initcap(a), F.initcap(b), F.initcap(c)), F.concat_ws("/", a, year, month, F.concat_ws("-", b, c)),
+                      F.concat_ws("_", a, b, count), F.upper(F.concat_ws("_", a, b, c)), F.concat_ws("-", year, month, a, b)], a, b, c)
+    return F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(1), F.size(words) - 2, F.lit(3)), shape))
 
-    Base values come from all documents. Ordinary identifiers are the words of 8 letters or more
-    of at most ``identifiers_from`` documents, those that hold no base span.
+
+def labelled_samples(docs: DataFrame, identifiers_from: int = 2_000, drawn: int = 1_000) -> DataFrame:
+    """(token, random, family), every sample once.
+
+    Random: values of base spans in all documents, and ``drawn`` strings of each alphabet. Ordinary:
+    words of 8 letters or more, and names made of words, of at most ``identifiers_from`` documents in
+    hash order, those that hold no base span; numbers, dates and rules.
     """
+    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = once(rows, **{kind: matches(F.col("text"), kind, pattern) for kind, pattern, *_ in BASE})
     values = []
     for kind, pattern, group, least in BASE:
         value = F.when(F.size(kind) > 0, F.regexp_extract_all("text", F.lit(pattern), F.lit(group))) if group else F.col(kind)
         values.append(F.filter(F.coalesce(value, F.array().cast("array<string>")), _at_least(least)))
-    secret = found.select(F.explode(F.concat(*values)).alias("token"), F.lit(True).alias("random"))
+    secret = found.select(F.explode(F.concat(*values)).alias("token"), F.lit(True).alias("random"), F.lit("document").alias("family"))
     clean = ~F.regexp_like("text", F.lit(BASE[0][1])) & ~F.regexp_like("text", F.lit(BASE[1][1]))
     chosen = rows.select("doc_id").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(identifiers_from)
-    words = rows.join(F.broadcast(chosen), "doc_id").filter(clean).select(
-        F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]{8,}"), F.lit(0))).alias("token"), F.lit(False).alias("random"))
-    return secret.unionByName(words)
+    texts = rows.join(F.broadcast(chosen), "doc_id").filter(clean)
+    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]{8,}"), F.lit(0))).alias("token"),
+                         F.lit(False).alias("random"), F.lit("word").alias("family"))
+    lower = once(texts.select("text"), words=F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{2,20}\b"), F.lit(0)))
+    names = lower.select(F.explode(_names(F.col("words"))).alias("token"), F.lit(False).alias("random"), F.lit("name").alias("family"))
+    return (secret.unionByName(words).unionByName(names).distinct()
+            .unionByName(drawn_strings(spark, drawn)).unionByName(plain_strings(spark, drawn)))
+
+
+class Model(NamedTuple):
+    ratios: dict[str, float]
+    least_ratio: float
+    false_alarms: float  #: share of held-out ordinary samples at or above the threshold, mean over families
+    misses: float  #: share of held-out random samples below it, mean over families
+
+
+def trained(samples: DataFrame, alarm_cost: float = 10.0) -> Model:
+    """Ratios counted from four fifths of the samples, and the threshold that the others choose.
+
+    Samples are split by a hash of the token. Of the thresholds from -1 to 1.5 the one with the least
+    ``alarm_cost`` * false alarms + misses is taken, the middle one of several; held-out samples too short to
+    be a candidate have no part. Without held-out samples of both labels it is 0.5 and both rates are NaN.
+    """
+    rows = cut(samples.withColumn("held", F.pmod(F.xxhash64("token"), F.lit(5)) == 0))
+    ratios = log_ratios(transition_counts(rows.filter("not held")))
+    steps = [round(-1 + 0.05 * i, 2) for i in range(51)]
+    candidates = rows.filter(F.col("held") & F.regexp_like("token", F.lit(f"^[A-Za-z0-9+/_=-]{{{LEAST},}}$")))
+    scored = once(candidates.select("random", "family", "token"), ratio=mean_log_ratio(F.col("token"), ratios))
+    above = (scored.groupBy("random", "family").agg(*[F.avg((F.col("ratio") >= t).cast("int")).alias(str(i)) for i, t in enumerate(steps)])
+             .groupBy("random").agg(*[F.avg(str(i)).alias(str(i)) for i in range(len(steps))]).collect())  # two rows at most
+    rates = {r["random"]: [r[str(i)] for i in range(len(steps))] for r in above}
+    if len(rates) < 2:
+        return Model(ratios, 0.5, math.nan, math.nan)
+    costs = [alarm_cost * alarm + 1 - hit for alarm, hit in zip(rates[False], rates[True])]
+    best = [i for i, cost in enumerate(costs) if cost == min(costs)]
+    i = best[len(best) // 2]
+    return Model(ratios, steps[i], rates[False][i], 1 - rates[True][i])
 
 
 def scan(docs: DataFrame, ratios: dict[str, float], least_ratio: float = 0.5) -> DataFrame:

@@ -1,6 +1,7 @@
 """Quality rules, secrets, URL filter and language identification."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -115,9 +116,9 @@ def secrets():
 def test_secrets(spark):
     rows, blob = secrets()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("base", F.lit("clash"))
-    samples = secret_scan.labelled_samples(docs)
-    ratios = secret_scan.log_ratios(secret_scan.transition_counts(samples))
-    got = secret_scan.scan(docs, ratios).select("doc_id", secret_scan.joined(F.col("base")).alias("base"), "added")
+    model = secret_scan.trained(secret_scan.labelled_samples(docs))
+    ratios = model.ratios
+    got = secret_scan.scan(docs, ratios, model.least_ratio).select("doc_id", secret_scan.joined(F.col("base")).alias("base"), "added")
     added = {}
     for r in got.collect():
         text = dict(rows)[r["doc_id"]]
@@ -129,6 +130,62 @@ def test_secrets(spark):
     assert hashlib.sha256(b"").hexdigest() == got.select(F.sha2(F.lit(""), 256)).first()[0]
 
 
+ORDINARY = ["-" * 40, "=" * 30, "_" * 18, "12345678901234567890", "20240115103000123456", "2024-01-15-10-30-00-000000",
+            "blog/2020/01/some-article-title-here", "internationalization", "my-long-kebab-case-name", "SOME_CONSTANT_NAME_HERE",
+            "getUserAccountSettings", "usr/local/share/applications", "Donaudampfschifffahrtsgesellschaft", "release_notes_2023_11"]
+ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789", secret_scan.ALPHABET[:62],
+             secret_scan.ALPHABET[:64], "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+PROSE = ("the committee will publish its report about public transport before the end of this year and several members "
+         "asked whether additional information from local authorities should have been included in the international "
+         "comparison since many regions have introduced new applications for settings accounts and release notes that "
+         "users share with their friends der bericht wird vor ende des jahres erscheinen und die gesellschaft hat mehrere "
+         "fragen zur schifffahrt auf der donau gestellt some constant name here title article kebab case long blog").split()
+
+
+def test_secret_model_tells_random_from_ordinary(spark):
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice(PROSE) for _ in range(150))) for i in range(60)]
+    rows += [(100 + i, f"see {token} here") for i, token in enumerate(ORDINARY)]
+    drawn = ["".join(rng.choice(a) for _ in range(32)) for a in ALPHABETS for _ in range(8)]
+    rows += [(200 + i, f"see {token} here") for i, token in enumerate(drawn)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    samples = secret_scan.labelled_samples(docs.filter("doc_id < 100"), drawn=400)
+    assert samples.groupBy("token", "random").count().filter("count > 1").join(
+        samples.filter("family in ('word', 'name', 'document')"), ["token", "random"], "left_semi").count() == 0
+    model = secret_scan.trained(samples)
+    assert model.false_alarms < 0.01 and model.misses < 0.05
+    added = {r["doc_id"]: len(r["added"]) for r in secret_scan.scan(docs, model.ratios, model.least_ratio).collect()}
+    assert [t for i, t in enumerate(ORDINARY) if added[100 + i]] == []
+    assert [t for i, t in enumerate(drawn) if not added[200 + i]] == [] and not any(added[i] for i in range(60))
+
+
+def test_secret_ratios_against_plain_counts(spark):
+    samples = [("abab", True, "x"), ("zz", True, "y"), ("ab", False, "x"), ("a-b", False, "x")]
+    got = secret_scan.log_ratios(secret_scan.transition_counts(spark.createDataFrame(
+        samples, "token string, random boolean, family string")), 0.5, 8.0, 100.0)
+
+    def share(label, first, second):
+        pairs = Counter()
+        for token, random_, family in samples:
+            total = sum(len(t) for t, r, f in samples if (r, f) == (random_, family))
+            if random_ == label:
+                pairs.update({p: 100.0 * n / total for p, n in Counter(zip(" " + token, token)).items()})
+        anywhere = {c: 0.5 + sum(n for p, n in pairs.items() if p[1] == c) for c in secret_scan.ALPHABET}
+        after = sum(n for p, n in pairs.items() if p[0] == first)
+        return (pairs[first, second] + 8 * anywhere[second] / sum(anywhere.values())) / (after + 8)
+
+    for pair in ("ab", "ba", "zz", " a", "a-", "qq", "-b"):
+        assert got[pair] == pytest.approx(math.log(share(True, *pair) / share(False, *pair)))
+
+
+def test_secret_model_of_no_documents(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    model = secret_scan.trained(secret_scan.labelled_samples(none, drawn=50))
+    assert secret_scan.scan(none, model.ratios, model.least_ratio).count() == 0
+    bare = secret_scan.trained(spark.createDataFrame([("abc", True)], "token string, random boolean").withColumn("family", F.lit("x")))
+    assert bare.least_ratio == 0.5 and bare.misses != bare.misses
+
+
 def test_secret_model_of_no_samples(spark):
     none = spark.createDataFrame([(None, True), ("", False), ("x", None)], "token string, random boolean")
     assert set(secret_scan.log_ratios(secret_scan.transition_counts(none)).values()) == {0.0}
