@@ -123,9 +123,10 @@ def transition_counts(samples: DataFrame) -> DataFrame:
     if "family" not in samples.columns:
         samples = samples.withColumn("family", F.lit(""))
     tokens = samples.filter("token is not null and random is not null")
-    padded = F.concat(F.lit(START), "token")
-    pairs = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substring(padded, i, F.lit(2)))
-    return (tokens.filter(F.length("token") > 0).select("random", "family", F.explode(pairs).alias("pair"))
+    chars = once(tokens.filter(F.length("token") > 0).select("random", "family", "token"), chars=F.split(F.concat(F.lit(START), "token"), ""))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("chars") - 1),
+                        lambda i: F.concat(F.element_at("chars", i), F.element_at("chars", i + 1)))
+    return (chars.select("random", "family", F.explode(pairs).alias("pair"))
             .filter(F.contains(F.lit(ALPHABET), F.substring("pair", 2, 1)))
             .groupBy("random", "family", "pair").agg(F.count("*").alias("n")))
 
@@ -210,8 +211,7 @@ def plain_strings(spark: SparkSession, each: int = 1_000) -> DataFrame:
 def _names(words: Column) -> Column:
     """Every three words in a row as a name or path of one of nine shapes."""
     def shape(i: Column) -> Column:
-        three = F.slice(words, i, F.lit(3))
-        a, b, c = (F.element_at(three, k) for k in (1, 2, 3))
+        a, b, c = (F.element_at(words, i + k) for k in range(3))
         year = (F.lit(1990) + F.pmod(F.xxhash64(a, b), F.lit(50))).cast("string")
         month = F.lpad((F.pmod(F.xxhash64(b, c), F.lit(12)) + 1).cast("string"), 2, "0")
         count = F.pmod(F.xxhash64(c, a), F.lit(1_000)).cast("string")
