@@ -1,14 +1,15 @@
-"""Random survival forest grown level by level as Spark aggregations.
+"""Random survival forest grown as Spark aggregations.
 
-Rows stay in the executors. Each level is one job: rows walk down the trees grown so far, are
-counted per (node, feature, value, time), and the best log-rank split of every open node comes
-back as one row. A tree has at most ``2 ** max_depth`` nodes, so the split tables are small
-whatever the number of rows. All distinct values are cuts, unless ``bins`` are asked for.
+Rows stay in the executors. While a node has more rows than one task should hold, its level is one
+job: rows walk down the trees grown so far and are counted per (node, feature, value, time), and
+the best log-rank split of every such node comes back as one row. A node of at most
+``ROWS_PER_NODE`` rows is sent to one task, which grows all levels below it; so the levels moved by
+a shuffle are only those above. A tree has at most ``2 ** max_depth`` nodes, so the split tables
+are small whatever the number of rows. All distinct values are cuts, unless ``bins`` are asked for.
 
 The log-rank statistic of every cut of a node follows from prefix sums over its counts in value
-order. A node with more counts than one task should hold is cut into ranges of values: a range
-also gets the counts per time of all smaller and of all larger values, which is all that the
-statistics of its own cuts depend on.
+order. Large nodes are cut into ranges of values: a range also gets the counts per time of all
+smaller and of all larger values, which is all that the statistics of its own cuts depend on.
 """
 
 from __future__ import annotations
@@ -16,19 +17,27 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanpanel.functions.stats import histogram, quantiles, running_sum
 from loanpanel.session import cut
 
+try:  # three times as fast on short strings as the one of hashlib
+    from _md5 import md5
+except ImportError:
+    from hashlib import md5
+
 CELLS_PER_TASK = 200_000  # (node, feature, value, time) counts scored together, on average
-ROWS_PER_NODE = 200_000  # a node with more rows is scored range by range
+ROWS_PER_NODE = 200_000  # a node with more rows is scored range by range, any other grown in one task
+HELD_CELLS = 500_000  # cells a task sums up before it sends them
+FEW_TIMES = 64  # up to so many times, the statistics are summed time by time
 
 
 @dataclass(frozen=True)
@@ -57,27 +66,66 @@ class Forest:
     leaf_steps: DataFrame  # tree, node, time, hazard, drop
     params: ForestParams
 
-    def _trees(self) -> Column:
-        return _tree_arrays(self.splits, self.params.trees, self.mortality)
+    def _values(self) -> list[Column]:
+        return [_plain(c) for c in self.features]
+
+    def _cuts(self) -> pd.DataFrame:
+        """The splits by value: more edges than ``cut`` lie below a value if edge number ``cut`` does."""
+        if not self.edges:
+            return self.splits
+        of = [self.edges[c] for c in self.features]
+        return self.splits.assign(cut=[float(of[int(f)][int(c)]) for f, c in zip(self.splits["feature"], self.splits["cut"])])
 
     def score(self, df: DataFrame, output: str = "risk") -> DataFrame:
         """Ensemble mortality: the leaf's summed cumulative hazard, averaged over trees."""
-        rows = df.withColumn("__x", _values(self.features, self.edges))
-        total = F.aggregate(self._trees(), F.lit(0.0), lambda total, tree: total + _leaf(F.col("__x"), tree, self.params.max_depth)["mortality"])
-        return rows.withColumn("__total", total).select(*df.columns, (F.col("__total") / self.params.trees).alias(output))
+        cuts, n = self._cuts(), self.params.trees
+        tables = [_by_level(cuts, t, len(self.features)) for t in range(n)]
+        rows = df.withColumns({"__x": F.array(*self._values(), F.lit(0.0)), "__at": F.array_repeat(F.lit(0), n)})
+        for depth in range(max(len(levels) for levels, _ in tables)):
+            steps = []
+            for t, (levels, _) in enumerate(tables):
+                at = F.get("__at", F.lit(t))
+                if depth < len(levels):
+                    feature, edge, child = (_constants(v, kind) for v, kind in zip(levels[depth], ("int", "double", "int")))
+                    at = F.get(child, at) + (F.get("__x", F.get(feature, at)) > F.get(edge, at)).cast("int")
+                steps.append(at)
+            # the higher-order function keeps a level's steps out of whole-stage code: one method would be too large
+            rows = rows.withColumns({"__at": F.array(*steps), "__x": F.transform("__x", lambda v: v)})
+        deaths = dict(zip(zip(self.mortality["tree"], self.mortality["node"]), self.mortality["mortality"]))
+        reached = [F.get(_constants([deaths.get((t, node), 0.0) for node in leaves], "double"), F.get("__at", F.lit(t)))
+                   for t, (_, leaves) in enumerate(tables)]
+        total = F.aggregate(F.array(*reached), F.lit(0.0), lambda total, more: total + more)
+        return rows.withColumn("__total", total).select(*df.columns, (F.col("__total") / n).alias(output))
 
     def leaves(self, df: DataFrame) -> DataFrame:
         """One row per (row of ``df``, tree) with the leaf it falls into."""
-        rows = df.withColumn("__x", _values(self.features, self.edges))
-        found = F.transform(self._trees(), lambda tree: _leaf(F.col("__x"), tree, self.params.max_depth)["node"])
+        rows = df.withColumn("__x", F.array(*self._values()))
+        found = F.transform(_tree_arrays(self._cuts(), self.params.trees), lambda tree: _leaf(F.col("__x"), tree, self.params.max_depth)["node"])
         return rows.withColumn("__leaves", found).select(*df.columns, F.posexplode("__leaves").alias("tree", "node"))
 
+    def _rows_per_leaf(self, df: DataFrame) -> DataFrame:
+        """tree, node, n: the rows of ``df`` in every leaf, counted in the tasks."""
+        trees, n = _Trees(self._cuts(), self.params.trees), self.params.trees
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros(len(trees.node), np.int64)  # the last place is for missing values
+            for batch in batches:
+                x = _matrix([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                row = np.arange(len(x))
+                for t in range(n):
+                    counts += np.bincount(trees.walk(x, row, np.full(len(x), t)), minlength=len(counts))
+            some = np.flatnonzero(counts)
+            yield _batch([trees.tree[some], trees.node[some], counts[some]], LEAF_COUNTS)
+
+        values = df.select(*[c.alias(f"x{i}") for i, c in enumerate(self._values())])
+        return values.mapInArrow(count, LEAF_COUNTS).groupBy("tree", "node").agg(F.sum("n").alias("n"))
+
     def average_curve(self, df: DataFrame) -> DataFrame:
         """``(time, survival, cum_hazard)``: mean predicted survival over all rows of ``df``.
 
         Only the number of rows per leaf is needed, so no per-row curve is formed.
         """
-        counts = self.leaves(df.select(*self.features)).groupBy("tree", "node").agg(F.count("*").alias("n"))
+        counts = cut(self._rows_per_leaf(df))
         total = counts.agg(F.sum("n")).scalar()
         drops = (self.leaf_steps.join(counts, ["tree", "node"]).groupBy("time")
                  .agg((F.sum(F.col("drop") * F.col("n")) / total).alias("fall")))
@@ -116,12 +164,13 @@ def fit_forests(df: DataFrame, models: Mapping[str, Sequence[str]], key: str = "
     if df.where(" OR ".join(f"`{c}` IS NULL" for c in features)).limit(1).count():
         raise ValueError("features of a forest must not be null: impute them first")
     edges = _edges(df, features, params.bins) if params.bins else None
-    columns = df.select(F.col(key).alias("key"), F.col(duration).alias("time"), F.col(event).cast("int").alias("event"),
-                        _values(features, edges).alias("x"))
-    rows = cut(columns.select("*", _draws(params).alias("draws")))  # read once a level
-    grower = _Grower(rows.where(F.size("draws") > 0), [[features.index(c) for c in own] for own in models.values()], params)
+    columns = df.select(F.col(key).cast("string").alias("key"), F.col(duration).cast("double").alias("time"), F.col(event).cast("long").alias("event"),
+                        *[_plain(c).alias(f"x{i}") for i, c in enumerate(features)])
+    kinds = "time double, event long, " + "".join(f"x{i} double, " for i in range(len(features))) + "tree array<int>, w array<int>"
+    rows = cut(columns.mapInArrow(_drawn(params, [edges[c] for c in features] if edges else None), kinds))  # read once a level
+    grower = _Grower(rows.where(F.size("tree") > 0), [[features.index(c) for c in own] for own in models.values()], params, len(features))
     grower.grow()
-    leaf_steps = cut(_leaf_steps(grower.placed(params.max_depth)))
+    leaf_steps = cut(_leaf_steps(grower.leaf_counts()))
     # the mortality of a leaf sums its cumulative hazard over all event times of the data
     grid = rows.where("event = 1").groupBy("time").agg(F.lit(1).alias("later"))
     later = running_sum(grid, "time", ["later"], descending=True)
@@ -134,7 +183,8 @@ def fit_forests(df: DataFrame, models: Mapping[str, Sequence[str]], key: str = "
                           for t in (grower.splits, mortality))
         places = {features.index(c): k for k, c in enumerate(own)}
         splits["feature"] = splits["feature"].map(places).astype(int)
-        steps = leaf_steps.where(F.col("tree").between(first, last - 1)).withColumn("tree", F.col("tree") - first)
+        steps = (leaf_steps.where(F.col("tree").between(first, last - 1))
+                 .withColumns({"tree": F.col("tree") - first, "time": F.col("time").cast(df.schema[duration].dataType)}))
         forests[name] = Forest(own, {c: edges[c] for c in own} if edges else None, splits, scores, steps, params)
     return forests
 
@@ -145,40 +195,72 @@ def _edges(df: DataFrame, features: Sequence[str], bins: int) -> dict[str, list[
     return {c: sorted(r["cut"] for r in cuts if r["column"] == c) for c in features}
 
 
-def _values(features: Sequence[str], edges: Mapping[str, Sequence[float]] | None) -> Column:
-    """The features as an array of doubles; with ``edges``, how many of them lie below each."""
-    if not edges:
-        return F.array(*[F.col(c).cast("double") for c in features])
-    def below(c: str) -> Column:
-        return F.size(F.filter(F.array(*map(F.lit, edges[c])), lambda e: F.col(c) > e)) if edges[c] else F.lit(0)
+def _plain(c: str) -> Column:
+    """A feature as a double; NaN is above all numbers, as in comparisons of Spark."""
+    value = F.col(c).cast("double")
+    return F.when(F.isnan(value), F.lit(math.inf)).otherwise(value)
 
-    return F.array(*[below(c).cast("double") for c in features])
 
+def _matrix(columns: Sequence, edges: Sequence[Sequence[float]] | None = None) -> np.ndarray:
+    """Rows by features; with ``edges``, how many of them lie below each value. NaN is a missing value."""
+    x = np.column_stack([np.asarray(c, dtype=float) for c in columns])
+    if edges is not None:
+        x = np.column_stack([np.where(np.isnan(v), v, np.searchsorted(np.asarray(e, dtype=float), v)) for v, e in zip(x.T, edges)])
+    return x
 
-def _draws(params: ForestParams) -> Column:
-    """Array of (tree, w): the trees that draw a row, by a Poisson count from a hash of tree and column ``key``."""
+
+def _below(params: ForestParams) -> np.ndarray:
+    """The chance of at most 0, 1, .. draws of a row by a tree."""
     if not 0 < params.sample <= 10:
         raise ValueError("sample is the mean number of draws of a row, above 0 and at most 10")
     below, term = [math.exp(-params.sample)], math.exp(-params.sample)
     for k in range(1, 13 + math.ceil(8 * params.sample)):  # the tail beyond is below 1e-17
         term *= params.sample / k
         below.append(below[-1] + term)
+    return np.array(below)
+
+
+def _draws(keys: pa.Array, params: ForestParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, tree, w), by rows: the trees that draw a row, by a Poisson count from a hash of tree and key."""
+    below = _below(params)
+    names = [b"" if k is None else b":" + k.encode() for k in keys.to_pylist()]
+    drawn = []
+    for t in range(params.trees):
+        tree = b"%d:%d" % (params.seed, t)
+        hashed = b"".join([md5(tree + name).digest() for name in names])
+        first = np.frombuffer(hashed, ">u8")[::2] >> 12  # 52 bits
+        u = (first.astype(float) + 0.5) / 2.0**52
+        some = np.flatnonzero(u >= below[0])
+        drawn.append((some, np.full(len(some), t), np.searchsorted(below, u[some], side="right")))
+    row, tree, w = (np.concatenate(parts) for parts in zip(*drawn))
+    order = np.argsort(row, kind="stable")
+    return row[order], tree[order], w[order]
+
+
+def _drawn(params: ForestParams, edges: Sequence[Sequence[float]] | None):
+    """Rows of key, time, event and features -> the same without the key, with the trees that draw them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, tree, w = _draws(batch.column("key"), params)
+            starts = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            x = _matrix([c.to_numpy(zero_copy_only=False) for c in batch.columns[3:]], edges)
+            lists = [pa.ListArray.from_arrays(starts, pa.array(v, pa.int32())) for v in (tree, w)]
+            yield pa.RecordBatch.from_arrays([batch.column("time"), batch.column("event"), *map(pa.array, np.ascontiguousarray(x.T)), *lists],
+                                             ["time", "event", *batch.schema.names[3:], "tree", "w"])
+    return run
 
-    def uniform(tree: Column) -> Column:
-        name = F.concat_ws(":", F.lit(str(params.seed)), tree.cast("string"), F.col("key").cast("string"))
-        u = (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)  # 52 bits
-        return F.struct(tree.cast("int").alias("tree"), u.alias("u"))
 
-    def drawn(one: Column) -> Column:  # a step of its own, so that each hash is formed once
-        return F.struct(one["tree"].alias("tree"), sum(((one["u"] >= p).cast("int") for p in below), F.lit(0)).alias("w"))
+def bootstrap(rows: DataFrame, params: ForestParams) -> DataFrame:
+    """One row per (row, tree) drawn, weighted by a Poisson count from a hash of tree and column ``key``."""
+    _below(params)
 
-    hashed = F.transform(F.sequence(F.lit(0), F.lit(params.trees - 1)), uniform)
-    return F.transform(F.filter(hashed, lambda one: one["u"] >= below[0]), drawn)
+    @F.pandas_udf("array<struct<tree:int,w:int>>")
+    def draws(keys: pd.Series) -> pd.Series:
+        row, tree, w = _draws(pa.array(keys, pa.string(), from_pandas=True), params)
+        ends = np.searchsorted(row, np.arange(len(keys) + 1))
+        return pd.Series([[{"tree": t, "w": n} for t, n in zip(tree[a:b].tolist(), w[a:b].tolist())] for a, b in zip(ends[:-1], ends[1:])])
 
-
-def bootstrap(rows: DataFrame, params: ForestParams) -> DataFrame:
-    """One row per (row, tree) drawn, weighted by a Poisson count from a hash of both."""
-    return rows.select("*", F.inline(_draws(params)))
+    return rows.withColumn("__draws", draws(F.col("key").cast("string"))).select(*rows.columns, F.inline("__draws"))
 
 
 def _tree_arrays(splits: pd.DataFrame, trees: int, mortality: pd.DataFrame | None = None) -> Column:
@@ -202,6 +284,30 @@ def _tree_arrays(splits: pd.DataFrame, trees: int, mortality: pd.DataFrame | Non
     return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")
 
 
+def _by_level(splits: pd.DataFrame, tree: int, none: int) -> tuple[list[tuple[list, list, list]], list[int]]:
+    """A tree as one table a level, and the heap numbers of its leaves in their order below the last.
+
+    A table has, for each node and each leaf above, the feature, the cut and the place of the left
+    child in the next level; leaves stay where they are, as feature ``none`` is 0 in all rows.
+    """
+    own = {n: (int(f), float(c)) for n, f, c in splits.loc[splits["tree"] == tree, ["node", "feature", "cut"]].itertuples(index=False)}
+    nodes, levels = [1], []
+    while any(n in own for n in nodes):
+        table, below = ([], [], []), []
+        for n in nodes:
+            feature, edge = own.get(n, (none, 0.0))
+            for column, v in zip(table, (feature, edge, len(below))):
+                column.append(v)
+            below += [2 * n, 2 * n + 1] if n in own else [n]
+        levels.append(table)
+        nodes = below
+    return levels, nodes
+
+
+def _constants(values: Sequence, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def _leaf(x: Column, tree: Column, depth: int) -> Column:
     """(node, mortality) that the values ``x`` reach in at most ``depth`` levels of a tree."""
     def step(at: Column, _: Column) -> Column:
@@ -214,6 +320,82 @@ def _leaf(x: Column, tree: Column, depth: int) -> Column:
     return F.aggregate(F.slice(F.array(*[F.lit(i) for i in range(max(1, depth))]), 1, depth), F.lit(0), step, reached)
 
 
+class _Trees:
+    """The nodes of several trees, each tree's root first, as arrays by place.
+
+    A node has a feature (-1: leaf), a cut, the place of its left child (the right one follows), its
+    tree, heap number and mortality. The last place is no node: rows get there that lack a value.
+    """
+
+    def __init__(self, splits: pd.DataFrame, trees: int, mortality: pd.DataFrame | None = None):
+        of_tree = {t: {n: (f, c) for n, f, c in own[["node", "feature", "cut"]].itertuples(index=False)} for t, own in splits.groupby("tree")}
+        deaths = {} if mortality is None else dict(zip(zip(mortality["tree"], mortality["node"]), mortality["mortality"]))
+        roots, rows = [], []
+        for t in range(trees):
+            own, nodes, first = of_tree.get(t, {}), [1], len(rows)
+            roots.append(first)
+            for node in nodes:  # grows as it goes
+                feature, at = own.get(node, (-1, 0.0))
+                rows.append((feature, at, first + len(nodes), t, node, deaths.get((t, node), 0.0)))
+                if node in own:
+                    nodes += [2 * node, 2 * node + 1]
+        rows.append((-1, 0.0, 0, -1, -1, math.nan))
+        feature, at, child, tree, node, mortality = zip(*rows)
+        self.roots, self.feature, self.child, self.tree, self.node = (np.array(v, dtype=int) for v in (roots, feature, child, tree, node))
+        self.cut, self.mortality = np.array(at, dtype=float), np.array(mortality, dtype=float)
+
+    def walk(self, x: np.ndarray, row: np.ndarray, tree: np.ndarray) -> np.ndarray:
+        """The places that rows of ``x`` reach in their trees."""
+        at = self.roots[tree]
+        inner = np.arange(len(at))
+        while len(inner):
+            here = at[inner]
+            feature = self.feature[here]
+            inner, here, feature = (v[feature >= 0] for v in (inner, here, feature))
+            value = x[row[inner], feature]
+            at[inner] = np.where(np.isnan(value), len(self.node) - 1, self.child[here] + (value > self.cut[here]))
+        return at
+
+
+LEAF_COUNTS = "tree int, node int, n long"
+NODE_COUNTS = "tree int, node int, time double, n long, d long"
+CELLS = "part long, slot long, feature long, range long, value double, time double, rows long, n long, d long"
+BEST = "tree long, node long, feature long, cut double, left long, right long"
+KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+
+
+def _batch(columns: Sequence[np.ndarray], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c).cast(KINDS[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
+
+
+def _summed(blocks: Iterator[list[np.ndarray]], keys: int) -> Iterator[list[np.ndarray]]:
+    """Blocks of columns, the first ``keys`` of which name a cell: the others summed, as far as a task holds them."""
+    held, size = [], 0
+
+    def sums() -> list[np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        order = np.lexsort(columns[:keys])
+        columns = [c[order] for c in columns]
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns[:keys]], axis=0)
+        first = np.flatnonzero(new)
+        return [c[first] for c in columns[:keys]] + [np.add.reduceat(c, first) for c in columns[keys:]]
+
+    for block in blocks:
+        if len(block[0]):
+            held.append(block)
+            size += len(block[0])
+        if size > HELD_CELLS:
+            held = [sums()]
+            size = len(held[0][0])
+            if size > HELD_CELLS // 2:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield sums()
+
+
 def tried_features(seed: int, tree: int, node: int, n: int, most: int) -> list[int]:
     """``most`` of ``n`` features for a node: those with the smallest hash."""
     def place(i: int) -> str:
@@ -221,109 +403,251 @@ def tried_features(seed: int, tree: int, node: int, n: int, most: int) -> list[i
     return sorted(range(n), key=place)[:most]
 
 
+def _chooser(models: Sequence[Sequence[int]], params: ForestParams):
+    """The features tried at a node of a tree."""
+    def tried(tree: int, node: int) -> list[int]:
+        own = models[tree // params.trees]
+        most = params.max_features or max(1, int(math.sqrt(len(own))))
+        return [own[i] for i in tried_features(params.seed, tree % params.trees, node, len(own), most)]
+    return tried
+
+
 class _Grower:
-    """Grows the trees of several models over ``rows`` (key, time, event, x, draws); tree m * trees + t is tree t of model m."""
+    """Grows the trees of several models; tree m * trees + t is tree t of model m.
+
+    ``rows`` has time, event, the features as x0, x1, .. and the lists tree and w of its draws.
+    """
 
-    def __init__(self, rows: DataFrame, models: Sequence[Sequence[int]], params: ForestParams):
-        self.rows, self.models, self.params, self.spark = rows, models, params, rows.sparkSession
+    def __init__(self, rows: DataFrame, models: Sequence[Sequence[int]], params: ForestParams, features: int):
+        self.rows, self.models, self.params, self.features = rows, models, params, features
         self.splits = pd.DataFrame({"tree": pd.Series(dtype=int), "node": pd.Series(dtype=int), "feature": pd.Series(dtype=int),
                                     "cut": pd.Series(dtype=float)})
+        self.bounds: list[np.ndarray] = []  # of each feature's ranges
+
+    def _placed(self):
+        """A function of batches: x and (row, place, time, event, w) of every draw, at the nodes grown so far."""
+        models, own = len(self.models), self.params.trees
+        trees, features = _Trees(self.splits, models * own), self.features
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+            for batch in batches:
+                x = _matrix([batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(features)])
+                row = np.repeat(np.arange(len(x)), batch.column("tree").value_lengths().to_numpy())
+                tree, w = (batch.column(c).flatten().to_numpy() for c in ("tree", "w"))
+                time, event = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("time", "event"))
+                for m in range(models):  # the same draws for all
+                    yield x, row, trees.walk(x, row, tree + m * own), time, event, w
+
+        return trees, run
+
+    def leaf_counts(self) -> DataFrame:
+        """tree, node, time, n, d of the drawn rows at the leaves, summed within tasks."""
+        trees, placed = self._placed()
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks = ([time, place, w.astype(np.int64), w * event] for _, _, place, time, event, w in placed(batches))
+            for time, place, n, d in _summed(blocks, 2):
+                yield _batch([trees.tree[place], trees.node[place], time, n, d], NODE_COUNTS)
 
-    def placed(self, depth: int) -> DataFrame:
-        """tree, node, x, time, event, w: every drawn row at its node after ``depth`` levels."""
-        drawn = self.rows.select("x", "time", "event", F.inline("draws"))
-        if len(self.models) > 1:  # the same draws for all
-            each = F.transform(F.sequence(F.lit(0), F.lit(len(self.models) - 1)), lambda m: m * self.params.trees + F.col("tree"))
-            drawn = drawn.withColumn("tree", F.explode(each))
-        own = F.get(_tree_arrays(self.splits, len(self.models) * self.params.trees), F.col("tree"))
-        leaf = F.get(F.transform(F.array(own), lambda tree: _leaf(F.col("x"), tree, depth)["node"]), F.lit(0))
-        return drawn.select("tree", leaf.alias("node"), "x", "time", "event", "w")
+        return self.rows.mapInArrow(count, NODE_COUNTS)
 
     def grow(self) -> None:
-        params, trees = self.params, self.params.trees
-        open_nodes = {(t, 1): None for t in range(len(self.models) * trees)}  # with their rows, where known
-        for depth in range(params.max_depth):
-            if not open_nodes:
+        trees = self.params.trees
+        sizes = {r["tree"]: r["n"] for r in self.rows.select(F.explode("tree").alias("tree")).groupBy("tree").agg(F.count("*").alias("n")).collect()}
+        open_nodes = {(t, 1): sizes.get(t % trees, 0) for t in range(len(self.models) * trees)}
+        small = {}
+        for depth in range(self.params.max_depth):
+            large = {at: size for at, size in open_nodes.items() if size > ROWS_PER_NODE}
+            small.update({at: size for at, size in open_nodes.items() if at not in large})
+            if not large:
                 break
-            best = self._best_splits(depth, open_nodes)
+            if not self.bounds:
+                self.bounds = self._ranges(max(large.values()))
+            best = self._best_splits(large)
             self.splits = pd.concat([self.splits, best[["tree", "node", "feature", "cut"]]], ignore_index=True)
-            need = max(params.min_split, 2 * params.min_leaf)
+            need = max(self.params.min_split, 2 * self.params.min_leaf)
             open_nodes = {(t, 2 * n + side): size for t, n, left, right in best[["tree", "node", "left", "right"]].itertuples(index=False)
-                          for side, size in ((0, left), (1, right)) if size >= need}
-
-    def _tried(self, tree: int, node: int) -> list[int]:
-        own = self.models[tree // self.params.trees]
-        most = self.params.max_features or max(1, int(math.sqrt(len(own))))
-        return [own[i] for i in tried_features(self.params.seed, tree % self.params.trees, node, len(own), most)]
-
-    def _best_splits(self, depth: int, open_nodes: Mapping[tuple[int, int], int | None]) -> pd.DataFrame:
-        """tree, node, feature, cut, left, right (rows) of the open nodes that have a split."""
-        if depth == 0:  # the roots' rows
-            sizes = {r["tree"]: r["n"] for r in self.placed(0).groupBy("tree").agg(F.count("*").alias("n")).collect()}
-            open_nodes = {(t, n): sizes.get(t, 0) for t, n in open_nodes}
-        tried = [(t, n, self._tried(t, n), size > ROWS_PER_NODE) for (t, n), size in open_nodes.items()]
-        active = self.spark.createDataFrame(tried, "tree int, node int, tried array<int>, large boolean")
-        keys = ["tree", "node", "feature"]
-        cells = (self.placed(depth).join(F.broadcast(active), ["tree", "node"])  # at most 2^depth nodes a tree
-                 .select("tree", "node", F.explode("tried").alias("feature"), "x", "time", "event", "w", "large")
-                 .groupBy(*keys, F.get("x", F.col("feature")).alias("value"), "time", "large")
-                 .agg(F.count("*").alias("rows"), F.sum("w").alias("n"), F.sum(F.col("w") * F.col("event")).alias("d")))
-        parts = max(1, -(-sum(open_nodes.values()) * len(tried[0][2]) // CELLS_PER_TASK))
-        whole = cells.where("not large").drop("large").withColumn("range", F.lit(0).cast("long"))
-        cells_of = whole.withColumn("part", F.pmod(F.xxhash64("tree", "node"), F.lit(parts)))
-        if any(large for *_, large in tried):
-            ranged = _in_ranges(cut(cells.where("large").drop("large")), keys)
-            cells_of = cells_of.unionByName(ranged.withColumn("part", F.pmod(F.xxhash64(*keys, "range"), F.lit(parts))))
-        scores = cells_of.groupBy("part").applyInPandas(
-            _scorer(self.params), "tree int, node int, feature int, cut double, left long, right long, stat double")
+                          for side, size in ((0, left), (1, right)) if size >= need and depth + 1 < self.params.max_depth}
+        if small and self.params.max_depth > 0:
+            below = self._below(small)
+            self.splits = pd.concat([self.splits, below[["tree", "node", "feature", "cut"]]], ignore_index=True)
+        self.splits = self.splits.sort_values(["tree", "node"], ignore_index=True)
+
+    def _ranges(self, rows: int) -> list[np.ndarray]:
+        """For each feature, bounds that cut its values into ranges of about ``CELLS_PER_TASK`` of ``rows`` rows."""
+        n = max(2, -(-rows // CELLS_PER_TASK))
+        probs = [i / n for i in range(1, n)]
+        found = self.rows.agg(*[F.percentile_approx(f"x{i}", probs, max(10_000, 10 * n)).alias(f"x{i}") for i in range(self.features)]).head()
+        return [np.unique(np.array(bounds, dtype=float)) for bounds in found]
+
+    def _best_splits(self, nodes: Mapping[tuple[int, int], int]) -> pd.DataFrame:
+        """tree, node, feature, cut, left, right (rows) of the large ``nodes`` that have a split."""
+        names = list(nodes)
+        choose = _chooser(self.models, self.params)
+        tried = {name: choose(*name) for name in names}
+        width = max(len(t) for t in tried.values())
+        wanted = np.array([t + [-1] * (width - len(t)) for t in tried.values()])
+        trees, placed = self._placed()
+        numbers = {name: i for i, name in enumerate(names)}
+        slots = np.array([numbers.get(name, -1) for name in zip(trees.tree.tolist(), trees.node.tolist())])
+        bounds, features = self.bounds, self.features
+        ranges = max(len(b) for b in bounds) + 1
+        parts = max(1, -(-sum(nodes.values()) * width // CELLS_PER_TASK))
+
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+            for x, row, place, time, event, w in placed(batches):
+                keep = np.flatnonzero(slots[place] >= 0)
+                row, slot, time, n = row[keep], slots[place[keep]], time[keep], w[keep].astype(np.int64)
+                d, of = n * event[keep], np.column_stack([np.searchsorted(b, v) for b, v in zip(bounds, x.T)])
+                for k in range(width):
+                    some = np.flatnonzero(wanted[slot, k] >= 0)
+                    f = wanted[slot[some], k]
+                    yield [time[some], x[row[some], f], of[row[some], f], f, slot[some], np.ones(len(some), np.int64), n[some], d[some]]
+
+        def part(slot, f, r):  # neighbours go to different tasks
+            return ((slot * features + f) * ranges + r) % parts
+
+        def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for time, value, r, f, slot, rows, n, d in _summed(cells(batches), 5):
+                yield _batch([part(slot, f, r), slot, f, r, value, time, rows, n, d], CELLS)
+
+        def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for time, r, f, slot, rows, n, d in _summed(([t, *rest] for t, _, *rest in cells(batches)), 4):
+                yield _batch([part(slot, f, r), slot, f, r, time, time, rows, n, d], CELLS)
+
+        # each range also gets all smaller and all larger values, at minus and plus infinity
+        counts = [F.sum(c).alias(c) for c in ("rows", "n", "d")]
+        sums = self.rows.mapInArrow(totals, CELLS).groupBy("slot", "feature", "range", "time").agg(*counts)
+        others = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ranges - 1).cast("long")))
+        infinite = F.when(F.col("own") < F.col("range"), F.lit(-math.inf)).otherwise(F.lit(math.inf))
+        beside = (sums.withColumnRenamed("range", "own").withColumn("range", others).where("range <> own")
+                  .groupBy("slot", "feature", "range", infinite.alias("value"), "time").agg(*counts)
+                  .withColumn("part", F.pmod((F.col("slot") * features + F.col("feature")) * ranges + F.col("range"), F.lit(parts))))
+        both = self.rows.mapInArrow(values, CELLS).unionByName(beside)
+        scores = both.groupBy("part").applyInPandas(_scorer(self.params), "slot long, feature long, cut double, left long, right long, stat double")
         order = F.struct("stat", -F.col("feature"), -F.col("cut"))  # ties: the first feature, the lowest cut
-        best = scores.groupBy("tree", "node").agg(F.max_by(F.struct("feature", "cut", "left", "right"), order).alias("s"))
-        return best.select("tree", "node", "s.*").orderBy("tree", "node").toPandas()
-
-
-def _in_ranges(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """The cells of large nodes dealt to ranges of values, each with all smaller and larger values as two more.
-
-    Those are at minus and plus infinity, with their counts per time.
-    """
-    probs = [i / 64 for i in range(1, 64)]
-    bounds = cells.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("value", probs, 1_000)).alias("bounds"))
-    ranged = cells.join(F.broadcast(bounds), keys)  # a row per large node and tried feature
-    ranged = ranged.withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("value"))).cast("long")).drop("bounds")
-    sums = ranged.groupBy(*keys, "range", "time").agg(*[F.sum(c).alias(c) for c in ("rows", "n", "d")])
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(probs)).cast("long")))
-    beside = (sums.withColumnRenamed("range", "own").withColumn("range", other).where("range <> own")
-              .groupBy(*keys, "range", (F.col("own") < F.col("range")).alias("below"), "time")
-              .agg(*[F.sum(c).alias(c) for c in ("rows", "n", "d")]))
-    infinite = F.when(F.col("below"), F.lit(-math.inf)).otherwise(F.lit(math.inf))
-    return ranged.unionByName(beside.withColumn("value", infinite).drop("below"))
+        best = scores.groupBy("slot").agg(F.max_by(F.struct("feature", "cut", "left", "right"), order).alias("s"))
+        best = best.select("slot", "s.*").orderBy("slot").toPandas()
+        return best.assign(tree=[names[i][0] for i in best["slot"]], node=[names[i][1] for i in best["slot"]])
+
+    def _below(self, nodes: Mapping[tuple[int, int], int]) -> pd.DataFrame:
+        """All splits at and below ``nodes``, each of which one task can hold."""
+        trees, placed = self._placed()
+        wanted = np.array([name in nodes for name in zip(trees.tree.tolist(), trees.node.tolist())])
+        names = [f"x{i}" for i in range(self.features)]
+        schema = ", ".join(["tree int", "node int", "time double", "event long", "w long", *[f"{c} double" for c in names]])
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x, row, place, time, event, w in placed(batches):
+                keep = np.flatnonzero(wanted[place])
+                at = place[keep]
+                yield _batch([trees.tree[at], trees.node[at], time[keep], event[keep], w[keep], *x[row[keep]].T], schema)
+
+        params, tried = self.params, _chooser(self.models, self.params)
+
+        def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+            return _subtree(pdf, names, params, tried)
+
+        return self.rows.mapInArrow(send, schema).groupBy("tree", "node").applyInPandas(grow, BEST).toPandas()
+
+
+def _subtree(pdf: pd.DataFrame, names: Sequence[str], params: ForestParams, tried) -> pd.DataFrame:
+    """The splits at and below one node, from its drawn rows (runs in the executors)."""
+    tree, root = int(pdf["tree"].iat[0]), int(pdf["node"].iat[0])
+    x = pdf[list(names)].to_numpy(float)
+    size = len(x)
+    times, time = np.unique(pdf["time"].to_numpy(), return_inverse=True)
+    w = pdf["w"].to_numpy(float)
+    d = w * pdf["event"].to_numpy(float)
+    rank = np.column_stack([np.unique(v, return_inverse=True)[1] for v in x.T])
+    row, place, nodes, out = np.arange(size), np.zeros(size, int), [root], []
+    need = max(params.min_split, 2 * params.min_leaf)
+    while nodes and nodes[0].bit_length() <= params.max_depth:
+        wanted = [tried(tree, node) for node in nodes]
+        width = len(wanted[0])
+        feature = np.array(wanted).T[:, place]  # width by rows
+        group = (place * width + np.arange(width)[:, None]).ravel()
+        rows = np.tile(row, width)
+        order = np.argsort(group * size + rank[rows, feature.ravel()])
+        group, feature, rows = group[order], feature.ravel()[order], rows[order]
+        present, group = np.unique(group, return_inverse=True)
+        best = _best_cuts(group, x[rows, feature], time[rows], len(times), np.ones(len(rows)), w[rows], d[rows], params)
+        at = present[best["group"].to_numpy()]
+        best = best.assign(place=at // width, feature=[wanted[i // width][i % width] for i in at])
+        best = best.sort_values(["place", "stat", "feature", "cut"], ascending=[True, False, True, True]).drop_duplicates("place")
+        out.append(pd.DataFrame({"tree": tree, "node": [nodes[i] for i in best["place"]], "feature": best["feature"], "cut": best["cut"],
+                                 "left": best["left"], "right": best["right"]}))
+        # rows of nodes that were cut go on to those children that can be cut again
+        split, cuts = np.full(len(nodes), -1), np.full(len(nodes), math.nan)
+        split[best["place"]], cuts[best["place"]] = best["feature"], best["cut"]
+        below = np.full((len(nodes), 2), -1)
+        following = []
+        for i, left, right in best[["place", "left", "right"]].itertuples(index=False):
+            for side, n in ((0, left), (1, right)):
+                if n >= need:
+                    below[i, side] = len(following)
+                    following.append(2 * nodes[i] + side)
+        keep = split[place] >= 0
+        row, place = row[keep], place[keep]
+        place = below[place, (x[row, split[place]] > cuts[place]).astype(int)]
+        row, place = row[place >= 0], place[place >= 0]
+        nodes = following
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[f.split()[0] for f in BEST.split(", ")])
 
 
 def _scorer(params: ForestParams):
-    """Best log-rank split per (node, feature, range) from counts per value and time (runs in the executors)."""
-    min_leaf, min_split = params.min_leaf, params.min_split
-
+    """Best log-rank split per (slot, feature, range) from counts per value and time (runs in the executors)."""
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tree", "node", "feature", "range", "value"], kind="stable")
-        names = pdf[["tree", "node", "feature", "range"]].to_numpy()
+        pdf = pdf.sort_values(["slot", "feature", "range", "value"], kind="stable")
+        names = pdf[["slot", "feature", "range"]].to_numpy()
         first = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(axis=1)])
         group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(pdf)]))
-        value, rows = pdf["value"].to_numpy(), pdf["rows"].to_numpy(float)
-        u, v = _logrank(group, pdf["time"].to_numpy(), pdf["n"].to_numpy(float), pdf["d"].to_numpy(float))
-        left = _cumulative(rows, group)
-        every = np.bincount(group, rows)[group]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            # equal splits have equal statistics but for rounding errors
-            stat = np.round(np.where((v > 1e-12) & (np.abs(u) > 1e-9), np.abs(u) / np.sqrt(v), 0.0), 9)
-        last = np.r_[(value[1:] != value[:-1]) | (group[1:] != group[:-1]), True]
-        fits = last & np.isfinite(value) & (left >= min_leaf) & (every - left >= min_leaf) & (every >= min_split) & (stat > 0)
-        out = pd.DataFrame({"tree": names[:, 0], "node": names[:, 1], "feature": names[:, 2], "cut": value,
-                            "left": left.astype(int), "right": (every - left).astype(int), "stat": stat, "group": group})[fits]
-        return out.sort_values(["group", "stat", "cut"], ascending=[True, False, True]).drop_duplicates("group").drop(columns="group")
+        times, time = np.unique(pdf["time"].to_numpy(), return_inverse=True)
+        best = _best_cuts(group, pdf["value"].to_numpy(), time, len(times), *(pdf[c].to_numpy(float) for c in ("rows", "n", "d")), params)
+        of = names[first[best["group"]]]
+        return best.assign(slot=of[:, 0], feature=of[:, 1])[["slot", "feature", "cut", "left", "right", "stat"]]
 
     return score
 
 
+def _best_cuts(group: np.ndarray, value: np.ndarray, time: np.ndarray, times: int, rows: np.ndarray, n: np.ndarray, d: np.ndarray,
+               params: ForestParams) -> pd.DataFrame:
+    """group, cut, left, right (rows), stat: the best cut of every group that has one, at equal statistics the lowest.
+
+    Cells stand by group (0, 1, ..) and value; ``time`` numbers the times in ascending order.
+    """
+    left = _cumulative(rows, group)
+    every = np.bincount(group, rows)[group]
+    last = np.r_[(value[1:] != value[:-1]) | (group[1:] != group[:-1]), True]
+    at = np.flatnonzero(last & np.isfinite(value) & (left >= params.min_leaf) & (every - left >= params.min_leaf) & (every >= params.min_split))
+    if times <= FEW_TIMES:
+        u, v = _logrank_by_time(group, time, times, n, d, at)
+    else:
+        u, v = (a[at] for a in _logrank(group, time, n, d))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # equal splits have equal statistics but for rounding errors
+        stat = np.round(np.where((v > 1e-12) & (np.abs(u) > 1e-9), np.abs(u) / np.sqrt(v), 0.0), 9)
+    out = pd.DataFrame({"group": group[at], "cut": value[at], "left": left[at].astype(int), "right": (every - left)[at].astype(int), "stat": stat})
+    out = out[out["stat"] > 0]
+    return out.sort_values(["group", "stat", "cut"], ascending=[True, False, True]).drop_duplicates("group")
+
+
+def _logrank_by_time(group: np.ndarray, time: np.ndarray, times: int, n: np.ndarray, d: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`_logrank` gives behind the cells ``at``, from whole counts at each time."""
+    cell, groups = group * times + time, int(group.max(initial=-1)) + 1
+    alive, died = (np.bincount(cell, c, groups * times).reshape(groups, times) for c in (n, d))
+    risk = alive[:, ::-1].cumsum(axis=1)[:, ::-1]
+    some = np.maximum(risk, 1)
+    hazard = died / some
+    b = np.where(risk > 1, died * (risk - died) / np.maximum(risk - 1, 1), 0.0) / some**2
+    of, u, v = group[at], np.zeros(len(at)), np.zeros(len(at))
+    for t in np.flatnonzero(died.any(axis=0)):
+        under = _cumulative(np.where(time >= t, n, 0.0), group)[at]
+        u += _cumulative(np.where(time == t, d, 0.0), group)[at] - under * hazard[of, t]
+        v += b[of, t] * (under * risk[of, t] - under * under)
+    return u, v
+
+
 def _cumulative(x: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Running sums that start anew with every group (ascending numbers)."""
     total = np.cumsum(x)
@@ -380,11 +704,10 @@ def _sooner(group: np.ndarray, rank: np.ndarray, weights: np.ndarray) -> np.ndar
     return total
 
 
-def _leaf_steps(placed: DataFrame) -> DataFrame:
+def _leaf_steps(counts: DataFrame) -> DataFrame:
     """Per leaf and event time: hazard increment and fall of the survival curve."""
     leaf = Window.partitionBy("tree", "node")  # at most one row per month of age
-    cells = placed.groupBy("tree", "node", "time").agg(
-        F.sum("w").alias("n"), F.sum(F.col("w") * F.col("event")).alias("d"))
+    cells = counts.groupBy("tree", "node", "time").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     risk = F.sum("n").over(leaf.orderBy(F.desc("time")))
     hazard = F.col("d") / F.col("at_risk")
     steps = cells.withColumn("at_risk", risk).where("d > 0").withColumn("hazard", hazard)

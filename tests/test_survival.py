@@ -418,3 +418,31 @@ def test_forest_pair_grows_the_whole_forests(monkeypatch):
     calls[0].apply_defaults()
     used = calls[0].arguments["params"]
     assert used == FO.ForestParams() and (used.trees, used.max_depth, used.sample) == (50, 10, 0.1)
+
+
+def test_small_nodes_are_grown_without_a_job_a_level(days, monkeypatch):
+    """A level's rows are shuffled only while a node has more rows than one task should hold."""
+    df, _ = days
+    real, levels = FO._Grower._best_splits, []
+    monkeypatch.setattr(FO._Grower, "_best_splits", lambda self, *nodes: levels.append(1) or real(self, *nodes))
+    assert len(FO.fit_forest(df, ["x", "z", "flat"], params=EXACT).splits) and not levels
+    few = "DataFrame[key: string, tree: int, w: int]"
+    keys = df.sparkSession.createDataFrame([("a",), (None,), ("7",)], "key string")
+    drawn = FO.bootstrap(keys, FO.ForestParams(trees=20, sample=5.0))
+    assert str(drawn) == few and {r["key"] for r in drawn.collect()} == {"a", None, "7"}
+
+
+def test_forest_score_follows_its_leaves(days):
+    """Scores are the mean mortality of the leaves, also for NaN (above all cuts); a missing value has none."""
+    df, _ = days
+    model = FO.fit_forest(df, ["x", "z"], params=EXACT)
+    odd = df.sparkSession.createDataFrame([(1, float("nan"), 0.5), (2, -9.0, float("inf")), (3, 0.1, float("nan")), (4, None, None)],
+                                          "LOAN_ID long, x double, z double")
+    dead = dict(zip(zip(model.mortality["tree"], model.mortality["node"]), model.mortality["mortality"]))
+    got = {r["LOAN_ID"]: r["risk"] for r in model.score(odd).collect()}
+    for name in (1, 2, 3):
+        own = [dead[r["tree"], r["node"]] for r in model.leaves(odd).where(F.col("LOAN_ID") == name).collect()]
+        assert len(own) == EXACT.trees and got[name] == pytest.approx(sum(own) / EXACT.trees)
+    assert got[4] is None
+    counts = {(r["tree"], r["node"]): r["n"] for r in model._rows_per_leaf(df).collect()}
+    assert counts == {(r["tree"], r["node"]): r["n"] for r in model.leaves(df).groupBy("tree", "node").agg(F.count("*").alias("n")).collect()}
