@@ -162,11 +162,12 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     """Exact quantiles of several columns in two scans; missing values don't count.
 
     Returns ``(by..., column, prob, quantile)``. The first scan brackets every wanted rank by a
-    mergeable sketch (``sketches``, where it has been made). The second counts: each value inside a
+    mergeable sketch (``sketches``, where it has been made, then ``probs`` ascend). The second counts: each value inside a
     bracket by itself, all values of a gap between brackets together, as the least of them. The
     counts are written once, and the ranks found among them.
     """
     if sketches is None:
+        probs = sorted(probs)
         sketches = cut(rank_sketches(df, cols, probs, by))
     wide = df.select(*by, *[present(c).alias(f"v{i}") for i, c in enumerate(cols)])
     wide = attach_group_row(wide, sketches.select(*by, *[f"s{i}" for i in range(len(cols))]), by)
@@ -174,12 +175,16 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
                      for i, c in enumerate(cols)])
     long = wide.select(*by, F.inline(each)).where(F.col("value").isNotNull())
     value = F.col("value")
-    inside, gap = F.lit(False), F.lit(0)
-    for i in range(len(probs)):
-        low, high = F.get("sketch", F.lit(2 * i)), F.get("sketch", F.lit(2 * i + 1))
-        inside |= (low <= value) & (value <= high)
-        gap += (high < value).cast("int")
-    cells = (long.select(*by, "column", "value", gap.alias("gap"), F.when(inside, value).alias("own"))
+
+    def gaps(first: int, last: int) -> Column:  # how many brackets end below the value, by halving
+        if first == last:
+            return F.lit(first)
+        middle = (first + last) // 2
+        return F.when(F.get("sketch", F.lit(2 * middle + 1)) < value, gaps(middle + 1, last)).otherwise(gaps(first, middle))
+
+    inside = F.get("sketch", 2 * F.col("gap")) <= value  # no bracket ends below and begins above another's
+    cells = (long.select(*by, "column", "value", "sketch", gaps(0, len(probs)).alias("gap"))
+             .select(*by, "column", "value", "gap", F.when(inside, value).alias("own"))
              .groupBy(*by, "column", "gap", "own").agg(F.min("value").alias("value"), F.count("*").alias("n")))
     return quantiles_of_counts(cut(cells).select(*by, "column", "value", "n"), probs, by)
 
