@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         ramps: Sequence[float] = (-0.6, 0.0, 0.6), seed: int = 42, rows_per_slice: int = 4_096) -> DataFrame:
     """One row per document: doc_id, source, u, size, source_size, target, copies, taken, positions.
 
-    Every document of a source is taken floor(target / source_size) times, and once more while
+    Rows are range-sorted by the training position of the first copy, those not taken last. Every document of a source is taken floor(target / source_size) times, and once more while
     the running word count in seeded hash order is below the remainder. ``positions`` holds the
     training position of each copy, taken ones only. Null text has size 0 and is taken like any
     other; a null source is a source. Repeated rows are separate documents (a repeated row has
@@ -108,8 +108,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         F.least(F.coalesce(F.try_divide((k - 1) * F.col("source_size") + F.col("start") + F.col("size") / 2,
                                         F.col("target")), F.lit(0.0)), F.lit(1.0)), F.col("ramp")))
     positions = F.when(F.col("copies") > 0, done).otherwise(F.array().cast("array<double>"))
-    return rows.select("doc_id", "source", "u", "size", "source_size", "target", "copies",
+    rows = rows.select("doc_id", "source", "u", "size", "source_size", "target", "copies",
                        (F.col("copies") * F.col("size")).alias("taken"), positions.alias("positions"))
+    return rows.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "u", "doc_id")
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:

@@ -251,3 +251,10 @@ def test_pipeline(spark, tmp_path):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_mix_rows_stand_in_training_order(spark):
+    rows = [(i, f"s{i % 3}", "w " * (1 + i * 7 % 11)) for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)).collect()
+    first = [r["positions"][0] if r["positions"] else 2.0 for r in got]
+    assert first == sorted(first) and len(got) == 300
