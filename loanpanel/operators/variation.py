@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanpanel.functions.stats import correlation_pairs, describe, histogram
+from loanpanel.session import cut
 
 KEY_VARIABLES = ["credit_score_change", "balance_ratio", "rate_change"]
 PANEL_VARIABLES = [*KEY_VARIABLES, "any_delinquent"]
@@ -101,7 +102,8 @@ def within_correlation(panel: DataFrame, cols: Sequence[str] | None = None) -> D
     for i, (a, b) in enumerate(pairs):
         sums += [F.regr_count(a, b).alias(f"n{i}"), F.regr_avgx(b, a).alias(f"a{i}"), F.regr_avgy(b, a).alias(f"b{i}"),
                  F.regr_sxx(b, a).alias(f"aa{i}"), F.regr_syy(b, a).alias(f"bb{i}"), F.regr_sxy(b, a).alias(f"ab{i}")]
-    loans = panel.groupBy("LOAN_ID").agg(*[F.avg(c).alias(f"mean_{c}") for c in cols], *sums)
+    # rows are dealt by loan, since a loan's sums take more room than its rows
+    loans = panel.select("LOAN_ID", *cols).repartition("LOAN_ID").groupBy("LOAN_ID").agg(*[F.avg(c).alias(f"mean_{c}") for c in cols], *sums)
     totals = []
     for i, (a, b) in enumerate(pairs):
         n, da, db = F.col(f"n{i}"), F.col(f"a{i}") - F.col(f"mean_{a}"), F.col(f"b{i}") - F.col(f"mean_{b}")
@@ -125,6 +127,8 @@ def correlation_difference(panel: DataFrame, target: str = "any_delinquent",
         other = F.when(F.col("var_a") == target, F.col("var_b")).otherwise(F.col("var_a"))
         return (pairs.where((F.col("var_a") == target) | (F.col("var_b") == target))
                 .select(other.alias("variable"), F.col("corr").alias(name)))
+    cols = _analysis_columns(panel, cols)
+    panel = cut(panel.select("LOAN_ID", *cols))  # read twice
     both = (with_target(overall_correlation(panel, cols), "overall")
             .join(with_target(within_correlation(panel, cols), "within"), "variable"))
     return both.withColumn("difference", F.col("overall") - F.col("within"))
