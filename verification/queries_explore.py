@@ -234,7 +234,7 @@ def quarter_dlq_numbered(spark, d):
  UNION ALL SELECT 'all', NULL, count(DISTINCT LOAN_ID) FROM panel""")
 def loan_counts(spark, d):
     """Bitmaps by quarter and state from two batches of loans, the second appended twice, counted at four levels."""
-    panel, path = I.panel(spark, d), scratch_path(spark, "bitmaps")
+    panel, path = cut(I.panel(spark, d).select("LOAN_ID", "data_quarter", "STATE")), scratch_path(spark, "bitmaps")
     late = F.col("data_quarter") >= "1995Q1"
     numbers = None
     for batch in (panel.where(~late), panel.where(late)):
