@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,9 +76,14 @@ def compact(spark: SparkSession, parts: Sequence[str], path: str, files: int | N
     write_zstd(df, path)
 
 
-def export_results(panel: DataFrame, summary: DataFrame, base: str) -> dict[str, str]:
-    """Write the panel and its loan summary; returns the two paths."""
+def export_results(panel: DataFrame, summary: DataFrame | Callable[[DataFrame], DataFrame], base: str) -> dict[str, str]:
+    """Write the panel and its loan summary; returns the two paths.
+
+    ``summary`` may be a function of the panel: it then reads the written one.
+    """
     paths = {"panel": f"{base}_panel", "loan_summary": f"{base}_loan_summary"}
     write_snappy(panel, paths["panel"])
+    if callable(summary):
+        summary = summary(panel.sparkSession.read.parquet(paths["panel"]))
     write_snappy(summary, paths["loan_summary"])
     return paths
