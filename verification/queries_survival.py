@@ -19,6 +19,7 @@ from verification import sql_survival as SS
 from verification.registry import query, r, rounded
 
 FACTORS = ["alpha_PC1", "alpha_PC2", "beta_PC1", "beta_PC2"]
+OUTCOME = ["LOAN_ID", "survival_time", "survival_event"]
 
 
 def surv(spark, d):
@@ -58,9 +59,8 @@ FILL = ["CSCORE_B", "credit_score_change", "alpha_PC1"]
        + " FROM valid) SELECT LOAN_ID, survival_event, survival_time, "
        + ", ".join(r(f"coalesce({c}, m_{c}, 0)", c) for c in FILL) + " FROM valid, m")
 def survival_clean(spark, d):
-    df = FE.valid_survival(surv_macro(spark, d))
-    return rounded(FE.fill_features(df, FE.fit_medians(df, FILL)).select(
-        "LOAN_ID", "survival_event", "survival_time", *FILL))
+    df = cut(FE.valid_survival(surv_macro(spark, d)).select("LOAN_ID", "survival_event", "survival_time", *FILL))
+    return rounded(FE.fill_features(df, FE.fit_medians(df, FILL)))
 
 
 @query("time_split", SS.SURV_MACRO + f""" SELECT CASE WHEN macro_quarter <= DATE '{I.SPLIT_DATE}' THEN 'train' ELSE 'test' END AS part,
@@ -103,6 +103,7 @@ SPLIT = SS.SURV_MACRO + f", s AS (SELECT *, macro_quarter <= DATE '{I.SPLIT_DATE
 def standardize(spark, d):
     """Both periods scaled with the early period's moments."""
     df = FE.valid_survival(surv_macro(spark, d)).withColumn("early", F.col("macro_quarter") <= F.lit(I.SPLIT_DATE).cast("date"))
+    df = cut(df.select("LOAN_ID", "early", *SS.STATIC))
     scaler = FE.Scaler.fit(df.where("early"), SS.STATIC)
     return rounded(scaler.transform(df).select("LOAN_ID", "early", *SS.STATIC))
 
@@ -131,14 +132,14 @@ SMART = SS.SURV + """, q AS (SELECT quantile_cont(survival_time, [0.25, 0.5, 0.7
 
 @query("smart_sample", SMART + " SELECT LOAN_ID FROM k")
 def smart_sample(spark, d):
-    return SA.smart_sample(surv(spark, d), 1000).select("LOAN_ID")
+    return SA.smart_sample(cut(surv(spark, d).select(*OUTCOME)), 1000).select("LOAN_ID")
 
 
 @query("sample_quality", SMART + " SELECT " + r("(SELECT avg(survival_event) FROM surv)", "original_rate") + ", "
        + r("(SELECT avg(survival_event) FROM k)", "sample_rate") + ", "
        + r("abs((SELECT avg(survival_event) FROM surv) - (SELECT avg(survival_event) FROM k))", "difference"))
 def sample_quality(spark, d):
-    df = surv(spark, d)
+    df = cut(surv(spark, d).select(*OUTCOME))
     return rounded(SA.sample_quality(df, SA.smart_sample(df, 1000)))
 
 
@@ -199,7 +200,7 @@ FIXED_CTE = "fixed AS (SELECT 0.01 AS b0, -0.02 AS b1)"
            for t, at, e in (("breslow", "fixed", "eb"), ("efron", "fixed", "ee"), ("breslow", "zero", "nb"))))
 def cox_loglik(spark, d):
     """Partial log-likelihood and score at given coefficients."""
-    df = valid(spark, d)
+    df = cut(valid(spark, d).select("survival_time", "survival_event", *PAIR))
     rows = []
     for ties, at, beta in (("breslow", "fixed", FIXED), ("efron", "fixed", FIXED), ("breslow", "zero", dict.fromkeys(FIXED, 0.0))):
         e = CX.evaluate(df, beta, ties=ties)
@@ -423,6 +424,7 @@ MACRO3 = ["OLTV", "alpha_PC1", "beta_PC1"]
 def hazard_ratios_macro(spark, d):
     """Hazard ratios of the macro features of a model that has others too."""
     df = FE.valid_survival(surv_macro(spark, d)).where("alpha_PC1 IS NOT NULL AND beta_PC1 IS NOT NULL")
+    df = cut(df.select("LOAN_ID", "survival_time", "survival_event", *MACRO3))
     df = FE.Scaler.fit(df, MACRO3).transform(df)
     model = CX.fit_cox(df, MACRO3)
     return rounded(model.hazard_ratios(spark, only=FACTORS).select("feature", "coef", "hazard_ratio", "ci_lower", "ci_upper"), 6)
