@@ -35,7 +35,7 @@ except ImportError:
     from hashlib import md5
 
 CELLS_PER_TASK = 200_000  # (node, feature, value, time) counts scored together, on average
-ROWS_PER_NODE = 200_000  # a node with more rows is scored range by range, any other grown in one task
+ROWS_PER_NODE = 1_000_000  # a node with more rows is scored range by range, any other grown in one task
 HELD_CELLS = 500_000  # cells a task sums up before it sends them
 FEW_TIMES = 64  # up to so many times, the statistics are summed time by time
 
@@ -223,12 +223,9 @@ def _below(params: ForestParams) -> np.ndarray:
 def _draws(keys: pa.Array, params: ForestParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, tree, w), by rows: the trees that draw a row, by a Poisson count from a hash of tree and key."""
     below = _below(params)
-    names = [b"" if k is None else b":" + k.encode() for k in keys.to_pylist()]
-    drawn = []
+    names, drawn = _Names(keys), []
     for t in range(params.trees):
-        tree = b"%d:%d" % (params.seed, t)
-        hashed = b"".join([md5(tree + name).digest() for name in names])
-        first = np.frombuffer(hashed, ">u8")[::2] >> 12  # 52 bits
+        first = names.hashed(b"%d:%d" % (params.seed, t)) >> np.uint64(12)  # 52 bits
         u = (first.astype(float) + 0.5) / 2.0**52
         some = np.flatnonzero(u >= below[0])
         drawn.append((some, np.full(len(some), t), np.searchsorted(below, u[some], side="right")))
@@ -237,6 +234,78 @@ def _draws(keys: pa.Array, params: ForestParams) -> tuple[np.ndarray, np.ndarray
     return row[order], tree[order], w[order]
 
 
+MD5_TURNS = [r for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for r in four * 4]
+MD5_ADDED = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+ONE_BLOCK = 55  # bytes of a text that MD5 takes in one block
+
+
+class _Names:
+    """Keys as texts ``:key`` (a missing key: no text) that are hashed behind a prefix, all at once."""
+
+    def __init__(self, keys: pa.Array):
+        keys = keys.cast(pa.large_string())
+        self.keys, known = keys, keys.is_valid().to_numpy(zero_copy_only=False)
+        binary = keys.fill_null("").cast(pa.large_binary())
+        ends = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset:binary.offset + len(keys) + 1]
+        data = np.frombuffer(binary.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]] if len(keys) else np.zeros(0, np.uint8)
+        size = np.diff(ends)
+        self.size = size + known
+        width = max(int(self.size.max(initial=0)), 1)
+        self.text = None
+        if width < ONE_BLOCK:
+            row = np.repeat(np.arange(len(keys)), size)
+            place = np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], size)
+            self.text = np.zeros((len(keys), width + 1), np.uint8)
+            self.text[known, 0] = ord(":")
+            self.text[row, place + 1] = data
+            self.text[np.arange(len(keys)), self.size] = 0x80  # the mark behind a text
+
+    def hashed(self, prefix: bytes) -> np.ndarray:
+        """The first 64 bits of the MD5 of every text behind ``prefix``."""
+        if self.text is None or len(prefix) + self.text.shape[1] > ONE_BLOCK + 1:
+            texts = [prefix + (b"" if k is None else b":" + k.encode()) for k in self.keys.to_pylist()]
+            return np.frombuffer(b"".join([md5(t).digest() for t in texts]), ">u8")[::2].astype(np.uint64)
+        used = len(prefix) + self.text.shape[1]
+        block = np.zeros((len(self.text), -(-used // 4) * 4), np.uint8)
+        block[:, :len(prefix)] = np.frombuffer(prefix, np.uint8)
+        block[:, len(prefix):used] = self.text
+        words: list[np.ndarray | None] = [np.ascontiguousarray(c, np.uint32) for c in block.view("<u4").T]
+        words += [None] * (16 - len(words))  # zeros
+        words[14] = (8 * (len(prefix) + self.size)).astype(np.uint32)
+        first, second = _md5_block(words)
+        return (first.byteswap().astype(np.uint64) << np.uint64(32)) | second.byteswap()
+
+
+def _md5_block(words: Sequence[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The first two words of the MD5 (RFC 1321) of many texts of one block, given as 16 words each."""
+    start = [np.uint32(v) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(len(words[0]), v) for v in start)
+    f, high = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+            word = words[i]
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+            word = words[(5 * i + 1) % 16]
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+            word = words[(3 * i + 5) % 16]
+        else:
+            np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+            word = words[7 * i % 16]
+        f += a
+        f += np.uint32(MD5_ADDED[i])
+        if word is not None:
+            f += word
+        np.right_shift(f, np.uint32(32 - MD5_TURNS[i]), out=high)
+        np.left_shift(f, np.uint32(MD5_TURNS[i]), out=f)
+        f |= high
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    return a + start[0], b + start[1]
+
+
 def _drawn(params: ForestParams, edges: Sequence[Sequence[float]] | None):
     """Rows of key, time, event and features -> the same without the key, with the trees that draw them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -535,7 +604,7 @@ class _Grower:
         trees, placed = self._placed()
         wanted = np.array([name in nodes for name in zip(trees.tree.tolist(), trees.node.tolist())])
         names = [f"x{i}" for i in range(self.features)]
-        schema = ", ".join(["tree int", "node int", "time double", "event long", "w long", *[f"{c} double" for c in names]])
+        schema = ", ".join(["tree int", "node int", "time double", "event int", "w int", *[f"{c} double" for c in names]])
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x, row, place, time, event, w in placed(batches):
@@ -552,45 +621,75 @@ class _Grower:
 
 
 def _subtree(pdf: pd.DataFrame, names: Sequence[str], params: ForestParams, tried) -> pd.DataFrame:
-    """The splits at and below one node, from its drawn rows (runs in the executors)."""
+    """The splits at and below one node, from its drawn rows (runs in the executors).
+
+    A feature's values are sorted once; a level deals them to its nodes in that order. Where a level
+    has fewer (node, value, time) than rows, its rows are counted instead.
+    """
     tree, root = int(pdf["tree"].iat[0]), int(pdf["node"].iat[0])
     x = pdf[list(names)].to_numpy(float)
-    size = len(x)
     times, time = np.unique(pdf["time"].to_numpy(), return_inverse=True)
     w = pdf["w"].to_numpy(float)
     d = w * pdf["event"].to_numpy(float)
-    rank = np.column_stack([np.unique(v, return_inverse=True)[1] for v in x.T])
-    row, place, nodes, out = np.arange(size), np.zeros(size, int), [root], []
+    del pdf
+    ones = np.ones(len(x))
+    sorted_by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # feature: order, rank, values
+
+    def values_of(f: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if f not in sorted_by:
+            order = np.argsort(x[:, f], kind="stable").astype(np.int32)
+            value = x[order, f]
+            new = np.r_[True, value[1:] != value[:-1]]
+            rank = np.empty(len(x), np.int32)
+            rank[order] = np.cumsum(new) - 1
+            sorted_by[f] = order, rank, value[new]
+        return sorted_by[f]
+
+    place, nodes, out = np.zeros(len(x), np.int32), [root], []  # place -1: in no node that is cut again
     need = max(params.min_split, 2 * params.min_leaf)
     while nodes and nodes[0].bit_length() <= params.max_depth:
-        wanted = [tried(tree, node) for node in nodes]
-        width = len(wanted[0])
-        feature = np.array(wanted).T[:, place]  # width by rows
-        group = (place * width + np.arange(width)[:, None]).ravel()
-        rows = np.tile(row, width)
-        order = np.argsort(group * size + rank[rows, feature.ravel()])
-        group, feature, rows = group[order], feature.ravel()[order], rows[order]
-        present, group = np.unique(group, return_inverse=True)
-        best = _best_cuts(group, x[rows, feature], time[rows], len(times), np.ones(len(rows)), w[rows], d[rows], params)
-        at = present[best["group"].to_numpy()]
-        best = best.assign(place=at // width, feature=[wanted[i // width][i % width] for i in at])
+        tries = np.zeros((len(nodes) + 1, x.shape[1]), bool)  # the last one for rows in no node
+        for i, node in enumerate(nodes):
+            tries[i, tried(tree, node)] = True
+        found = []
+        for f in np.flatnonzero(tries.any(axis=0)).tolist():
+            order, rank, value = values_of(f)
+            own = np.flatnonzero(tries[:, f])
+            number = np.zeros(len(tries), np.uint16 if len(own) < 2**16 else np.int64)  # short ones sort in linear time
+            number[own] = np.arange(len(own))
+            rows = np.flatnonzero(tries[place, f])
+            cells = len(own) * len(value) * len(times)
+            if cells <= len(rows):
+                cell = (number[place[rows]].astype(np.int64) * len(value) + rank[rows]) * len(times) + time[rows]
+                count = np.bincount(cell, minlength=cells)
+                some = np.flatnonzero(count)
+                group, at = some // (len(value) * len(times)), some // len(times) % len(value)
+                sums = (np.bincount(cell, c[rows], cells)[some] for c in (w, d))
+                best = _best_cuts(group, value[at], some % len(times), len(times), count[some].astype(float), *sums, params)
+            else:
+                at = place[order]
+                rows = np.flatnonzero(tries[at, f])
+                group = number[at[rows]]
+                dealt = np.argsort(group, kind="stable")
+                group, rows = group[dealt].astype(np.int64), order[rows[dealt]]
+                best = _best_cuts(group, value[rank[rows]], time[rows], len(times), ones[rows], w[rows], d[rows], params)
+            found.append(best.assign(place=own[best["group"].to_numpy()], feature=f))
+        best = pd.concat(found, ignore_index=True)
         best = best.sort_values(["place", "stat", "feature", "cut"], ascending=[True, False, True, True]).drop_duplicates("place")
         out.append(pd.DataFrame({"tree": tree, "node": [nodes[i] for i in best["place"]], "feature": best["feature"], "cut": best["cut"],
                                  "left": best["left"], "right": best["right"]}))
         # rows of nodes that were cut go on to those children that can be cut again
-        split, cuts = np.full(len(nodes), -1), np.full(len(nodes), math.nan)
+        split, cuts = np.zeros(len(tries), int), np.full(len(tries), math.nan)
         split[best["place"]], cuts[best["place"]] = best["feature"], best["cut"]
-        below = np.full((len(nodes), 2), -1)
+        below = np.full((len(tries), 2), -1, np.int32)
         following = []
         for i, left, right in best[["place", "left", "right"]].itertuples(index=False):
             for side, n in ((0, left), (1, right)):
                 if n >= need:
                     below[i, side] = len(following)
                     following.append(2 * nodes[i] + side)
-        keep = split[place] >= 0
-        row, place = row[keep], place[keep]
-        place = below[place, (x[row, split[place]] > cuts[place]).astype(int)]
-        row, place = row[place >= 0], place[place >= 0]
+        right = x[np.arange(len(x)), split[place]] > cuts[place]
+        place = below[place, right.astype(int)]
         nodes = following
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[f.split()[0] for f in BEST.split(", ")])
 
@@ -627,9 +726,14 @@ def _best_cuts(group: np.ndarray, value: np.ndarray, time: np.ndarray, times: in
     with np.errstate(divide="ignore", invalid="ignore"):
         # equal splits have equal statistics but for rounding errors
         stat = np.round(np.where((v > 1e-12) & (np.abs(u) > 1e-9), np.abs(u) / np.sqrt(v), 0.0), 9)
-    out = pd.DataFrame({"group": group[at], "cut": value[at], "left": left[at].astype(int), "right": (every - left)[at].astype(int), "stat": stat})
-    out = out[out["stat"] > 0]
-    return out.sort_values(["group", "stat", "cut"], ascending=[True, False, True]).drop_duplicates("group")
+    # cells stand by value: of a group's largest statistics, the first is that of the lowest cut
+    own = group[at]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][:len(own)])
+    top = np.maximum.reduceat(stat, first) if len(first) else stat
+    some = np.flatnonzero((stat > 0) & (stat == np.repeat(top, np.diff(np.r_[first, len(own)]))))
+    some = some[np.r_[True, own[some[1:]] != own[some[:-1]]][:len(some)]]
+    at = at[some]
+    return pd.DataFrame({"group": group[at], "cut": value[at], "left": left[at].astype(int), "right": (every - left)[at].astype(int), "stat": stat[some]})
 
 
 def _logrank_by_time(group: np.ndarray, time: np.ndarray, times: int, n: np.ndarray, d: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -641,9 +745,16 @@ def _logrank_by_time(group: np.ndarray, time: np.ndarray, times: int, n: np.ndar
     hazard = died / some
     b = np.where(risk > 1, died * (risk - died) / np.maximum(risk - 1, 1), 0.0) / some**2
     of, u, v = group[at], np.zeros(len(at)), np.zeros(len(at))
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][:len(group)])
+    run = np.searchsorted(first, at, side="right") - 1
+
+    def upto(x: np.ndarray) -> np.ndarray:  # running sums within groups, behind the cells ``at``
+        total = np.cumsum(x)
+        return total[at] - (total[first] - x[first])[run]
+
     for t in np.flatnonzero(died.any(axis=0)):
-        under = _cumulative(np.where(time >= t, n, 0.0), group)[at]
-        u += _cumulative(np.where(time == t, d, 0.0), group)[at] - under * hazard[of, t]
+        under = upto(np.where(time >= t, n, 0.0))
+        u += upto(np.where(time == t, d, 0.0)) - under * hazard[of, t]
         v += b[of, t] * (under * risk[of, t] - under * under)
     return u, v
 

@@ -446,3 +446,34 @@ def test_forest_score_follows_its_leaves(days):
     assert got[4] is None
     counts = {(r["tree"], r["node"]): r["n"] for r in model._rows_per_leaf(df).collect()}
     assert counts == {(r["tree"], r["node"]): r["n"] for r in model.leaves(df).groupBy("tree", "node").agg(F.count("*").alias("n")).collect()}
+
+
+def test_draws_hash_all_keys_of_a_batch_at_once():
+    """The first 64 bits of the MD5 of seed, tree and key: missing, empty, longer than one block, not of one width."""
+    import hashlib
+
+    import pyarrow as pa
+
+    for keys in ([None, "a", "", "12345", "é" * 9, "x" * 40], ["y" * 200, None], ["7" * 50], ["7" * 52, "1"], [None], []):
+        names = FO._Names(pa.array(keys, pa.string()))
+        for prefix in (b"42:1", b"42:49"):
+            texts = [prefix + (b"" if k is None else b":" + k.encode()) for k in keys]
+            assert names.hashed(prefix).tolist() == [int.from_bytes(hashlib.md5(t).digest()[:8], "big") for t in texts]
+
+
+def test_a_node_of_some_hundred_thousand_rows_is_grown_in_one_task():
+    """Rows of few distinct values are counted, so a level of the task costs no sort of its rows."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    n = 300_000
+    pdf = pd.DataFrame({"tree": 0, "node": 1, "time": rng.integers(1, 6, n).astype(float), "event": rng.integers(0, 2, n), "w": 1,
+                        **{f"x{i}": rng.integers(0, most, n).astype(float) for i, most in enumerate((40, 5, 100_000, 25))}})
+    params = FO.ForestParams(max_depth=6)
+    sorts, real = [], np.argsort
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(FO.np, "argsort", lambda a, *more, **kind: (sorts.append((len(a), a.dtype.itemsize)), real(a, *more, **kind))[1])
+        splits = FO._subtree(pdf, ["x0", "x1", "x2", "x3"], params, FO._chooser([[0, 1, 2, 3]], params))
+    assert len(splits) > 6 and {"tree", "node", "feature", "cut", "left", "right"} <= set(splits.columns)
+    assert sum(1 for size, width in sorts if size == n and width == 8) <= 4  # one sort by value a feature
+    assert FO.ROWS_PER_NODE > n
