@@ -31,17 +31,26 @@ def small_total(c: str | Column) -> Column:
     return F.sum(c).over(Window.partitionBy())
 
 
+SENT_BYTES = 64 * 2**20  # a table of one row per group of at most so many bytes is sent to every task
+
+
 def attach_group_row(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
     """``df`` with the columns of its group's row in ``small``.
 
     ``small`` has one row per group; with no key it has a single row, read as a scalar
-    subquery.  Null groups match each other.
+    subquery.  Null groups match each other.  A table of at most ``SENT_BYTES`` is counted and sent to
+    the tasks, so ``df`` is not dealt by group, which would put a group's rows into one task.
     """
     added = [c for c in small.columns if c not in by]
     if not by:
         row = small.select(F.struct(*added)).scalar()
         return df.withColumns({c: row.getField(c) for c in added})
     on = [F.col(f"d.{k}").eqNullSafe(F.col(f"g.{k}")) for k in by]
+    small = cut(small)  # small by contract: one row per group
+    width = sum((F.size(c) if t.startswith("array") else F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(1)
+                 for c, t in small.dtypes), F.lit(0))
+    if (small.agg(F.sum(8 * width)).first()[0] or 0) <= SENT_BYTES:
+        small = F.broadcast(small)
     out = df.alias("d").join(small.alias("g"), on=on, how="left")
     return out.select("d.*", *[f"g.{c}" for c in added])
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loanpanel import schemas as S
 from loanpanel.functions.dates import mmyyyy_to_date
 from loanpanel.functions.stats import attach_group_row, present, quantiles
+from loanpanel.session import stored
 
 
 def type_columns(df: DataFrame) -> DataFrame:
@@ -32,7 +33,6 @@ def fill_median(df: DataFrame, cols: Sequence[str] | None = None,
     med = quantiles(df, cols, [0.5], by)
     wide = (med.groupBy(*by).pivot("column", cols).agg(F.max("quantile"))
             .toDF(*by, *[f"__med_{c}" for c in cols]))
-    # one row per group: small enough a table is broadcast, so the panel itself is not shuffled
     out = attach_group_row(df, wide, by)
     fixed = {c: F.coalesce(present(c), F.col(f"__med_{c}"), F.lit(0.0)) for c in cols}
     return out.withColumns(fixed).select(*df.columns)
@@ -40,6 +40,9 @@ def fill_median(df: DataFrame, cols: Sequence[str] | None = None,
 
 def clean(df: DataFrame, by: Sequence[str] = ("data_quarter",),
           extra: Sequence[str] = ()) -> DataFrame:
-    """Raw strings -> the cleaned table, plus the grouping columns and ``extra`` ones."""
+    """Raw strings -> the cleaned table, plus the grouping columns and ``extra`` ones.
+
+    Lines are parsed and typed once: the medians' two scans and the result read the stored columns.
+    """
     keep = [c for c in dict.fromkeys([*S.CLEAN_COLUMNS, *by, *extra]) if c in df.columns]
-    return fill_median(fill_categorical(type_columns(df.select(*keep))), by=by)
+    return fill_median(stored(fill_categorical(type_columns(df.select(*keep))), "typed"), by=by)

@@ -132,3 +132,32 @@ def test_quantiles_scan_the_input_twice(spark):
                 h = p * (len(want) - 1)
                 lo, hi = want[int(np.floor(h))], want[int(np.ceil(h))]
                 assert got[g, c, p] == pytest.approx(lo if lo == hi or np.isinf(lo) else lo + (hi - lo) * (h - np.floor(h)), nan_ok=True) or np.isinf(hi)
+
+
+def test_a_row_per_group_is_sent_and_the_table_stays_where_it_is(spark, monkeypatch):
+    """A few medians must not deal all rows by quarter; a table too large to send still joins."""
+    from loanpanel.functions import stats
+    from loanpanel.operators.clean import fill_median
+
+    rows = [("q1", 1.0), ("q1", 3.0), ("q1", None), (None, 5.0), (None, None), ("q2", None)]
+    df = spark.createDataFrame(rows, "data_quarter string, CSCORE_B double").repartition(3)
+    want = sorted([("q1", 1.0), ("q1", 3.0), ("q1", 2.0), ("", 5.0), ("", 5.0), ("q2", 0.0)])
+    for limit, sent in ((stats.SENT_BYTES, True), (0, False)):
+        monkeypatch.setattr(stats, "SENT_BYTES", limit)
+        out = fill_median(df, ["CSCORE_B"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) is sent and ("SortMergeJoin" in plan) is not sent
+        assert sorted((r[0] or "", r[1]) for r in out.collect()) == want
+
+
+def test_cleaning_parses_its_input_once(spark):
+    """The result and both scans of the medians read the stored columns."""
+    from loanpanel.operators.clean import clean
+
+    rows = [("1", "2017Q1", "700", "012015"), ("2", "2017Q1", None, "132015"), ("3", "2017Q2", "x", None)]
+    df = spark.createDataFrame(rows, "LOAN_ID string, data_quarter string, CSCORE_B string, ORIG_DATE string")
+    out = clean(df, extra=["data_quarter"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan.lower() and "ExistingRDD[LOAN_ID" not in plan
+    assert {r["LOAN_ID"]: (r["CSCORE_B"], str(r["ORIG_DATE"])) for r in out.collect()} == {
+        "1": (700.0, "2015-01-01"), "2": (700.0, "None"), "3": (0.0, "None")}
