@@ -477,3 +477,14 @@ def test_a_node_of_some_hundred_thousand_rows_is_grown_in_one_task():
     assert len(splits) > 6 and {"tree", "node", "feature", "cut", "left", "right"} <= set(splits.columns)
     assert sum(1 for size, width in sorts if size == n and width == 8) <= 4  # one sort by value a feature
     assert FO.ROWS_PER_NODE > n
+
+
+def test_cox_queries_move_only_their_covariates(spark, monkeypatch):
+    """A model of three covariates must not carry the others through the panel's shuffles."""
+    from verification import queries_survival as Q
+
+    monkeypatch.setattr(Q.FE.Scaler, "fit", classmethod(lambda cls, df, cols: cls({}, {})))
+    scaled, cached = Q.scaled(spark, "/root/testdata/sf0.001", Q.TRIPLE)
+    plan = scaled._jdf.queryExecution().optimizedPlan().toString()
+    cached.unpersist()
+    assert "o_custkey" in plan and not any(c in plan for c in ("o_totalprice", "c_nationkey", "c_mktsegment"))

@@ -22,21 +22,22 @@ FACTORS = ["alpha_PC1", "alpha_PC2", "beta_PC1", "beta_PC2"]
 OUTCOME = ["LOAN_ID", "survival_time", "survival_event"]
 
 
-def surv(spark, d):
-    return T.survival_table(I.panel(spark, d), SS.STATIC)
+def surv(spark, d, cols=SS.STATIC):
+    """Survival rows with the covariates ``cols``; those not asked for are not moved."""
+    return T.survival_table(I.panel(spark, d), cols)
 
 
-def surv_macro(spark, d):
-    return T.survival_table(I.panel_macro(spark, d), SS.COVARIATES)
+def surv_macro(spark, d, cols=SS.COVARIATES):
+    return T.survival_table(I.panel_macro(spark, d), cols)
 
 
-def valid(spark, d):
-    return FE.valid_survival(surv(spark, d))
+def valid(spark, d, cols=SS.STATIC):
+    return FE.valid_survival(surv(spark, d, cols))
 
 
 def scaled(spark, d, cols):
     """Standardised covariates, cached because the fits read them several times."""
-    df = valid(spark, d).select("LOAN_ID", "survival_time", "survival_event", *cols).persist()
+    df = valid(spark, d, cols).select("LOAN_ID", "survival_time", "survival_event", *cols).persist()
     return FE.Scaler.fit(df, cols).transform(df), df
 
 
@@ -368,7 +369,7 @@ def _effect_sql() -> str:
 @query("macro_effect_few", _effect_sql())
 def macro_effect_few(spark, d):
     """The whole comparison over three features: medians, scaling, both fits, concordance on both periods."""
-    df = surv_macro(spark, d).select("LOAN_ID", "survival_time", "survival_event", "macro_quarter", *EFFECT3)
+    df = surv_macro(spark, d, EFFECT3).select("LOAN_ID", "survival_time", "survival_event", "macro_quarter", *EFFECT3)
     result = run_macro_effect(df, ["alpha_PC1"], I.SPLIT_DATE)
     held_out = F.create_map(*[x for k, v in result.test_c_index.items() for x in (F.lit(k), F.lit(v))])
     return rounded(result.metrics.withColumn("test_c_index", held_out[F.col("model")]))
