@@ -571,18 +571,20 @@ class _Grower:
                 for k in range(width):
                     some = np.flatnonzero(wanted[slot, k] >= 0)
                     f = wanted[slot[some], k]
-                    yield [time[some], x[row[some], f], of[row[some], f], f, slot[some], np.ones(len(some), np.int64), n[some], d[some]]
+                    # slot, feature and range as one number: fewer columns to sort by
+                    place_of = (slot[some] * features + f) * ranges + of[row[some], f]
+                    yield [time[some], x[row[some], f], place_of, np.ones(len(some), np.int64), n[some], d[some]]
 
-        def part(slot, f, r):  # neighbours go to different tasks
-            return ((slot * features + f) * ranges + r) % parts
+        def names_of(number):  # part (neighbours go to different tasks), slot, feature, range
+            return [number % parts, number // (features * ranges), number // ranges % features, number % ranges]
 
         def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for time, value, r, f, slot, rows, n, d in _summed(cells(batches), 5):
-                yield _batch([part(slot, f, r), slot, f, r, value, time, rows, n, d], CELLS)
+            for time, value, number, rows, n, d in _summed(cells(batches), 3):
+                yield _batch([*names_of(number), value, time, rows, n, d], CELLS)
 
         def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for time, r, f, slot, rows, n, d in _summed(([t, *rest] for t, _, *rest in cells(batches)), 4):
-                yield _batch([part(slot, f, r), slot, f, r, time, time, rows, n, d], CELLS)
+            for time, number, rows, n, d in _summed(([t, *rest] for t, _, *rest in cells(batches)), 2):
+                yield _batch([*names_of(number), time, time, rows, n, d], CELLS)
 
         # each range also gets all smaller and all larger values, at minus and plus infinity
         counts = [F.sum(c).alias(c) for c in ("rows", "n", "d")]
