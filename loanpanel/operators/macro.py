@@ -15,8 +15,16 @@ from loanpanel.session import cut
 
 
 def valid_observations(obs: DataFrame) -> DataFrame:
-    """``(series_id, date, value)`` text rows -> typed rows; '.', null and bad text dropped."""
-    return (obs.select("series_id", F.try_to_date(F.col("date").cast("string"), "yyyy-MM-dd").alias("date"),
+    """``(series_id, date, value)`` text rows -> typed rows; '.', null and bad text dropped.
+
+    Dates of four-digit years may come typed; they are not written out and read again.
+    """
+    day = F.col("date")
+    if dict(obs.dtypes)["date"] == "date":
+        day = F.when(F.year(day).between(1, 9999), day)
+    else:
+        day = F.try_to_date(day.cast("string"), "yyyy-MM-dd")
+    return (obs.select("series_id", day.alias("date"),
                        F.nullif(F.col("value"), F.lit(".")).try_cast("double").alias("value"))
             .where("date IS NOT NULL AND value IS NOT NULL")
             .withColumn("act_period", F.date_format("date", "MMyyyy")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loanpanel.operators import features as FE
 from loanpanel.operators.survival.compare import compare, metrics_table, model_row
-from loanpanel.operators.survival.concordance import c_index
+from loanpanel.operators.survival.concordance import c_index, concordance
 from loanpanel.operators.survival.cox import CoxModel, fit_cox_with_fallback
 from loanpanel.operators.survival.forest import Forest, ForestParams, fit_forests, risk_histogram
 from loanpanel.session import cut
@@ -46,7 +47,7 @@ def macro_effect(df: DataFrame, components: Sequence[str], split: str = "2020-12
         macro = FE.macro_features(names, components)
         medians = FE.fit_medians(train, names)
         train, test = FE.fill_features(train, medians), FE.fill_features(test, medians)
-        models, fitted, held_out, rows, scores = {}, {}, {}, [], {}
+        models, fitted, held_out, risks = {}, {}, {}, []
         choices = {"Non-Macro": ([c for c in names if c not in macro], max_features[0]),
                    "Full": (names, max_features[1])}
         for name, (cols, top) in choices.items():
@@ -54,9 +55,13 @@ def macro_effect(df: DataFrame, components: Sequence[str], split: str = "2020-12
             scaler = FE.Scaler.fit(train, cols)
             fitted[name], held_out[name] = scaler.transform(train), scaler.transform(test)
             models[name] = fit_cox_with_fallback(fitted[name], cols, penalizer=penalizer)
-            risk = models[name].partial_hazard()
-            rows.append(model_row(name, models[name], c_index(fitted[name].withColumn("risk", risk), "risk")))
-            scores[name] = c_index(held_out[name].withColumn("risk", risk), "risk")
+            for rows in (fitted[name], held_out[name]):
+                risks.append(rows.select(F.lit(len(risks)).alias("sample"), "survival_time", "survival_event",
+                                         models[name].partial_hazard().alias("risk")))
+        # both models on both periods at once: one set of jobs instead of four
+        found = {x["sample"]: x["c_index"] for x in concordance(reduce(DataFrame.union, risks), "risk", by=["sample"]).collect()}
+        rows = [model_row(name, model, found.get(2 * i)) for i, (name, model) in enumerate(models.items())]
+        scores = {name: found.get(2 * i + 1) for i, name in enumerate(models)}
         table = metrics_table(df.sparkSession, rows)
         chosen = [c for c in models["Full"].features if c in macro]
         return MacroEffect(models["Non-Macro"], models["Full"], chosen, fitted, held_out, table,

@@ -84,3 +84,12 @@ def test_join_is_broadcast_and_keeps_rows(spark, observations):
     assert got["2"]["b_PC1"] is None and got["3"]["act_period"] is None
     text = M.add_act_period(panel.withColumn("ORIG_DATE", F.lit("2017-13-40")))
     assert [r["act_period"] for r in text.collect()] == [None] * 3
+
+
+def test_typed_dates_are_not_written_out(spark):
+    text = spark.createDataFrame([("X", "2017-01-03", "1"), ("X", None, "2"), ("Y", "0999-12-31", "3"), ("Y", "2017-02-01", ".")],
+                                 "series_id string, date string, value string")
+    typed = M.valid_observations(text.withColumn("date", F.col("date").cast("date")))
+    assert sorted(map(tuple, typed.collect())) == sorted(map(tuple, M.valid_observations(text).collect()))
+    plan = typed.select("date", "value")._jdf.queryExecution().optimizedPlan().toString()
+    assert "as string" not in plan and "gettimestamp" not in plan

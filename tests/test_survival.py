@@ -488,3 +488,49 @@ def test_cox_queries_move_only_their_covariates(spark, monkeypatch):
     plan = scaled._jdf.queryExecution().optimizedPlan().toString()
     cached.unpersist()
     assert "o_custkey" in plan and not any(c in plan for c in ("o_totalprice", "c_nationkey", "c_mktsegment"))
+
+
+def test_concordance_of_groups_shares_jobs_and_ranges(spark, monkeypatch):
+    """Each group's counts are those of a run on its rows alone; a null group counts nowhere."""
+    rng = np.random.default_rng(21)
+    rows = [(int(g), float(rng.integers(0, 40)) * (g + 1) / 7, float(rng.integers(1, 60)) / 4, int(rng.random() < 0.6))
+            for g in (0, 1, 2) for _ in range(250)]
+    rows += [(1, 3.0, 5.0, 1)] * 30 + [(2, None, 2.0, 1), (0, 1.0, None, 0), (None, 1.0, 1.0, 1), (3, None, 1.0, 1)]
+    df = spark.createDataFrame(rows, "g int, risk double, survival_time double, survival_event int")
+    for cells in (50_000, 20):
+        monkeypatch.setattr(CC, "CELLS_PER_RANGE", cells)
+        got = {x["g"]: tuple(x)[1:] for x in CC.concordance(df, "risk", by=["g"]).collect()}
+        assert set(got) == {0, 1, 2, 3} and got[3] == (0.0, 0.0, 0.0, None, 1)
+        for g in (0, 1, 2):
+            assert got[g] == tuple(CC.concordance(df.where(F.col("g") == g), "risk").first())
+
+
+def test_macro_effect_counts_all_concordance_at_once(spark, frame, monkeypatch):
+    from loanpanel.plans import macro_effect as ME
+
+    calls, count = [], ME.concordance
+    monkeypatch.setattr(ME, "concordance", lambda *a, **k: calls.append(1) or count(*a, **k))
+    df = frame.withColumns({"f_PC1": F.col("x"), "macro_quarter": F.when(F.col("LOAN_ID") % 3 == 0, F.lit("2021-04-01"))
+                            .otherwise(F.lit("2019-01-01")).cast("date")}).drop("x", "LOAN_ID")
+    out = macro_effect(df, ["f_PC1"])
+    assert len(calls) == 1
+    for name, model in (("Non-Macro", out.non_macro), ("Full", out.full)):
+        risk = model.partial_hazard()
+        alone = [CC.c_index(part[name].withColumn("risk", risk), "risk") for part in (out.train, out.test)]
+        assert out.metrics.where(F.col("model") == name).first()["c_index"] == pytest.approx(alone[0], abs=1e-12)
+        assert out.test_c_index[name] == pytest.approx(alone[1], abs=1e-12)
+
+
+def test_survival_rows_are_dealt_by_loan_once(spark):
+    """The join deals lines by loan; keeping the last row and the row per loan must not deal them again."""
+    from verification import inputs as I
+    from verification import queries_survival as Q
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Q.T.survival_table(I.panel(spark, "/root/testdata/sf0.001"), ["OLTV"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 4 and sum("hashpartitioning(LOAN_ID" in line for line in dealt) == 2  # lines and loans, once each

@@ -24,13 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def loan_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders")
+    line = table(spark, sf_dir, "lineitem").withColumn("LOAN_ID", F.col("l_orderkey").cast("string"))
+    orders = table(spark, sf_dir, "orders").withColumn("LOAN_ID", F.col("o_orderkey").cast("string"))
     cust = table(spark, sf_dir, "customer")
-    joined = (line.join(orders, line.l_orderkey == orders.o_orderkey)
-              .join(cust, orders.o_custkey == cust.c_custkey))
-    return joined.selectExpr(
-        "cast(l_orderkey as string) AS LOAN_ID",
+    # customers meet orders before the lines; a join by loan leaves the lines dealt as the steps by loan need them
+    loans = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    return line.join(loans, "LOAN_ID").selectExpr(
+        "LOAN_ID",
         "cast(o_orderdate as date) AS ORIG_DATE",
         "cast(l_linenumber - 2 as double) AS LOAN_AGE",
         """CASE WHEN l_quantity >= 49.5 THEN NULL WHEN l_quantity >= 48.5 THEN 'XX'
