@@ -23,6 +23,7 @@ from loanpanel.functions.stats import order_bucket, running_sum
 from loanpanel.operators.survival.table import Z95
 
 HELD_CELLS = 4_096  # (time, event) sums a task holds before it sends them
+BLOCK_BYTES = 16_384  # features of one block; an Arrow batch has 10,000 blocks at most
 
 
 class CoxFitError(RuntimeError):
@@ -43,16 +44,48 @@ class Evaluation:
     rows: int
     events: int
 
-def _time_sums(df: DataFrame, beta: Mapping[str, float], event: str, duration: str) -> DataFrame:
-    """Per (time, event): v, the sums of 1, w, w x, w x x' (lower triangle) and x.
+def _blocks(df: DataFrame, features: Sequence[str], event: str, duration: str) -> DataFrame:
+    """``(t, e, n, x)``: up to ``n`` rows of one time and event, their features as bytes of doubles, row by row.
 
-    Blocks of rows are multiplied at once; a task sends one row per cell, or a few more where it
-    meets more than ``HELD_CELLS`` cells. Rows without time count nowhere.
+    Each Arrow batch is sorted once, here, and not at every evaluation. Rows without time count nowhere.
     """
-    p, b = len(beta), np.array(list(beta.values()), dtype=float)
+    p = len(features)
+    most = max(1, BLOCK_BYTES // (8 * max(1, p)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("x").flatten()
+            if flat.null_count:
+                raise ValueError("features must not be null")
+            x = flat.to_numpy().reshape(len(batch), p)
+            t, e = batch.column("t").to_numpy(), batch.column("e").to_numpy()
+            order = np.lexsort((e, t))
+            x, t, e = np.ascontiguousarray(x[order]), t[order], e[order]
+            at = np.arange(len(t))
+            new = np.r_[True, (t[1:] != t[:-1]) | (e[1:] != e[:-1])][:len(t)]
+            first = np.flatnonzero(new | ((at - np.maximum.accumulate(np.where(new, at, 0))) % most == 0))
+            bounds = np.append(first, len(t))
+            rows = pa.Array.from_buffers(pa.binary(), len(first), [
+                None, pa.py_buffer((bounds * (8 * p)).astype(np.int32)), pa.py_buffer(x)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(t[first]), pa.array(e[first]), pa.array(np.diff(bounds).astype(np.int32)), rows], ["t", "e", "n", "x"])
+
+    rows = df.select(F.col(duration).cast("double").alias("t"),
+                     F.coalesce(F.col(event).cast("int") == 1, F.lit(False)).cast("int").alias("e"),
+                     F.array(*[F.col(c).cast("double") for c in features]).cast("array<double>").alias("x"))
+    known = rows.where(F.col("t").isNotNull() & ~F.isnan("t"))
+    return known.mapInArrow(pack, "t double, e int, n int, x binary")
+
+
+def _time_sums(blocks: DataFrame, beta: Sequence[float]) -> DataFrame:
+    """Per (time, event): v, the sums of 1, w, w x, w x x' (lower triangle) and x, from :func:`_blocks`.
+
+    A task sends one row per cell, or a few more where it meets more than ``HELD_CELLS`` cells.
+    """
+    p, b = len(beta), np.asarray(beta, dtype=float)
     lower = np.tril_indices(p)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
 
         def sent() -> pa.RecordBatch:
@@ -63,20 +96,15 @@ def _time_sums(df: DataFrame, beta: Mapping[str, float], event: str, duration: s
                 ["t", "e", "v"])
 
         for batch in batches:
-            flat = batch.column("x").flatten()
-            if flat.null_count:
-                raise ValueError("features must not be null")
-            x = flat.to_numpy().reshape(len(batch), p)
-            t, e = batch.column("t").to_numpy(), batch.column("e").to_numpy()
-            order = np.lexsort((e, t))
-            x, t, e = x[order], t[order], e[order]
+            t, e, n = (batch.column(c).to_pylist() for c in ("t", "e", "n"))
+            x = np.frombuffer(b"".join(batch.column("x").to_pylist())).reshape(sum(n), p)
             w = np.exp(x @ b)
-            new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (e[1:] != e[:-1])]) if len(t) else []
-            for i, k in zip(new, [*new[1:], len(t)]):
+            k = 0
+            for key, size in zip(zip(t, e), n):
+                i, k = k, k + size
                 rows, weights = x[i:k], w[i:k]
                 weighted = rows * weights[:, None]
-                cell = [k - i, weights.sum(), weighted.sum(axis=0), weighted.T @ rows, rows.sum(axis=0)]
-                key = (t[i], e[i])
+                cell = [size, weights.sum(), weighted.sum(axis=0), weighted.T @ rows, rows.sum(axis=0)]
                 held[key] = [a + c for a, c in zip(held[key], cell)] if key in held else cell
             if len(held) > HELD_CELLS:
                 yield sent()
@@ -84,11 +112,7 @@ def _time_sums(df: DataFrame, beta: Mapping[str, float], event: str, duration: s
         if held:
             yield sent()
 
-    rows = df.select(F.col(duration).cast("double").alias("t"),
-                     F.coalesce(F.col(event).cast("int") == 1, F.lit(False)).cast("int").alias("e"),
-                     F.array(*[F.col(c).cast("double") for c in beta]).cast("array<double>").alias("x"))
-    known = rows.where(F.col("t").isNotNull() & ~F.isnan("t"))
-    parts = (known.mapInArrow(blocks, "t double, e int, v array<double>")
+    parts = (blocks.mapInArrow(sums, "t double, e int, v array<double>")
              .withColumn("b", order_bucket(F.col("t"), 256)))
     # one exchange, by range: the cells, the ranges' totals and the last walk all keep to it
     return parts.repartition("b").groupBy("b", "t", "e").agg(_vector_sum("v").alias("v"))
@@ -119,12 +143,17 @@ def _later_sums(totals: DataFrame) -> DataFrame:
 
 def evaluate(df: DataFrame, beta: Mapping[str, float], event: str = "survival_event",
              duration: str = "survival_time", ties: str = "efron") -> Evaluation:
-    """Log-likelihood, gradient and Hessian at ``beta``: one job over the rows.
+    """Log-likelihood, gradient and Hessian at ``beta``: one job over the rows."""
+    return _evaluate(_blocks(df, list(beta), event, duration), list(beta.values()), ties)
+
+
+def _evaluate(blocks: DataFrame, b: Sequence[float], ties: str) -> Evaluation:
+    """:func:`evaluate` over the rows of :func:`_blocks`.
 
     Sums per time are accumulated over the risk sets range by range, each from the sums of the
     later ranges. No task holds more than a few times' sums; the driver gets one row per task.
     """
-    p, b = len(beta), list(beta.values())
+    p = len(b)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ll, grad, hess, rows, events = _accumulate(_cells(batches), p, b, ties)
@@ -133,7 +162,7 @@ def evaluate(df: DataFrame, beta: Mapping[str, float], event: str = "survival_ev
              pa.array([events], pa.int64())], ["ll", "grad", "hess", "rows", "events"])
 
     # kept for the two uses in the job below: Spark does not see that both are the same exchange
-    sums = _time_sums(df, beta, event, duration).persist(StorageLevel.MEMORY_AND_DISK)
+    sums = _time_sums(blocks, b).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         later = _later_sums(sums.groupBy("b").agg(_vector_sum("v").alias("v")))
         ranged = sums.join(later, "b").repartition("b").sortWithinPartitions("b", F.desc("t"), "e")
@@ -304,17 +333,15 @@ def fit_cox(df: DataFrame, features: Sequence[str], event: str = "survival_event
             max_iter: int = 50, tolerance: float = 1e-9) -> CoxModel:
     """Maximise ``ll / n - penalizer / 2 * |beta|^2`` over standardised features.
 
-    The needed columns are cached for the iterations and released afterwards; lost
+    The needed columns are cached in blocks for the iterations and released afterwards; lost
     partitions are recomputed from the input.
     """
-    data = (df.select(F.col(duration).cast("double").alias(duration), event,
-                      *[F.col(c).cast("double").alias(c) for c in features])
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    data = _blocks(df, features, event, duration).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         beta = np.zeros(len(features))
 
         def at(b: np.ndarray) -> Evaluation:
-            return evaluate(data, dict(zip(features, b)), event, duration, ties)
+            return _evaluate(data, [float(x) for x in b], ties)
 
         def objective(e: Evaluation, b: np.ndarray) -> float:
             return e.log_likelihood / e.rows - 0.5 * penalizer * float(b @ b)

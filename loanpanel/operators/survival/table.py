@@ -20,17 +20,19 @@ def survival_table(panel: DataFrame, covariates: Sequence[str] = ()) -> DataFram
     """
     is_event = F.coalesce(F.col("event"), F.lit(0)) == 1
     row = [F.col("time").alias("survival_time"), *[F.col(c) for c in covariates]]
-    if "act_period" in panel.columns:
-        month = month_of_act_period(F.col("act_period"))
-        row.append(F.trunc(month, "quarter").alias("macro_quarter"))
+    dated = "act_period" in panel.columns
+    if dated:
+        row.append(F.col("act_period").alias("macro_quarter"))
     # the first event row, without an event the last row; the later quarter is the later row
     seen = F.struct("time", "data_quarter")
-    return (panel.groupBy("LOAN_ID")
-            .agg(F.max("event").alias("survival_event"),
-                 F.min_by(F.struct(*row), F.when(is_event, seen)).alias("first_event"),
-                 F.max_by(F.struct(*row), seen).alias("last"))
-            .select("LOAN_ID", "survival_event", F.coalesce("first_event", "last").alias("r"))
-            .select("LOAN_ID", "survival_event", "r.*"))
+    out = (panel.groupBy("LOAN_ID")
+           .agg(F.max("event").alias("survival_event"),
+                F.min_by(F.struct(*row), F.when(is_event, seen)).alias("first_event"),
+                F.max_by(F.struct(*row), seen).alias("last"))
+           .select("LOAN_ID", "survival_event", F.coalesce("first_event", "last").alias("r"))
+           .select("LOAN_ID", "survival_event", "r.*"))
+    # read after the choice, one month per loan
+    return out.withColumn("macro_quarter", F.trunc(month_of_act_period(F.col("macro_quarter")), "quarter")) if dated else out
 
 
 def survival_summary(df: DataFrame, event: str = "survival_event",

@@ -534,3 +534,20 @@ def test_survival_rows_are_dealt_by_loan_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(dealt) == 4 and sum("hashpartitioning(LOAN_ID" in line for line in dealt) == 2  # lines and loans, once each
+
+
+def test_rows_are_sorted_into_blocks_once_a_fit(spark, frame, monkeypatch):
+    """A fit sorts its rows into blocks once; evaluations of blocks of any size agree with those of rows."""
+    beta = {"x": 0.3, "z": -0.2}
+    want = CX.evaluate(frame, beta)
+    calls, pack = [], CX._blocks
+    monkeypatch.setattr(CX, "_blocks", lambda *a: calls.append(1) or pack(*a))
+    model = CX.fit_cox(frame, ["x", "z"])
+    assert len(calls) == 1 and model.rows == want.rows == frame.count()
+    monkeypatch.setattr(CX, "BLOCK_BYTES", 64)
+    blocks = pack(frame, ["x", "z"], "survival_event", "survival_time")
+    sizes = [(r["n"], len(r["x"])) for r in blocks.collect()]
+    assert sum(n for n, _ in sizes) == want.rows and all(1 <= n <= 4 and size == 16 * n for n, size in sizes)
+    got = CX._evaluate(blocks, list(beta.values()), "efron")
+    assert got.log_likelihood == pytest.approx(want.log_likelihood, rel=1e-12) and got.events == want.events
+    assert np.allclose(got.gradient, want.gradient) and np.allclose(got.hessian, want.hessian)
