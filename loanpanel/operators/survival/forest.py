@@ -23,11 +23,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import RandomForestRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanpanel.functions.stats import histogram, quantiles, running_sum
-from loanpanel.session import cut
+from loanpanel.session import cut, remove_path, scratch_path
 
 try:  # three times as fast on short strings as the one of hashlib
     from _md5 import md5
@@ -77,25 +79,15 @@ class Forest:
         return self.splits.assign(cut=[float(of[int(f)][int(c)]) for f, c in zip(self.splits["feature"], self.splits["cut"])])
 
     def score(self, df: DataFrame, output: str = "risk") -> DataFrame:
-        """Ensemble mortality: the leaf's summed cumulative hazard, averaged over trees."""
-        cuts, n = self._cuts(), self.params.trees
-        tables = [_by_level(cuts, t, len(self.features)) for t in range(n)]
-        rows = df.withColumns({"__x": F.array(*self._values(), F.lit(0.0)), "__at": F.array_repeat(F.lit(0), n)})
-        for depth in range(max(len(levels) for levels, _ in tables)):
-            steps = []
-            for t, (levels, _) in enumerate(tables):
-                at = F.get("__at", F.lit(t))
-                if depth < len(levels):
-                    feature, edge, child = (_constants(v, kind) for v, kind in zip(levels[depth], ("int", "double", "int")))
-                    at = F.get(child, at) + (F.get("__x", F.get(feature, at)) > F.get(edge, at)).cast("int")
-                steps.append(at)
-            # the higher-order function keeps a level's steps out of whole-stage code: one method would be too large
-            rows = rows.withColumns({"__at": F.array(*steps), "__x": F.transform("__x", lambda v: v)})
-        deaths = dict(zip(zip(self.mortality["tree"], self.mortality["node"]), self.mortality["mortality"]))
-        reached = [F.get(_constants([deaths.get((t, node), 0.0) for node in leaves], "double"), F.get("__at", F.lit(t)))
-                   for t, (_, leaves) in enumerate(tables)]
-        total = F.aggregate(F.array(*reached), F.lit(0.0), lambda total, more: total + more)
-        return rows.withColumn("__total", total).select(*df.columns, (F.col("__total") / n).alias(output))
+        """Ensemble mortality: the leaf's summed cumulative hazard, averaged over trees.
+
+        Scores are found in the JVM, by a tree ensemble of Spark's; a row that lacks a value which a tree asks for has none.
+        """
+        x = F.array(*[F.coalesce(v, F.lit(math.nan)) for v in self._values()], F.lit(0.0))
+        known = [i for i, c in enumerate(self.features) if not df.schema[c].nullable]
+        model = _ensemble(df.sparkSession, self._cuts(), self.mortality, self.params.trees, len(self.features) + 1, known)
+        rows = model.setFeaturesCol("__x").setPredictionCol("__mean").transform(df.withColumn("__x", array_to_vector(x)))
+        return rows.select(*df.columns, F.nanvl("__mean", F.lit(None)).alias(output))
 
     def leaves(self, df: DataFrame) -> DataFrame:
         """One row per (row of ``df``, tree) with the leaf it falls into."""
@@ -105,15 +97,14 @@ class Forest:
 
     def _rows_per_leaf(self, df: DataFrame) -> DataFrame:
         """tree, node, n: the rows of ``df`` in every leaf, counted in the tasks."""
-        trees, n = _Trees(self._cuts(), self.params.trees), self.params.trees
+        trees = _Trees(self._cuts(), self.params.trees)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(len(trees.node), np.int64)  # the last place is for missing values
             for batch in batches:
                 x = _matrix([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-                row = np.arange(len(x))
-                for t in range(n):
-                    counts += np.bincount(trees.walk(x, row, np.full(len(x), t)), minlength=len(counts))
+                for at in trees.reached(x):
+                    counts += np.bincount(at, minlength=len(counts))
             some = np.flatnonzero(counts)
             yield _batch([trees.tree[some], trees.node[some], counts[some]], LEAF_COUNTS)
 
@@ -353,30 +344,6 @@ def _tree_arrays(splits: pd.DataFrame, trees: int, mortality: pd.DataFrame | Non
     return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")
 
 
-def _by_level(splits: pd.DataFrame, tree: int, none: int) -> tuple[list[tuple[list, list, list]], list[int]]:
-    """A tree as one table a level, and the heap numbers of its leaves in their order below the last.
-
-    A table has, for each node and each leaf above, the feature, the cut and the place of the left
-    child in the next level; leaves stay where they are, as feature ``none`` is 0 in all rows.
-    """
-    own = {n: (int(f), float(c)) for n, f, c in splits.loc[splits["tree"] == tree, ["node", "feature", "cut"]].itertuples(index=False)}
-    nodes, levels = [1], []
-    while any(n in own for n in nodes):
-        table, below = ([], [], []), []
-        for n in nodes:
-            feature, edge = own.get(n, (none, 0.0))
-            for column, v in zip(table, (feature, edge, len(below))):
-                column.append(v)
-            below += [2 * n, 2 * n + 1] if n in own else [n]
-        levels.append(table)
-        nodes = below
-    return levels, nodes
-
-
-def _constants(values: Sequence, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
-
-
 def _leaf(x: Column, tree: Column, depth: int) -> Column:
     """(node, mortality) that the values ``x`` reach in at most ``depth`` levels of a tree."""
     def step(at: Column, _: Column) -> Column:
@@ -389,6 +356,52 @@ def _leaf(x: Column, tree: Column, depth: int) -> Column:
     return F.aggregate(F.slice(F.array(*[F.lit(i) for i in range(max(1, depth))]), 1, depth), F.lit(0), step, reached)
 
 
+def _ensemble(spark: SparkSession, splits: pd.DataFrame, mortality: pd.DataFrame, trees: int, features: int,
+              known: Sequence[int] = ()) -> RandomForestRegressionModel:
+    """The trees as a model of Spark's that predicts the mean mortality, read from the form in which Spark saves one.
+
+    Spark sends NaN, here a missing value, to the right. So before a path first goes to the right of a cut of a
+    feature, it asks whether the value is at most infinity; if not, the prediction is NaN. Features in ``known`` miss no value.
+    """
+    never = sum(1 << f for f in known)
+    of_tree = {t: {n: (int(f), float(c)) for n, f, c in own[["node", "feature", "cut"]].itertuples(index=False)} for t, own in splits.groupby("tree")}
+    deaths = dict(zip(zip(mortality["tree"], mortality["node"]), mortality["mortality"]))
+    rows: list[tuple[int, int, float, int, int, int, float]] = []  # tree, place, prediction, children, feature, cut
+    for t in range(trees):
+        own, nodes = of_tree.get(t, {}), [(1, -1, never)]  # heap number (0: value missing), the feature to ask for, bits of those asked
+        for i, (node, ask, asked) in enumerate(nodes):  # grows as it goes
+            feature, edge, below = -1, 0.0, []
+            if ask >= 0:
+                feature, edge, below = ask, math.inf, [(node, -1, asked), (0, -1, asked)]
+            elif node in own:
+                feature, edge = own[node]
+                more = asked | 1 << feature
+                below = [(2 * node, -1, more), (2 * node + 1, -1 if more == asked else feature, more)]
+            left = len(nodes) if below else -1
+            nodes += below
+            rows.append((t, i, float(deaths.get((t, node), 0.0)) if node else math.nan, left, left + 1 if below else -1, feature, edge))
+    names = ["treeID", "id", "prediction", "leftChild", "rightChild", "featureIndex", "cut"]
+    kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+    table = spark.createDataFrame(pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names))
+    split = F.struct("featureIndex", F.array("cut").alias("leftCategoriesOrThreshold"), F.lit(-1).alias("numCategories"))
+    node = F.struct("id", "prediction", F.lit(0.0).alias("impurity"), F.array(*[F.lit(0.0)] * 3).alias("impurityStats"), F.lit(0).cast("long").alias("rawCount"),
+                    F.lit(0.0).alias("gain"), "leftChild", "rightChild", split.alias("split"))
+
+    def saved(kind: str, uid: str, **params) -> str:
+        return json.dumps({"class": f"org.apache.spark.ml.regression.{kind}", "timestamp": 0, "sparkVersion": spark.version, "uid": uid,
+                           "paramMap": {"impurity": "variance", **params}, "defaultParamMap": {}, "numFeatures": features, "numTrees": trees})
+
+    path = scratch_path(spark, "forest")
+    try:
+        spark.createDataFrame([(saved("RandomForestRegressionModel", "forest", numTrees=trees),)], "value string").coalesce(1).write.text(f"{path}/metadata")
+        spark.createDataFrame([(t, saved("DecisionTreeRegressionModel", f"tree_{t}"), 1.0) for t in range(trees)],
+                              "_1 int, _2 string, _3 double").write.parquet(f"{path}/treesMetadata")
+        table.select("treeID", node.alias("nodeData")).write.parquet(f"{path}/data")
+        return RandomForestRegressionModel.load(path)
+    finally:
+        remove_path(spark, path)
+
+
 class _Trees:
     """The nodes of several trees, each tree's root first, as arrays by place.
 
@@ -412,6 +425,28 @@ class _Trees:
         feature, at, child, tree, node, mortality = zip(*rows)
         self.roots, self.feature, self.child, self.tree, self.node = (np.array(v, dtype=int) for v in (roots, feature, child, tree, node))
         self.cut, self.mortality = np.array(at, dtype=float), np.array(mortality, dtype=float)
+        self.levels = np.array([int(self.node[a:b].max()).bit_length() - 1 for a, b in zip(roots, [*roots[1:], len(self.node) - 1])], dtype=int)
+
+    def reached(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """Tree by tree, the places that all rows of ``x`` reach.
+
+        All rows take as many steps as the tree has levels: a leaf's step leads to itself. So a step is
+        a few lookups by place, with no choice of rows.
+        """
+        leaf = self.feature < 0
+        feature, edge = np.where(leaf, 0, self.feature), np.where(leaf, math.inf, self.cut)
+        child = np.where(leaf, np.arange(len(leaf)), self.child)
+        lacking = np.flatnonzero(np.isnan(x).any(axis=1))
+        values, first = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+        for t, (root, levels) in enumerate(zip(self.roots, self.levels)):
+            at = np.full(len(x), root)
+            for _ in range(levels):
+                right = values.take(first + feature.take(at)) > edge.take(at)
+                at = child.take(at)
+                at += right
+            if len(lacking):
+                at[lacking] = self.walk(x, lacking, np.full(len(lacking), t))
+            yield at
 
     def walk(self, x: np.ndarray, row: np.ndarray, tree: np.ndarray) -> np.ndarray:
         """The places that rows of ``x`` reach in their trees."""

@@ -448,6 +448,36 @@ def test_forest_score_follows_its_leaves(days):
     assert counts == {(r["tree"], r["node"]): r["n"] for r in model.leaves(df).groupBy("tree", "node").agg(F.count("*").alias("n")).collect()}
 
 
+def test_a_large_forest_is_scored_without_its_nodes_in_the_plan(days):
+    """Spark's own trees score; columns that cannot be missing need no question whether they are."""
+    df, _ = days
+    model = FO.fit_forest(df, ["x", "z"], params=FO.ForestParams(trees=50, max_depth=6, sample=0.8))
+    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("x", "z")})
+    assert len(model.splits) > 200 and len(model.score(filled)._jdf.queryExecution().toString()) < 20_000
+    own = model.leaves(df).join(df.sparkSession.createDataFrame(model.mortality), ["tree", "node"], "left")
+    want = {r["LOAN_ID"]: r["m"] / 50 for r in own.groupBy("LOAN_ID").agg(F.sum("mortality").alias("m")).collect()}
+    for rows in (df, filled):
+        got = {r["LOAN_ID"]: r["risk"] for r in model.score(rows).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_both_forests_and_periods_share_one_concordance_run(days, monkeypatch):
+    from loanpanel.plans import macro_effect as ME
+
+    df, _ = days
+    early = F.when(F.substring(F.md5(F.col("LOAN_ID").cast("string")), 1, 1) < "8", "2019-01-01").otherwise("2021-01-01").cast("date")
+    df = df.select("LOAN_ID", "survival_time", "survival_event", "x", F.col("z").alias("alpha_PC1"), early.alias("macro_quarter"))
+    real, runs = ME.concordance, []
+    monkeypatch.setattr(ME, "concordance", lambda *a, **b: runs.append(1) or real(*a, **b))
+    effect = ME.forest_effect(df, ["alpha_PC1"], params=EXACT)
+    assert len(runs) == 1
+    got = {(r["model"], r["part"]): r["c_index"] for r in effect.c_index.collect()}
+    train, test = FE.time_split(FE.valid_survival(df))
+    for name, model in (("Non-Macro", effect.non_macro), ("Full", effect.full)):
+        for part, rows in (("train", train), ("test", test)):
+            assert got[name, part] == CC.c_index(model.score(rows), "risk")
+
+
 def test_draws_hash_all_keys_of_a_batch_at_once():
     """The first 64 bits of the MD5 of seed, tree and key: missing, empty, longer than one block, not of one width."""
     import hashlib
