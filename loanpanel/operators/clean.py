@@ -39,10 +39,11 @@ def fill_median(df: DataFrame, cols: Sequence[str] | None = None,
 
 
 def clean(df: DataFrame, by: Sequence[str] = ("data_quarter",),
-          extra: Sequence[str] = ()) -> DataFrame:
+          extra: Sequence[str] = (), typed: str | None = None) -> DataFrame:
     """Raw strings -> the cleaned table, plus the grouping columns and ``extra`` ones.
 
     Lines are parsed and typed once: the medians' two scans and the result read the stored columns.
+    They lie at ``typed``, else below the shared folder, and are left there.
     """
     keep = [c for c in dict.fromkeys([*S.CLEAN_COLUMNS, *by, *extra]) if c in df.columns]
-    return fill_median(stored(fill_categorical(type_columns(df.select(*keep))), "typed"), by=by)
+    return fill_median(stored(fill_categorical(type_columns(df.select(*keep))), "typed", typed), by=by)

@@ -10,15 +10,23 @@ from loanpanel import schemas as S
 from loanpanel.operators import clean as C
 from loanpanel.operators import macro as M
 from loanpanel.operators import panel as P
+from loanpanel.session import remove_path, scratch_path
 from loanpanel.sources import raw, sinks
 
 
 def clean_quarters(spark: SparkSession, folder: str, quarters: Sequence[str], out: str,
                    name: str = "{}.csv") -> None:
-    """Raw quarter files -> cleaned Parquet by quarter; quarters without a file are skipped."""
+    """Raw quarter files -> cleaned Parquet by quarter; quarters without a file are skipped.
+
+    The copy of the typed lines goes when the cleaned ones are written.
+    """
     df = raw.read_raw(spark, raw.quarter_glob(folder, quarters, name))
     keep = df.select(*S.CLEAN_COLUMNS, "data_quarter", *raw.INGEST_ORDER)
-    sinks.write_master(C.clean(keep, extra=raw.INGEST_ORDER), out)
+    typed = scratch_path(spark, "typed")
+    try:
+        sinks.write_master(C.clean(keep, extra=raw.INGEST_ORDER, typed=typed), out, rebalance=False)
+    finally:
+        remove_path(spark, typed)
 
 
 def build_master(spark: SparkSession, cleaned: DataFrame, master: str, static: str,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,13 +62,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to Parquet below the shared folder and go on from the copy.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """The session's settings ``values`` hold inside, and those from before again after it."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def shuffles_freed(spark: SparkSession):
+    """The shuffle files of a write inside go when it has ended.
+
+    Otherwise they stay on the executors' disks until the driver happens to collect its garbage. Each write
+    plans its rows anew, so no later one misses them.
+    """
+    return settings(spark, {FREE_SHUFFLES: "true"})
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to Parquet below the shared folder, or at ``path``, and go on from the copy.
 
     For wide tables that are read several times, a few columns at a time.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path = path or scratch_path(df.sparkSession, name)
+    with shuffles_freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanpanel.operators.panel import extend_static
-from loanpanel.session import path_exists, scratch_path
+from loanpanel.session import path_exists, scratch_path, shuffles_freed
 
 ZSTD = {"compression": "zstd", "parquet.compression.codec.zstd.level": "3"}
 
@@ -21,14 +21,18 @@ def write_zstd(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**ZSTD).parquet(path)
 
 
-def write_master(df: DataFrame, path: str) -> None:
+def write_master(df: DataFrame, path: str, rebalance: bool = True) -> None:
     """Write the quarters present in ``df``, replacing them and leaving all others alone.
 
-    Rebalancing by quarter avoids many small files and splits an oversized quarter.
+    Rebalancing by quarter avoids many small files and splits an oversized quarter.  Without it no row
+    moves: a task writes a file for each quarter it has, for rows that come from files by quarter.
     """
-    (df.hint("rebalance", "data_quarter").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").options(**ZSTD)
-     .partitionBy("data_quarter").parquet(path))
+    if rebalance:
+        df = df.hint("rebalance", "data_quarter")
+    with shuffles_freed(df.sparkSession):
+        (df.write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").options(**ZSTD)
+         .partitionBy("data_quarter").parquet(path))
 
 
 def read_master(spark: SparkSession, path: str) -> DataFrame:
@@ -62,7 +66,8 @@ def append_static(spark: SparkSession, new: DataFrame, path: str) -> None:
     """
     if path_exists(spark, path):
         new = extend_static(read_static(spark, path), new)
-    new.write.mode("append").options(**ZSTD).parquet(path)
+    with shuffles_freed(spark):
+        new.write.mode("append").options(**ZSTD).parquet(path)
 
 
 def read_static(spark: SparkSession, path: str) -> DataFrame:

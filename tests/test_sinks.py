@@ -135,3 +135,68 @@ def test_tables_by_loan_move_no_loans(spark, tmp_path, buckets):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     again = sinks.write_by_loan(panel.limit(10), f"by_loan_{buckets}", buckets, str(tmp_path / "q"))
     assert again.count() == 10
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    names = set()
+    while files.hasNext():
+        names.add(files.next().getName())
+    return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+
+def test_a_master_leaves_no_shuffle_files(spark, tmp_path):
+    """Those of a write go at its end; the session's setting is as before."""
+    from loanpanel.session import FREE_SHUFFLES
+
+    was, kept = spark.conf.get(FREE_SHUFFLES, None), shuffle_files(spark)
+    df = spark.range(1000).select(F.col("id").cast("string").alias("LOAN_ID"), F.lit("2017Q1").alias("data_quarter"), (F.col("id") % 7).alias("v"))
+    df = df.repartition(3, "v")
+    sinks.write_master(df, str(tmp_path / "m"))
+    sinks.append_static(spark, df.drop("data_quarter"), str(tmp_path / "s"))
+    assert shuffle_files(spark) <= kept and spark.conf.get(FREE_SHUFFLES, None) == was
+    assert df.count() == spark.read.parquet(str(tmp_path / "m")).count() == spark.read.parquet(str(tmp_path / "s")).count() == 1000
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10MB"])
+def test_raw_files_are_small_and_gone_once_cleaned(spark, tmp_path, monkeypatch, broadcast):
+    """Compressed lines, a loan's of a quarter in one file in ingest order; no row is dealt a second time for them."""
+    import gzip
+    from pathlib import Path
+
+    from loanpanel.session import settings, shared_dir
+    from verification import queries_macro as Q
+    from verification import queries_panel as QP
+
+    d = str(tmp_path / "sf")
+    day = "TIMESTAMP '1995-01-01' + make_interval(0, 0, 0, cast({} AS int))"
+    spark.range(20).selectExpr("id AS c_custkey", "cast(id % 25 AS int) AS c_nationkey", "id * 40e0 AS c_acctbal", "'BUILDING' AS c_mktsegment").write.parquet(f"{d}/customer.parquet")
+    spark.range(100).selectExpr("id AS o_orderkey", "id % 20 AS o_custkey", "1e3 + id AS o_totalprice", day.format("id % 60") + " AS o_orderdate",
+                                "concat(id % 5 + 1, '-X') AS o_orderpriority").write.parquet(f"{d}/orders.parquet")
+    spark.range(2000).selectExpr("if(id % 2 = 0, 0, id % 100) AS l_orderkey", "id * 7 % 90 AS l_partkey", "id % 11 AS l_suppkey", "cast(id % 7 + 1 AS int) AS l_linenumber", "cast(id % 50 AS double) AS l_quantity",
+                                 "9e2 + id AS l_extendedprice", "5e-2 AS l_discount", "1e-2 AS l_tax", "'N' AS l_returnflag", day.format("id * 37 % 400") + " AS l_shipdate").write.parquet(f"{d}/lineitem.parquet")
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    seen, real, kept = [], Q.clean_quarters, set(shared.glob("typed-*"))
+
+    def clean_quarters(spark, folder, *rest):
+        seen.extend([(p.parent.name, p.name, gzip.open(p, "rt").read().splitlines()) for p in sorted(Path(folder).glob("*/part-*.gz"))])
+        seen.append(folder)
+        real(spark, folder, *rest)
+
+    monkeypatch.setattr(Q, "clean_quarters", clean_quarters)
+    # a join that would deal the lines of the large loan to several tasks, if it might, or leave them where they were read
+    odd = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": broadcast, "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+           "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0"}
+    with settings(spark, odd):
+        rows = Q.pipeline_panel(spark, d).collect()
+        want = {}
+        for r in QP.raw_lines(spark, d, ["LOAN_ID"]).orderBy("seq1", "seq2", "seq3").collect():
+            want.setdefault((f"quarter={r['data_quarter']}", r["LOAN_ID"]), []).append(r["value"])
+    folder = Path(seen.pop())
+    found = {}
+    for quarter, name, lines in seen:
+        for line in lines:
+            found.setdefault((quarter, line.split("|")[QP.S.RAW_COLUMNS.index("LOAN_ID")]), {}).setdefault(name, []).append(line)
+    assert {k: [v] for k, v in want.items()} == {k: list(v.values()) for k, v in found.items()}
+    assert sum(r["n"] for r in rows) and not folder.exists()
+    assert set(shared.glob("typed-*")) <= kept

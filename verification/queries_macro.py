@@ -8,7 +8,7 @@ from loanpanel.operators import cycles as CY
 from loanpanel.operators import loan_bitmaps as LB
 from loanpanel.operators import macro as M
 from loanpanel.plans.pipeline import add_macro, build_master, clean_quarters
-from loanpanel.session import scratch_path
+from loanpanel.session import remove_path, scratch_path, settings, shuffles_freed
 from loanpanel.sources import raw, sinks
 from verification import inputs as I
 from verification import sql as Q
@@ -141,12 +141,17 @@ def credit_impact_numbered(spark, d):
   min(act_period) AS first_month FROM (SELECT *, {Q.ACT_PERIOD} AS act_period FROM p) LEFT JOIN pcs USING (act_period) GROUP BY data_quarter""")
 def pipeline_panel(spark, d):
     base = scratch_path(spark, "pipeline")
-    lines = raw_lines(spark, d).withColumnRenamed("data_quarter", "quarter")
-    # the writer would sort by quarter anew, and lose the order, if the rows were not so sorted
-    lines = lines.repartition("quarter").sortWithinPartitions("quarter", *I.INGEST)
-    lines.select("value", "quarter").write.partitionBy("quarter").text(f"{base}/raw")
+    lines = raw_lines(spark, d, ["LOAN_ID"]).withColumnRenamed("data_quarter", "quarter")
+    # lines come dealt by loan, so this moves none of them again: a loan's lines of a quarter stand in one file, in
+    # ingest order; the writer would sort by quarter anew, and lose the order, if the rows were not so sorted.
+    # Adaptive execution must not split a large loan, or read the lines as they came, for want of a step that forbids it
+    whole = dict.fromkeys(["spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.localShuffleReader.enabled"], "false")
+    lines = lines.repartition("LOAN_ID").sortWithinPartitions("quarter", *I.INGEST)
+    with shuffles_freed(spark), settings(spark, whole):
+        lines.select("value", "quarter").write.partitionBy("quarter").option("compression", "gzip").text(f"{base}/raw")
     quarters = [f"{y}Q{q}" for y in range(1990, 2010) for q in (1, 2, 3, 4)]  # those without a file are skipped
     clean_quarters(spark, f"{base}/raw", quarters, f"{base}/clean", "quarter={}")
+    remove_path(spark, f"{base}/raw")  # no longer read
     panel = build_master(spark, sinks.read_master(spark, f"{base}/clean"), f"{base}/master", f"{base}/static")
     panel = add_macro(panel, I.macro_obs(spark, d), I.DOMAINS)
     return rounded(panel.groupBy("data_quarter").agg(
